@@ -59,9 +59,15 @@ select conv_id as request_id, turn as seq,
   case when role = 'assistant' then text else '' end as content,
   case when turn = max(turn) over (partition by conv_id) and conv_id % 7 <> 0 then cast(length(text) as bigint) end as usage_total_tokens
 from conversations""",
+    "res": """
+select s.question_id, s.seq, s.question, s.category, s.answer, s.pred, s.model_outputs,
+  q.options, q.answer_index, q.cot_content, q.src
+from saved s join q on s.question_id = q.question_id
+qualify row_number() over (partition by s.question_id order by s.seq) = 1""",
 }
 
-_DEPS = {"q": [], "resp": ["q"], "saved": ["q", "resp"], "tele": [], "chunks": []}
+_DEPS = {"q": [], "resp": ["q"], "saved": ["q", "resp"], "tele": [], "chunks": [],
+         "res": ["q", "saved"]}
 
 
 def with_views(body: str, *names: str) -> str:

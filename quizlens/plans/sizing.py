@@ -1,0 +1,18 @@
+"""Size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+
+    The check runs ``limit(max_rows + 1).count()``, which stops early on a
+    big input. Beyond the bound the frame is returned unhinted, and the join
+    falls back to a shuffle join (AQE may still broadcast from measured
+    sizes).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

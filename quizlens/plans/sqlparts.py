@@ -67,3 +67,19 @@ def credit(policy: str, pred: str = "pred", answer: str = "answer",
                 f"when {answer} is null then 0 when {pred} = {answer} then {S} else 0 end)")
     return (f"(case when {pred} is null or {pred} = '' then {fills[policy]} "
             f"when {pred} = {answer} then {S} else 0 end)")
+
+
+def fixed_decimal(num: str, den: str, digits: int) -> str:
+    """DuckDB twin of report.fixed_decimal: exact half-to-even text."""
+    S = 10 ** digits
+    big = f"cast(({num}) * {S} as bigint)"
+    d = f"({den})"
+    r = f"({big} % {d})"
+    q = f"(({big} - {r}) // {d})"
+    v = f"({q} + case when 2 * {r} > {d} or (2 * {r} = {d} and {q} % 2 = 1) then 1 else 0 end)"
+    return f"(cast({v} // {S} as varchar) || '.' || lpad(cast({v} % {S} as varchar), {digits}, '0'))"
+
+
+def status(mo: str) -> str:
+    return (f"(case when {mo} is null then 'failed' when {mo} = 'MaxTokensExceeded' then 'max_tokens' "
+            f"when {mo} = 'Killed by user' then 'killed' when {mo} = 'Error' then 'error' else 'ok' end)")

@@ -107,6 +107,16 @@ def saved_results(spark: SparkSession, sf_dir: str, q: DataFrame | None = None,
                      "model_outputs"))
 
 
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``res``: the saved run as the reference's result file holds it - one
+    row per question (first saved row wins) with the question's options,
+    answer index, exemplar reasoning and source."""
+    from ..operators.resume import dedup_first
+    q = questions(spark, sf_dir)
+    s = dedup_first(saved_results(spark, sf_dir, q), "question_id", "seq")
+    return s.join(q.select("question_id", "options", "answer_index", "cot_content", "src"), "question_id")
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tele``: token-count samples per question from ``events``
     (gaps are hours, so windows are 8 h / 25 h in place of 8 s / 25 s)."""
@@ -135,4 +145,4 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.length("text").cast("bigint")).alias("usage_total_tokens"))
 
 
-__all__ = ["questions", "responses", "saved_results", "telemetry", "chunks", "LETTERS"]
+__all__ = ["questions", "responses", "saved_results", "result_rows", "telemetry", "chunks", "LETTERS"]
