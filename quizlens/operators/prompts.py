@@ -86,7 +86,7 @@ def fewshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, style: str =
     prefix = F.array_join(F.coalesce(F.col("exemplars"), F.array().cast("array<string>")), "")
     return j.select("question_id", "category",
                     F.concat(header, prefix, target).alias("prompt"),
-                    F.coalesce(F.size("exemplars"), F.lit(0)).alias("n_shots"))
+                    F.coalesce(F.size("exemplars"), F.lit(0)).cast("bigint").alias("n_shots"))
 
 
 def fit_kshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, limit: int = 2048,
