@@ -235,3 +235,178 @@ def generate_answers(spark, sf):
     prompts = _fewshot("api")(spark, sf)
     out = generate(prompts, stub_answerer, id_col="question_id", prompt_col="prompt")
     return out.select("question_id", "response", extract("response", "l2").alias("pred"))
+
+
+# ---------------------------------------------------------------- W1, W2, R*
+def _res(spark, sf):
+    return fx.result_rows(spark, sf)
+
+
+@register("running_accuracy", with_views("""
+with h as (select question_id, category, seq, case when pred = answer then 1 else 0 end as hit from res)
+select question_id, category, seq, count(*) over w as answered, cast(sum(hit) over w as bigint) as correct,
+  cast(sum(hit) over w as bigint)::DOUBLE / count(*) over w as running_acc
+from h window w as (partition by category order by seq rows between unbounded preceding and current row)""",
+    "res"))
+def running_accuracy(spark, sf):
+    r = _res(spark, sf).withColumn("hit", F.coalesce((F.col("pred") == F.col("answer")).cast("int"), F.lit(0)))
+    return RP.running_accuracy(r.select("question_id", "category", "seq", "hit"), ("category",)) \
+        .select("question_id", "category", "seq", "answered", "correct", "running_acc")
+
+
+@register("wrong_positions", with_views(f"""
+with {FILLED_SQL}, w as (select * from filled where answer <> pred),
+c as (select category as list_name, question_id, row_number() over (partition by category order by seq) as position,
+        count(*) over (partition by category) as n from w
+      union all
+      select 'ALL', question_id, row_number() over (order by seq), count(*) over () from w)
+select list_name, question_id, cast(position as bigint) as position, n,
+  case when position = 1 and n > 1 then '[FIRST]' when position = n and n > 1 then '[LAST]'
+       when n = 1 then '[ONLY ONE]' else '' end as mark,
+  cast((position - 1) // 10 as bigint) as page
+from c""", "res"))
+def wrong_positions(spark, sf):
+    w = C.wrong_answers(_res(spark, sf)).select("question_id", "category", "seq")
+    per_cat = RP.positions(w, ("category",)).withColumnRenamed("category", "list_name")
+    overall = RP.positions(w.drop("category"), ()).withColumn("list_name", F.lit("ALL"))
+    cols = ["list_name", "question_id", "position", "n", "mark", "page"]
+    return per_cat.select(*cols).unionByName(overall.select(*cols))
+
+
+def _trunc_sql(c: str, n: int = 80) -> str:
+    return f"(case when length({c}) > {n} then substr({c}, 1, {n}) || '...' else {c} end)"
+
+
+@register("error_report", with_views(f"""
+with {FILLED_SQL}
+select category, cast(question_id as varchar) as question_id, src, answer, pred, answer_index, question,
+  array_to_string(list_transform(options, lambda o, i: cast(i as varchar) || '. ' || coalesce(o, 'Empty option')), ' | ')
+    as options_text,
+  {_trunc_sql('cot_content')} as cot_short, {_trunc_sql('model_outputs')} as output_short
+from filled where answer <> pred""", "res"))
+def error_report(spark, sf):
+    return RP.error_report(_res(spark, sf))
+
+
+@register("category_menu", with_views(f"""
+with {FILLED_SQL},
+g as (select category, count(*) as total, count(*) filter (where answer is distinct from pred) as wrong
+      from filled group by category
+      union all
+      select 'ALL', count(*), count(*) filter (where answer is distinct from pred) from filled)
+select category, total, wrong,
+  cast(wrong as varchar) || '/' || cast(total as varchar) || ' wrong (' ||
+  case when total > 0 then {X.fixed_decimal('(total - wrong) * 100', 'total', 1)} else '0.0' end || '% accuracy)' as label
+from g""", "res"))
+def category_menu(spark, sf):
+    return RP.category_menu(_res(spark, sf))
+
+
+def _summary(spark, sf):
+    q = fx.questions(spark, sf)
+    sc = S.score(S.with_prediction(S.attach_gold(fx.responses(spark, sf, q), q)), "wrong")
+    return S.summary(sc, ("model", "category"), "wrong")
+
+
+_SUMMARY_SQL = f"""
+sc as (select r.model, q.category, q.answer, {X.l2('r.model_outputs')} as pred
+       from resp r join q on r.question_id = q.question_id),
+g as (select model, category, count(*) as n, cast(sum(case when pred = answer then 1 else 0 end) as bigint) as corr
+      from sc group by model, category
+      union all
+      select model, 'total', count(*), cast(sum(case when pred = answer then 1 else 0 end) as bigint)
+      from sc group by model),
+summ as (select model, category, n, corr, n - corr as wrong, corr::DOUBLE / n as acc from g)"""
+
+
+@register("summary_json", with_views(f"""
+with {_SUMMARY_SQL}
+select model, to_json(map_from_entries(list(struct_pack(k := category,
+  v := struct_pack(corr := corr, wrong := wrong, acc := acc)) order by category)))::VARCHAR as summary_json
+from summ group by model""", "q", "resp"))
+def summary_json(spark, sf):
+    return RP.summary_json(_summary(spark, sf))
+
+
+@register("report_lines", with_views(f"""
+with {_SUMMARY_SQL},
+l as (select model, 0 as sec, category as k,
+        'Average accuracy ' || {X.fixed_decimal('corr', 'corr + wrong', 4)} || ' - ' || category as line
+      from summ where category <> 'total'
+      union all
+      select model, 1, '', 'Average accuracy: ' || {X.fixed_decimal('corr', 'corr + wrong', 4)}
+      from summ where category = 'total')
+select model, cast(row_number() over (partition by model order by sec, k) as bigint) as line_no, line from l""",
+    "q", "resp"))
+def report_lines(spark, sf):
+    return RP.report_lines(_summary(spark, sf))
+
+
+# ---------------------------------------------------------------- W3-W6
+HOUR = 3600
+_EPISODES_SQL = """
+t as (select *, epoch_us(ts) as us from tele),
+e as (select *, sum(case when kind = 'reset' then 1 else 0 end)
+        over (partition by question_id order by us, event_id rows between unbounded preceding and current row) as episode
+      from t)"""
+
+
+@register("rolling_rate", with_views(f"""
+with {_EPISODES_SQL},
+s as (select *, cast(sum(delta) over (partition by question_id, episode order by us, event_id
+        rows between unbounded preceding and current row) as bigint) as tokens from e where kind <> 'reset'),
+w as (select *, min(us) over f as us0, min(tokens) over f as c0 from s
+      window f as (partition by question_id, episode order by us range between {8 * HOUR * 1_000_000} preceding and current row)),
+r as (select *, case when (us - us0)::DOUBLE / 1000000.0 > 0.05 and tokens - c0 > 0
+        then (tokens - c0)::DOUBLE / ((us - us0)::DOUBLE / 1000000.0) end as raw from w),
+f as (select *, coalesce(last_value(raw ignore nulls) over (partition by question_id, episode order by us, event_id
+        rows between unbounded preceding and current row), 0.0) as rate from r)
+select event_id, question_id, kind, cast(episode as bigint) as episode, tokens, rate from f
+union all
+select event_id, question_id, kind, cast(episode as bigint), cast(0 as bigint), 0.0::DOUBLE from e where kind = 'reset'""",
+    "tele"))
+def rolling_rate(spark, sf):
+    r = T.rolling_rate(fx.telemetry(spark, sf), window_s=8 * HOUR)
+    return r.select("event_id", "question_id", "kind", "episode", "tokens", "rate")
+
+
+@register("stall_flags", with_views(f"""
+with {_EPISODES_SQL},
+s as (select *, lead(us) over (partition by question_id, episode order by us, event_id) as nxt
+      from e where kind <> 'reset'),
+per as (select question_id, count(*) as samples,
+          count(*) filter (where nxt - us > {25 * HOUR * 1_000_000}) as stalls, max(episode) as sep
+        from s group by question_id),
+lu as (select s.question_id, max(s.us) as lus from s join per on s.question_id = per.question_id
+         and s.episode = per.sep group by s.question_id),
+le as (select question_id, max(episode) as ep from e group by question_id),
+nw as (select max(epoch_us(ts)) as now_us from tele)
+select le.question_id, coalesce(per.samples, 0) as samples, coalesce(per.stalls, 0) as stalls,
+  cast(coalesce(per.sep = le.ep and nw.now_us - lu.lus > {25 * HOUR * 1_000_000}, false) as int) as stalled_now
+from le left join per on le.question_id = per.question_id left join lu on le.question_id = lu.question_id,
+  nw""", "tele"))
+def stall_flags(spark, sf):
+    return T.stall_flags(fx.telemetry(spark, sf), threshold_s=25 * HOUR)
+
+
+@register("age_buckets", with_views(f"""
+with per as (select question_id, max(case when kind = 'reset' then epoch_us(ts) end) as st,
+               max(case when kind in ('success', 'wrong') then epoch_us(ts) end) as en
+             from tele group by question_id),
+nw as (select max(epoch_us(ts)) as now_us from tele),
+a as (select (nw.now_us - st)::DOUBLE / 1000000.0 as age from per, nw
+      where st is not null and (en is null or en < st))
+select case when age < {30 * HOUR} then 'white' when age < {90 * HOUR} then 'yellow'
+            when age < {180 * HOUR} then 'orange' else 'red' end as bucket, count(*) as questions
+from a group by all""", "tele"))
+def age_buckets(spark, sf):
+    return T.age_buckets(fx.telemetry(spark, sf), scale=HOUR)
+
+
+@register("log_tail", with_views(f"""
+select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts_text,
+  regexp_replace('[' || strftime(ts, '%H:%M:%S') || '] Q' || cast(question_id as varchar) || ' ' || kind || ' '
+    || cast(delta as varchar), '{__import__('quizlens.functions.text', fromlist=['x']).NON_PRINTABLE}', '', 'g') as message
+from tele order by ts desc, event_id desc limit 10""", "tele"))
+def log_tail(spark, sf):
+    return T.log_tail(T.log_lines(fx.telemetry(spark, sf)), 10)
