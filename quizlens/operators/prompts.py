@@ -90,25 +90,61 @@ def fewshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, style: str =
 
 
 def fit_kshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, limit: int = 2048,
-              counter=word_count, native: bool = True, max_categories: int = 100_000) -> DataFrame:
+              counter=word_count, additive: bool = True, native: bool = True,
+              max_categories: int = 100_000) -> DataFrame:
     """T4: the largest k' <= k whose whole prompt counts fewer than
-    ``limit`` tokens (the batch runner starts at k and decrements). Every
-    candidate prompt is counted whole, so any counter is exact (real
-    tokenizers are not additive over concatenation). If even the zero-shot
-    prompt does not fit: ``k`` null and ``overflow`` true (the reference
-    would loop forever).
-
-    ``native``: ``counter`` is a Column expression; the candidates are then
-    built and tested inside the row (higher-order functions), no shuffle.
-    Otherwise (e.g. a pandas-UDF tokenizer) candidates are exploded into rows,
-    counted, and the best one is picked by a ``max_by`` aggregation.
+    ``limit`` tokens (the batch runner starts at k and decrements). If even
+    the zero-shot prompt does not fit: ``k`` null and ``overflow`` true (the
+    reference would loop forever).
+
+    ``additive`` (default, exact for ``word_count``: header and exemplar
+    blocks end in whitespace, so no word spans two parts): each exemplar and
+    each category header is counted once per category, the target once per
+    question, and a candidate's count is their sum - no prompt is counted
+    twice. Otherwise every candidate prompt is counted whole, which is exact
+    for any counter (real tokenizers are not additive): in the row with
+    higher-order functions when ``counter`` is a native expression
+    (``native``), else exploded into rows (e.g. for a pandas-UDF tokenizer)
+    and picked by a ``max_by`` aggregation.
     """
     render = format_block("question", "options", "cot_content", with_answer=True)
-    pre = broadcast_if_small(exemplar_texts(exemplars, k, render), max_categories)
-    header = F.concat(F.replace(F.lit(LOCAL_HEADER_TEMPLATE), F.lit("{$}"), F.col("category")), F.lit("\n"))
+    header_of = lambda c: F.concat(F.replace(F.lit(LOCAL_HEADER_TEMPLATE), F.lit("{$}"), c), F.lit("\n"))
     target = format_block("question", "options", with_answer=False)
+    if additive:
+        w = Window.partitionBy("category").orderBy(F.col("question_id"))
+        top_ex = (exemplars.select("category", "question_id", render.alias("_txt"))
+                  .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+                  .withColumn("_n", counter(F.col("_txt"))))
+        pre = top_ex.groupBy("category").agg(
+            F.array_sort(F.collect_list(F.struct("_rn", "_txt", "_n"))).alias("_ex"))
+        pre = pre.select("category", F.transform("_ex", lambda s: s["_txt"]).alias("_ex"),
+                         F.transform("_ex", lambda s: s["_n"]).alias("_cnt"))
+        pre = broadcast_if_small(pre, max_categories)
+        qs = questions.select("question_id", "category", "question", "options")
+        cats = qs.select("category").distinct()
+        hdr = cats.select("category", counter(header_of(F.col("category"))).alias("_hn"))
+        base = (qs.join(pre, "category", "left").join(hdr, "category")
+                .select("question_id", "category", "_hn", counter(target).alias("_tn"),
+                        F.coalesce("_ex", F.array().cast("array<string>")).alias("_ex"),
+                        F.coalesce("_cnt", F.array().cast("array<bigint>")).alias("_cnt"),
+                        "question", "options"))
+        top = F.least(F.lit(k), F.size("_ex"))
+        total = lambda kk: F.col("_hn") + F.col("_tn") + F.aggregate(
+            F.slice(F.col("_cnt"), 1, kk), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        cands = F.transform(F.sequence(top, F.lit(0), F.lit(-1)),
+                            lambda kk: F.struct(kk.alias("k"), total(kk).alias("tokens")))
+        best = F.get(F.filter(cands, lambda c: c["tokens"] < limit), 0)
+        out = base.withColumn("best", best)
+        prompt = F.concat(header_of(F.col("category")),
+                          F.array_join(F.slice(F.col("_ex"), 1, F.col("best.k")), ""), target)
+        return out.select("question_id", "category", F.col("best.k").alias("k"),
+                          F.col("best.tokens").alias("tokens"),
+                          F.when(F.col("best").isNotNull(), prompt).alias("prompt"),
+                          F.col("best").isNull().alias("overflow"))
+
+    pre = broadcast_if_small(exemplar_texts(exemplars, k, render), max_categories)
     base = questions.join(pre, "category", "left").select(
-        "question_id", "category", header.alias("_h"), target.alias("_t"),
+        "question_id", "category", header_of(F.col("category")).alias("_h"), target.alias("_t"),
         F.coalesce(F.col("exemplars"), F.array().cast("array<string>")).alias("_ex"))
     top = F.least(F.lit(k), F.size("_ex"))
 

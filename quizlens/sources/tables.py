@@ -14,8 +14,29 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Fact and text tables whose per-row work (regex, prompt rendering) is CPU
+# heavy; see ``spread``.
+WIDE_WORK_TABLES = {"lineitem", "documents", "events", "conversations", "orders", "pages"}
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over at least ``min_partitions`` tasks when the
+    scan yields fewer (a file with one row group is one task). On a cluster
+    the input has many row groups, the condition is false and no shuffle is
+    added."""
+    spark = df.sparkSession
+    n = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    # hash of the leading (id) column: deterministic under task retries
+    # without the local sort a round-robin repartition needs
+    return df.repartition(n, df.columns[0])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Parquet scan; naming ``columns`` makes the projection explicit, and
-    Catalyst prunes the ReadSchema to them either way."""
+    Catalyst prunes the ReadSchema to them either way. Tables with heavy
+    per-row work are ``spread`` over the available cores."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if name in WIDE_WORK_TABLES else df
