@@ -26,12 +26,16 @@ def run_in_slices(spark: SparkSession, df: DataFrame, conds, build, sink: str, m
     """Land ``df`` slice by slice (each a new folder under one source
     glob) and, after each slice, restart the same streaming query from its
     checkpoint with ``availableNow`` - data arriving over time, with a
-    restart between arrivals. ``build(stream) -> DataFrame`` is the query."""
+    restart between arrivals. ``build(read) -> DataFrame`` is the query;
+    ``read()`` opens a stream over the source (twice for two sources)."""
     src, ck = fresh_dir(spark, "src"), fresh_dir(spark, "ckpt")
+
+    def read():
+        return spark.readStream.schema(df.schema).parquet(f"{src}/*")
+
     for i, c in enumerate(conds):
         df.where(c).write.parquet(f"{src}/s{i:04d}")
-        stream = spark.readStream.schema(df.schema).parquet(f"{src}/*")
-        run_available(build(stream), sink, mode, checkpoint=ck)
+        run_available(build(read), sink, mode, checkpoint=ck)
     return sink
 
 
