@@ -38,14 +38,18 @@ def running_sum(df: DataFrame, keys, order: str, value: Column, out: str,
     this one in (order, *tiebreak) order (ROWS frame)."""
     keys = _keys(keys)
     b = with_block(df.withColumn("_v", value), order, block_size)
-    tot = b.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_bt"))
+    tot = b.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_bt"), F.count("_v").alias("_bn"))
     wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
+    off = tot.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
+                     F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_offn"))
     w = (Window.partitionBy(*keys, "_blk").orderBy(order, *tiebreak)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # null while no non-null value has been seen, like SUM over a window
+    seen = F.col("_offn") + F.count("_v").over(w)
+    val = F.col("_off") + F.coalesce(F.sum("_v").over(w), F.lit(0))
     return (b.join(off, keys + ["_blk"])
-             .withColumn(out, F.col("_off") + F.sum("_v").over(w))
-             .drop("_v", "_blk", "_off"))
+             .withColumn(out, F.when(seen > 0, val))
+             .drop("_v", "_blk", "_off", "_offn"))
 
 
 def carry_forward(df: DataFrame, keys, order: str, value: Column, out: str,
