@@ -198,37 +198,51 @@ def style_grid(questions: DataFrame) -> DataFrame:
                     F.concat(header, F.lit("\n\n"), body).alias("prompt"))
 
 
+def chunk_deltas(chunks: DataFrame, save_thinking: bool = False, counter=word_count) -> DataFrame:
+    """Per chunk: ``_delta`` tokens (reasoning + content), ``_keep`` (the
+    text kept in the response) and ``_nonempty`` (empty deltas are skipped,
+    as in the reference)."""
+    txt = F.concat(F.coalesce("reasoning", F.lit("")), F.coalesce("content", F.lit("")))
+    keep = txt if save_thinking else F.coalesce(F.col("content"), F.lit(""))
+    return chunks.select("request_id", "seq", "usage_total_tokens", counter(txt).alias("_delta"),
+                         keep.alias("_keep"), (txt != "").alias("_nonempty"))
+
+
 def assemble(chunks: DataFrame, prompt_tokens=0, max_tokens: int = 32768,
              save_thinking: bool = False, counter=word_count) -> DataFrame:
     """Per request, the ordered concatenation of streamed deltas.
 
-    A delta's tokens are counted on reasoning + content; running total =
-    prompt tokens + sum. Counts are non-negative, so the running total
-    passes ``max_tokens`` at some chunk iff the final one does: then the
-    response is the max-token sentinel. Without a usage count the request
-    fails (``missing_usage``); otherwise the final count is the server's.
-    Empty deltas are skipped as in the reference, so the collected list is
-    bounded by ``max_tokens`` non-empty chunks per request.
+    Running total = prompt tokens + the tokens of each non-empty delta so
+    far; the first delta that takes it past ``max_tokens`` aborts the
+    request (status ``max_tokens``, the response is the sentinel, counts are
+    those at the abort). Otherwise a request without a usage count fails
+    (``missing_usage``) and a complete one reports the server's count.
+    The per-request list is ordered by ``seq`` and the running totals are
+    computed inside the row (one pass with ``aggregate``).
     """
-    c = chunks.withColumn("_txt", F.concat(F.coalesce("reasoning", F.lit("")), F.coalesce("content", F.lit(""))))
-    keep_txt = F.col("_txt") if save_thinking else F.coalesce(F.col("content"), F.lit(""))
-    c = c.withColumn("_delta", counter(F.col("_txt"))).withColumn("_keep", keep_txt)
-    pt = _c(prompt_tokens) if not isinstance(prompt_tokens, int) else F.lit(prompt_tokens)
-    nonempty = F.col("_txt") != ""
+    c = chunk_deltas(chunks, save_thinking, counter)
+    pt = (F.lit(prompt_tokens) if isinstance(prompt_tokens, int) else _c(prompt_tokens)).cast("bigint")
     g = c.groupBy("request_id").agg(
-        F.count_if(nonempty).alias("n_chunks"),
-        F.sum(F.when(nonempty, F.col("_delta")).otherwise(0)).cast("bigint").alias("_sum"),
         F.max("usage_total_tokens").alias("usage"),
-        F.array_sort(F.collect_list(F.when(nonempty, F.struct("seq", "_keep")))).alias("_parts"))
-    est = pt + F.col("_sum")
-    over = est > max_tokens
+        F.array_sort(F.collect_list(F.when(F.col("_nonempty"), F.struct("seq", "_delta", "_keep"))))
+        .alias("_parts"))
+    runs = F.aggregate("_parts", F.array().cast("array<bigint>"), lambda acc, p: F.array_append(
+        acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), pt) + p["_delta"]))
+    g = g.withColumn("_runs", runs)
+    cut = F.array_position(F.transform("_runs", lambda r: r > max_tokens), True)
+    g = g.withColumn("_cut", cut)
+    over = F.col("_cut") > 0
+    est = F.when(over, F.element_at("_runs", F.col("_cut").cast("int"))) \
+        .otherwise(F.coalesce(F.try_element_at("_runs", F.lit(-1)), pt))
     status = F.when(over, F.lit("max_tokens")).when(F.col("usage").isNull(), F.lit("missing_usage")) \
         .otherwise(F.lit("ok"))
     text = F.array_join(F.transform("_parts", lambda s: s["_keep"]), "")
-    return g.select("request_id", "n_chunks", est.cast("bigint").alias("est_tokens"), status.alias("status"),
+    return g.select("request_id",
+                    F.when(over, F.col("_cut")).otherwise(F.size("_parts")).cast("bigint").alias("n_chunks"),
+                    est.cast("bigint").alias("est_tokens"), status.alias("status"),
                     F.when(over, F.lit(MAX_TOKENS_TEXT)).when(F.col("usage").isNull(), F.lit(None).cast("string"))
                     .otherwise(text).alias("response"),
                     F.when(status == "ok", F.col("usage")).alias("final_tokens"))
 
 
-__all__ = ["fewshot", "fit_kshot", "style_grid", "assemble", "exemplar_texts", "DEFAULT_COT"]
+__all__ = ["fewshot", "fit_kshot", "style_grid", "assemble", "chunk_deltas", "exemplar_texts", "DEFAULT_COT"]

@@ -153,3 +153,16 @@ def results_roundtrip(spark, sf):
     back = read_results(spark, base)
     return back.select("question_id", "question", "options", "answer", "answer_index", "cot_content",
                        "category", "src", "pred", "model_outputs")
+
+
+@register("stream_assemble", "select * from (" + ORACLE["assemble_thinking"] + ") where status <> 'missing_usage'")
+def stream_assemble(spark, sf):
+    """ST6: chunks arrive in three slices of turns; each request is emitted
+    when its usage arrives or its budget is exceeded (requests still
+    waiting for usage are in state, reported only on timeout)."""
+    from ..streaming.chunks import assemble_stream
+    out = fresh_dir(spark, "assemble-out")
+    seq = F.col("seq")
+    run_in_slices(spark, fx.chunks(spark, sf), [seq <= 2, (seq > 2) & (seq <= 5), seq > 5],
+                  lambda read: assemble_stream(read(), 0, 300, True), out)
+    return spark.read.parquet(out)

@@ -202,16 +202,23 @@ def _assemble_sql(max_tokens: int, save_thinking: bool) -> str:
     return with_views(f"""
 with c as (select *, coalesce(reasoning, '') || coalesce(content, '') as txt from chunks),
 d as (select *, {words('txt')} as delta, {keep} as keep from c),
-g as (select request_id, count(*) filter (where txt <> '') as n_chunks,
-        cast(sum(case when txt <> '' then delta else 0 end) as bigint) as s,
-        max(usage_total_tokens) as usage,
-        coalesce(string_agg(case when txt <> '' then keep end, '' order by seq), '') as body
-      from d group by request_id)
-select request_id, n_chunks, s as est_tokens,
-  case when s > {max_tokens} then 'max_tokens' when usage is null then 'missing_usage' else 'ok' end as status,
-  case when s > {max_tokens} then 'MaxTokensExceeded' when usage is null then null else body end as response,
-  case when s > {max_tokens} or usage is null then null else usage end as final_tokens
-from g""", "chunks")
+ne as (select request_id, seq, keep, cast(sum(delta) over w as bigint) as run, row_number() over w as rn
+       from d where txt <> ''
+       window w as (partition by request_id order by seq rows between unbounded preceding and current row)),
+u as (select request_id, max(usage_total_tokens) as usage from d group by request_id),
+a as (select request_id, count(*) as n_all, max(run) as total,
+        min(rn) filter (where run > {max_tokens}) as cut, arg_min(run, rn) filter (where run > {max_tokens}) as cut_run,
+        string_agg(keep, '' order by seq) as body
+      from ne group by request_id),
+x as (select u.request_id, u.usage, coalesce(a.n_all, 0) as n_all, coalesce(a.total, 0) as total, a.cut, a.cut_run,
+        coalesce(a.body, '') as body
+      from u left join a on u.request_id = a.request_id)
+select request_id, cast(coalesce(cut, n_all) as bigint) as n_chunks,
+  cast(case when cut is not null then cut_run else total end as bigint) as est_tokens,
+  case when cut is not null then 'max_tokens' when usage is null then 'missing_usage' else 'ok' end as status,
+  case when cut is not null then 'MaxTokensExceeded' when usage is null then null else body end as response,
+  case when cut is not null or usage is null then null else usage end as final_tokens
+from x""", "chunks")
 
 
 def _assemble(max_tokens, save_thinking):
