@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 DEFAULT_BLOCK = 1 << 20
 
 
@@ -32,24 +34,43 @@ def with_block(df: DataFrame, order: str, block_size: int, name: str = "_blk") -
     return df.withColumn(name, F.floor(F.col(order) / F.lit(block_size)).cast("bigint"))
 
 
+def _clustered(df: DataFrame, keys: list[str], order: str, block_size: int) -> DataFrame:
+    """One exchange on (keys, block), checkpointed to the shared checkpoint
+    folder. Every later step - the in-block windows, the per-block summary
+    and the join back - reads this partitioned copy: the input's lineage
+    runs once instead of once per branch (column pruning makes the two
+    branches' exchanges differ, so Spark would not reuse one), and a lost
+    executor recomputes from the checkpoint, not from the sources."""
+    checkpoint_dir(df.sparkSession)
+    return with_block(df, order, block_size).repartition(*keys, "_blk").checkpoint(eager=True)
+
+
+def _offsets(summary: DataFrame, keys: list[str], cols) -> DataFrame:
+    """Window over the per-block summary rows (one row per key and block)."""
+    return summary.select(*keys, "_blk", *cols)
+
+
 def running_sum(df: DataFrame, keys, order: str, value: Column, out: str,
                 tiebreak: tuple[str, ...] = (), block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the key up to and including
-    this one in (order, *tiebreak) order (ROWS frame)."""
+    this one in (order, *tiebreak) order (ROWS frame); null while only
+    nulls were seen, as a window SUM."""
     keys = _keys(keys)
-    b = with_block(df.withColumn("_v", value), order, block_size)
-    tot = b.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_bt"), F.count("_v").alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
-                     F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_offn"))
+    x = _clustered(df.withColumn("_v", value), keys, order, block_size)
     w = (Window.partitionBy(*keys, "_blk").orderBy(order, *tiebreak)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # null while no non-null value has been seen, like SUM over a window
-    seen = F.col("_offn") + F.count("_v").over(w)
-    val = F.col("_off") + F.coalesce(F.sum("_v").over(w), F.lit(0))
-    return (b.join(off, keys + ["_blk"])
-             .withColumn(out, F.when(seen > 0, val))
-             .drop("_v", "_blk", "_off", "_offn"))
+    wall = Window.partitionBy(*keys, "_blk")
+    inb = (x.withColumn("_in", F.sum("_v").over(w)).withColumn("_inn", F.count("_v").over(w))
+            .withColumn("_bt", F.sum("_v").over(wall)).withColumn("_bn", F.count("_v").over(wall)))
+    tot = inb.groupBy(*keys, "_blk").agg(F.first("_bt").alias("_bt"), F.first("_bn").alias("_bn"))
+    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    off = _offsets(tot, keys, [F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
+                               F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_offn")])
+    seen = F.col("_offn") + F.col("_inn")
+    val = F.col("_off") + F.coalesce(F.col("_in"), F.lit(0))
+    return (inb.join(off, keys + ["_blk"])
+               .withColumn(out, F.when(seen > 0, val))
+               .drop("_v", "_blk", "_off", "_offn", "_in", "_inn", "_bt", "_bn"))
 
 
 def carry_forward(df: DataFrame, keys, order: str, value: Column, out: str,
@@ -57,30 +78,33 @@ def carry_forward(df: DataFrame, keys, order: str, value: Column, out: str,
     """``out`` = the last non-null ``value`` of the key up to and including
     this row (like ``last(value, ignorenulls)`` over a running frame)."""
     keys = _keys(keys)
-    b = with_block(df.withColumn("_v", value), order, block_size)
-    ordkey = F.struct(F.col(order), *[F.col(t) for t in tiebreak])
-    last_in_blk = b.groupBy(*keys, "_blk").agg(
-        F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), ordkey)).alias("_bl"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prev = last_in_blk.select(*keys, "_blk", F.last("_bl", ignorenulls=True).over(wb).alias("_prev"))
+    x = _clustered(df.withColumn("_v", value), keys, order, block_size)
     w = (Window.partitionBy(*keys, "_blk").orderBy(order, *tiebreak)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (b.join(prev, keys + ["_blk"])
-             .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(w), F.col("_prev")))
-             .drop("_v", "_blk", "_prev"))
+    wall = (Window.partitionBy(*keys, "_blk").orderBy(order, *tiebreak)
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    inb = (x.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
+            .withColumn("_bl", F.last("_v", ignorenulls=True).over(wall)))
+    tot = inb.groupBy(*keys, "_blk").agg(F.first("_bl").alias("_bl"))
+    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    prev = _offsets(tot, keys, [F.last("_bl", ignorenulls=True).over(wb).alias("_prev")])
+    return (inb.join(prev, keys + ["_blk"])
+               .withColumn(out, F.coalesce(F.col("_in"), F.col("_prev")))
+               .drop("_v", "_blk", "_prev", "_in", "_bl"))
 
 
 def next_value(df: DataFrame, keys, order: str, value: str, out: str,
                tiebreak: tuple[str, ...] = (), block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """``out`` = ``value`` of the next row of the key in (order, *tiebreak)
-    order, null for the last row (``lead``)."""
+    """``out`` = ``value`` (non-null) of the next row of the key in
+    (order, *tiebreak) order, null for the last row (``lead``)."""
     keys = _keys(keys)
-    b = with_block(df, order, block_size)
-    ordkey = F.struct(F.col(order), *[F.col(t) for t in tiebreak])
-    first_in_blk = b.groupBy(*keys, "_blk").agg(F.min_by(F.col(value), ordkey).alias("_bf"))
-    wb = Window.partitionBy(*keys).orderBy("_blk")
-    nxt = first_in_blk.select(*keys, "_blk", F.lead("_bf").over(wb).alias("_nb"))
+    x = _clustered(df, keys, order, block_size)
     w = Window.partitionBy(*keys, "_blk").orderBy(order, *tiebreak)
-    return (b.join(nxt, keys + ["_blk"])
-             .withColumn(out, F.coalesce(F.lead(value).over(w), F.col("_nb")))
-             .drop("_blk", "_nb"))
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inb = x.withColumn("_ln", F.lead(value).over(w)).withColumn("_bf", F.first(value).over(wall))
+    tot = inb.groupBy(*keys, "_blk").agg(F.first("_bf").alias("_bf"))
+    wb = Window.partitionBy(*keys).orderBy("_blk")
+    nxt = _offsets(tot, keys, [F.lead("_bf").over(wb).alias("_nb")])
+    return (inb.join(nxt, keys + ["_blk"])
+               .withColumn(out, F.coalesce(F.col("_ln"), F.col("_nb")))
+               .drop("_blk", "_nb", "_ln", "_bf"))
