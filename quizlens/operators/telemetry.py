@@ -144,3 +144,21 @@ def log_tail(logs: DataFrame, n: int = 10) -> DataFrame:
     top = logs.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)
     return top.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts_text"),
                       printable("message").alias("message"))
+
+
+def question_state(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S) -> DataFrame:
+    """ST1 / ST5 batch twin: the latest state of every question - episode,
+    tokens and rate of its last row, status (``pending`` until the first
+    reset, ``active`` after a reset, ``success`` / ``wrong`` once reported)
+    and retries (resets after the first start). Pure aggregation over the
+    rolling-rate rows (partial aggregation, no per-question sort)."""
+    r = rolling_rate(tele, window_s, min_dt_s).withColumn("us", epoch_us("ts"))
+    order = F.struct("us", "event_id")
+    status_of = F.when(F.col("kind") == "reset", F.lit("active")).otherwise(F.col("kind"))
+    g = r.groupBy("question_id").agg(
+        F.max_by(F.struct("episode", "tokens", "rate"), order).alias("_last"),
+        F.max_by(status_of, F.when(F.col("kind") != "update", order)).alias("_status"),
+        F.count_if(F.col("kind") == "reset").alias("_resets"))
+    return g.select("question_id", F.col("_last.episode").alias("episode"), F.col("_last.tokens").alias("tokens"),
+                    F.col("_last.rate").alias("rate"), F.coalesce("_status", F.lit("pending")).alias("status"),
+                    F.greatest(F.col("_resets") - 1, F.lit(0)).cast("bigint").alias("retries"))

@@ -166,3 +166,32 @@ def stream_assemble(spark, sf):
     run_in_slices(spark, fx.chunks(spark, sf), [seq <= 2, (seq > 2) & (seq <= 5), seq > 5],
                   lambda read: assemble_stream(read(), 0, 300, True), out)
     return spark.read.parquet(out)
+
+
+QUESTION_STATE_SQL = with_views(f"""
+with rr as ({ORACLE["rolling_rate"]}),
+t as (select rr.*, epoch_us(tele.ts) as us from rr join tele on rr.event_id = tele.event_id),
+g as (select question_id,
+        arg_max(struct_pack(episode := episode, tokens := tokens, rate := rate), struct_pack(us := us, e := event_id)) as l,
+        arg_max(case when kind = 'reset' then 'active' else kind end, struct_pack(us := us, e := event_id))
+          filter (where kind <> 'update') as st,
+        count(*) filter (where kind = 'reset') as resets
+      from t group by question_id)
+select question_id, l.episode as episode, l.tokens as tokens, l.rate as rate, coalesce(st, 'pending') as status,
+  cast(greatest(resets - 1, 0) as bigint) as retries from g""", "tele")
+
+
+@register("question_state", QUESTION_STATE_SQL)
+def question_state(spark, sf):
+    """ST1 / ST5 batch twin: latest state per question."""
+    from ..operators.telemetry import question_state as qs
+    return qs(fx.telemetry(spark, sf), window_s=8 * HOUR)
+
+
+@register("stream_question_state", QUESTION_STATE_SQL)
+def stream_question_state(spark, sf):
+    """ST1 / ST5: latest tracker state per question after the stream."""
+    out = fresh_dir(spark, "tracker-out")
+    run_in_slices(spark, fx.telemetry(spark, sf), _tele_conds(),
+                  lambda read: TR.track_questions(read(), window_s=8 * HOUR, stall_s=25 * HOUR, delay="30 hours"), out)
+    return TR.latest_state(spark.read.parquet(out))

@@ -49,8 +49,8 @@ def _tracker(window_s: float, min_dt_s: float, stall_s: float):
             for ev, kind, delta, us in zip(rows["event_id"], rows["kind"], rows["delta"], rows["us"]):
                 ev, us, delta = int(ev), int(us), int(delta)
                 if kind == "reset":
-                    if status != "pending":
-                        retries += 1          # a restart of a started question
+                    if ep > 0:
+                        retries += 1          # a restart: every reset after the first
                     ep, cum, rate, hus, hcum, stalled, status = ep + 1, 0, 0.0, [], [], False, "active"
                     out.append((ev, qid, kind, ep, 0, 0.0, us, status, retries))
                     continue
@@ -128,3 +128,12 @@ def dedup_late(stream: DataFrame, key: str = "event_id", delay: str = "1 hour")
     """ST10: drop repeated deliveries of an event within the watermark
     delay (state per key is dropped once the watermark passes it)."""
     return with_event_time(stream, delay).dropDuplicatesWithinWatermark([key])
+
+
+def latest_state(tracked: DataFrame) -> DataFrame:
+    """ST1: the newest tracker row per question (alerts excluded)."""
+    t = tracked.where(F.col("kind") != "stalled")
+    g = t.groupBy("question_id").agg(F.max_by(F.struct("episode", "tokens", "rate", "status", "retries"),
+                                              F.struct("us", "event_id")).alias("_s"))
+    return g.select("question_id", *[F.col(f"_s.{c}").alias(c) for c in
+                                     ("episode", "tokens", "rate", "status", "retries")])
