@@ -67,3 +67,34 @@ def test_versioned_results(spark):
     write_results(df2, base)
     back = sorted((r.question_id, r.category, r.pred) for r in read_results(spark, base).collect())
     assert back == [(1, "law", "B"), (2, "math", "C")]
+
+
+def test_summary_history_and_report_sinks(spark):
+    from quizlens.operators.report import report_lines, summary_json
+    from quizlens.sources.results import append_history, write_report, write_summary
+    d = tempfile.mkdtemp(prefix="quizlens-sinks-")
+    summ = spark.createDataFrame(
+        [("m", "law", 3, 1, 2, 1 / 3), ("m", "math", 4, 2, 2, 0.5), ("m", "total", 7, 3, 4, 3 / 7)],
+        "model string, category string, n long, corr long, wrong long, acc double")
+    write_summary(summary_json(summ), f"{d}/summary")
+    line = spark.read.text(f"{d}/summary").first()[0]
+    model, js = line.split("\t")
+    parsed = json.loads(js)
+    assert model == "m" and list(parsed) == ["law", "math", "total"]
+    assert parsed["total"] == {"corr": 3, "wrong": 4, "acc": 3 / 7}
+    write_report(report_lines(summ), f"{d}/report")
+    lines = [r[0] for r in spark.read.text(f"{d}/report").collect()]
+    assert lines == ["Average accuracy 0.3333 - law", "Average accuracy 0.5000 - math",
+                     "Average accuracy: 0.4286"]
+    hist = spark.createDataFrame([("llama", "CoT", "all", "12-02_10-00", 0.5)],
+                                 "model string, mode string, subjects string, time string, acc double")
+    append_history(hist, f"{d}/history")
+    append_history(hist, f"{d}/history")
+    assert spark.read.csv(f"{d}/history").count() == 2
+
+
+def test_fixed_decimal_rounds_half_to_even(spark):
+    from quizlens.operators.report import fixed_decimal
+    df = spark.createDataFrame([(1, 8), (3, 8), (5, 16), (2, 3), (0, 5), (7, 7)], "n long, d long")
+    got = [r[0] for r in df.select(fixed_decimal("n", "d", 2)).collect()]
+    assert got == ["0.12", "0.38", "0.31", "0.67", "0.00", "1.00"]
