@@ -59,12 +59,14 @@ def exemplar_texts(exemplars: DataFrame, k: int, render: Column, order: str = "q
 
 
 def fewshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, style: str = "api",
-            strict: bool = False, max_categories: int = 100_000) -> DataFrame:
+            strict: bool = False, max_categories: int = 100_000,
+            template: Column | None = None) -> DataFrame:
     """T3 + J1: header + first k exemplars of the question's category +
     the target question.
 
     style ``api``: inline format (T1) and the API header; ``local``: block
-    format (T2) and the template header. A category without exemplars gets
+    format (T2) and the template header (``template``: e.g.
+    ``sources.results.header_template(spark, path)``). A category without exemplars gets
     a zero-shot prompt (local runner); ``strict`` raises instead (API
     runners fail with KeyError).
     """
@@ -75,7 +77,8 @@ def fewshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, style: str =
     else:
         render = format_block("question", "options", "cot_content", with_answer=True)
         target = format_block("question", "options", with_answer=False)
-        header = F.concat(F.replace(F.lit(LOCAL_HEADER_TEMPLATE), F.lit("{$}"), F.col("category")), F.lit("\n"))
+        tpl = template if template is not None else F.lit(LOCAL_HEADER_TEMPLATE)
+        header = F.concat(F.replace(tpl, F.lit("{$}"), F.col("category")), F.lit("\n"))
     pre = exemplar_texts(exemplars, k, render)
     pre = broadcast_if_small(pre, max_categories)
     j = questions.join(pre, "category", "left")

@@ -195,3 +195,23 @@ def stream_question_state(spark, sf):
     run_in_slices(spark, fx.telemetry(spark, sf), _tele_conds(),
                   lambda read: TR.track_questions(read(), window_s=8 * HOUR, stall_s=25 * HOUR, delay="30 hours"), out)
     return TR.latest_state(spark.read.parquet(out))
+
+
+SLIDE_US = HOUR * 1_000_000
+SIZE_SLIDES = 8
+
+
+@register("stream_throughput", with_views(f"""
+with t as (select question_id, epoch_us(ts) as us, delta from tele),
+w as (select question_id, delta, (us // {SLIDE_US} - k) * {SLIDE_US} as start_us
+      from t, range(0, {SIZE_SLIDES}) r(k))
+select question_id, start_us, cast(sum(delta) as bigint) as tokens, count(*) as events
+from w group by question_id, start_us""", "tele"))
+def stream_throughput(spark, sf):
+    """ST9: tokens per question in sliding 8 h windows moving by 1 h
+    (8 s / 1 s in the live view) over the telemetry stream."""
+    out = fresh_dir(spark, "throughput-out")
+    run_in_slices(spark, fx.telemetry(spark, sf), _tele_conds(),
+                  lambda read: TR.throughput_windows(read(), size="8 hours", slide="1 hour", delay="30 hours"),
+                  out, mode="complete")
+    return spark.read.parquet(out)

@@ -133,3 +133,13 @@ def append_history(rows: DataFrame, path: str) -> None:
 def write_report(lines: DataFrame, path: str, by: str = "model") -> None:
     """The text report in line order (a few lines per model)."""
     lines.orderBy(by, "line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def header_template(spark: SparkSession, path: str | None = None):
+    """The prompt header template as a Column - the file read whole
+    (one row) and used as a scalar subquery, so no join is needed; without a
+    path, the built-in template."""
+    from ..operators.prompts import LOCAL_HEADER_TEMPLATE
+    if path is None:
+        return F.lit(LOCAL_HEADER_TEMPLATE)
+    return spark.read.text(path, wholetext=True).select("value").scalar()

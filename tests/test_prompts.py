@@ -72,3 +72,21 @@ def test_style_grid_worked_example(spark):
     header3 = "The following are multiple choice questions (with answers) about physics."
     for f, body in BODY.items():
         assert rows[2 * 6 + f] == header3 + "\n\n" + body.format(*OPTS, q=Q)
+
+
+def test_header_template_from_file_equals_builtin(spark):
+    import tempfile
+    from conftest import SF_SMALL
+    from quizlens.operators.clean import clean_options
+    from quizlens.operators.prompts import LOCAL_HEADER_TEMPLATE, fewshot
+    from quizlens.sources import fixtures as fx
+    from quizlens.sources.results import header_template
+    d = tempfile.mkdtemp(prefix="quizlens-tpl-")
+    with open(f"{d}/initial_prompt.txt", "w") as f:
+        f.write(LOCAL_HEADER_TEMPLATE)
+    q = clean_options(fx.questions(spark, SF_SMALL))
+    test, ex = q.where(F.col("split") == "test"), q.where(F.col("split") == "validation")
+    a = {r.question_id: r.prompt for r in fewshot(test, ex, 5, "local").collect()}
+    b = {r.question_id: r.prompt for r in
+         fewshot(test, ex, 5, "local", template=header_template(spark, f"{d}/initial_prompt.txt")).collect()}
+    assert a == b and all(p.startswith("The following are multiple choice questions") for p in a.values())
