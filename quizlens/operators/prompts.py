@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (DEFAULT_COT, LETTERS, MAX_TOKENS_TEXT, _c, format_block,
                               format_inline, letter_at, word_count)
-from ..plans.sizing import broadcast_if_small
+from .sizing import broadcast_if_small
 
 # The API runners' prompt header and the batch runner's header
 # template (``{$}`` is the category; one more newline is added after it).
