@@ -53,7 +53,7 @@ def stream_rolling_rate(spark, sf):
     out = fresh_dir(spark, "tracker-out")
     run_in_slices(spark, fx.telemetry(spark, sf), _tele_conds(),
                   lambda read: TR.track_questions(read(), window_s=8 * HOUR, stall_s=25 * HOUR, delay="30 hours"), out)
-    r = spark.read.parquet(out).where(F.col("kind") != "stalled")
+    r = spark.read.parquet(out).where(~F.col("kind").isin("stalled", "late"))
     return r.select(F.col("event_id").cast("bigint"), "question_id", "kind", "episode", "tokens", "rate")
 
 

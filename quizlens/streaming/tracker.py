@@ -8,8 +8,9 @@ reference's rules (see ``operators.telemetry``), so the sample rows equal
 the batch twin ``rolling_rate``. Stalls are reported twice over: a gap
 longer than the threshold between two samples of one batch, and an
 event-time timeout when no sample arrives before the watermark passes
-``last sample + threshold``. State is keyed and bounded by the samples of
-one rate window.
+``last sample + threshold``. Rows older than the watermark are reported as
+``late`` and not applied. State is keyed and bounded by the samples of one
+rate window.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def _tracker(window_s: float, min_dt_s: float, stall_s: float):
                 out.append((None, qid, "stalled", ep, cum, rate, last_us + stall_us, status, retries))
         else:
             rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["us", "event_id"])
+            wm_us = state.getCurrentWatermarkMs() * 1000
+            for ev, us in zip(rows.loc[rows["us"] < wm_us, "event_id"], rows.loc[rows["us"] < wm_us, "us"]):
+                # older than the watermark: reported, not applied (state already moved past it)
+                out.append((int(ev), qid, "late", ep, cum, rate, int(us), status, retries))
+            rows = rows[rows["us"] >= wm_us]
             for ev, kind, delta, us in zip(rows["event_id"], rows["kind"], rows["delta"], rows["us"]):
                 ev, us, delta = int(ev), int(us), int(delta)
                 if kind == "reset":
@@ -99,7 +105,7 @@ def with_event_time(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 def track_questions(stream: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S,
                     stall_s: float = STALL_S, delay: str = "1 hour") -> DataFrame:
     """ST1-ST5: one output row per telemetry row (rate, tokens, episode,
-    status, retries) plus ``stalled`` alert rows."""
+    status, retries) plus ``stalled`` alert rows and ``late`` rows."""
     s = with_event_time(stream, delay).select("event_id", "question_id", "kind", "delta", "us", "et")
     return s.groupBy("question_id").applyInPandasWithState(
         _tracker(window_s, min_dt_s, stall_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
@@ -132,7 +138,7 @@ def dedup_late(stream: DataFrame, key: str = "event_id", delay: str = "1 hour")
 
 def latest_state(tracked: DataFrame) -> DataFrame:
     """ST1: the newest tracker row per question (alerts excluded)."""
-    t = tracked.where(F.col("kind") != "stalled")
+    t = tracked.where(~F.col("kind").isin("stalled", "late"))
     g = t.groupBy("question_id").agg(F.max_by(F.struct("episode", "tokens", "rate", "status", "retries"),
                                               F.struct("us", "event_id")).alias("_s"))
     return g.select("question_id", *[F.col(f"_s.{c}").alias(c) for c in

@@ -41,9 +41,29 @@ def test_tracker_equals_batch_and_alerts(spark):
         st = spark.readStream.schema(df.schema).parquet(f"{src}/*")
         run_available(TR.track_questions(st, window_s=8, stall_s=25, delay="1 second"), out, checkpoint=ck)
     got = spark.read.parquet(out)
-    samples = {(r.event_id, r.tokens, round(r.rate, 9)) for r in got.where("kind <> 'stalled'").collect()}
+    samples = {(r.event_id, r.tokens, round(r.rate, 9)) for r in got.where("kind not in ('stalled', 'late')").collect()}
     batch = {(r.event_id, r.tokens, round(r.rate, 9)) for r in rolling_rate(df, 8).collect()}
     assert samples == batch
+    assert got.where("kind = 'late'").count() == 0
     alerts = {(r.question_id) for r in got.where("kind = 'stalled'").collect()}
     assert 2 in alerts            # question 2 went silent after t=2 s
     assert 1 in alerts            # gap 5 s -> 31 s inside question 1's first episode
+
+
+def test_late_and_duplicate_rows(spark):
+    """Deduplication drops a repeated delivery inside the watermark delay
+    and a row older than the watermark."""
+    base = tempfile.mkdtemp(prefix="quizlens-late-")
+    t0 = dt.datetime(2024, 1, 1)
+    s = lambda x: t0 + dt.timedelta(seconds=x)
+    first = [(1, 1, s(0), "update", 1), (2, 1, s(10), "update", 1), (3, 2, s(100), "update", 1)]
+    second = [(2, 1, s(10), "update", 1),          # duplicate of event 2 (within the delay)
+              (4, 1, s(5), "update", 1),           # late: watermark is 100 s - 30 s = 70 s
+              (5, 2, s(110), "update", 1)]
+    src, ck, out = f"{base}/src", f"{base}/ck", f"{base}/dedup"
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{src}/s{i}")
+        st = spark.readStream.schema(SCHEMA).parquet(f"{src}/*")
+        run_available(TR.dedup_late(st, "event_id", delay="30 seconds").select("event_id"), out, checkpoint=ck)
+    ids = sorted(r[0] for r in spark.read.parquet(out).collect())
+    assert ids == [1, 2, 3, 5]
