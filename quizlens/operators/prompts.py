@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import (DEFAULT_COT, LETTERS, MAX_TOKENS_TEXT, _c, format_block,
+from ..functions.text import (LETTERS, MAX_TOKENS_TEXT, _c, format_block,
                               format_inline, letter_at, word_count)
 from .sizing import broadcast_if_small
 
@@ -248,4 +248,4 @@ def assemble(chunks: DataFrame, prompt_tokens=0, max_tokens: int = 32768,
                     F.when(status == "ok", F.col("usage")).alias("final_tokens"))
 
 
-__all__ = ["fewshot", "fit_kshot", "style_grid", "assemble", "chunk_deltas", "exemplar_texts", "DEFAULT_COT"]
+__all__ = ["fewshot", "fit_kshot", "style_grid", "assemble", "chunk_deltas", "exemplar_texts"]

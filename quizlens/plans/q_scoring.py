@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.extract import Step, extract, register_extractor
+from ..functions.extract import extract, register_extractor
 from ..operators import score as S
 from ..operators.resume import dedup_first
 from ..sources import fixtures as fx

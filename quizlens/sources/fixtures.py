@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LETTERS, letter_at
+from ..functions.text import letter_at
 from .tables import read_table
 
 # Option words of the derived questions, in option order.
@@ -145,4 +145,4 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.length("text").cast("bigint")).alias("usage_total_tokens"))
 
 
-__all__ = ["questions", "responses", "saved_results", "result_rows", "telemetry", "chunks", "LETTERS"]
+__all__ = ["questions", "responses", "saved_results", "result_rows", "telemetry", "chunks"]

@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB oracle on the smallest data
 (the driver runs the same comparison at sf0.01)."""
 
-import math
 import os
 import sys
 
