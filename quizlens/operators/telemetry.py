@@ -162,3 +162,22 @@ def question_state(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: f
     return g.select("question_id", F.col("_last.episode").alias("episode"), F.col("_last.tokens").alias("tokens"),
                     F.col("_last.rate").alias("rate"), F.coalesce("_status", F.lit("pending")).alias("status"),
                     F.greatest(F.col("_resets") - 1, F.lit(0)).cast("bigint").alias("retries"))
+
+
+def live_totals(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S) -> DataFrame:
+    """A12 / A11 (live header): questions by status, total tokens, the summed
+    rate of the active questions and the elapsed time of the run. One
+    aggregate over ``question_state`` rows (one per question)."""
+    st = question_state(tele, window_s, min_dt_s)
+    active = F.col("status") == "active"
+    totals = st.agg(
+        F.count(F.lit(1)).alias("questions"),
+        F.count_if(active).alias("active"),
+        F.count_if(F.col("status") == "success").alias("success"),
+        F.count_if(F.col("status") == "wrong").alias("wrong"),
+        F.sum("tokens").cast("bigint").alias("tokens_total"),
+        F.round(F.coalesce(F.sum(F.when(active, F.col("rate"))), F.lit(0.0)), 6).alias("rate_total"))
+    span = tele.select(((F.max(epoch_us("ts")) - F.min(epoch_us("ts"))).cast("double") / float(US)))
+    return totals.withColumn("elapsed_s", span.scalar()).withColumn(
+        "accuracy", F.coalesce(F.try_divide(F.col("success") * 100.0, F.col("success") + F.col("wrong")),
+                               F.lit(0.0)))

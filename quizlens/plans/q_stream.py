@@ -215,3 +215,21 @@ def stream_throughput(spark, sf):
                   lambda read: TR.throughput_windows(read(), size="8 hours", slide="1 hour", delay="30 hours"),
                   out, mode="complete")
     return spark.read.parquet(out)
+
+
+@register("live_totals", with_views(f"""
+with qs as ({QUESTION_STATE_SQL}),
+sp as (select (max(epoch_us(ts)) - min(epoch_us(ts)))::DOUBLE / 1000000.0 as elapsed_s from tele)
+select count(*) as questions, count(*) filter (where status = 'active') as active,
+  count(*) filter (where status = 'success') as success, count(*) filter (where status = 'wrong') as wrong,
+  cast(sum(tokens) as bigint) as tokens_total,
+  round(coalesce(sum(rate) filter (where status = 'active'), 0.0), 6) as rate_total,
+  any_value(sp.elapsed_s) as elapsed_s,
+  coalesce((count(*) filter (where status = 'success')) * 100.0::DOUBLE
+           / nullif(count(*) filter (where status in ('success', 'wrong')), 0), 0.0) as accuracy
+from qs, sp""", "tele"))
+def live_totals(spark, sf):
+    """The live header - counts by status, token and rate totals,
+    elapsed time, live accuracy."""
+    from ..operators.telemetry import live_totals as lt
+    return lt(fx.telemetry(spark, sf), window_s=8 * HOUR)
