@@ -27,68 +27,84 @@ from ..operators.telemetry import MIN_DT_S, RATE_WINDOW_S, STALL_S, US, epoch_us
 OUTPUT_SCHEMA = ("event_id long, question_id long, kind string, episode long, tokens long, "
                  "rate double, us long, status string, retries long")
 STATE_SCHEMA = ("episode long, cum long, rate double, hist_us array<long>, hist_cum array<long>, "
-                "last_us long, stalled boolean, status string, retries long")
+                "last_us long, stalled boolean, status string, retries long, "
+                "buf_ev array<long>, buf_kind array<string>, buf_delta array<long>, buf_us array<long>")
+_COLS = ["event_id", "question_id", "kind", "episode", "tokens", "rate", "us", "status", "retries"]
 
 
-def _tracker(window_s: float, min_dt_s: float, stall_s: float):
+def _tracker(window_s: float, min_dt_s: float, stall_s: float, reorder: bool):
     win_us, stall_us = int(window_s * US), int(stall_s * US)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         qid = int(key[0])
         if state.exists:
-            ep, cum, rate, hus, hcum, last_us, stalled, status, retries = state.get
+            (ep, cum, rate, hus, hcum, last_us, stalled, status, retries,
+             b_ev, b_kind, b_delta, b_us) = state.get
             hus, hcum = list(hus or []), list(hcum or [])
+            buf = list(zip(b_ev or [], b_kind or [], b_delta or [], b_us or []))
         else:
             ep, cum, rate, hus, hcum, last_us, stalled, status, retries = 0, 0, 0.0, [], [], None, False, "pending", 0
+            buf = []
         out = []
-        if state.hasTimedOut:
-            if hus and not stalled:
-                stalled = True
-                out.append((None, qid, "stalled", ep, cum, rate, last_us + stall_us, status, retries))
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        incoming = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(pdfs), ignore_index=True)
+            incoming = [(int(e), k, int(d), int(u)) for e, k, d, u in
+                        zip(rows["event_id"], rows["kind"], rows["delta"], rows["us"])]
+        # rows older than the watermark arrived too late: reported, not applied
+        for e, _k, _d, u in incoming:
+            if u < wm_us:
+                out.append((e, qid, "late", ep, cum, rate, u, status, retries))
+        fresh = [r for r in incoming if r[3] >= wm_us]
+        if reorder:
+            # hold rows until the watermark has passed them: nothing older can
+            # still arrive on time, so they are applied in event-time order
+            pool = buf + fresh
+            ready = [r for r in pool if r[3] < wm_us]
+            buf = [r for r in pool if r[3] >= wm_us]
         else:
-            rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["us", "event_id"])
-            wm_us = state.getCurrentWatermarkMs() * 1000
-            for ev, us in zip(rows.loc[rows["us"] < wm_us, "event_id"], rows.loc[rows["us"] < wm_us, "us"]):
-                # older than the watermark: reported, not applied (state already moved past it)
-                out.append((int(ev), qid, "late", ep, cum, rate, int(us), status, retries))
-            rows = rows[rows["us"] >= wm_us]
-            for ev, kind, delta, us in zip(rows["event_id"], rows["kind"], rows["delta"], rows["us"]):
-                ev, us, delta = int(ev), int(us), int(delta)
-                if kind == "reset":
-                    if ep > 0:
-                        retries += 1          # a restart: every reset after the first
-                    ep, cum, rate, hus, hcum, stalled, status = ep + 1, 0, 0.0, [], [], False, "active"
-                    out.append((ev, qid, kind, ep, 0, 0.0, us, status, retries))
-                    continue
-                if hus and not stalled and us - hus[-1] > stall_us:
-                    out.append((None, qid, "stalled", ep, cum, rate, hus[-1] + stall_us, status, retries))
-                cum += delta
-                hus.append(us)
-                hcum.append(cum)
-                while hus and hus[0] < us - win_us:       # evict samples older than the window
-                    hus.pop(0)
-                    hcum.pop(0)
-                if len(hus) >= 2:
-                    dt = (hus[-1] - hus[0]) / float(US)
-                    d = hcum[-1] - hcum[0]
-                    if dt > min_dt_s and d > 0:
-                        rate = d / dt
-                stalled = False
-                last_us = us
-                if kind in ("success", "wrong"):
-                    status = kind
-                out.append((ev, qid, kind, ep, cum, rate, us, status, retries))
+            ready, buf = buf + fresh, []
+        for ev, kind, delta, us in sorted(ready, key=lambda r: (r[3], r[0])):
+            if kind == "reset":
+                if ep > 0:
+                    retries += 1          # a restart: every reset after the first
+                ep, cum, rate, hus, hcum, stalled, status = ep + 1, 0, 0.0, [], [], False, "active"
+                out.append((ev, qid, kind, ep, 0, 0.0, us, status, retries))
+                continue
+            if hus and not stalled and us - hus[-1] > stall_us:
+                out.append((None, qid, "stalled", ep, cum, rate, hus[-1] + stall_us, status, retries))
+            cum += delta
+            hus.append(us)
+            hcum.append(cum)
+            while hus and hus[0] < us - win_us:       # evict samples older than the window
+                hus.pop(0)
+                hcum.pop(0)
+            if len(hus) >= 2:
+                dt = (hus[-1] - hus[0]) / float(US)
+                d = hcum[-1] - hcum[0]
+                if dt > min_dt_s and d > 0:
+                    rate = d / dt
+            stalled = False
+            last_us = us
+            if kind in ("success", "wrong"):
+                status = kind
+            out.append((ev, qid, kind, ep, cum, rate, us, status, retries))
+        deadlines = []
         if hus and not stalled and last_us is not None:
-            deadline_ms = int((last_us + stall_us) // 1000)
-            if deadline_ms <= state.getCurrentWatermarkMs():
+            if (last_us + stall_us) // 1000 <= state.getCurrentWatermarkMs():
                 # the watermark already passed the deadline: no on-time sample can come
                 stalled = True
                 out.append((None, qid, "stalled", ep, cum, rate, last_us + stall_us, status, retries))
             else:
-                state.setTimeoutTimestamp(deadline_ms)
-        state.update((ep, cum, rate, hus, hcum, last_us, stalled, status, retries))
-        cols = ["event_id", "question_id", "kind", "episode", "tokens", "rate", "us", "status", "retries"]
-        yield pd.DataFrame(out, columns=cols).astype(
+                deadlines.append((last_us + stall_us) // 1000)
+        if buf:
+            deadlines.append(min(r[3] for r in buf) // 1000 + 1)
+        state.update((ep, cum, rate, hus, hcum, last_us, stalled, status, retries,
+                      [r[0] for r in buf], [r[1] for r in buf], [r[2] for r in buf], [r[3] for r in buf]))
+        if deadlines:
+            state.setTimeoutTimestamp(int(max(min(deadlines), state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame(out, columns=_COLS).astype(
             {"question_id": "int64", "episode": "int64", "tokens": "int64", "us": "int64", "retries": "int64",
              "event_id": "Int64"})
 
@@ -103,12 +119,18 @@ def with_event_time(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def track_questions(stream: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S,
-                    stall_s: float = STALL_S, delay: str = "1 hour") -> DataFrame:
+                    stall_s: float = STALL_S, delay: str = "1 hour", reorder: bool = False) -> DataFrame:
     """ST1-ST5: one output row per telemetry row (rate, tokens, episode,
-    status, retries) plus ``stalled`` alert rows and ``late`` rows."""
+    status, retries) plus ``stalled`` alert rows and ``late`` rows.
+
+    ``reorder``: rows wait in state until the watermark passes them and are
+    then applied in event-time order, so rows arriving out of order within
+    the watermark delay give the same result as sorted input (output is
+    delayed by the watermark delay). Off: rows are applied as they arrive,
+    sorted within each micro-batch."""
     s = with_event_time(stream, delay).select("event_id", "question_id", "kind", "delta", "us", "et")
     return s.groupBy("question_id").applyInPandasWithState(
-        _tracker(window_s, min_dt_s, stall_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        _tracker(window_s, min_dt_s, stall_s, reorder), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

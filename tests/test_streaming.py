@@ -67,3 +67,28 @@ def test_late_and_duplicate_rows(spark):
         run_available(TR.dedup_late(st, "event_id", delay="30 seconds").select("event_id"), out, checkpoint=ck)
     ids = sorted(r[0] for r in spark.read.parquet(out).collect())
     assert ids == [1, 2, 3, 5]
+
+
+def test_tracker_reorders_within_the_watermark(spark):
+    """Rows of one question arriving out of order (within the delay) give
+    the batch result once the watermark has passed them."""
+    base = tempfile.mkdtemp(prefix="quizlens-reorder-")
+    rows = _rows()
+    df = spark.createDataFrame(rows, SCHEMA)
+    # arrival: later samples first, earlier ones in the next slice, then a
+    # sentinel far ahead that moves the watermark past everything
+    arrivals = [[r for r in rows if r[0] in (1, 3, 6)], [r for r in rows if r[0] in (2, 4, 7, 5)],
+                [r for r in rows if r[0] in (8, 10, 9, 11)],
+                [(99, 99, dt.datetime(2024, 1, 2), "update", 1)]]
+    src, out, ck = f"{base}/src", f"{base}/out", f"{base}/ck"
+    for i, part in enumerate(arrivals):
+        spark.createDataFrame(part, SCHEMA).write.parquet(f"{src}/s{i}")
+        st = spark.readStream.schema(SCHEMA).parquet(f"{src}/*")
+        run_available(TR.track_questions(st, window_s=8, stall_s=25, delay="60 seconds", reorder=True),
+                      out, checkpoint=ck)
+    got = spark.read.parquet(out)
+    samples = {(r.event_id, r.tokens, round(r.rate, 9)) for r in
+               got.where("kind not in ('stalled', 'late') and question_id <> 99").collect()}
+    batch = {(r.event_id, r.tokens, round(r.rate, 9)) for r in rolling_rate(df, 8).collect()}
+    assert samples == batch
+    assert got.where("kind = 'late'").count() == 0
