@@ -45,11 +45,6 @@ def _clustered(df: DataFrame, keys: list[str], order: str, block_size: int) -> D
     return with_block(df, order, block_size).repartition(*keys, "_blk").checkpoint(eager=True)
 
 
-def _offsets(summary: DataFrame, keys: list[str], cols) -> DataFrame:
-    """Window over the per-block summary rows (one row per key and block)."""
-    return summary.select(*keys, "_blk", *cols)
-
-
 def running_sum(df: DataFrame, keys, order: str, value: Column, out: str,
                 tiebreak: tuple[str, ...] = (), block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the key up to and including
@@ -64,8 +59,8 @@ def running_sum(df: DataFrame, keys, order: str, value: Column, out: str,
             .withColumn("_bt", F.sum("_v").over(wall)).withColumn("_bn", F.count("_v").over(wall)))
     tot = inb.groupBy(*keys, "_blk").agg(F.first("_bt").alias("_bt"), F.first("_bn").alias("_bn"))
     wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = _offsets(tot, keys, [F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
-                               F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_offn")])
+    off = tot.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
+                     F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_offn"))
     seen = F.col("_offn") + F.col("_inn")
     val = F.col("_off") + F.coalesce(F.col("_in"), F.lit(0))
     return (inb.join(off, keys + ["_blk"])
@@ -87,7 +82,7 @@ def carry_forward(df: DataFrame, keys, order: str, value: Column, out: str,
             .withColumn("_bl", F.last("_v", ignorenulls=True).over(wall)))
     tot = inb.groupBy(*keys, "_blk").agg(F.first("_bl").alias("_bl"))
     wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prev = _offsets(tot, keys, [F.last("_bl", ignorenulls=True).over(wb).alias("_prev")])
+    prev = tot.select(*keys, "_blk", F.last("_bl", ignorenulls=True).over(wb).alias("_prev"))
     return (inb.join(prev, keys + ["_blk"])
                .withColumn(out, F.coalesce(F.col("_in"), F.col("_prev")))
                .drop("_v", "_blk", "_prev", "_in", "_bl"))
@@ -104,7 +99,7 @@ def next_value(df: DataFrame, keys, order: str, value: str, out: str,
     inb = x.withColumn("_ln", F.lead(value).over(w)).withColumn("_bf", F.first(value).over(wall))
     tot = inb.groupBy(*keys, "_blk").agg(F.first("_bf").alias("_bf"))
     wb = Window.partitionBy(*keys).orderBy("_blk")
-    nxt = _offsets(tot, keys, [F.lead("_bf").over(wb).alias("_nb")])
+    nxt = tot.select(*keys, "_blk", F.lead("_bf").over(wb).alias("_nb"))
     return (inb.join(nxt, keys + ["_blk"])
                .withColumn(out, F.coalesce(F.col("_ln"), F.col("_nb")))
                .drop("_blk", "_nb", "_ln", "_bf"))
