@@ -90,8 +90,10 @@ def leaderboard_by_category(responses: DataFrame, questions: DataFrame,
                             policy: str = "wrong") -> DataFrame:
     """Flagship: responses x questions -> L2 extraction -> policy -> per
     (model, category) counts, L1/L2 comparison columns, and each model's
-    rank within its category."""
-    df = attach_gold(responses, questions)
+    rank within its category. Responses that already carry the gold columns
+    are not joined again."""
+    carried = set(GOLD_COLUMNS) <= set(responses.columns)
+    df = responses if carried else attach_gold(responses, questions)
     df = df.select("model", "category", "answer", "answer_index", "options",
                    "question_id", extract("model_outputs", "l1").alias("pred_l1"),
                    extract("model_outputs", "l2").alias("pred"))

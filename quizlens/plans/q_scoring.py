@@ -50,7 +50,7 @@ select model, category, n, corr, l1_corr, l1_null, l2_null, n - corr as wrong,
 from g""", "q", "resp"))
 def leaderboard_by_category(spark, sf):
     q = fx.questions(spark, sf)
-    return S.leaderboard_by_category(fx.responses(spark, sf, q), q)
+    return S.leaderboard_by_category(fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS), q)
 
 
 # ---------------------------------------------------------------- extraction

@@ -52,18 +52,21 @@ _RESP_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity",
                "l_extendedprice", "l_suppkey", "l_linestatus"]
 
 
-def responses(spark: SparkSession, sf_dir: str, q: DataFrame | None = None) -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str, q: DataFrame | None = None, gold=()) -> DataFrame:
     """``resp``: one response per lineitem; 5 models x 24 styles, attempts
     numbered per (model, style, question) and per (model, question).
 
     Both windows partition by keys that contain ``question_id``; the
     (model, question_id) window is computed first, so its hash partitioning
     also satisfies the (model, style_id, question_id) window: one shuffle.
+    ``gold``: question columns to carry along (saves a second join with the
+    questions when the caller scores the responses).
     """
+    gold = [c for c in gold if c != "answer"]
     q = q if q is not None else questions(spark, sf_dir)
     li = read_table(spark, sf_dir, "lineitem", *_RESP_ORDER, "l_partkey")
     qty = F.col("l_quantity").cast("int")
-    b = (li.join(q.select("question_id", "answer"), F.col("l_partkey") == F.col("question_id"))
+    b = (li.join(q.select("question_id", "answer", *gold), F.col("l_partkey") == F.col("question_id"))
          .select(
              F.concat(F.lit("model_"), (F.col("l_suppkey") % 5).cast("string")).alias("model"),
              (F.col("l_suppkey") % 24).alias("style_id"),
@@ -73,7 +76,8 @@ def responses(spark: SparkSession, sf_dir: str, q: DataFrame | None = None) -> D
              F.floor("l_extendedprice").cast("bigint").alias("tokens"),
              F.when(F.col("l_linenumber") <= 4, F.col("answer"))
               .otherwise(letter_at(((qty + F.col("l_linenumber")) % 10).cast("int"))).alias("letter"),
-             *_RESP_ORDER))
+             *_RESP_ORDER, *gold,
+             F.col("answer").alias("_gold_answer")))
     order = [F.col(c) for c in _RESP_ORDER]
     w_mq = Window.partitionBy("model", "question_id").orderBy(*order)
     w_st = Window.partitionBy("model", "style_id", "question_id").orderBy(*order)
@@ -88,7 +92,8 @@ def responses(spark: SparkSession, sf_dir: str, q: DataFrame | None = None) -> D
     return (b.withColumn("attempt_mq", F.row_number().over(w_mq).cast("bigint"))
              .withColumn("attempt", F.row_number().over(w_st).cast("bigint"))
              .select("model", "style_id", "mode", "question_id", "attempt", "attempt_mq",
-                     text.alias("model_outputs"), "tokens"))
+                     text.alias("model_outputs"), "tokens",
+                     *([F.col("_gold_answer").alias("answer"), *gold] if gold else [])))
 
 
 def saved_results(spark: SparkSession, sf_dir: str, q: DataFrame | None = None,
