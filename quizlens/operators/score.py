@@ -21,7 +21,10 @@ GOLD_COLUMNS = ("category", "answer", "answer_index", "options")
 def attach_gold(responses: DataFrame, questions: DataFrame,
                 columns=GOLD_COLUMNS) -> DataFrame:
     """Responses x questions on ``question_id`` (inner). The planner
-    (AQE) picks broadcast or sort-merge from measured sizes."""
+    (AQE) picks broadcast or sort-merge from measured sizes. Responses that
+    already carry the columns are returned as they are."""
+    if set(columns) <= set(responses.columns):
+        return responses
     return responses.join(questions.select("question_id", *columns), "question_id")
 
 
@@ -92,8 +95,7 @@ def leaderboard_by_category(responses: DataFrame, questions: DataFrame,
     (model, category) counts, L1/L2 comparison columns, and each model's
     rank within its category. Responses that already carry the gold columns
     are not joined again."""
-    carried = set(GOLD_COLUMNS) <= set(responses.columns)
-    df = responses if carried else attach_gold(responses, questions)
+    df = attach_gold(responses, questions)
     df = df.select("model", "category", "answer", "answer_index", "options",
                    "question_id", extract("model_outputs", "l1").alias("pred_l1"),
                    extract("model_outputs", "l2").alias("pred"))

@@ -252,7 +252,7 @@ def shard_coverage(spark, sf):
 # ---------------------------------------------------------------- A9-A12, A4
 def _scored_resp(spark, sf):
     q = _q(spark, sf)
-    return S.score(S.with_prediction(S.attach_gold(fx.responses(spark, sf, q), q)), "wrong")
+    return S.score(S.with_prediction(S.attach_gold(fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS), q)), "wrong")
 
 
 RETRY_WRONG = 2

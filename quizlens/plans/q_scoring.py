@@ -27,7 +27,7 @@ def _scored_sql(policy="wrong", pred=None):
 
 def _scored(spark, sf, policy="wrong", cascade="l2"):
     q = fx.questions(spark, sf)
-    r = fx.responses(spark, sf, q)
+    r = fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS)
     return S.score(S.with_prediction(S.attach_gold(r, q), cascade), policy)
 
 

@@ -311,7 +311,7 @@ def category_menu(spark, sf):
 
 def _summary(spark, sf):
     q = fx.questions(spark, sf)
-    sc = S.score(S.with_prediction(S.attach_gold(fx.responses(spark, sf, q), q)), "wrong")
+    sc = S.score(S.with_prediction(S.attach_gold(fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS), q)), "wrong")
     return S.summary(sc, ("model", "category"), "wrong")
 
 
