@@ -109,3 +109,23 @@ def test_attempt_accounting_backoff(spark):
     assert got[2]["max_token_attempts"] == 0 and got[2]["aborted"] == 0
     r0 = S.attempt_accounting(df.where(F.col("question_id") == 1), retry=0).first()
     assert r0["aborted"] == 1 and r0["wait_seconds"] == 0
+
+
+def test_strict_subjects_and_exemplars(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from quizlens.operators.clean import select_subjects
+    from quizlens.operators.prompts import fewshot
+    qs = spark.createDataFrame([(1, "law", "q", ["a", "b"], "", "test"), (2, "math", "q2", ["a"], "", "test"),
+                                (3, "law", "e", ["a", "b"], "A: x", "validation")],
+                               "question_id long, category string, question string, options array<string>, "
+                               "cot_content string, split string")
+    with pytest.raises(KeyError):
+        select_subjects(qs, "law,chemistry")
+    assert select_subjects(qs, "la", match="substring").count() == 2
+    test, ex = qs.where("split = 'test'"), qs.where("split = 'validation'")
+    shots = {r.question_id: r.n_shots for r in fewshot(test, ex, 5, "local").collect()}
+    assert shots == {1: 1, 2: 0}          # zero-shot for a category without exemplars
+    with pytest.raises(Exception) as e:
+        fewshot(test, ex, 5, "api", strict=True).collect()
+    assert "no exemplars for category math" in str(e.value) or isinstance(e.value, PySparkException)
