@@ -181,3 +181,13 @@ def live_totals(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: floa
     return totals.withColumn("elapsed_s", span.scalar()).withColumn(
         "accuracy", F.coalesce(F.try_divide(F.col("success") * 100.0, F.col("success") + F.col("wrong")),
                                F.lit(0.0)))
+
+
+def throughput(tele: DataFrame, size_s: float = RATE_WINDOW_S, slide_s: float = 1.0) -> DataFrame:
+    """ST9 batch twin: tokens and events per question in sliding windows of
+    ``size_s`` moving by ``slide_s`` (aligned to the epoch), via
+    ``F.window`` on a time-zone free event time."""
+    t = tele.withColumn("_et", F.timestamp_micros(epoch_us("ts")))
+    g = t.groupBy("question_id", F.window("_et", f"{int(size_s)} seconds", f"{int(slide_s)} seconds").alias("w")) \
+         .agg(F.sum("delta").alias("tokens"), F.count(F.lit(1)).alias("events"))
+    return g.select("question_id", F.unix_micros(F.col("w.start")).alias("start_us"), "tokens", "events")

@@ -233,3 +233,10 @@ def live_totals(spark, sf):
     elapsed time, live accuracy."""
     from ..operators.telemetry import live_totals as lt
     return lt(fx.telemetry(spark, sf), window_s=8 * HOUR)
+
+
+@register("throughput_windows", ORACLE["stream_throughput"])
+def throughput_windows(spark, sf):
+    """ST9 batch twin: sliding 8 h / 1 h windows of tokens per question."""
+    from ..operators.telemetry import throughput
+    return throughput(fx.telemetry(spark, sf), size_s=8 * HOUR, slide_s=HOUR)
