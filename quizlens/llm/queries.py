@@ -1,4 +1,4 @@
 """All queries of this package; importing the operators registers them."""
 
-from . import exact_dedup, language_id, mix_sources, packing, quality_rules, substring_dedup, token_counts  # noqa: F401
+from . import exact_dedup, language_id, mix_sources, packing, quality_rules, substring_dedup, token_counts, url_filters  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
