@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from .common import read
 from .registry import register
 from .tokens import default_path, encoder
 
+PART = 512      #: rows that a worker holds results of
 LEAF = 512      #: a leaf ends at the first safe place after so many characters
 #: A space or line end after a word character is a token boundary whatever stands around it.
 _SAFE = re.compile(r"(?<=\w)[ \n]")
@@ -130,62 +132,67 @@ def count_trees(docs: DataFrame, text_col: str = "text", tokenizer: str | None =
 
     def run(batches):
         count = _counter(path)
-        for b in batches:
-            trees = [build(t.as_py() or "", count) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(
-                [{"chars": c.sum, "tokens": t.sum} for c, t in trees],
-                pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]))], ["row", "text", "tree"])
+        for whole in batches:
+            for b in (whole.slice(a, PART) for a in range(0, whole.num_rows, PART)):
+                trees = [build(t.as_py() or "", count) for t in b.column(1)]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(
+                    [{"chars": c.sum, "tokens": t.sum} for c, t in trees],
+                    pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]))], ["row", "text", "tree"])
 
     return d.mapInArrow(run, schema)
 
 
-def apply_edits(trees: DataFrame, tokenizer: str | None = None, text_out: bool = True) -> DataFrame:
+def apply_edits(trees: DataFrame, tokenizer: str | None = None, text_out: bool = True,
+                find: Callable[[str], list[tuple[int, int, str]]] | None = None) -> DataFrame:
     """``trees(row, text, tree, edits)`` -> ``row``, new ``text`` (null unless
-    ``text_out``), new ``tree``, ``edits_applied`` and ``chars_encoded``.
-
-    ``edits`` is an array of (start, end, replacement); null means none. Rows
-    keep their partitions; nothing is shuffled. Very long texts cost what their
-    edited regions cost. Repeated rows give equal results.
+    ``text_out``), new ``tree``, ``n_before``, ``edits_applied`` and
+    ``chars_encoded``.
+
+    ``edits`` is an array of (start, end, replacement); null means none. With
+    ``find`` the edits come from the text instead. Where ``trees`` has no
+    column ``tree``, each row's tree is built first, in the same pass: one
+    Python worker a task and one copy of the text, instead of one a step. Rows
+    keep their partitions; nothing is shuffled. Beyond building, very long
+    texts cost what their edited regions cost. Repeated rows give equal results.
     """
-    path = tokenizer or default_path()
-    schema = T.StructType([trees.schema["row"], T.StructField("text", T.StringType()), T.StructField("tree", TREE),
+    path, built = tokenizer or default_path(), "tree" in trees.columns
+    heaps = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+    schema = T.StructType([trees.schema["row"], T.StructField("text", T.StringType()), T.StructField("tree", TREE), T.StructField("n_before", T.LongType()),
                            T.StructField("edits_applied", T.IntegerType()), T.StructField("chars_encoded", T.IntegerType())])
 
+    def one(b, i, count):
+        text = b.column("text")[i].as_py() or ""
+        if built:
+            tree = b.column("tree")[i].as_py()
+            c, t = SegmentTree.of(tree["chars"]), SegmentTree.of(tree["tokens"])
+        else:
+            c, t = build(text, count)
+        own = find(text) if find else [(e["start"], e["end"], e["replacement"]) for e in b.column("edits")[i].as_py() or []]
+        n = t.sum[1]
+        new, done, again = edit(text, c, t, own, count)
+        return new if text_out else None, {"chars": c.sum, "tokens": t.sum}, n, done, again
+
     def run(batches):
         count = _counter(path)
-        for b in batches:
-            rows = []
-            for text, tree, edits in zip(*[b.column(n) for n in ("text", "tree", "edits")]):
-                text, tree = text.as_py() or "", tree.as_py()
-                c, t = SegmentTree.of(tree["chars"]), SegmentTree.of(tree["tokens"])
-                own = [(e["start"], e["end"], e["replacement"]) for e in edits.as_py() or []]
-                new, n, again = edit(text, c, t, own, count)
-                rows.append((new if text_out else None, {"chars": c.sum, "tokens": t.sum}, n, again))
-            cols = list(zip(*rows)) or [[]] * 4
-            kinds = [pa.string(), pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]), pa.int32(), pa.int32()]
-            yield pa.record_batch([b.column("row"), *map(pa.array, cols, kinds)], ["row", "text", "tree", "edits_applied", "chars_encoded"])
-
-    return trees.select("row", "text", "tree", "edits").mapInArrow(run, schema)
-
+        for whole in batches:
+            for b in (whole.slice(a, PART) for a in range(0, whole.num_rows, PART)):
+                cols = list(zip(*(one(b, i, count) for i in range(b.num_rows)))) or [[]] * 5
+                kinds = [pa.string(), heaps, pa.int64(), pa.int32(), pa.int32()]
+                yield pa.record_batch([b.column("row"), *map(pa.array, cols, kinds)], ["row", "text", "tree", "n_before", "edits_applied", "chars_encoded"])
 
-def secret_edits(text: str | None) -> list[dict]:
-    return [{"start": m.start(), "end": m.end(), "replacement": "[removed]"} for m in _SECRET.finditer(text or "")]
+    return trees.select("row", "text", *["tree"] * built, *["edits"] * (find is None)).mapInArrow(run, schema)
 
 
-def with_secret_edits(trees: DataFrame) -> DataFrame:
-    """Adds ``edits``: long numbers and hexadecimal keys become ``[removed]``."""
-    @F.pandas_udf(EDITS)
-    def find(text):
-        return text.map(secret_edits)
-    return trees.withColumn("edits", find(F.coalesce("text", F.lit(""))))
+def secret_edits(text: str | None) -> list[tuple[int, int, str]]:
+    """Long numbers and hexadecimal keys become ``[removed]``."""
+    return [(m.start(), m.end(), "[removed]") for m in _SECRET.finditer(text or "")]
 
 
 @register("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     """One row per document: tokens before and after secrets are replaced."""
-    trees = count_trees(read(spark, sf_dir, "documents"), carry=["doc_id"])
-    before = trees.withColumn("row", F.struct("row.doc_id", F.col("tree.tokens")[1].alias("n")))
-    return apply_edits(with_secret_edits(before), text_out=False).select(
-        "row.doc_id", F.col("row.n").cast("bigint").alias("n_tokens"), F.col("tree.tokens")[1].cast("bigint").alias("n_tokens_edited"),
+    docs = read(spark, sf_dir, "documents").select(F.struct("doc_id").alias("row"), "text")
+    return apply_edits(docs, text_out=False, find=secret_edits).select(
+        "row.doc_id", F.col("n_before").alias("n_tokens"), F.col("tree.tokens")[1].cast("bigint").alias("n_tokens_edited"),
         F.col("tree.chars")[1].cast("bigint").alias("n_chars_edited"), F.col("edits_applied").cast("bigint").alias("n_edits"),
         F.col("chars_encoded").cast("bigint").alias("chars_encoded_again"))

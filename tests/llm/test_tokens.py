@@ -135,8 +135,8 @@ def test_token_count_query(reference, spark):
     for r in rows:
         new, p = [], 0
         for e in secret_edits(texts[r.doc_id]):
-            new += [texts[r.doc_id][p:e["start"]], e["replacement"]]
-            p = e["end"]
+            new += [texts[r.doc_id][p:e[0]], e[2]]
+            p = e[1]
         new = "".join([*new, (texts[r.doc_id] or "")[p:]])
         assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited) == (len(reference(texts[r.doc_id] or "")), len(reference(new)), len(new))
 
@@ -147,3 +147,7 @@ def test_count_trees_edge_rows(spark):
     out = {(r.row.doc_id, len(r.text)): r for r in token_counts.apply_edits(trees).collect()}
     assert out[(1, 0)].tree["tokens"] == [0, 0][:len(out[(1, 0)].tree["tokens"])] and out[(2, 3)].tree["tokens"][1] == 2
     assert token_counts.count_trees(df.limit(0)).count() == 0
+    fused = token_counts.apply_edits(df.selectExpr("struct(doc_id) row", "text"), find=lambda t: [(0, 1, "yy")])
+    kept = token_counts.apply_edits(trees.withColumn("edits", token_counts.F.expr("array(struct(0 as start, 1 as end, 'yy' as replacement))").cast(token_counts.EDITS)))
+    plain = lambda df: sorted((tuple(r) for r in df.selectExpr("row.doc_id", "text", "tree", "n_before", "edits_applied", "chars_encoded").collect()), key=str)
+    assert plain(fused) == plain(kept)
