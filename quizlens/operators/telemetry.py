@@ -1,13 +1,11 @@
 """Telemetry over token-count samples (W3-W6, A11 live counts).
 
 Input: ``(event_id, question_id, ts, kind, delta)`` with kind ``reset`` |
-``update`` | ``success`` | ``wrong``. A ``reset`` (re)starts an episode:
-it clears the sample history and the rate. Every other row is a sample whose
-cumulative token count is the running sum of ``delta`` since the reset.
+``update`` | ``count`` | ``success`` | ``wrong`` (see ``tracked``).
 
-Order within a question is (ts, event_id). All per-question scans go
-through ``scan`` (blocked prefix scans) or time blocks with a halo, so a
-question holding a third of all samples is still split over many tasks.
+Order within a question is (ts, event_id). The scan runs in time blocks with
+a halo, so a question holding a third of all samples is still split over many
+tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import printable
-from . import scan
+from ..session import checkpoint_dir
 
 US = 1_000_000
 # The live view's rolling-rate window and stall threshold are
@@ -37,78 +35,116 @@ def epoch_us(ts) -> Column:
                             t.cast("timestamp_ntz"))
 
 
-def episodes(tele: DataFrame, block_size: int = 7 * 24 * 3600 * US) -> DataFrame:
-    """Add ``us`` and ``episode`` (number of resets so far)."""
-    t = tele.withColumn("us", epoch_us("ts"))
-    return scan.running_sum(t, "question_id", "us", (F.col("kind") == "reset").cast("bigint"),
-                            "episode", ("event_id",), block_size)
+BLOCK_WINDOWS = 16      # length of a time block, in rate windows
+ACTIVITY = ("update", "count")
+FINISHED = ("success", "wrong")
 
 
-def rolling_rate(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S,
-                 block_s: int = 7 * 24 * 3600) -> DataFrame:
-    """Per sample, tokens/s over the samples of the last ``window_s``
-    seconds of its episode; if fewer than two samples, no time span
-    (> ``min_dt_s``) or no growth, the previous rate is kept (0 after a
-    reset).
-
-    The RANGE frame runs per (question, episode, time block); every sample
-    also goes, as a halo copy, into the next block when it lies within
-    ``window_s`` of that block's start, so frames that cross a block edge
-    are complete. Counts are non-negative, so the first sample of a frame
-    has its minimum time and count.
+def tracked(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S,
+            block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Every telemetry row with its question's state after it: ``us``,
+    ``episode`` (resets so far), ``live``, ``tokens``, ``rate`` and
+    ``next_us`` (time of the question's next row).
+
+    A reset starts an episode; ``success`` / ``wrong`` end it, which removes
+    history, count and rate, so rows after it are not live until the next
+    reset. Live ``update`` rows add to the count and are samples of the rate;
+    live ``count`` rows add to the count without touching the rate. The rate
+    is tokens/s over the samples of the last ``window_s`` seconds of the
+    episode; with fewer than two, no time span (> ``min_dt_s``) or no growth
+    the previous rate is kept (0 after a reset). Counts do not decrease.
+
+    Time is cut into blocks of a few rate windows, so the rows of one block of
+    one question - not of one question - meet in a task. Each row goes once
+    to its block, and the last window's rows also to the next one. Everything
+    is computed inside a block relative to its start in one partitioning,
+    which is checkpointed; one summary row per block then gives each block
+    its start values, and one join adds them.
     """
-    win_us = int(window_s * US)
-    blk_us = max(int(block_s * US), win_us)
-    e = episodes(tele, blk_us)
-    s = e.where(F.col("kind") != "reset")
-    s = scan.running_sum(s, ["question_id", "episode"], "us", F.col("delta"), "tokens",
-                         ("event_id",), blk_us)
-    blk = F.floor(F.col("us") / blk_us).cast("bigint")
-    own = s.withColumn("_tb", blk).withColumn("_halo", F.lit(False))
-    halo = (s.where(F.col("us") >= (blk + 1) * blk_us - win_us)
-             .withColumn("_tb", blk + 1).withColumn("_halo", F.lit(True)))
-    both = own.unionByName(halo)
-    w = (Window.partitionBy("question_id", "episode", "_tb").orderBy("us")
-         .rangeBetween(-win_us, Window.currentRow))
-    f = (both.withColumn("_us0", F.min("us").over(w)).withColumn("_c0", F.min("tokens").over(w))
-             .where(~F.col("_halo")))
-    dt = (F.col("us") - F.col("_us0")).cast("double") / float(US)
-    d = F.col("tokens") - F.col("_c0")
-    raw = F.when((dt > min_dt_s) & (d > 0), d.cast("double") / dt)
-    f = f.withColumn("_raw", raw).drop("_us0", "_c0", "_tb", "_halo")
-    f = scan.carry_forward(f, ["question_id", "episode"], "us", F.col("_raw"), "rate",
-                           ("event_id",), blk_us)
-    samples = f.select("event_id", "question_id", "ts", "kind", "episode", "tokens",
-                       F.coalesce(F.col("rate"), F.lit(0.0)).alias("rate"))
-    resets = e.where(F.col("kind") == "reset").select(
-        "event_id", "question_id", "ts", "kind", "episode",
-        F.lit(0).cast("bigint").alias("tokens"), F.lit(0.0).alias("rate"))
-    return samples.unionByName(resets)
+    checkpoint_dir(tele.sparkSession)
+    win = int(window_s * US)
+    size = win * block_windows
+    blk = F.floor(F.col("us") / size).cast("bigint")
+    t = tele.select("event_id", "question_id", "ts", "kind", "delta", epoch_us("ts").alias("us"))
+    own, halo = F.struct(blk.alias("blk"), F.lit(False).alias("halo")), F.struct((blk + 1).alias("blk"), F.lit(True).alias("halo"))
+    t = t.select("*", F.inline(F.when(F.col("us") >= (blk + 1) * size - win, F.array(own, halo)).otherwise(F.array(own))))
+
+    reset, sample = F.col("kind") == "reset", F.col("kind") == "update"
+    steps = {"e": reset.cast("bigint"), "c": F.when(F.col("kind").isin(*ACTIVITY), F.col("delta")).otherwise(0),
+             "f": F.col("kind").isin(*FINISHED).cast("bigint")}
+    whole = Window.partitionBy("question_id", "blk")
+    upto = whole.orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, v in steps.items():   # counted from the block's start: rows of the block before add up to 0
+        t = t.withColumn(name, F.sum(v).over(upto) - F.coalesce(F.sum(F.when(F.col("halo"), v)).over(whole), F.lit(0)))
+    t = t.withColumn("base", F.last(F.when(reset, F.struct("c", "f")), ignorenulls=True).over(upto))
+    t = t.withColumn("next_us", F.lead("us").over(whole.orderBy("us", "event_id")))
+    of_episode = Window.partitionBy("question_id", "blk", "e")
+    frame = of_episode.orderBy("us").rangeBetween(-win, Window.currentRow)
+    span = (F.col("us") - F.min(F.when(sample, F.col("us"))).over(frame)).cast("double") / float(US)
+    grown = F.col("c") - F.min(F.when(sample, F.col("c"))).over(frame)
+    t = t.withColumn("raw", F.when(sample & ~F.col("halo") & (span > min_dt_s) & (grown > 0), grown.cast("double") / span))
+    t = t.withColumn("last_raw", F.last("raw", ignorenulls=True).over(
+        of_episode.orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    t = t.where(~F.col("halo")).drop("halo", "raw").checkpoint(eager=True)
+
+    at = F.struct("us", "event_id")
+    blocks = t.groupBy("question_id", "blk").agg(
+        *[F.max_by(n, at).alias(f"sum_{n}") for n in steps], F.max_by("last_raw", at).alias("raw_end"),
+        F.max_by("base", F.when(reset, at)).alias("base_end"), F.min("us").alias("first_us"))
+    order = Window.partitionBy("question_id").orderBy("blk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    for n in steps:
+        blocks = blocks.withColumn(f"in_{n}", F.coalesce(F.sum(f"sum_{n}").over(before), F.lit(0)))
+    seen = F.col("sum_e") > 0
+    end = F.when(seen, F.struct((F.col("in_c") + F.col("base_end.c")).alias("c"), (F.col("in_f") + F.col("base_end.f")).alias("f")))
+    blocks = (blocks.withColumn("base_in", F.last(end, ignorenulls=True).over(before))
+              .withColumn("rate_in", F.last(F.when(seen, F.coalesce("raw_end", F.lit(0.0))).otherwise(F.col("raw_end")), ignorenulls=True).over(before))
+              .withColumn("next_block_us", F.lead("first_us").over(order)))
+    r = t.join(blocks.select("question_id", "blk", "in_e", "in_c", "in_f", "base_in", "rate_in", "next_block_us"), ["question_id", "blk"])
+
+    def since_reset(n):     # growth since the episode's start, in this block or in an earlier one
+        return F.when(F.col("base").isNotNull(), F.col(n) - F.col(f"base.{n}")).otherwise(
+            F.col(f"in_{n}") + F.col(n) - F.coalesce(F.col(f"base_in.{n}"), F.lit(0)))
+
+    live = since_reset("f") - steps["f"] == 0
+    rate = F.coalesce(F.col("last_raw"), F.when(F.col("e") == 0, F.col("rate_in")), F.lit(0.0))
+    return r.select("event_id", "question_id", "ts", "us", "kind", (F.col("in_e") + F.col("e")).alias("episode"), live.alias("live"),
+                    F.when(reset | ~live, F.lit(0)).otherwise(since_reset("c")).cast("bigint").alias("tokens"),
+                    F.when(live & F.col("kind").isin(*ACTIVITY), rate).otherwise(F.lit(0.0)).alias("rate"),
+                    F.coalesce("next_us", "next_block_us").alias("next_us"))
+
+
+def rolling_rate(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S,
+                 block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Episode, tokens and rate after every telemetry row (``tracked``)."""
+    return tracked(tele, window_s, min_dt_s, block_windows).select(
+        "event_id", "question_id", "ts", "kind", "episode", "tokens", "rate")
+
+
+def stalls(tele: DataFrame, threshold_s: float = STALL_S, window_s: float = RATE_WINDOW_S) -> DataFrame:
+    """Rows after which a live question was silent for more than
+    ``threshold_s``: a live update or count whose question's next row is
+    later than that. ``next_us`` is null where no row followed."""
+    t = tracked(tele, window_s)
+    quiet = F.col("next_us").isNull() | (F.col("next_us") - F.col("us") > int(threshold_s * US))
+    return t.where(F.col("live") & F.col("kind").isin(*ACTIVITY) & quiet).select("question_id", "episode", "us", "next_us")
 
 
 def stall_flags(tele: DataFrame, threshold_s: float = STALL_S, now: Column | None = None,
-                block_s: int = 7 * 24 * 3600) -> DataFrame:
-    """Per question, gaps longer than ``threshold_s`` between
-    consecutive samples of an episode (stalls that happened) and whether the
-    last episode is stalled at ``now`` (default: the latest ``ts`` in the
-    input, as a scalar subquery). A question whose last episode has no
-    sample yet is not stalled."""
+                window_s: float = RATE_WINDOW_S) -> DataFrame:
+    """Per question its samples, the silences longer than
+    ``threshold_s`` while it was live, and whether it is stalled at ``now``
+    (default: the latest ``ts``, as a scalar subquery). A finished question,
+    or one without a sample since its reset, is not stalled."""
     thr = int(threshold_s * US)
-    e = episodes(tele, int(block_s * US))
-    s = e.where(F.col("kind") != "reset")
-    s = scan.next_value(s, ["question_id", "episode"], "us", "us", "_next", ("event_id",),
-                        int(block_s * US))
-    per_q = s.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.count_if((F.col("_next") - F.col("us")) > thr).alias("stalls"),
-        F.max_by(F.struct("episode", "us"), F.struct("episode", "us")).alias("_last"))
-    last_ep = e.groupBy("question_id").agg(F.max("episode").alias("_ep"))
+    busy = F.col("live") & F.col("kind").isin(*ACTIVITY)
+    g = tracked(tele, window_s).groupBy("question_id").agg(
+        F.count_if(F.col("live") & (F.col("kind") == "update")).alias("samples"),
+        F.count_if(busy & (F.col("next_us") - F.col("us") > thr)).alias("stalls"),
+        F.max(F.when(busy & F.col("next_us").isNull(), F.col("us"))).alias("_last"))
     now_us = epoch_us(now) if now is not None else tele.select(F.max(epoch_us("ts"))).scalar()
-    j = last_ep.join(per_q, "question_id", "left")
-    live = (F.col("_last.episode") == F.col("_ep")) & ((now_us - F.col("_last.us")) > thr)
-    return j.select("question_id", F.coalesce("samples", F.lit(0)).alias("samples"),
-                    F.coalesce("stalls", F.lit(0)).alias("stalls"),
-                    F.coalesce(live, F.lit(False)).cast("int").alias("stalled_now"))
+    return g.select("question_id", "samples", "stalls",
+                    F.coalesce(now_us - F.col("_last") > thr, F.lit(False)).cast("int").alias("stalled_now"))
 
 
 def age_buckets(tele: DataFrame, scale: float = 1.0, now: Column | None = None) -> DataFrame:
@@ -157,7 +193,7 @@ def question_state(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: f
     status_of = F.when(F.col("kind") == "reset", F.lit("active")).otherwise(F.col("kind"))
     g = r.groupBy("question_id").agg(
         F.max_by(F.struct("episode", "tokens", "rate"), order).alias("_last"),
-        F.max_by(status_of, F.when(F.col("kind") != "update", order)).alias("_status"),
+        F.max_by(status_of, F.when(~F.col("kind").isin(*ACTIVITY), order)).alias("_status"),
         F.count_if(F.col("kind") == "reset").alias("_resets"))
     return g.select("question_id", F.col("_last.episode").alias("episode"), F.col("_last.tokens").alias("tokens"),
                     F.col("_last.rate").alias("rate"), F.coalesce("_status", F.lit("pending")).alias("status"),

@@ -50,7 +50,7 @@ from resp r join q on r.question_id = q.question_id
 where r.model = 'model_0' and r.question_id % 3 = 0 and r.model_outputs is not null""",
     "tele": """
 select event_id, user_id as question_id, cast(ts as timestamp) as ts,
-  case event_type when 'signup' then 'reset' when 'purchase' then 'success' when 'error' then 'wrong' else 'update' end as kind,
+  case event_type when 'signup' then 'reset' when 'purchase' then 'success' when 'error' then 'wrong' when 'view' then 'count' else 'update' end as kind,
   case when event_type = 'signup' then 0 else cast(round(value * 100) as bigint) end as delta
 from events""",
     "chunks": """

@@ -174,7 +174,7 @@ t as (select rr.*, epoch_us(tele.ts) as us from rr join tele on rr.event_id = te
 g as (select question_id,
         arg_max(struct_pack(episode := episode, tokens := tokens, rate := rate), struct_pack(us := us, e := event_id)) as l,
         arg_max(case when kind = 'reset' then 'active' else kind end, struct_pack(us := us, e := event_id))
-          filter (where kind <> 'update') as st,
+          filter (where kind not in ('update', 'count')) as st,
         count(*) filter (where kind = 'reset') as resets
       from t group by question_id)
 select question_id, l.episode as episode, l.tokens as tokens, l.rate as rate, coalesce(st, 'pending') as status,

@@ -351,49 +351,41 @@ def report_lines(spark, sf):
 
 # ---------------------------------------------------------------- W3-W6
 HOUR = 3600
-_EPISODES_SQL = """
+# One row at a time in words: an episode starts at a reset and is over after a
+# success or wrong row; a row counts while its episode is not over.
+TRACKED_SQL = f"""
 t as (select *, epoch_us(ts) as us from tele),
-e as (select *, sum(case when kind = 'reset' then 1 else 0 end)
-        over (partition by question_id order by us, event_id rows between unbounded preceding and current row) as episode
-      from t)"""
+e as (select *, count(*) filter (where kind = 'reset') over o as episode, lead(us) over (partition by question_id order by us, event_id) as next_us
+      from t window o as (partition by question_id order by us, event_id rows between unbounded preceding and current row)),
+l as (select *, coalesce(count(*) filter (where kind in ('success', 'wrong')) over (partition by question_id, episode order by us, event_id
+        rows between unbounded preceding and 1 preceding), 0) = 0 as live from e),
+c as (select *, case when live and kind <> 'reset' then cast(coalesce(sum(case when kind in ('update', 'count') then delta end)
+        over (partition by question_id, episode order by us, event_id rows between unbounded preceding and current row), 0) as bigint) else 0 end as tokens from l),
+w as (select *, min(us) filter (where kind = 'update' and live) over f as us0, min(tokens) filter (where kind = 'update' and live) over f as c0 from c
+      window f as (partition by question_id, episode order by us range between {8 * HOUR * 1_000_000} preceding and current row)),
+r as (select *, case when kind = 'update' and live and (us - us0)::DOUBLE / 1000000.0 > 0.05 and tokens - c0 > 0
+        then (tokens - c0)::DOUBLE / ((us - us0)::DOUBLE / 1000000.0) end as raw from w),
+tr as (select *, case when live and kind in ('update', 'count') then coalesce(last_value(raw ignore nulls)
+        over (partition by question_id, episode order by us, event_id rows between unbounded preceding and current row), 0.0) else 0.0 end as rate from r)"""
 
 
 @register("rolling_rate", with_views(f"""
-with {_EPISODES_SQL},
-s as (select *, cast(sum(delta) over (partition by question_id, episode order by us, event_id
-        rows between unbounded preceding and current row) as bigint) as tokens from e where kind <> 'reset'),
-w as (select *, min(us) over f as us0, min(tokens) over f as c0 from s
-      window f as (partition by question_id, episode order by us range between {8 * HOUR * 1_000_000} preceding and current row)),
-r as (select *, case when (us - us0)::DOUBLE / 1000000.0 > 0.05 and tokens - c0 > 0
-        then (tokens - c0)::DOUBLE / ((us - us0)::DOUBLE / 1000000.0) end as raw from w),
-f as (select *, coalesce(last_value(raw ignore nulls) over (partition by question_id, episode order by us, event_id
-        rows between unbounded preceding and current row), 0.0) as rate from r)
-select event_id, question_id, kind, cast(episode as bigint) as episode, tokens, rate from f
-union all
-select event_id, question_id, kind, cast(episode as bigint), cast(0 as bigint), 0.0::DOUBLE from e where kind = 'reset'""",
-    "tele"))
+with {TRACKED_SQL}
+select event_id, question_id, kind, cast(episode as bigint) as episode, cast(tokens as bigint) as tokens, rate::DOUBLE as rate from tr""", "tele"))
 def rolling_rate(spark, sf):
     r = T.rolling_rate(fx.telemetry(spark, sf), window_s=8 * HOUR)
     return r.select("event_id", "question_id", "kind", "episode", "tokens", "rate")
 
 
 @register("stall_flags", with_views(f"""
-with {_EPISODES_SQL},
-s as (select *, lead(us) over (partition by question_id, episode order by us, event_id) as nxt
-      from e where kind <> 'reset'),
-per as (select question_id, count(*) as samples,
-          count(*) filter (where nxt - us > {25 * HOUR * 1_000_000}) as stalls, max(episode) as sep
-        from s group by question_id),
-lu as (select s.question_id, max(s.us) as lus from s join per on s.question_id = per.question_id
-         and s.episode = per.sep group by s.question_id),
-le as (select question_id, max(episode) as ep from e group by question_id),
-nw as (select max(epoch_us(ts)) as now_us from tele)
-select le.question_id, coalesce(per.samples, 0) as samples, coalesce(per.stalls, 0) as stalls,
-  cast(coalesce(per.sep = le.ep and nw.now_us - lu.lus > {25 * HOUR * 1_000_000}, false) as int) as stalled_now
-from le left join per on le.question_id = per.question_id left join lu on le.question_id = lu.question_id,
-  nw""", "tele"))
+with {TRACKED_SQL},
+busy as (select *, live and kind in ('update', 'count') as b from tr)
+select question_id, count(*) filter (where live and kind = 'update') as samples,
+  count(*) filter (where b and next_us - us > {25 * HOUR * 1_000_000}) as stalls,
+  cast(coalesce((select max(epoch_us(ts)) from tele) - max(us) filter (where b and next_us is null) > {25 * HOUR * 1_000_000}, false) as int) as stalled_now
+from busy group by question_id""", "tele"))
 def stall_flags(spark, sf):
-    return T.stall_flags(fx.telemetry(spark, sf), threshold_s=25 * HOUR)
+    return T.stall_flags(fx.telemetry(spark, sf), threshold_s=25 * HOUR, window_s=8 * HOUR)
 
 
 @register("age_buckets", with_views(f"""

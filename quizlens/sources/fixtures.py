@@ -124,13 +124,14 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tele``: token-count samples per question from ``events``
-    (gaps are hours, so windows are 8 h / 25 h in place of 8 s / 25 s)."""
+    (gaps are hours, so windows are 8 h / 25 h in place of 8 s / 25 s);
+    views are counts the server reported, clicks are samples."""
     ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "value")
     et = F.col("event_type")
     return ev.select(
         "event_id", F.col("user_id").alias("question_id"), "ts",
         F.when(et == "signup", "reset").when(et == "purchase", "success")
-         .when(et == "error", "wrong").otherwise("update").alias("kind"),
+         .when(et == "error", "wrong").when(et == "view", "count").otherwise("update").alias("kind"),
         F.when(et == "signup", F.lit(0).cast("bigint"))
          .otherwise(F.round(F.col("value") * 100).cast("bigint")).alias("delta"))
 
