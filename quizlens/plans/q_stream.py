@@ -18,7 +18,7 @@ from ..streaming import tracker as TR
 from ..streaming.sinks import live_board, merge_sink, run_available
 from . import sqlparts as X
 from .fixture_sql import with_views
-from .q_text import HOUR
+from .q_text import HOUR, TRACKED_SQL
 from .registry import ORACLE, register
 
 
@@ -52,11 +52,25 @@ def stream_rolling_rate(spark, sf):
     its sample rows equal the batch rolling rate (W3)."""
     out = fresh_dir(spark, "tracker-out")
     run_in_slices(spark, fx.telemetry(spark, sf), _tele_conds(),
-                  lambda read: TR.track_questions(read(), window_s=8 * HOUR, stall_s=25 * HOUR, delay="30 hours"), out)
+                  lambda read: TR.track_questions(read(), 8 * HOUR, stall_s=25 * HOUR, delay="30 hours", keep_s=24 * 3600 * HOUR), out)
     r = spark.read.parquet(out).where(~F.col("kind").isin("stalled", "late"))
     return r.select(F.col("event_id").cast("bigint"), "question_id", "kind", "episode", "tokens", "rate")
 
 
+@register("stream_stalls", with_views(f"""
+with {TRACKED_SQL}
+select question_id, cast(episode as bigint) as episode, us + {25 * HOUR * 1_000_000} as us, cast(tokens as bigint) as tokens from tr
+where live and kind in ('update', 'count') and (next_us - us > {25 * HOUR * 1_000_000} or next_us is null
+  and (us + {25 * HOUR * 1_000_000}) // 1000 <= (select max(epoch_us(ts)) // 1000 from tele) - {30 * HOUR * 1000})""", "tele"))
+def stream_stalls(spark, sf):
+    """ST3: the alerts of the tracker - every silence of a live question
+    longer than 25 h that a later row or the watermark reveals."""
+    out = fresh_dir(spark, "tracker-out")
+    run_in_slices(spark, fx.telemetry(spark, sf), _tele_conds(),
+                  lambda read: TR.track_questions(read(), 8 * HOUR, stall_s=25 * HOUR, delay="30 hours", keep_s=24 * 3600 * HOUR), out)
+    return spark.read.parquet(out).where("kind = 'stalled'").select("question_id", "episode", "us", "tokens")
+
+
 @register("stream_sessions", with_views(f"""
 with t as (select question_id, epoch_us(ts) as us, delta from tele),
 l as (select *, case when us - lag(us) over (partition by question_id order by us) < {25 * HOUR * 1_000_000}
@@ -193,7 +207,7 @@ def stream_question_state(spark, sf):
     """ST1 / ST5: latest tracker state per question after the stream."""
     out = fresh_dir(spark, "tracker-out")
     run_in_slices(spark, fx.telemetry(spark, sf), _tele_conds(),
-                  lambda read: TR.track_questions(read(), window_s=8 * HOUR, stall_s=25 * HOUR, delay="30 hours"), out)
+                  lambda read: TR.track_questions(read(), 8 * HOUR, stall_s=25 * HOUR, delay="30 hours", keep_s=24 * 3600 * HOUR), out)
     return TR.latest_state(spark.read.parquet(out))
 
 

@@ -1,112 +1,132 @@
 """Per-question live state over a telemetry stream (ST1-ST5).
 
 ``groupBy(question_id).applyInPandasWithState`` keeps, per question:
-episode number, cumulative tokens, the samples of the last rate window,
-the current rate, the last sample time, stall flag, status and retry count.
-Rows of a micro-batch are applied in (ts, event_id) order with the
-reference's rules (see ``operators.telemetry``), so the sample rows equal
-the batch twin ``rolling_rate``. Stalls are reported twice over: a gap
-longer than the threshold between two samples of one batch, and an
-event-time timeout when no sample arrives before the watermark passes
-``last sample + threshold``. Rows older than the watermark are reported as
-``late`` and not applied. State is keyed and bounded by the samples of one
-rate window.
+episode number, whether the episode is live, tokens, the samples of the last
+rate window, rate, last activity, stall flag, status and retry count. The
+rows of a micro-batch are taken in (ts, event_id) order and handled as
+arrays, by the rules of ``operators.telemetry.tracked``, so the rows equal the
+batch twin. Stalls are reported twice over: a live question's row that comes
+later than the threshold after its activity, and an event-time timeout when
+none comes before the watermark passes that moment. Rows older than the
+watermark are reported as ``late`` and not applied.
+
+State is keyed and bounded by the samples of one rate window; a finished
+question keeps no samples, and its state goes ``keep_s`` of event time after
+its last row (a later row starts a new state).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.telemetry import MIN_DT_S, RATE_WINDOW_S, STALL_S, US, epoch_us
+from ..operators.telemetry import ACTIVITY, FINISHED, MIN_DT_S, RATE_WINDOW_S, STALL_S, US, epoch_us
 
+KEEP_S = 24 * 3600
 OUTPUT_SCHEMA = ("event_id long, question_id long, kind string, episode long, tokens long, "
                  "rate double, us long, status string, retries long")
-STATE_SCHEMA = ("episode long, cum long, rate double, hist_us array<long>, hist_cum array<long>, "
-                "last_us long, stalled boolean, status string, retries long, "
-                "buf_ev array<long>, buf_kind array<string>, buf_delta array<long>, buf_us array<long>")
-_COLS = ["event_id", "question_id", "kind", "episode", "tokens", "rate", "us", "status", "retries"]
-
-
-def _tracker(window_s: float, min_dt_s: float, stall_s: float, reorder: bool):
-    win_us, stall_us = int(window_s * US), int(stall_s * US)
+STATE_SCHEMA = ("episode long, live boolean, tokens long, rate double, sample_us array<long>, sample_tokens array<long>, "
+                "active_us long, last_us long, stalled boolean, status string, retries long, "
+                "wait_id array<long>, wait_kind array<string>, wait_delta array<long>, wait_us array<long>")
+_NEW = (0, True, 0, 0.0, [], [], None, 0, False, "pending", 0, [], [], [], [])
+
+
+def _latest(flag: np.ndarray) -> np.ndarray:
+    """For every position, the last position up to it where ``flag`` holds (-1: none)."""
+    return np.maximum.accumulate(np.where(flag, np.arange(len(flag)), -1)) if len(flag) else np.zeros(0, np.int64)
+
+
+def advance(state: tuple, rows: pd.DataFrame, win_us: int, min_dt_s: float, stall_us: int) -> tuple[tuple, pd.DataFrame, list]:
+    """The state after ``rows`` (event_id, kind, delta, us; in order), the rows
+    with their results, and the stalls (episode, tokens, rate, us, status,
+    retries) that they reveal."""
+    ep0, live0, tok0, rate0, su0, st0, act0, _, stalled0, status0, retries0 = state[:11]
+    kind, us, n = rows["kind"].to_numpy(), rows["us"].to_numpy(np.int64), len(rows)
+    reset, done, grows = kind == "reset", np.isin(kind, FINISHED), np.isin(kind, ACTIVITY)
+    start = _latest(reset)                                  # where the row's episode starts here
+    here = start >= 0
+    episode = ep0 + np.cumsum(reset)
+    ends = np.cumsum(done)
+    ends_before = ends - done
+    live = np.where(here, ends_before - ends[start], ends_before + (not live0)) == 0
+    sums = np.cumsum(np.where(grows, rows["delta"].to_numpy(np.int64), 0))
+    tokens = np.where(live & ~reset, np.where(here, sums - sums[start], tok0 + sums), 0)
+
+    # samples, with those of the carried window in front; the frame of each starts where
+    # its window or its episode does
+    take = live & (kind == "update")
+    s_us = np.concatenate([np.array(su0, np.int64), us[take]])
+    s_tok = np.concatenate([np.array(st0, np.int64), tokens[take]])
+    s_ep = np.concatenate([np.full(len(su0), ep0, np.int64), episode[take]])
+    first = np.maximum(np.searchsorted(s_us, s_us - win_us), np.searchsorted(s_ep, s_ep)).astype(np.int64)
+    span, grown = (s_us - s_us[first]) / float(US), s_tok - s_tok[first]
+    known = (span > min_dt_s) & (grown > 0) & (np.arange(len(s_us)) >= len(su0))
+    at = _latest(known)                                     # a sample without a rate of its own keeps the last one
+    raw = np.where(known, grown / np.where(known, span, 1.0), 0.0)
+    kept = (at >= 0) & (s_ep[at] == s_ep) if len(at) else np.zeros(0, bool)
+    s_rate = np.where(kept, raw[at] if len(at) else 0.0, np.where(s_ep == ep0, rate0, 0.0))
+    seen = len(su0) + np.cumsum(take) - 1                   # last sample up to the row
+    mine = (seen >= 0) & (s_ep[np.maximum(seen, 0)] == episode) if len(s_ep) else np.zeros(n, bool)
+    rate = np.where(mine, s_rate[np.maximum(seen, 0)] if len(s_rate) else 0.0, np.where(episode == ep0, rate0, 0.0))
+    rate = np.where(live & grows, rate, 0.0)
+
+    says = _latest(reset | done)
+    status = np.where(says >= 0, np.where(reset, "active", kind)[says], status0)
+    retries = retries0 + np.maximum(episode - 1, 0) - max(ep0 - 1, 0)
+
+    busy = live & grows
+    gap = np.flatnonzero(busy[:-1] & (us[1:] - us[:-1] > stall_us))
+    alerts = [(episode[i], tokens[i], rate[i], us[i] + stall_us, status[i], retries[i]) for i in gap]
+    if n and act0 is not None and not stalled0 and us[0] - act0 > stall_us:
+        alerts.insert(0, (ep0, tok0, rate0, act0 + stall_us, status0, retries0))
+    out = pd.DataFrame({"event_id": rows["event_id"], "kind": kind, "episode": episode, "tokens": tokens, "rate": rate,
+                        "us": us, "status": status, "retries": retries})
+    if n:
+        alive = bool(live[-1] and not done[-1])
+        keep = (s_ep == episode[-1]) & (s_us >= us[-1] - win_us) & alive
+        state = (int(episode[-1]), alive, int(tokens[-1]) if alive else 0, float(rate[-1]) if busy[-1] else 0.0, s_us[keep].tolist(), s_tok[keep].tolist(),
+                 int(us[-1]) if busy[-1] else None, int(us[-1]), False, str(status[-1]), int(retries[-1]))
+    return state, out, alerts
+
+
+def _tracker(window_s: float, min_dt_s: float, stall_s: float, keep_s: float, reorder: bool):
+    win_us, stall_us, keep_us = int(window_s * US), int(stall_s * US), int(keep_s * US)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        qid = int(key[0])
-        if state.exists:
-            (ep, cum, rate, hus, hcum, last_us, stalled, status, retries,
-             b_ev, b_kind, b_delta, b_us) = state.get
-            hus, hcum = list(hus or []), list(hcum or [])
-            buf = list(zip(b_ev or [], b_kind or [], b_delta or [], b_us or []))
-        else:
-            ep, cum, rate, hus, hcum, last_us, stalled, status, retries = 0, 0, 0.0, [], [], None, False, "pending", 0
-            buf = []
-        out = []
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        incoming = []
-        if not state.hasTimedOut:
-            rows = pd.concat(list(pdfs), ignore_index=True)
-            incoming = [(int(e), k, int(d), int(u)) for e, k, d, u in
-                        zip(rows["event_id"], rows["kind"], rows["delta"], rows["us"])]
-        # rows older than the watermark arrived too late: reported, not applied
-        for e, _k, _d, u in incoming:
-            if u < wm_us:
-                out.append((e, qid, "late", ep, cum, rate, u, status, retries))
-        fresh = [r for r in incoming if r[3] >= wm_us]
-        if reorder:
-            # hold rows until the watermark has passed them: nothing older can
-            # still arrive on time, so they are applied in event-time order
-            pool = buf + fresh
-            ready = [r for r in pool if r[3] < wm_us]
-            buf = [r for r in pool if r[3] >= wm_us]
+        old = tuple(state.get) if state.exists else _NEW
+        mark = state.getCurrentWatermarkMs() * 1000
+        wait = pd.DataFrame(dict(zip(("event_id", "kind", "delta", "us"), map(list, (x if x is not None else [] for x in old[11:])))))
+        come = [wait] if state.hasTimedOut else [wait, *(p[["event_id", "kind", "delta", "us"]] for p in pdfs)]
+        rows = pd.concat([p for p in come if len(p)] or [wait], ignore_index=True)
+        late = rows["us"] < mark if not reorder else (rows["us"] < mark) & (rows.index >= len(wait))
+        ready = ~late & ((rows["us"] < mark) | (not reorder))
+        new, out, alerts = advance((*old[:4], old[4] or [], old[5] or [], *old[6:11]), rows[ready].sort_values(["us", "event_id"], ignore_index=True),
+                                   win_us, min_dt_s, stall_us)
+        ep, live, tokens, rate, _, _, act, last, stalled, status, retries = new
+        due = act + stall_us if act is not None and not stalled else None
+        if due is not None and due // 1000 <= state.getCurrentWatermarkMs():
+            alerts.append((ep, tokens, rate, due, status, retries))
+            new, due = (*new[:8], True, *new[9:]), None
+        tail = rows[~late & ~ready]
+        moments = [due] * (due is not None) + [tail["us"].min() + 1000] * bool(len(tail)) + [last + keep_us] * (status in FINISHED)
+        if status in FINISHED and not len(tail) and last + keep_us <= mark:
+            state.remove()
         else:
-            ready, buf = buf + fresh, []
-        for ev, kind, delta, us in sorted(ready, key=lambda r: (r[3], r[0])):
-            if kind == "reset":
-                if ep > 0:
-                    retries += 1          # a restart: every reset after the first
-                ep, cum, rate, hus, hcum, stalled, status = ep + 1, 0, 0.0, [], [], False, "active"
-                out.append((ev, qid, kind, ep, 0, 0.0, us, status, retries))
-                continue
-            if hus and not stalled and us - hus[-1] > stall_us:
-                out.append((None, qid, "stalled", ep, cum, rate, hus[-1] + stall_us, status, retries))
-            cum += delta
-            hus.append(us)
-            hcum.append(cum)
-            while hus and hus[0] < us - win_us:       # evict samples older than the window
-                hus.pop(0)
-                hcum.pop(0)
-            if len(hus) >= 2:
-                dt = (hus[-1] - hus[0]) / float(US)
-                d = hcum[-1] - hcum[0]
-                if dt > min_dt_s and d > 0:
-                    rate = d / dt
-            stalled = False
-            last_us = us
-            if kind in ("success", "wrong"):
-                status = kind
-            out.append((ev, qid, kind, ep, cum, rate, us, status, retries))
-        deadlines = []
-        if hus and not stalled and last_us is not None:
-            if (last_us + stall_us) // 1000 <= state.getCurrentWatermarkMs():
-                # the watermark already passed the deadline: no on-time sample can come
-                stalled = True
-                out.append((None, qid, "stalled", ep, cum, rate, last_us + stall_us, status, retries))
-            else:
-                deadlines.append((last_us + stall_us) // 1000)
-        if buf:
-            deadlines.append(min(r[3] for r in buf) // 1000 + 1)
-        state.update((ep, cum, rate, hus, hcum, last_us, stalled, status, retries,
-                      [r[0] for r in buf], [r[1] for r in buf], [r[2] for r in buf], [r[3] for r in buf]))
-        if deadlines:
-            state.setTimeoutTimestamp(int(max(min(deadlines), state.getCurrentWatermarkMs() + 1)))
-        yield pd.DataFrame(out, columns=_COLS).astype(
-            {"question_id": "int64", "episode": "int64", "tokens": "int64", "us": "int64", "retries": "int64",
-             "event_id": "Int64"})
+            state.update((*new, *(tail[c].tolist() for c in ("event_id", "kind", "delta", "us"))))
+            if moments:
+                state.setTimeoutTimestamp(int(max(min(moments) // 1000, state.getCurrentWatermarkMs() + 1)))
+        lost = rows[late].assign(kind="late", episode=ep, tokens=tokens, rate=rate, status=status, retries=retries)
+        told = pd.DataFrame(alerts, columns=["episode", "tokens", "rate", "us", "status", "retries"]).assign(kind="stalled", event_id=None)
+        parts = [p for p in (lost, told, out) if len(p)]
+        cols = ["event_id", "question_id", "kind", "episode", "tokens", "rate", "us", "status", "retries"]
+        if parts:
+            yield pd.concat([p.assign(question_id=int(key[0]))[cols].astype({"event_id": "Int64", "episode": "int64", "tokens": "int64", "rate": "float64",
+                             "us": "int64", "retries": "int64"}) for p in parts], ignore_index=True)
 
     return fn
 
@@ -119,7 +139,7 @@ def with_event_time(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def track_questions(stream: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float = MIN_DT_S,
-                    stall_s: float = STALL_S, delay: str = "1 hour", reorder: bool = False) -> DataFrame:
+                    stall_s: float = STALL_S, delay: str = "1 hour", reorder: bool = False, keep_s: float = KEEP_S) -> DataFrame:
     """ST1-ST5: one output row per telemetry row (rate, tokens, episode,
     status, retries) plus ``stalled`` alert rows and ``late`` rows.
 
@@ -130,7 +150,7 @@ def track_questions(stream: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s
     sorted within each micro-batch."""
     s = with_event_time(stream, delay).select("event_id", "question_id", "kind", "delta", "us", "et")
     return s.groupBy("question_id").applyInPandasWithState(
-        _tracker(window_s, min_dt_s, stall_s, reorder), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        _tracker(window_s, min_dt_s, stall_s, keep_s, reorder), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

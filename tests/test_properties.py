@@ -1,6 +1,7 @@
 """Properties: results do not depend on how the input is partitioned, and
 a key holding a third of all rows is split by the blocked scans."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import Window
@@ -10,6 +11,7 @@ from conftest import SF_SMALL
 from quizlens.operators import resume as R
 from quizlens.operators import scan
 from quizlens.operators import score as S
+from quizlens.operators.telemetry import tracked
 from quizlens.sources import fixtures as fx
 
 
@@ -31,17 +33,28 @@ def test_results_independent_of_partitioning(spark):
     assert outs[0] == outs[1] == outs[2]
 
 
-def test_hot_key_is_split_by_blocks(spark):
+def test_blocked_sum_of_a_hot_key(spark):
     rnd = random.Random(3)
     n = 3000
     rows = [(0 if i % 3 == 0 else rnd.randrange(1, 50), i, rnd.randrange(5)) for i in range(n)]  # key 0: a third
     df = spark.createDataFrame(rows, "k int, o long, v int")
-    block = 100
-    got = scan.running_sum(df, "k", "o", F.col("v"), "s", (), block)
+    got = scan.running_sum(df, "k", "o", F.col("v"), "s", (), 100)
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.select("k", "o", F.sum("v").over(w).alias("s"))
     assert _rows(got.select("k", "o", "s")) == _rows(exp)
-    # the widest in-block window partition of the hot key is bounded by the block size
-    biggest = (df.where("k = 0").groupBy(F.floor(F.col("o") / block)).count()
-               .agg(F.max("count")).first()[0])
-    assert biggest <= block < n // 3
+
+
+def test_hot_question_is_split_over_tasks(spark):
+    """A question with a third of all samples, all within one hour: the rows
+    that the scan's own partitions hold, read off the frame it returns."""
+    t0, rnd = dt.datetime(2024, 1, 1), random.Random(1)
+    rows = [(i, 0 if i % 3 == 0 else rnd.randrange(1, 200), t0 + dt.timedelta(seconds=rnd.randrange(3600)), "update", 1) for i in range(9000)]
+    df = spark.createDataFrame(rows, "event_id long, question_id long, ts timestamp_ntz, kind string, delta long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = [r["count"] for r in tracked(df, 8).where("question_id = 0").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(held) == 3000 and len(held) >= 6 and max(held) < 1200
+    one = {r.event_id: (r.tokens, r.rate) for r in tracked(df, 8, block_windows=10**4).collect()}
+    assert {r.event_id: (r.tokens, r.rate) for r in tracked(df, 8).collect()} == one

@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from quizlens.operators.telemetry import rolling_rate
+from quizlens.operators.telemetry import rolling_rate, stall_flags
 from quizlens.streaming import tracker as TR
 from quizlens.streaming.sinks import run_available
 
@@ -45,9 +45,47 @@ def test_tracker_equals_batch_and_alerts(spark):
     batch = {(r.event_id, r.tokens, round(r.rate, 9)) for r in rolling_rate(df, 8).collect()}
     assert samples == batch
     assert got.where("kind = 'late'").count() == 0
-    alerts = {(r.question_id) for r in got.where("kind = 'stalled'").collect()}
-    assert 2 in alerts            # question 2 went silent after t=2 s
-    assert 1 in alerts            # gap 5 s -> 31 s inside question 1's first episode
+    alerts = sorted((r.question_id, r.episode, r.us - 1704067200 * 1000000) for r in got.where("kind = 'stalled'").collect())
+    # question 1 is silent from 5 s to 31 s, from there to its restart, and after 102 s; question 2 after 2 s
+    assert alerts == [(1, 1, 30_000_000), (1, 1, 56_000_000), (1, 2, 127_000_000), (2, 1, 27_000_000)]
+    assert stall_flags(df, 25).where("question_id = 1").first()[1:] == (6, 2, 1)
+
+
+def test_finished_and_counted_rows(spark):
+    """Hand-made rows: a finished question is no sample, keeps no rate and
+    never stalls; a server count adds tokens without changing the rate; rows
+    after the end wait for the next reset."""
+    t0 = dt.datetime(2024, 1, 1)
+    s = lambda x: t0 + dt.timedelta(seconds=x)
+    rows = [(1, 1, s(0), "reset", 0), (2, 1, s(1), "update", 10), (3, 1, s(3), "update", 30), (4, 1, s(4), "count", 500),
+            (5, 1, s(5), "update", 10), (6, 1, s(6), "success", 99), (7, 1, s(90), "update", 5), (8, 2, s(0), "reset", 0),
+            (9, 2, s(1), "update", 7), (10, 2, s(40), "wrong", 0), (11, 3, s(200), "reset", 0)]
+    want = {1: (0, 0.0), 2: (10, 0.0), 3: (40, 15.0), 4: (540, 15.0), 5: (550, 135.0), 6: (550, 0.0), 7: (0, 0.0), 8: (0, 0.0), 9: (7, 0.0),
+            10: (7, 0.0), 11: (0, 0.0)}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for blocks in (1, 2, 1000):
+        assert {r.event_id: (r.tokens, r.rate) for r in rolling_rate(df, 8, block_windows=blocks).collect()} == want
+    flags = {r.question_id: (r.samples, r.stalls, r.stalled_now) for r in stall_flags(df, 25).collect()}
+    assert flags == {1: (3, 0, 0), 2: (1, 1, 0), 3: (0, 0, 0)}
+    src, out, ck = (f"{tempfile.mkdtemp(prefix='quizlens-rows-')}/{x}" for x in ("src", "out", "ck"))
+    for i, cut in enumerate((rows[:3], rows[3:6], rows[6:])):
+        spark.createDataFrame(cut, SCHEMA).write.parquet(f"{src}/s{i}")
+        run_available(TR.track_questions(spark.readStream.schema(SCHEMA).parquet(f"{src}/*"), 8, stall_s=25, delay="300 seconds"), out, checkpoint=ck)
+    got = spark.read.parquet(out)
+    assert {r.event_id: (r.tokens, r.rate) for r in got.where("kind <> 'stalled'").collect()} == want
+    assert [(r.question_id, r.us) for r in got.where("kind = 'stalled'").collect()] == [(2, 1704067226 * 1000000)]
+
+
+def test_state_of_finished_questions_goes(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    s = lambda x: t0 + dt.timedelta(seconds=x)
+    src, out, ck = (f"{tempfile.mkdtemp(prefix='quizlens-keep-')}/{x}" for x in ("src", "out", "ck"))
+    parts = [[(1, 1, s(0), "reset", 0), (2, 1, s(1), "success", 0)], [(3, 9, s(500), "update", 1)], [(4, 1, s(501), "reset", 0)]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{src}/s{i}")
+        run_available(TR.track_questions(spark.readStream.schema(SCHEMA).parquet(f"{src}/*"), 8, stall_s=25, delay="1 second", keep_s=60), out, checkpoint=ck)
+    again = spark.read.parquet(out).where("event_id = 4").first()
+    assert (again.episode, again.retries) == (1, 0)
 
 
 def test_late_and_duplicate_rows(spark):
