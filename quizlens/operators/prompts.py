@@ -4,8 +4,9 @@ Exemplar prefixes are built once per category, not once per question: the
 first ``k`` exemplars of each category are chosen with ``row_number() <= k``
 (Spark inserts a partial WindowGroupLimit before the shuffle, so a category
 holding a third of the rows ships only k rows per map task), collected
-(bounded by k), rendered, and joined to the questions. The prefix table has
-one row per category; it is broadcast only after its row count was checked.
+(bounded by k), rendered, and joined to the questions; adaptive execution
+broadcasts the prefix table where it measures it small, and splits a skewed
+category of questions where not.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (LETTERS, MAX_TOKENS_TEXT, _c, format_block,
                               format_inline, letter_at, word_count)
-from .sizing import broadcast_if_small
 
 # The API runners' prompt header and the batch runner's header
 # template (``{$}`` is the category; one more newline is added after it).
@@ -47,22 +47,22 @@ STYLE_FORMATS = [
 ]
 
 
-def exemplar_texts(exemplars: DataFrame, k: int, render: Column, order: str = "question_id") -> DataFrame:
-    """L2: per category, the rendered first ``k`` exemplars in order, as an
-    array (bounded by k)."""
-    w = Window.partitionBy("category").orderBy(F.col(order))
-    top = (exemplars.select("category", order, render.alias("_txt"))
-           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
+def exemplar_texts(exemplars: DataFrame, k: int | None, render: Column, order: str = "question_id") -> DataFrame:
+    """L2: per category, the rendered exemplars in order, as an array: the
+    first ``k``, or all with ``k=None`` (they make up one prompt, which is one
+    value either way). Rows of equal ``order`` follow their texts."""
+    top = exemplars.select("category", order, render.alias("_txt"))
+    if k is not None:
+        w = Window.partitionBy("category").orderBy(order, "_txt")
+        top = top.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     return top.groupBy("category").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_txt"))), lambda s: s["_txt"])
-        .alias("exemplars"))
+        F.transform(F.array_sort(F.collect_list(F.struct(order, "_txt"))), lambda s: s["_txt"]).alias("exemplars"))
 
 
-def fewshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, style: str = "api",
-            strict: bool = False, max_categories: int = 100_000,
-            template: Column | None = None) -> DataFrame:
-    """T3 + J1: header + first k exemplars of the question's category +
-    the target question.
+def fewshot(questions: DataFrame, exemplars: DataFrame, k: int | None = None, style: str = "api",
+            strict: bool = False, template: Column | None = None) -> DataFrame:
+    """T3 + J1: header + exemplars of the question's category (all, or the
+    first ``k``) + the target question.
 
     style ``api``: inline format (T1) and the API header; ``local``: block
     format (T2) and the template header (``template``: e.g.
@@ -79,9 +79,7 @@ def fewshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, style: str =
         target = format_block("question", "options", with_answer=False)
         tpl = template if template is not None else F.lit(LOCAL_HEADER_TEMPLATE)
         header = F.concat(F.replace(tpl, F.lit("{$}"), F.col("category")), F.lit("\n"))
-    pre = exemplar_texts(exemplars, k, render)
-    pre = broadcast_if_small(pre, max_categories)
-    j = questions.join(pre, "category", "left")
+    j = questions.join(exemplar_texts(exemplars, k, render), "category", "left")
     if strict:
         j = j.where(F.when(F.col("exemplars").isNull(),
                            F.raise_error(F.concat(F.lit("no exemplars for category "),
@@ -93,41 +91,32 @@ def fewshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, style: str =
 
 
 def fit_kshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, limit: int = 2048,
-              counter=word_count, additive: bool = True, native: bool = True,
-              max_categories: int = 100_000) -> DataFrame:
+              counter=word_count, additive: bool | None = None, native: bool = True) -> DataFrame:
     """T4: the largest k' <= k whose whole prompt counts fewer than
     ``limit`` tokens (the batch runner starts at k and decrements). If even
     the zero-shot prompt does not fit: ``k`` null and ``overflow`` true (the
     reference would loop forever).
 
-    ``additive`` (default, exact for ``word_count``: header and exemplar
-    blocks end in whitespace, so no word spans two parts): each exemplar and
-    each category header is counted once per category, the target once per
-    question, and a candidate's count is their sum - no prompt is counted
-    twice. Otherwise every candidate prompt is counted whole, which is exact
+    ``additive`` (default for ``word_count`` alone, where it is exact: header
+    and exemplar blocks end in whitespace, so no word spans two parts): each
+    exemplar is counted once per category, header and target once per
+    question, and a candidate's count is their sum. Otherwise every candidate prompt is counted whole, which is exact
     for any counter (real tokenizers are not additive): in the row with
     higher-order functions when ``counter`` is a native expression
     (``native``), else exploded into rows (e.g. for a pandas-UDF tokenizer)
     and picked by a ``max_by`` aggregation.
     """
     render = format_block("question", "options", "cot_content", with_answer=True)
-    header_of = lambda c: F.concat(F.replace(F.lit(LOCAL_HEADER_TEMPLATE), F.lit("{$}"), c), F.lit("\n"))
+    header_of = lambda c: F.concat(F.replace(F.lit(LOCAL_HEADER_TEMPLATE), F.lit("{$}"), F.coalesce(c, F.lit(""))), F.lit("\n"))
     target = format_block("question", "options", with_answer=False)
+    if additive is None:
+        additive = counter is word_count
     if additive:
-        w = Window.partitionBy("category").orderBy(F.col("question_id"))
-        top_ex = (exemplars.select("category", "question_id", render.alias("_txt"))
-                  .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-                  .withColumn("_n", counter(F.col("_txt"))))
-        pre = top_ex.groupBy("category").agg(
-            F.array_sort(F.collect_list(F.struct("_rn", "_txt", "_n"))).alias("_ex"))
-        pre = pre.select("category", F.transform("_ex", lambda s: s["_txt"]).alias("_ex"),
-                         F.transform("_ex", lambda s: s["_n"]).alias("_cnt"))
-        pre = broadcast_if_small(pre, max_categories)
+        pre = exemplar_texts(exemplars, k, render)
+        pre = pre.select("category", F.col("exemplars").alias("_ex"), F.transform("exemplars", counter).alias("_cnt"))
         qs = questions.select("question_id", "category", "question", "options")
-        cats = qs.select("category").distinct()
-        hdr = cats.select("category", counter(header_of(F.col("category"))).alias("_hn"))
-        base = (qs.join(pre, "category", "left").join(hdr, "category")
-                .select("question_id", "category", "_hn", counter(target).alias("_tn"),
+        base = (qs.join(pre, "category", "left")
+                .select("question_id", "category", counter(header_of(F.col("category"))).alias("_hn"), counter(target).alias("_tn"),
                         F.coalesce("_ex", F.array().cast("array<string>")).alias("_ex"),
                         F.coalesce("_cnt", F.array().cast("array<bigint>")).alias("_cnt"),
                         "question", "options"))
@@ -145,7 +134,7 @@ def fit_kshot(questions: DataFrame, exemplars: DataFrame, k: int = 5, limit: int
                           F.when(F.col("best").isNotNull(), prompt).alias("prompt"),
                           F.col("best").isNull().alias("overflow"))
 
-    pre = broadcast_if_small(exemplar_texts(exemplars, k, render), max_categories)
+    pre = exemplar_texts(exemplars, k, render)
     base = questions.join(pre, "category", "left").select(
         "question_id", "category", header_of(F.col("category")).alias("_h"), target.alias("_t"),
         F.coalesce(F.col("exemplars"), F.array().cast("array<string>")).alias("_ex"))
@@ -201,51 +190,52 @@ def style_grid(questions: DataFrame) -> DataFrame:
                     F.concat(header, F.lit("\n\n"), body).alias("prompt"))
 
 
-def chunk_deltas(chunks: DataFrame, save_thinking: bool = False, counter=word_count) -> DataFrame:
+def chunk_deltas(chunks: DataFrame, save_thinking: bool = False, counter=word_count, carry=()) -> DataFrame:
     """Per chunk: ``_delta`` tokens (reasoning + content), ``_keep`` (the
-    text kept in the response) and ``_nonempty`` (empty deltas are skipped,
-    as in the reference)."""
+    text kept in the response) and ``_nonempty``. A chunk with a usage count
+    is only that: its text is skipped, like empty deltas."""
     txt = F.concat(F.coalesce("reasoning", F.lit("")), F.coalesce("content", F.lit("")))
     keep = txt if save_thinking else F.coalesce(F.col("content"), F.lit(""))
-    return chunks.select("request_id", "seq", "usage_total_tokens", counter(txt).alias("_delta"),
-                         keep.alias("_keep"), (txt != "").alias("_nonempty"))
+    return chunks.select("request_id", "seq", "usage_total_tokens", counter(txt).alias("_delta"), keep.alias("_keep"),
+                         (F.col("usage_total_tokens").isNull() & (txt != "")).alias("_nonempty"), *carry)
 
 
 def assemble(chunks: DataFrame, prompt_tokens=0, max_tokens: int = 32768,
              save_thinking: bool = False, counter=word_count) -> DataFrame:
     """Per request, the ordered concatenation of streamed deltas.
 
-    Running total = prompt tokens + the tokens of each non-empty delta so
-    far; the first delta that takes it past ``max_tokens`` aborts the
-    request (status ``max_tokens``, the response is the sentinel, counts are
-    those at the abort). Otherwise a request without a usage count fails
-    (``missing_usage``) and a complete one reports the server's count.
-    The per-request list is ordered by ``seq`` and the running totals are
-    computed inside the row (one pass with ``aggregate``).
+    Running total = prompt tokens + the tokens of each delta so far; the
+    first delta that takes it past ``max_tokens`` aborts the request (status
+    ``max_tokens``, the response is the sentinel, counts are those at the
+    abort). Otherwise a request without a usage count fails
+    (``missing_usage``) and a complete one reports the last one received.
+
+    A request's deltas are one list, bounded by ``max_tokens`` in a live
+    stream; where stored chunks go on beyond it, the texts are not gathered:
+    the running total carries three numbers through the list, so the work is
+    linear in the chunks, and texts are collected for complete requests only.
     """
     c = chunk_deltas(chunks, save_thinking, counter)
     pt = (F.lit(prompt_tokens) if isinstance(prompt_tokens, int) else _c(prompt_tokens)).cast("bigint")
     g = c.groupBy("request_id").agg(
-        F.max("usage_total_tokens").alias("usage"),
-        F.array_sort(F.collect_list(F.when(F.col("_nonempty"), F.struct("seq", "_delta", "_keep"))))
-        .alias("_parts"))
-    runs = F.aggregate("_parts", F.array().cast("array<bigint>"), lambda acc, p: F.array_append(
-        acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), pt) + p["_delta"]))
-    g = g.withColumn("_runs", runs)
-    cut = F.array_position(F.transform("_runs", lambda r: r > max_tokens), True)
-    g = g.withColumn("_cut", cut)
-    over = F.col("_cut") > 0
-    est = F.when(over, F.element_at("_runs", F.col("_cut").cast("int"))) \
-        .otherwise(F.coalesce(F.try_element_at("_runs", F.lit(-1)), pt))
-    status = F.when(over, F.lit("max_tokens")).when(F.col("usage").isNull(), F.lit("missing_usage")) \
-        .otherwise(F.lit("ok"))
-    text = F.array_join(F.transform("_parts", lambda s: s["_keep"]), "")
-    return g.select("request_id",
-                    F.when(over, F.col("_cut")).otherwise(F.size("_parts")).cast("bigint").alias("n_chunks"),
-                    est.cast("bigint").alias("est_tokens"), status.alias("status"),
-                    F.when(over, F.lit(MAX_TOKENS_TEXT)).when(F.col("usage").isNull(), F.lit(None).cast("string"))
-                    .otherwise(text).alias("response"),
-                    F.when(status == "ok", F.col("usage")).alias("final_tokens"))
+        F.max_by("usage_total_tokens", F.when(F.col("usage_total_tokens").isNotNull(), F.col("seq"))).alias("usage"),
+        F.array_sort(F.collect_list(F.when(F.col("_nonempty"), F.struct("seq", "_delta")))).alias("_deltas"))
+    start = F.struct(pt.alias("run"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("cut"))
+    add = lambda acc, d: F.when(acc["cut"] > 0, acc).otherwise(F.struct(
+        (acc["run"] + d["_delta"]).alias("run"), (acc["n"] + 1).alias("n"),
+        F.when(acc["run"] + d["_delta"] > max_tokens, acc["n"] + 1).otherwise(F.lit(0)).cast("bigint").alias("cut")))
+    g = g.select("request_id", "usage", F.aggregate("_deltas", start, add).alias("_a"))
+    status = (F.when(F.col("_a.cut") > 0, F.lit("max_tokens")).when(F.col("usage").isNull(), F.lit("missing_usage")).otherwise(F.lit("ok")))
+    g = g.select("request_id", F.col("_a.n").alias("n_chunks"), F.col("_a.run").alias("est_tokens"), status.alias("status"), "usage")
+    whole = g.where("status = 'ok'").select("request_id")
+    texts = (c.where("_nonempty").join(whole, "request_id", "left_semi").groupBy("request_id")
+             .agg(F.array_sort(F.collect_list(F.struct("seq", "_keep"))).alias("_parts"))
+             .select("request_id", F.array_join(F.transform("_parts", lambda p: p["_keep"]), "").alias("_text")))
+    ok = F.col("status") == "ok"
+    return g.join(texts, "request_id", "left").select(
+        "request_id", "n_chunks", "est_tokens", "status",
+        F.when(F.col("status") == "max_tokens", F.lit(MAX_TOKENS_TEXT)).when(ok, F.coalesce("_text", F.lit(""))).alias("response"),
+        F.when(ok, F.col("usage")).alias("final_tokens"))
 
 
 __all__ = ["fewshot", "fit_kshot", "style_grid", "assemble", "chunk_deltas", "exemplar_texts"]

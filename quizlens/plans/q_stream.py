@@ -169,17 +169,23 @@ def results_roundtrip(spark, sf):
                        "category", "src", "pred", "model_outputs")
 
 
-@register("stream_assemble", "select * from (" + ORACLE["assemble_thinking"] + ") where status <> 'missing_usage'")
+@register("stream_assemble", ORACLE["assemble_thinking"])
 def stream_assemble(spark, sf):
-    """ST6: chunks arrive in three slices of turns; each request is emitted
-    when its usage arrives or its budget is exceeded (requests still
-    waiting for usage are in state, reported only on timeout)."""
+    """ST6: chunks arrive in three slices of turns, a turn a minute; a request
+    is emitted when it passes its budget or has been quiet for long. One chunk
+    of another request, days later, ends the stream and is left out again."""
     from ..streaming.chunks import assemble_stream
     out = fresh_dir(spark, "assemble-out")
-    seq = F.col("seq")
-    run_in_slices(spark, fx.chunks(spark, sf), [seq <= 2, (seq > 2) & (seq <= 5), seq > 5],
-                  lambda read: assemble_stream(read(), 0, 300, True), out)
-    return spark.read.parquet(out)
+    seq, at = F.col("seq"), F.timestamp_seconds(F.lit(1704067200) + F.col("seq") * 60)
+    c = fx.chunks(spark, sf).withColumn("et", at)
+    end = (c.agg(F.max("et").alias("et")).select(F.lit(-1).cast("bigint").alias("request_id"), F.lit(0).cast("int").alias("seq"),
+           F.lit("").alias("reasoning"), F.lit("").alias("content"), F.lit(None).cast("bigint").alias("usage_total_tokens"),
+           (F.col("et") + F.expr("interval 9 days")).alias("et")))
+    all_chunks = c.unionByName(end.withColumn("seq", F.col("seq").cast(c.schema["seq"].dataType)))
+    real, last = F.col("request_id") >= 0, F.col("request_id") < 0
+    run_in_slices(spark, all_chunks, [real & (seq <= 2), real & (seq > 2) & (seq <= 5), real & (seq > 5), last],
+                  lambda read: assemble_stream(read(), 0, 300, True, delay="1 day", quiet=3600), out)
+    return spark.read.parquet(out).where("request_id >= 0")
 
 
 QUESTION_STATE_SQL = with_views(f"""

@@ -100,6 +100,7 @@ K_SHOTS = 5
 
 
 def _fewshot_sql(style: str) -> str:
+    k = "" if style == "api" else f"where rn <= {K_SHOTS}"      # the API runners take all exemplars
     render = (inline_sql("question", "options", "cot_content") if style == "api"
               else block_sql("question", "options", "cot_content", True))
     target = inline_sql("t.question", "t.options", None) if style == "api" else \
@@ -111,7 +112,7 @@ ex as (select category, {render} as txt,
          row_number() over (partition by category order by question_id) as rn
        from cq where split = 'validation'),
 pre as (select category, string_agg(txt, '' order by rn) as prefix, count(*) as n
-        from ex where rn <= {K_SHOTS} group by category)
+        from ex {k} group by category)
 select t.question_id, t.category,
   {header.replace('category', 't.category')} || coalesce(pre.prefix, '') || {target} as prompt,
   coalesce(pre.n, 0) as n_shots
@@ -122,7 +123,7 @@ def _fewshot(style):
     def fn(spark, sf):
         q = _cq(spark, sf)
         test, ex = q.where(F.col("split") == "test"), q.where(F.col("split") == "validation")
-        return P.fewshot(test, ex, K_SHOTS, style)
+        return P.fewshot(test, ex, None if style == "api" else K_SHOTS, style)
     return fn
 
 
@@ -200,12 +201,12 @@ def token_count(spark, sf):
 def _assemble_sql(max_tokens: int, save_thinking: bool) -> str:
     keep = "txt" if save_thinking else "coalesce(content, '')"
     return with_views(f"""
-with c as (select *, coalesce(reasoning, '') || coalesce(content, '') as txt from chunks),
+with c as (select *, case when usage_total_tokens is null then coalesce(reasoning, '') || coalesce(content, '') else '' end as txt from chunks),
 d as (select *, {words('txt')} as delta, {keep} as keep from c),
 ne as (select request_id, seq, keep, cast(sum(delta) over w as bigint) as run, row_number() over w as rn
        from d where txt <> ''
        window w as (partition by request_id order by seq rows between unbounded preceding and current row)),
-u as (select request_id, max(usage_total_tokens) as usage from d group by request_id),
+u as (select request_id, arg_max(usage_total_tokens, seq) filter (where usage_total_tokens is not null) as usage from d group by request_id),
 a as (select request_id, count(*) as n_all, max(run) as total,
         min(rn) filter (where run > {max_tokens}) as cut, arg_min(run, rn) filter (where run > {max_tokens}) as cut_run,
         string_agg(keep, '' order by seq) as body
