@@ -3,8 +3,8 @@
 ``generate`` runs a user function over batches of prompts with
 ``mapInPandas``: rows stay in their partitions, the function is created
 once per task, and every output is matched to its prompt by id (never by
-position across batches). A batch that raises yields null responses - a
-failed call leaves no answer, so the question stays pending (P12).
+position across batches). A prompt whose call fails has a null response and
+an error - it leaves no answer, so the question stays pending (P12).
 """
 
 from __future__ import annotations
@@ -28,24 +28,37 @@ def stub_answerer(prompts: list[str]) -> list[str]:
 def generate(df: DataFrame, fn: Callable[[list[str]], list], id_col: str = "question_id",
              prompt_col: str = "prompt", batch_size: int = 64,
              factory: Callable[[], Callable] | None = None) -> DataFrame:
-    """``(id, response)`` for every prompt. ``factory`` (optional)
+    """``(id, response, error)`` for every prompt. ``factory`` (optional)
     builds the function once per task, for models or clients that are
-    expensive to create; otherwise ``fn`` is used as is."""
+    expensive to create; otherwise ``fn`` is used as is. Prompts of a batch
+    that fails are called one by one; one that fails alone has a null response
+    and the error's text."""
     id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("response", T.StringType())])
+    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+
+    def call(f, prompts):
+        out = list(f(prompts))
+        if len(out) != len(prompts):
+            raise ValueError(f"function returned {len(out)} outputs for {len(prompts)} prompts")
+        return out
+
+    def alone(f, prompt):
+        try:
+            return call(f, [prompt])[0], None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = factory() if factory is not None else fn
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
+                prompts = part[prompt_col].tolist()
                 try:
-                    out = list(f(part[prompt_col].tolist()))
-                    if len(out) != len(part):
-                        raise ValueError("function returned a different number of outputs")
+                    out = [(r, None) for r in call(f, prompts)]
                 except Exception:
-                    out = [None] * len(part)
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "response": out})
+                    out = [alone(f, p) for p in prompts]
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "response": [r for r, _ in out], "error": [e for _, e in out]})
 
     return df.select(id_col, prompt_col).mapInPandas(run, schema)
 

@@ -32,8 +32,7 @@ def running_accuracy(scored: DataFrame, keys=("model", "category"), order: str =
     """After every answer (in ``order``), answered / correct so far and
     the running accuracy - the summary the reference rewrites per answer."""
     keys = list(keys)
-    d = scan.running_sum(scored, keys, order, F.lit(1).cast("bigint"), "answered", (), block_size)
-    d = scan.running_sum(d, keys, order, F.col("hit").cast("bigint"), "correct", (), block_size)
+    d = scan.running_sums(scored, keys, order, {"answered": F.lit(1).cast("bigint"), "correct": F.col("hit").cast("bigint")}, (), block_size)
     return d.withColumn("running_acc", F.col("correct") / F.col("answered"))
 
 
@@ -43,12 +42,8 @@ def positions(wrong: DataFrame, keys=("category",), order: str = "seq", page_siz
     (``[FIRST]``, ``[LAST]``, ``[ONLY ONE]``) and the page (``page_size``
     rows per page). ``keys=()`` numbers one list over everything."""
     keys = list(keys)
-    d = scan.running_sum(wrong, keys, order, F.lit(1).cast("bigint"), "position", (), block_size)
-    n = wrong.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else None
-    if keys:
-        d = d.join(n, keys)
-    else:
-        d = d.withColumn("n", wrong.select(F.count(F.lit(1))).scalar())
+    d = scan.running_sums(wrong, keys, order, {"position": F.lit(1).cast("bigint")}, (), block_size, totals=("position",))
+    d = d.withColumnRenamed("position_total", "n")
     pos, cnt = F.col("position"), F.col("n")
     mark = (F.when((pos == 1) & (cnt > 1), F.lit("[FIRST]"))
             .when((pos == cnt) & (cnt > 1), F.lit("[LAST]"))

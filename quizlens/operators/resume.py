@@ -11,7 +11,10 @@ skew-join handling instead of landing whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import extract
@@ -58,21 +61,31 @@ def merge(old: DataFrame, new: DataFrame, keys=MERGE_KEYS, mode: str = "all",
         on = keys
     elif mode == "first":
         first = old.groupBy(*keys).agg(F.min(order).alias(order))
-        target = upd.join(first, keys)          # one row per key on both sides
+        first = first.select(*[F.col(c).alias(f"_k_{c}") for c in keys], order)
+        target = upd.join(first, _same({c: f"_k_{c}" for c in keys})).drop(*[f"_k_{c}" for c in keys])   # one row per key on both sides
         on = keys + [order]                      # (key, seq) spreads a hot key
     else:
         raise ValueError("mode must be 'all' or 'first'")
-    # the flag tells a matched row apart from a match with null values
-    j = old.join(target.withColumn("_m", F.lit(1)).drop("_n_seq"), on, "left")
+    # null keys are equal, as in the grouping; the flag tells a matched row
+    # apart from a match with null values
+    target = target.withColumn("_m", F.lit(1)).drop("_n_seq")
+    target = target.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in target.columns if c not in on])
+    j = old.join(target, _same({c: f"_k_{c}" for c in on}), "left")
     replaced = F.col("_m").isNotNull()
     kept = j.select(*keys, order, *[F.when(replaced, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
                                     for c in vals])
-    appended = (upd.join(old.select(*keys).distinct(), keys, "left_anti")
+    there = old.select(*[F.col(c).alias(f"_k_{c}") for c in keys]).distinct()
+    appended = (upd.join(there, _same({c: f"_k_{c}" for c in keys}), "left_anti")
                    .select(*keys, F.col("_n_seq").alias(order),
                            *[F.col(f"_n_{c}").alias(c) for c in vals]))
     return kept.unionByName(appended).select(*old.columns)
 
 
+def _same(pairs: dict) -> Column:
+    """Null-safe equality of column pairs."""
+    return reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in pairs.items()))
+
+
 def lookup_cached(questions: DataFrame, results: DataFrame, keys=MERGE_KEYS,
                   cascade: str = "l2") -> DataFrame:
     """J2 + E6: attach the first saved result with equal (id, question);
@@ -114,6 +127,33 @@ def pending(questions: DataFrame, results: DataFrame, rerun_max_tokens: bool = F
     return todo
 
 
+def resume_plan(questions: DataFrame, results: DataFrame, rerun_max_tokens: bool = False,
+                rerun_unknown: bool = False) -> DataFrame:
+    """All questions with ``state``: ``pending`` (no result, or selected
+    for a rerun), else ``success`` or ``wrong`` by the first saved result; one
+    without a prediction is wrong."""
+    first = dedup_first(results.select("question_id", "seq", "pred", "answer"), "question_id", "seq")
+    first = first.select("question_id", F.coalesce(F.col("pred") == F.col("answer"), F.lit(False)).alias("_right"))
+    j = questions.join(first, "question_id", "left")
+    again = F.lit(False)
+    if rerun_max_tokens or rerun_unknown:
+        ids = rerun_candidates(results, rerun_max_tokens, rerun_unknown).select("question_id", F.lit(True).alias("_again"))
+        j, again = j.join(ids, "question_id", "left"), F.coalesce(F.col("_again"), F.lit(False))
+    state = F.when(F.col("_right").isNull() | again, "pending").when(F.col("_right"), "success").otherwise("wrong")
+    return j.withColumn("state", state).drop("_right", "_again")
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Tables put together by column name; a missing column is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def merge_shards(parts: list[DataFrame], key="question_id", order: str = "seq") -> DataFrame:
+    """U4: the results of all shards that have any, first row per key."""
+    out = union_all(parts)
+    return dedup_first(out, key, order).select(*out.columns)
+
+
 def drop_failed(results: DataFrame) -> DataFrame:
     """A failed call leaves no row, so it is picked up again later."""
     return results.where(F.col("model_outputs").isNotNull())

@@ -18,6 +18,9 @@ bounded by the block size instead of by the hottest key.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,27 +48,34 @@ def _clustered(df: DataFrame, keys: list[str], order: str, block_size: int) -> D
     return with_block(df, order, block_size).repartition(*keys, "_blk").checkpoint(eager=True)
 
 
-def running_sum(df: DataFrame, keys, order: str, value: Column, out: str,
-                tiebreak: tuple[str, ...] = (), block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the key up to and including
-    this one in (order, *tiebreak) order (ROWS frame); null while only
-    nulls were seen, as a window SUM."""
-    keys = _keys(keys)
-    x = _clustered(df.withColumn("_v", value), keys, order, block_size)
+def running_sums(df: DataFrame, keys, order: str, values: dict[str, Column], tiebreak: tuple[str, ...] = (),
+                 block_size: int = DEFAULT_BLOCK, totals: tuple[str, ...] = ()) -> DataFrame:
+    """For each ``name: value``, the sum of ``value`` over rows of the key up
+    to and including this one in (order, *tiebreak) order (ROWS frame); null
+    while only nulls were seen, as a window SUM. ``totals`` names those whose
+    sum over the whole key is added as ``name_total``. All are computed in one
+    pass: one clustered copy, one summary row per block, one join."""
+    keys, names = _keys(keys), list(values)
+    x = _clustered(df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()]), keys, order, block_size)
     w = (Window.partitionBy(*keys, "_blk").orderBy(order, *tiebreak)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    wall = Window.partitionBy(*keys, "_blk")
-    inb = (x.withColumn("_in", F.sum("_v").over(w)).withColumn("_inn", F.count("_v").over(w))
-            .withColumn("_bt", F.sum("_v").over(wall)).withColumn("_bn", F.count("_v").over(wall)))
-    tot = inb.groupBy(*keys, "_blk").agg(F.first("_bt").alias("_bt"), F.first("_bn").alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
-                     F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_offn"))
-    seen = F.col("_offn") + F.col("_inn")
-    val = F.col("_off") + F.coalesce(F.col("_in"), F.lit(0))
-    return (inb.join(off, keys + ["_blk"])
-               .withColumn(out, F.when(seen > 0, val))
-               .drop("_v", "_blk", "_off", "_offn", "_in", "_inn", "_bt", "_bn"))
+    inb = x.select("*", *[F.sum(f"_v_{n}").over(w).alias(f"_in_{n}") for n in names])
+    tot = x.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    wb, wk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    off = tot.select(*keys, "_blk", *[F.sum(f"_t_{n}").over(wb).alias(f"_off_{n}") for n in names],
+                     *[F.sum(f"_t_{n}").over(wk).alias(f"{n}_total") for n in totals])
+    on = reduce(and_, (inb[k].eqNullSafe(off[k]) for k in [*keys, "_blk"]))
+    out = inb.join(off, on).drop(*[off[k] for k in [*keys, "_blk"]])
+    for n in names:
+        out = out.withColumn(n, F.when(F.col(f"_in_{n}").isNotNull() | F.col(f"_off_{n}").isNotNull(),
+                                       F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_off_{n}", F.lit(0))))
+    return out.drop("_blk", *[f"_{p}_{n}" for n in names for p in ("v", "in", "off")])
+
+
+def running_sum(df: DataFrame, keys, order: str, value: Column, out: str,
+                tiebreak: tuple[str, ...] = (), block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, keys, order, {out: value}, tiebreak, block_size)
 
 
 def carry_forward(df: DataFrame, keys, order: str, value: Column, out: str,

@@ -33,9 +33,15 @@ def with_prediction(df: DataFrame, cascade: str = "l2", text: str = "model_outpu
     return df.withColumn(out, extract(text, cascade))
 
 
+DRAW_KEYS = ("model", "question_id", "style_id", "attempt")
+
+
 def score(df: DataFrame, policy: str = "wrong", pred: str = "pred",
-          seed: str = DEFAULT_SEED, keys=("model", "question_id")) -> DataFrame:
-    """A5: add ``credit`` (units of 1/CREDIT_SCALE) and ``hit`` (0/1)."""
+          seed: str = DEFAULT_SEED, keys=None) -> DataFrame:
+    """A5: add ``credit`` (units of 1/CREDIT_SCALE) and ``hit`` (0/1).
+    ``options`` are the cleaned ones (P1). Draws differ by row: their keys are
+    those of ``DRAW_KEYS`` that ``df`` has, unless given."""
+    keys = keys or [k for k in DRAW_KEYS if k in df.columns]
     units = credit_units(pred, "answer", "answer_index", "options", policy, seed, keys)
     return (df.withColumn("credit", units)
               .withColumn("hit", (F.col("credit") == CREDIT_SCALE).cast("int")))
@@ -53,7 +59,7 @@ def _counts(policy: str):
         corr = F.sum("credit").cast("double") / CREDIT_SCALE
     else:
         corr = F.sum("hit").cast("bigint")
-    return n.alias("n"), corr.alias("corr")
+    return n.alias("n"), corr.cast("double" if _fractional(policy) else "bigint").alias("corr")
 
 
 def summary(scored: DataFrame, by=("model", "category"), policy: str = "wrong",
@@ -96,13 +102,11 @@ def leaderboard_by_category(responses: DataFrame, questions: DataFrame,
     rank within its category. Responses that already carry the gold columns
     are not joined again."""
     df = attach_gold(responses, questions)
-    df = df.select("model", "category", "answer", "answer_index", "options",
-                   "question_id", extract("model_outputs", "l1").alias("pred_l1"),
+    df = df.select("category", "answer", "answer_index", "options", *[k for k in DRAW_KEYS if k in df.columns], extract("model_outputs", "l1").alias("pred_l1"),
                    extract("model_outputs", "l2").alias("pred"))
     df = score(df, policy)
     g = df.groupBy("model", "category").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("hit").cast("bigint").alias("corr"),
+        *_counts(policy),
         F.count_if(F.col("pred_l1") == F.col("answer")).alias("l1_corr"),
         F.count_if(F.col("pred_l1").isNull()).alias("l1_null"),
         F.count_if(F.col("pred").isNull()).alias("l2_null"))
@@ -118,11 +122,12 @@ def per_file_accuracy(results: DataFrame, levels=("l1", "l2"), by=("model", "cat
     """A3: succ / fail / acc per file (group) and extraction level, missing
     answers drawn uniformly from ten letters. One scan, both levels."""
     by = list(by)
-    base = results.select(*by, "question_id", "answer", "answer_index", "options", "model_outputs")
+    keys = [k for k in DRAW_KEYS if k in results.columns]
+    base = results.select(*dict.fromkeys([*by, *keys, "answer", "answer_index", "options", "model_outputs"]))
     per_level = [
         F.struct(F.lit(lv).alias("level"),
                  credit_units(extract("model_outputs", lv), "answer", "answer_index", "options",
-                              "uniform10", f"{seed}:{lv}", ("model", "question_id")).alias("credit"))
+                              "uniform10", f"{seed}:{lv}", keys).alias("credit"))
         for lv in levels]
     long = base.select(*by, F.inline(F.array(*per_level)))
     g = long.groupBy(*by, "level").agg(
@@ -178,70 +183,106 @@ def mode_delta(scored: DataFrame, modes=("cot", "direct"), policy: str = "wrong"
     """Accuracy per mode pivoted, and the difference first - second."""
     n, corr = _counts(policy)
     a, b = modes
-    p = (scored.groupBy("model").pivot("mode", list(modes))
-         .agg(F.try_divide(F.sum("hit").cast("double"), F.count(F.lit(1)).cast("double"))))
+    p = scored.groupBy("model").pivot("mode", list(modes)).agg(F.try_divide(corr, n))
     return p.select("model", F.col(a).alias(f"acc_{a}"), F.col(b).alias(f"acc_{b}"),
                     (F.col(a) - F.col(b)).alias("delta"))
 
 
-def best_of_n(scored: DataFrame, retry_wrong: int = 0, key=("model", "question_id"),
+def paired_drop(first: DataFrame, second: DataFrame, policy: str = "wrong") -> DataFrame:
+    """Every model's accuracy on two benchmarks and the drop from the
+    first to the second; models without one of them have nulls."""
+    n, corr = _counts(policy)
+    acc = lambda df, name: df.groupBy("model").agg(n, corr).select("model", F.try_divide("corr", "n").alias(name))
+    j = acc(first, "acc_first").join(acc(second, "acc_second"), "model", "full_outer")
+    return j.withColumn("drop", F.col("acc_first") - F.col("acc_second"))
+
+
+def attempt_runs(scored: DataFrame, retry_wrong: int = 0, retry: int = 1, key=("model", "question_id"),
+                 order: str = "attempt_mq") -> DataFrame:
+    """A9 + A10: what the retries of every key come to, attempts in ``order``.
+
+    A max-token attempt repeats the same answer attempt; ``retry`` of them in
+    one answer attempt (at least one) abort the key. A failed call (null
+    output) is repeated without counting. A wrong answer starts a new answer
+    attempt, ``retry_wrong`` times. The sequence ends with a right answer, an
+    abort or the last allowed wrong answer; later rows do not count.
+
+    Only a letter code, position and prediction of each attempt are shuffled
+    (no text); a key's list is as long as its attempts, and one fold carries a
+    few numbers through it. ``wait`` is the backoff: min(2^n, 30) s after the
+    n-th max-token attempt that does not abort."""
+    key, limit = list(key), max(retry, 1)
+    code = (F.when(F.col("model_outputs").isNull(), "failed").when(F.col("model_outputs") == MAX_TOKENS_TEXT, "max_tokens")
+            .when(F.col("hit") == 1, "right").otherwise(output_status("model_outputs")))
+    rows = scored.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), code.alias("code"), F.col("pred")))).alias("rows"))
+    num = lambda n: F.lit(n).cast("bigint")
+    start = F.struct(F.lit(False).alias("over"), num(0).alias("n"), num(0).alias("run"), num(0).alias("max_tokens"), num(0).alias("wrong"),
+                     num(0).alias("wait"), F.lit(None).cast("struct<at:bigint,code:string,pred:string>").alias("final"))
+
+    def step(a, r):
+        r = F.struct(r["at"].cast("bigint").alias("at"), r["code"].alias("code"), r["pred"].alias("pred"))
+        full, failed, right = r["code"] == "max_tokens", r["code"] == "failed", r["code"] == "right"
+        run = F.when(full, a["run"] + 1).when(failed, a["run"]).otherwise(num(0))
+        wrong = a["wrong"] + (~full & ~failed & ~right).cast("bigint")
+        over = right | (run >= limit) | (wrong > retry_wrong)
+        answered = a["final"].isNotNull() & ~a["final"]["code"].isin("max_tokens", "failed")
+        return F.when(a["over"], a).otherwise(F.struct(
+            over.alias("over"), (a["n"] + 1).alias("n"), run.alias("run"), (a["max_tokens"] + full.cast("bigint")).alias("max_tokens"),
+            wrong.alias("wrong"), (a["wait"] + F.when(full & ~over, F.least(F.pow(F.lit(2), run).cast("bigint"), num(30))).otherwise(num(0))).alias("wait"),
+            F.when((full | failed) & ~over & answered, a["final"]).otherwise(r).alias("final")))
+
+    return rows.select(*key, F.aggregate("rows", start, step).alias("r")).select(*key, "r.*")
+
+
+def best_of_n(scored: DataFrame, retry_wrong: int = 0, retry: int = 1, key=("model", "question_id"),
               order: str = "attempt_mq") -> DataFrame:
-    """Attempts in ``order``; retry while wrong up to ``retry_wrong``
-    times. The first right or aborted (max-token) attempt ends the sequence,
-    otherwise the last allowed attempt is kept. Pure min_by/max_by
-    aggregation (partial aggregation, no per-key sort)."""
+    """The attempt that stands per key (see ``attempt_runs``): the right
+    one, the aborted one, or the last answer."""
     key = list(key)
-    o = F.col(order)
-    kept = scored.where(o <= retry_wrong + 1)
-    terminal = (F.col("hit") == 1) | (F.col("model_outputs") == MAX_TOKENS_TEXT)
-    row = F.struct(o.alias("attempt"), F.col("pred"), F.col("model_outputs"), F.col("hit"))
-    g = kept.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_attempts"),
-        F.min_by(row, F.when(terminal, o)).alias("first_terminal"),
-        F.max_by(row, o).alias("last_row"))
-    fin = F.coalesce(F.col("first_terminal"), F.col("last_row"))
-    aborted = fin["model_outputs"] == MAX_TOKENS_TEXT
-    return g.select(*key, "n_attempts",
-                    fin["attempt"].alias("final_attempt"),
-                    F.when(aborted, F.lit(None).cast("string")).otherwise(fin["pred"]).alias("final_pred"),
-                    output_status(fin["model_outputs"]).alias("final_status"),
-                    F.when(aborted, F.lit(0)).otherwise(fin["hit"]).cast("int").alias("correct"))
-
-
-def attempt_accounting(responses: DataFrame, retry: int = 1, key=("model", "question_id")) -> DataFrame:
-    """A10: max-token attempts per key; abort once they reach ``retry``
-    (``retry`` 0 aborts at the first as well); the backoff waited before
-    each allowed retry is min(2^n, 30) s, summed in closed form
-    (2^(k+1)-2 for k <= 4, then 30 s each)."""
+    code = F.col("final.code")
+    return attempt_runs(scored, retry_wrong, retry, key, order).select(
+        *key, F.col("n").alias("n_attempts"), F.col("final.at").alias("final_attempt"),
+        F.when(~code.isin("max_tokens", "failed"), F.col("final.pred")).alias("final_pred"),
+        F.when(code == "right", F.lit("ok")).otherwise(code).alias("final_status"), (code == "right").cast("int").alias("correct"))
+
+
+def attempt_accounting(scored: DataFrame, retry_wrong: int = 0, retry: int = 1, key=("model", "question_id"),
+                       order: str = "attempt_mq") -> DataFrame:
+    """A10: attempts made and max-token attempts per key, whether it was
+    aborted, and the backoff waited."""
     key = list(key)
-    g = responses.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.count_if(F.col("model_outputs") == MAX_TOKENS_TEXT).alias("max_token_attempts"))
-    mt = F.col("max_token_attempts")
-    aborted = (mt >= F.lit(max(retry, 1))).cast("int")
-    k = F.least(mt, F.lit(max(retry - 1, 0)))          # retries that waited
-    waited = F.when(k <= 4, F.pow(F.lit(2), k + 1).cast("bigint") - 2).otherwise((k - 3) * 30)
-    return g.select(*key, "attempts", "max_token_attempts", aborted.alias("aborted"),
-                    waited.cast("bigint").alias("wait_seconds"))
+    return attempt_runs(scored, retry_wrong, retry, key, order).select(
+        *key, F.col("n").alias("attempts"), F.col("max_tokens").alias("max_token_attempts"),
+        (F.col("over") & (F.col("final.code") == "max_tokens")).cast("int").alias("aborted"), F.col("wait").alias("wait_seconds"))
 
 
 def status_counts(questions: DataFrame, results: DataFrame, by=("category",)) -> DataFrame:
     """Success / wrong / pending per group and the live accuracy
     success / (success + wrong) * 100 (0 when nothing finished). ``results``
-    holds one row per finished question (``question_id``, ``pred``)."""
+    holds one row per finished question (``question_id``, ``pred``); one
+    without a prediction is wrong, pending is what has no row."""
     by = list(by)
-    r = results.select("question_id", F.col("pred").alias("_pred"))
+    r = results.select("question_id", F.col("pred").alias("_pred"), F.lit(1).alias("_done"))
     j = questions.select("question_id", "answer", *by).join(r, "question_id", "left")
     g = j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("_pred") == F.col("answer")).alias("success"),
-        F.count_if(F.col("_pred").isNotNull() & (F.col("_pred") != F.col("answer"))).alias("wrong"))
+        F.count_if(F.col("_done").isNotNull() & ~F.coalesce(F.col("_pred") == F.col("answer"), F.lit(False))).alias("wrong"))
     return g.select(*by, "total", "success", "wrong",
                     (F.col("total") - F.col("success") - F.col("wrong")).alias("pending"),
                     F.coalesce(F.try_divide(F.col("success") * 100.0, F.col("success") + F.col("wrong")),
                                F.lit(0.0)).alias("accuracy"))
 
 
+def batch_times(calls: DataFrame, by=("model",)) -> DataFrame:
+    """Per group, calls, seconds in total, per call and of the longest,
+    and tokens/s, from ``calls`` with ``seconds`` and ``tokens`` of every call
+    or batch."""
+    return calls.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("seconds").alias("seconds"), F.avg("seconds").alias("mean_seconds"),
+        F.max("seconds").alias("max_seconds"), F.try_divide(F.sum("tokens"), F.sum("seconds")).alias("tokens_per_second"))
+
+
 def token_totals(responses: DataFrame, by=("model",), approx_quantiles: bool = False) -> DataFrame:
     """Token totals per group (sum, mean, min, max); with
     ``approx_quantiles`` also p50/p95 via bounded-memory sketches."""

@@ -59,15 +59,20 @@ select conv_id as request_id, turn as seq,
   case when role = 'assistant' then text else '' end as content,
   case when turn = max(turn) over (partition by conv_id) and conv_id % 7 <> 0 then cast(length(text) as bigint) end as usage_total_tokens
 from conversations""",
+    "allsaved": """
+select (cast(string_split(r.model, '_')[-1] as bigint) * 1000000000 + r.question_id) * 1000 + r.attempt_mq as seq, r.model, r.question_id,
+  q.question, q.category, q.answer, nullif(regexp_extract(r.model_outputs, 'answer is [(]?([A-J])', 1), '') as pred, r.model_outputs
+from resp r join q on r.question_id = q.question_id
+where r.model_outputs is not null""",
     "res": """
-select s.question_id, s.seq, s.question, s.category, s.answer, s.pred, s.model_outputs,
+select s.model, s.question_id, s.seq, s.question, s.category, s.answer, s.pred, s.model_outputs,
   q.options, q.answer_index, q.cot_content, q.src
-from saved s join q on s.question_id = q.question_id
-qualify row_number() over (partition by s.question_id order by s.seq) = 1""",
+from allsaved s join q on s.question_id = q.question_id
+qualify row_number() over (partition by s.model, s.question_id order by s.seq) = 1""",
 }
 
 _DEPS = {"q": [], "resp": ["q"], "saved": ["q", "resp"], "tele": [], "chunks": [],
-         "res": ["q", "saved"]}
+         "allsaved": ["q", "resp"], "res": ["q", "allsaved"]}
 
 
 def with_views(body: str, *names: str) -> str:

@@ -68,7 +68,7 @@ _RES_COLS = ("question_id, coalesce(category, 'Unknown') as category, coalesce(q
              "coalesce(options, []::VARCHAR[]) as options, coalesce(answer, 'Unknown') as answer, "
              "coalesce(pred, 'Unknown') as pred, coalesce(answer_index, 0) as answer_index, "
              "coalesce(cot_content, '') as cot_content, coalesce(model_outputs, '') as model_outputs, "
-             "coalesce(src, 'Unknown') as src, seq")
+             "coalesce(src, 'Unknown') as src, seq, model")
 FILLED_SQL = f"filled as (select {_RES_COLS} from res)"
 
 
@@ -78,9 +78,9 @@ def fill_defaults(spark, sf):
 
 
 @register("wrong_answers", with_views(f"""
-with {FILLED_SQL} select question_id, category, answer, pred, seq from filled where answer <> pred""", "res"))
+with {FILLED_SQL} select model, question_id, category, answer, pred, seq from filled where answer <> pred""", "res"))
 def wrong_answers(spark, sf):
-    return C.wrong_answers(fx.result_rows(spark, sf)).select("question_id", "category", "answer", "pred", "seq")
+    return C.wrong_answers(fx.result_rows(spark, sf)).select("model", "question_id", "category", "answer", "pred", "seq")
 
 
 FIND_ID = "18"
@@ -137,7 +137,7 @@ select model_path, subjects,
 from m""", "q", "resp"))
 def run_key_q(spark, sf):
     q = _q(spark, sf)
-    m = (S.attach_gold(fx.responses(spark, sf, q), q, ("category",))
+    m = (fx.responses(spark, sf, q, gold=("category",))
          .groupBy(F.concat(F.lit("org/"), F.col("model")).alias("model_path"))
          .agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("subjects")))
     return m.select("model_path", "subjects", run_key("model_path", "subjects", "/").alias("result_dir"),
@@ -221,9 +221,9 @@ def merge_first(spark, sf):
 
 
 @register("dedup_first", with_views("""
-select * from saved qualify row_number() over (partition by question_id order by seq) = 1""", "saved"))
+select * from allsaved qualify row_number() over (partition by model, question_id order by seq) = 1""", "allsaved"))
 def dedup_first(spark, sf):
-    return R.dedup_first(fx.saved_results(spark, sf), "question_id", "seq")
+    return R.dedup_first(fx.all_saved(spark, sf), ("model", "question_id"), "seq")
 
 
 # ---------------------------------------------------------------- U3, U4
@@ -251,62 +251,105 @@ def shard_coverage(spark, sf):
 
 # ---------------------------------------------------------------- A9-A12, A4
 def _scored_resp(spark, sf):
-    q = _q(spark, sf)
+    q = C.clean_options(_q(spark, sf))
     return S.score(S.with_prediction(S.attach_gold(fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS), q)), "wrong")
 
 
-RETRY_WRONG = 2
+RETRY_WRONG, RETRY = 2, 2
+# In words: answers (rows that are neither failed calls nor max-token aborts)
+# number the answer attempts; the sequence ends at the first right answer, at
+# the RETRY-th max-token row of one answer attempt, or at the last allowed wrong
+# answer.
+RUNS_SQL = f"""
+s as (
+  select r.model, r.question_id, r.attempt_mq as pos, r.model_outputs as mo, {X.l2('r.model_outputs')} as pred, q.answer
+  from resp r join q on r.question_id = q.question_id),
+k as (select *, mo = 'MaxTokensExceeded' as full_, mo is not null and mo <> 'MaxTokensExceeded' as answered,
+        coalesce(mo <> 'MaxTokensExceeded' and pred = answer, false) as hit from s),
+n as (select *, coalesce(count(*) filter (where answered) over (partition by model, question_id order by pos
+        rows between unbounded preceding and 1 preceding), 0) as tries from k),
+m as (select *, count(*) filter (where full_) over (partition by model, question_id, tries order by pos) as run from n),
+e as (select model, question_id, min(pos) filter (where hit or (full_ and run >= {RETRY}) or (answered and not hit and tries >= {RETRY_WRONG})) as fin
+      from m group by model, question_id),
+u as (select m.*, e.fin from m join e on m.model = e.model and m.question_id = e.question_id where e.fin is null or m.pos <= e.fin)"""
 
 
 @register("best_of_n", with_views(f"""
-with s as (
-  select r.model, r.question_id, r.attempt_mq, r.model_outputs, {X.l2('r.model_outputs')} as pred, q.answer
-  from resp r join q on r.question_id = q.question_id where r.attempt_mq <= {RETRY_WRONG + 1}),
-h as (select *, case when pred = answer then 1 else 0 end as hit from s),
-g as (
-  select model, question_id, count(*) as n_attempts,
-    arg_min(struct_pack(attempt := attempt_mq, pred := pred, mo := model_outputs, hit := hit), attempt_mq)
-      filter (where hit = 1 or model_outputs = 'MaxTokensExceeded') as ft,
-    arg_max(struct_pack(attempt := attempt_mq, pred := pred, mo := model_outputs, hit := hit), attempt_mq) as lr
-  from h group by model, question_id),
-f as (select model, question_id, n_attempts, coalesce(ft, lr) as fin from g)
-select model, question_id, n_attempts, fin.attempt as final_attempt,
-  case when fin.mo = 'MaxTokensExceeded' then null else fin.pred end as final_pred,
-  {X.status('fin.mo')} as final_status,
-  cast(case when fin.mo = 'MaxTokensExceeded' then 0 else fin.hit end as int) as correct
-from f""", "q", "resp"))
+with {RUNS_SQL},
+g as (select model, question_id, count(*) as n_attempts,
+        coalesce(any_value(fin), max(pos) filter (where answered), max(pos)) as final_attempt from u group by model, question_id)
+select g.model, g.question_id, n_attempts, final_attempt, case when u.answered then u.pred end as final_pred,
+  {X.status('u.mo')} as final_status, cast(u.hit as int) as correct
+from g join u on g.model = u.model and g.question_id = u.question_id and g.final_attempt = u.pos""", "q", "resp"))
 def best_of_n(spark, sf):
-    return S.best_of_n(_scored_resp(spark, sf), RETRY_WRONG)
-
-
-RETRY = 2
+    return S.best_of_n(_scored_resp(spark, sf), RETRY_WRONG, RETRY)
 
 
 @register("attempt_accounting", with_views(f"""
-with g as (
-  select model, question_id, count(*) as attempts,
-    count(*) filter (where model_outputs = 'MaxTokensExceeded') as max_token_attempts
-  from resp group by model, question_id),
-k as (select *, least(max_token_attempts, {max(RETRY - 1, 0)}) as kk from g)
-select model, question_id, attempts, max_token_attempts,
-  cast(max_token_attempts >= {max(RETRY, 1)} as int) as aborted,
-  cast(case when kk <= 4 then pow(2, kk + 1) - 2 else (kk - 3) * 30 end as bigint) as wait_seconds
-from k""", "q", "resp"))
+with {RUNS_SQL}
+select model, question_id, count(*) as attempts, count(*) filter (where full_) as max_token_attempts,
+  coalesce(max(cast(full_ and run >= {RETRY} as int)), 0) as aborted,
+  cast(coalesce(sum(least(pow(2, run), 30)) filter (where full_ and run < {RETRY}), 0) as bigint) as wait_seconds
+from u group by model, question_id""", "q", "resp"))
 def attempt_accounting(spark, sf):
-    return S.attempt_accounting(fx.responses(spark, sf), RETRY)
+    return S.attempt_accounting(_scored_resp(spark, sf), RETRY_WRONG, RETRY)
+
+
+@register("resume_plan", with_views("""
+with f as (select * from saved qualify row_number() over (partition by question_id order by seq) = 1),
+again as (select question_id from saved where model_outputs = 'MaxTokensExceeded' group by question_id)
+select q.question_id, case when f.question_id is null or a.question_id is not null then 'pending'
+  when f.pred = f.answer then 'success' else 'wrong' end as state
+from q left join f on q.question_id = f.question_id left join again a on q.question_id = a.question_id
+where q.split = 'test'""", "saved"))
+def resume_plan(spark, sf):
+    """Every question with its state when the run goes on."""
+    return R.resume_plan(_test(spark, sf), fx.saved_results(spark, sf), rerun_max_tokens=True).select("question_id", "state")
+
+
+@register("shard_merge", with_views("""
+select * from allsaved qualify row_number() over (partition by model, question_id order by seq) = 1""", "allsaved"))
+def shard_merge(spark, sf):
+    """U1 + U4: results of shards, of which each question's shard wrote some
+    rows and another one wrote some again, merged into one table."""
+    s = R.assign_shard(fx.all_saved(spark, sf), 2)
+    parts = [s.where(F.col("shard") == i).drop("shard") for i in range(2)]
+    again = parts[0].where("seq % 2 = 0").select(*reversed(parts[0].columns))
+    return R.merge_shards([*parts, again], ("model", "question_id"))
+
+
+@register("categories_union", with_views("""
+select category, count(*) as n, min(question_id) as first_seq from q group by category""", "q"))
+def categories_union(spark, sf):
+    """U1 + P6: the splits put together, and the categories of the whole."""
+    return C.categories_first_seen(R.union_all([_test(spark, sf), _exemplars(spark, sf)]))
+
+
+@register("call_times", with_views("""
+with c as (select model, tokens, tokens / 1000.0::DOUBLE as seconds from resp)
+select model, count(*) as calls, round(sum(seconds), 6) as seconds, round(avg(seconds), 9) as mean_seconds, max(seconds) as max_seconds,
+  round(sum(tokens) / sum(seconds), 6) as tokens_per_second from c group by model""", "q", "resp"))
+def call_times(spark, sf):
+    """Time statistics of calls (here a millisecond a token)."""
+    c = fx.responses(spark, sf).select("model", "tokens", (F.col("tokens") / 1000.0).alias("seconds"))
+    t = S.batch_times(c)
+    return t.select("model", "calls", F.round("seconds", 6).alias("seconds"), F.round("mean_seconds", 9).alias("mean_seconds"), "max_seconds",
+                    F.round("tokens_per_second", 6).alias("tokens_per_second"))
 
 
 @register("status_counts", with_views("""
-with j as (select t.question_id, t.answer, t.category, r.pred as rp
-           from q t left join res r on t.question_id = r.question_id where t.split = 'test'),
+with f as (select * from saved qualify row_number() over (partition by question_id order by seq) = 1),
+j as (select t.question_id, t.answer, t.category, r.pred as rp, r.question_id is not null as done
+      from q t left join f r on t.question_id = r.question_id where t.split = 'test'),
 g as (select category, count(*) as total,
-        count(*) filter (where rp = answer) as success,
-        count(*) filter (where rp is not null and rp <> answer) as wrong
+        count(*) filter (where done and rp = answer) as success,
+        count(*) filter (where done and (rp is null or rp <> answer)) as wrong
       from j group by category)
 select category, total, success, wrong, total - success - wrong as pending,
-  coalesce(success * 100.0::DOUBLE / nullif(success + wrong, 0), 0.0) as accuracy from g""", "res"))
+  coalesce(success * 100.0::DOUBLE / nullif(success + wrong, 0), 0.0) as accuracy from g""", "saved"))
 def status_counts(spark, sf):
-    return S.status_counts(_test(spark, sf), fx.result_rows(spark, sf))
+    done = R.dedup_first(fx.saved_results(spark, sf), "question_id", "seq")
+    return S.status_counts(_test(spark, sf), done)
 
 
 @register("token_totals", with_views("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.extract import extract, register_extractor
+from ..operators import clean as C
 from ..operators import score as S
 from ..operators.resume import dedup_first
 from ..sources import fixtures as fx
@@ -15,19 +16,19 @@ from .registry import register
 
 SCORED_SQL = """
 sc as (
-  select r.model, r.style_id, r.mode, r.question_id, r.attempt_mq, r.model_outputs,
-    q.category, q.answer, q.answer_index, q.options, {pred} as pred
+  select r.model, r.style_id, r.mode, r.question_id, r.attempt, r.attempt_mq, r.model_outputs,
+    q.category, q.answer, q.answer_index, q.n_opts, list_filter(q.options, lambda o: o is distinct from 'N/A') as options, {pred} as pred
   from resp r join q on r.question_id = q.question_id),
 s as (select *, {credit} as credit from sc)"""
 
 
 def _scored_sql(policy="wrong", pred=None):
-    return SCORED_SQL.format(pred=pred or X.l2("r.model_outputs"), credit=X.credit(policy))
+    return SCORED_SQL.format(pred=pred or X.l2("r.model_outputs"), credit=X.credit(policy, keys=S.DRAW_KEYS))
 
 
-def _scored(spark, sf, policy="wrong", cascade="l2"):
-    q = fx.questions(spark, sf)
-    r = fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS)
+def _scored(spark, sf, policy="wrong", cascade="l2", gold=S.GOLD_COLUMNS):
+    q = C.clean_options(fx.questions(spark, sf))
+    r = fx.responses(spark, sf, q, gold=gold)
     return S.score(S.with_prediction(S.attach_gold(r, q), cascade), policy)
 
 
@@ -165,25 +166,25 @@ select model, count(*) as n,
 from x group by model""", "q", "resp"))
 def extractor_compare(spark, sf):
     q = fx.questions(spark, sf)
-    return S.extractor_compare(S.attach_gold(fx.responses(spark, sf, q), q))
+    return S.extractor_compare(fx.responses(spark, sf, q, gold=("category", "answer")))
 
 
 @register("per_file_accuracy", with_views(f"""
 with x as (
-  select r.model, q.category, r.question_id, q.answer, q.answer_index, q.options,
+  select r.model, q.category, r.question_id, r.style_id, r.attempt, q.answer, q.answer_index, q.options,
          {X.l1('r.model_outputs')} as p1, {X.l2('r.model_outputs')} as p2
   from resp r join q on r.question_id = q.question_id),
 long as (
-  select model, category, 'l1' as level, {X.credit('uniform10', pred='p1', seed='12345:l1')} as credit from x
+  select model, category, 'l1' as level, {X.credit('uniform10', pred='p1', seed='12345:l1', keys=S.DRAW_KEYS)} as credit from x
   union all
-  select model, category, 'l2' as level, {X.credit('uniform10', pred='p2', seed='12345:l2')} as credit from x)
+  select model, category, 'l2' as level, {X.credit('uniform10', pred='p2', seed='12345:l2', keys=S.DRAW_KEYS)} as credit from x)
 select model, category, level, count(*) filter (where credit > 0) as succ,
   count(*) filter (where credit = 0) as fail,
   (count(*) filter (where credit > 0))::DOUBLE / count(*) as acc
 from long group by model, category, level""", "q", "resp"))
 def per_file_accuracy(spark, sf):
     q = fx.questions(spark, sf)
-    return S.per_file_accuracy(S.attach_gold(fx.responses(spark, sf, q), q))
+    return S.per_file_accuracy(fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS))
 
 
 @register("style_sensitivity", with_views(f"""
@@ -208,17 +209,41 @@ def mode_delta(spark, sf):
     return S.mode_delta(_scored(spark, sf))
 
 
+@register("mode_delta_expected", with_views(f"""
+with {_scored_sql("expected_options")},
+p as (select model,
+  (sum(credit) filter (where mode = 'cot'))::DOUBLE / 720720 / nullif(count(*) filter (where mode = 'cot'), 0) as acc_cot,
+  (sum(credit) filter (where mode = 'direct'))::DOUBLE / 720720 / nullif(count(*) filter (where mode = 'direct'), 0) as acc_direct
+  from s group by model)
+select model, acc_cot, acc_direct, acc_cot - acc_direct as delta from p""", "q", "resp"))
+def mode_delta_expected(spark, sf):
+    """A8 with fractional credit for missing answers."""
+    return S.mode_delta(_scored(spark, sf, "expected_options"), policy="expected_options")
+
+
+@register("paired_drop", with_views(f"""
+with {_scored_sql()},
+a as (select model, cast(sum(case when credit = 720720 then 1 else 0 end) as bigint)::DOUBLE / count(*) as acc_first from s where n_opts <= 4 group by model),
+b as (select model, cast(sum(case when credit = 720720 then 1 else 0 end) as bigint)::DOUBLE / count(*) as acc_second from s where n_opts > 4 group by model)
+select coalesce(a.model, b.model) as model, acc_first, acc_second, acc_first - acc_second as drop
+from a full join b on a.model = b.model""", "q", "resp"))
+def paired_drop(spark, sf):
+    """Questions of up to four options against those of more."""
+    s = _scored(spark, sf, gold=(*S.GOLD_COLUMNS, "n_opts"))
+    return S.paired_drop(s.where("n_opts <= 4"), s.where("n_opts > 4"))
+
+
 @register("rescore_cached", with_views(f"""
 with d as (
-  select question_id, arg_min(struct_pack(seq := seq, question := question, answer := answer,
+  select model, question_id, arg_min(struct_pack(seq := seq, question := question, answer := answer,
                                           pred := pred, model_outputs := model_outputs), seq) as r
-  from saved group by question_id)
-select question_id, r.seq as seq, r.pred as stored_pred, {X.l2('r.model_outputs')} as pred,
+  from allsaved group by model, question_id)
+select model, question_id, r.seq as seq, r.pred as stored_pred, {X.l2('r.model_outputs')} as pred,
   cast(({X.l2('r.model_outputs')}) = r.answer as int) as hit
-from d""", "saved"))
+from d""", "allsaved"))
 def rescore_cached(spark, sf):
     """Deduped saved results re-extracted; the stored pred is ignored."""
-    d = dedup_first(fx.saved_results(spark, sf), "question_id", "seq")
+    d = dedup_first(fx.all_saved(spark, sf), ("model", "question_id"), "seq")
     p = extract("model_outputs", "l2")
-    return d.select("question_id", "seq", F.col("pred").alias("stored_pred"), p.alias("pred"),
+    return d.select("model", "question_id", "seq", F.col("pred").alias("stored_pred"), p.alias("pred"),
                     (p == F.col("answer")).cast("int").alias("hit"))

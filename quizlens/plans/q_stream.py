@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import extract
 from ..operators import score as S
+from ..operators.resume import resume_plan
 from ..sources import fixtures as fx
 from ..sources.results import fresh_dir, read_results, write_results
 from ..streaming import tracker as TR
-from ..streaming.sinks import live_board, merge_sink, run_available
+from ..streaming.sinks import live_board, merge_sink, read_merged, run_available
 from . import sqlparts as X
 from .fixture_sql import with_views
 from .q_text import HOUR, TRACKED_SQL
@@ -43,7 +44,7 @@ def _tele_conds():
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     day = 24 * HOUR * 1_000_000
     first = 1704067200 * 1_000_000          # 2024-01-01
-    return [us < first + 10 * day, (us >= first + 10 * day) & (us < first + 20 * day), us >= first + 20 * day]
+    return [us < first + 10 * day, (us >= first + 10 * day) & (us < first + 20 * day), (us >= first + 20 * day) | us.isNull()]
 
 
 @register("stream_rolling_rate", ORACLE["rolling_rate"])
@@ -115,14 +116,14 @@ def stream_live_board(spark, sf):
     out = fresh_dir(spark, "board-out")
     q = fx.questions(spark, sf)
     r = fx.responses(spark, sf, q).select("model", "question_id", "model_outputs")
-    m = F.col("model")
     gold = q.select("question_id", "category", "answer", "answer_index", "options")
 
     def build(read):
         scored = S.score(read().join(gold, "question_id").withColumn("pred", extract("model_outputs", "l2")), "wrong")
         return live_board(scored)
 
-    run_in_slices(spark, r, [m.isin("model_0", "model_1"), m.isin("model_2", "model_3"), m == "model_4"],
+    third = F.pmod(F.xxhash64("question_id"), F.lit(3))
+    run_in_slices(spark, r, [third == i for i in range(3)],
                   build, out, mode="complete")
     return spark.read.parquet(out)
 
@@ -139,36 +140,46 @@ g as (select b.question_id, b.question,
 select pos as seq, question_id, question, v.category as category, v.answer as answer, v.pred as pred,
   v.model_outputs as model_outputs from g""", "saved"))
 def stream_merge(spark, sf):
-    """ST7: saved results arrive as first attempts, second attempts, then
-    the rest; each micro-batch is upserted into the shard-partitioned table
-    (a replaced row keeps its position)."""
-    table = fresh_dir(spark, "merged")
+    """ST7: saved results arrive as first attempts, second attempts, then the
+    rest, each as one file set and so one micro-batch of one stream, which
+    starts again from its checkpoint after each; a replaced row keeps its
+    position."""
+    table, src, ck = fresh_dir(spark, "merged"), fresh_dir(spark, "saved-src"), fresh_dir(spark, "merge-ckpt")
     s = fx.saved_results(spark, sf)
     att = F.col("seq") % 1000
-    # one folder and one availableNow run per slice: each slice is exactly
-    # one micro-batch, whatever number of files it was written as
-    for cond in (att == 1, att == 2, att >= 3):
-        src = fresh_dir(spark, "saved-src")
-        s.where(cond).write.parquet(src)
-        stream = spark.readStream.schema(s.schema).parquet(src)
-        merge_sink(stream, table, shards=16, checkpoint=fresh_dir(spark, "merge-ckpt"))
-    return spark.read.parquet(table).drop("shard")
+    for i, cond in enumerate((att == 1, att == 2, att >= 3)):
+        s.where(cond).write.parquet(f"{src}/s{i}")
+        merge_sink(spark.readStream.schema(s.schema).parquet(f"{src}/*"), table, checkpoint=ck)
+    return read_merged(spark, table, s.schema)
 
 
 @register("results_roundtrip", with_views(
-    "select question_id, question, options, answer, answer_index, cot_content, category, src, pred, model_outputs "
+    "select seq, question_id, question, options, answer, answer_index, cot_content, category, src, pred, model_outputs "
     "from res", "res"))
 def results_roundtrip(spark, sf):
     """S6 + S2/S3: result rows written as a committed version of JSON lines
     partitioned by category, then read back (newest version)."""
     base = fresh_dir(spark, "results")
-    res = fx.result_rows(spark, sf).drop("seq")
+    res = fx.result_rows(spark, sf)
     write_results(res, base)
     back = read_results(spark, base)
-    return back.select("question_id", "question", "options", "answer", "answer_index", "cot_content",
+    return back.select("seq", "question_id", "question", "options", "answer", "answer_index", "cot_content",
                        "category", "src", "pred", "model_outputs")
 
 
+@register("resume_roundtrip", with_views("""
+with f as (select * from saved qualify row_number() over (partition by question_id order by seq) = 1)
+select q.question_id, case when f.question_id is null then 'pending' when f.pred = f.answer then 'success' else 'wrong' end as state
+from q left join f on q.question_id = f.question_id where q.split = 'test'""", "saved"))
+def resume_roundtrip(spark, sf):
+    """S6 -> S3 -> J7 -> J3: an interrupted run's saved rows, written as
+    result files, read back, and the run's state taken from them."""
+    base = fresh_dir(spark, "resume")
+    write_results(fx.saved_results(spark, sf), base)
+    q = fx.questions(spark, sf).where("split = 'test'")
+    return resume_plan(q, read_results(spark, base)).select("question_id", "state")
+
+
 @register("stream_assemble", ORACLE["assemble_thinking"])
 def stream_assemble(spark, sf):
     """ST6: chunks arrive in three slices of turns, a turn a minute; a request

@@ -12,7 +12,7 @@ from ..operators import prompts as P
 from ..operators import report as RP
 from ..operators import score as S
 from ..operators import telemetry as T
-from ..operators.generate import generate, stub_answerer
+from ..operators.generate import generate, stub_answerer, token_count_udf
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import sqlparts as X
@@ -232,6 +232,13 @@ register("assemble_response", _assemble_sql(32768, False))(_assemble(32768, Fals
 register("assemble_thinking", _assemble_sql(300, True))(_assemble(300, True))
 
 
+@register("token_count_udf", f"select doc_id, {words('text')} as tokens from documents")
+def token_count_udf_q(spark, sf):
+    """a Python encoder as the counter (here Python's own word split)."""
+    d = read_table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", token_count_udf("text", factory=lambda: str.split).alias("tokens"))
+
+
 @register("generate_answers", f"""
 with fs as ({_fewshot_sql('api')})
 select question_id, 'The answer is (' || substr('ABCDEFGHIJ', length(prompt) % 10 + 1, 1) || ').' as response,
@@ -251,33 +258,33 @@ def _res(spark, sf):
 
 
 @register("running_accuracy", with_views("""
-with h as (select question_id, category, seq, case when pred = answer then 1 else 0 end as hit from res)
-select question_id, category, seq, count(*) over w as answered, cast(sum(hit) over w as bigint) as correct,
+with h as (select model, question_id, category, seq, case when pred = answer then 1 else 0 end as hit from res)
+select model, question_id, category, seq, count(*) over w as answered, cast(sum(hit) over w as bigint) as correct,
   cast(sum(hit) over w as bigint)::DOUBLE / count(*) over w as running_acc
-from h window w as (partition by category order by seq rows between unbounded preceding and current row)""",
+from h window w as (partition by model, category order by seq rows between unbounded preceding and current row)""",
     "res"))
 def running_accuracy(spark, sf):
     r = _res(spark, sf).withColumn("hit", F.coalesce((F.col("pred") == F.col("answer")).cast("int"), F.lit(0)))
-    return RP.running_accuracy(r.select("question_id", "category", "seq", "hit"), ("category",)) \
-        .select("question_id", "category", "seq", "answered", "correct", "running_acc")
+    return RP.running_accuracy(r.select("model", "question_id", "category", "seq", "hit")) \
+        .select("model", "question_id", "category", "seq", "answered", "correct", "running_acc")
 
 
 @register("wrong_positions", with_views(f"""
 with {FILLED_SQL}, w as (select * from filled where answer <> pred),
-c as (select category as list_name, question_id, row_number() over (partition by category order by seq) as position,
+c as (select category as list_name, model, question_id, row_number() over (partition by category order by seq) as position,
         count(*) over (partition by category) as n from w
       union all
-      select 'ALL', question_id, row_number() over (order by seq), count(*) over () from w)
-select list_name, question_id, cast(position as bigint) as position, n,
+      select 'ALL', model, question_id, row_number() over (order by seq), count(*) over () from w)
+select list_name, model, question_id, cast(position as bigint) as position, n,
   case when position = 1 and n > 1 then '[FIRST]' when position = n and n > 1 then '[LAST]'
        when n = 1 then '[ONLY ONE]' else '' end as mark,
   cast((position - 1) // 10 as bigint) as page
 from c""", "res"))
 def wrong_positions(spark, sf):
-    w = C.wrong_answers(_res(spark, sf)).select("question_id", "category", "seq")
+    w = C.wrong_answers(_res(spark, sf)).select("model", "question_id", "category", "seq")
     per_cat = RP.positions(w, ("category",)).withColumnRenamed("category", "list_name")
     overall = RP.positions(w.drop("category"), ()).withColumn("list_name", F.lit("ALL"))
-    cols = ["list_name", "question_id", "position", "n", "mark", "page"]
+    cols = ["list_name", "model", "question_id", "position", "n", "mark", "page"]
     return per_cat.select(*cols).unionByName(overall.select(*cols))
 
 

@@ -4,6 +4,7 @@ checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # files of checkpoints go when the frames that read them do
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -48,15 +51,17 @@ def get_session(master: str | None = None, app: str = "quizlens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one
-    (under the system temp folder) when it is unset, which happens in local
-    tests. The value is also installed on the SparkContext so that
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset, a
+    local master gets a temporary folder (tests); any other master raises, as
+    executors would not see a folder of the driver's. The value is also installed on the SparkContext so that
     ``DataFrame.checkpoint()`` works.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quizlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

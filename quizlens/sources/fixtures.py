@@ -112,13 +112,26 @@ def saved_results(spark: SparkSession, sf_dir: str, q: DataFrame | None = None,
                      "model_outputs"))
 
 
+def all_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``allsaved``: what finished runs of all models saved, over all
+    questions, several attempts each; ``seq`` is the position over all files."""
+    q = questions(spark, sf_dir)
+    r = responses(spark, sf_dir, q).where(F.col("model_outputs").isNotNull())
+    no = F.substring_index("model", "_", -1).cast("bigint")
+    return (r.join(q.select("question_id", "question", "category", "answer"), "question_id")
+             .select(((no * 1_000_000_000 + F.col("question_id")) * 1000 + F.col("attempt_mq")).alias("seq"), "model",
+                     "question_id", "question", "category", "answer",
+                     F.nullif(F.regexp_extract("model_outputs", r"answer is [(]?([A-J])", 1), F.lit("")).alias("pred"),
+                     "model_outputs"))
+
+
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``res``: the saved run as the reference's result file holds it - one
-    row per question (first saved row wins) with the question's options,
-    answer index, exemplar reasoning and source."""
+    """``res``: the runs as the result files hold them - one row per model
+    and question (first saved row wins) with the question's options, answer
+    index, exemplar reasoning and source."""
     from ..operators.resume import dedup_first
     q = questions(spark, sf_dir)
-    s = dedup_first(saved_results(spark, sf_dir, q), "question_id", "seq")
+    s = dedup_first(all_saved(spark, sf_dir), ("model", "question_id"), "seq")
     return s.join(q.select("question_id", "options", "answer_index", "cot_content", "src"), "question_id")
 
 
@@ -151,4 +164,4 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.length("text").cast("bigint")).alias("usage_total_tokens"))
 
 
-__all__ = ["questions", "responses", "saved_results", "result_rows", "telemetry", "chunks"]
+__all__ = ["questions", "responses", "saved_results", "all_saved", "result_rows", "telemetry", "chunks"]

@@ -17,7 +17,6 @@ and rewrites it whole after every answer. Here:
 from __future__ import annotations
 
 import os
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +26,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 RESULT_SCHEMA = T.StructType([
+    T.StructField("seq", T.LongType()),
     T.StructField("question_id", T.LongType()),
     T.StructField("question", T.StringType()),
     T.StructField("options", T.ArrayType(T.StringType())),
@@ -55,11 +55,10 @@ def read_result_files(spark: SparkSession, pattern: str, schema: T.StructType =
     parsed = raw.select("file_path", "file_name", is_array.alias("_is_array"),
                         F.when(is_array, F.from_json("value", T.ArrayType(schema))).alias("_rows"))
     good = (parsed.where(F.col("_rows").isNotNull())
-            .select("file_path",
-                    F.regexp_replace("file_name", re.escape(suffix) + ".*$", "").alias("file_category"),
+            .select("file_path", F.replace("file_name", F.lit(suffix), F.lit("")).alias("file_category"),
                     F.posexplode("_rows").alias("seq", "_r"))
             .select("file_path", "file_category", F.col("seq").cast("bigint"),
-                    *[F.col("_r")[f.name].alias(f.name) for f in schema.fields]))
+                    *[F.col("_r")[f.name].alias(f.name) for f in schema.fields if f.name != "seq"]))
     bad = (parsed.where(F.col("_rows").isNull())
            .select("file_path", F.when(~F.col("_is_array"), F.lit("not a JSON array"))
                    .otherwise(F.lit("malformed JSON")).alias("reason")))
@@ -70,48 +69,49 @@ def write_results(df: DataFrame, base: str, version: int | None = None) -> str:
     """Write ``df`` as JSON lines partitioned by category into a new
     version folder ``base/v=<n>``, then record the version under
     ``base/commits``; readers only see recorded versions, so a write that
-    failed half way is never read."""
+    failed half way is never read. A version's folder carries a name of its
+    own, so two writers of one number, or a retry, never touch each other's
+    files; the last one to commit is read."""
     spark = df.sparkSession
-    v = version if version is not None else _next_version(spark, base)
-    path = os.path.join(base, f"v={v:09d}")
-    df.write.mode("overwrite").partitionBy("category").json(path)
-    spark.range(1).select(F.lit(v).cast("bigint").alias("version")) \
-        .write.mode("overwrite").parquet(os.path.join(base, "commits", f"v={v:09d}"))
-    return path
-
-
-def committed_versions(spark: SparkSession, base: str) -> list[int]:
-    """Versions of ``base`` whose write finished (one tiny row each)."""
-    try:
-        rows = spark.read.parquet(os.path.join(base, "commits")).select("version").distinct().collect()
-    except Exception:  # nothing written yet
-        return []
-    return sorted(int(r[0]) for r in rows)
+    v = version if version is not None else (max(committed(spark, base), default=(0, ""))[0] + 1)
+    name = f"v={v:09d}-{uuid.uuid4().hex[:12]}"
+    df.withColumn("_category", F.col("category")).write.partitionBy("_category").json(os.path.join(base, "data", name))
+    spark.range(1).select(F.lit(v).cast("bigint").alias("version"), F.lit(name).alias("name")) \
+        .write.parquet(os.path.join(base, "commits", name))
+    return os.path.join(base, "data", name)
+
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, by Hadoop's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-def _next_version(spark: SparkSession, base: str) -> int:
-    vs = committed_versions(spark, base)
-    return (vs[-1] + 1) if vs else 1
+
+def committed(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    """Number and folder of every version whose write finished (one tiny row
+    each). Only a missing folder means none; any other error is raised."""
+    path = os.path.join(base, "commits")
+    if not exists(spark, path):
+        return []
+    return sorted((int(r.version), r.name) for r in spark.read.schema("version bigint, name string").parquet(f"{path}/*").collect())
 
 
 def read_results(spark: SparkSession, base: str, schema: T.StructType = RESULT_SCHEMA,
                  quarantine: bool = False):
-    """Newest committed version of ``base``; with ``quarantine`` also the
-    lines that did not parse (``(good, bad)``)."""
-    vs = committed_versions(spark, base)
+    """Newest committed version of ``base``. A line that does not parse raises;
+    with ``quarantine`` such lines are returned beside the good rows
+    (``(good, bad)``) instead."""
+    vs = committed(spark, base)
     if not vs:
         raise FileNotFoundError(f"no committed version under {base}")
-    path = os.path.join(base, f"v={vs[-1]:09d}")
-    fields = [f for f in schema.fields if f.name != "category"]
-    sch = T.StructType(fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(sch).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    path = os.path.join(base, "data", vs[-1][1])
     if not quarantine:
-        return good
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_metadata.file_path").alias("file_path"), "_corrupt_record")
-    return good, bad
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path).drop("_category")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    parsed = lines.withColumn("_r", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}))
+    broken = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
+    return (parsed.where(~broken).select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields]),
+            parsed.where(broken).select("file_path", F.col("value").alias("_corrupt_record")))
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -14,30 +16,28 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Long-text tables whose per-row regex work dominates a query; see
-# ``spread``. (For the short response texts of ``lineitem`` the extra
-# shuffle cost more than it saved when measured at sf0.1.)
-WIDE_WORK_TABLES = {"documents", "conversations", "pages"}
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` tasks when the
-    scan yields fewer (a file with one row group is one task). On a cluster
-    the input has many row groups, the condition is false and no shuffle is
-    added."""
-    spark = df.sparkSession
-    n = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    # hash of the leading (id) column: deterministic under task retries
-    # without the local sort a round-robin repartition needs
-    return df.repartition(n, df.columns[0])
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Parquet scan; naming ``columns`` makes the projection explicit, and
-    Catalyst prunes the ReadSchema to them either way. Tables with heavy
-    per-row work are ``spread`` over the available cores."""
+    Catalyst prunes the ReadSchema to them either way."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    df = df.select(*columns) if columns else df
-    return spread(df) if name in WIDE_WORK_TABLES else df
+    return df.select(*columns) if columns else df
+
+
+QUESTION_SCHEMA = T.StructType([
+    T.StructField("question_id", T.LongType()),
+    T.StructField("question", T.StringType()),
+    T.StructField("options", T.ArrayType(T.StringType())),
+    T.StructField("answer", T.StringType()),
+    T.StructField("answer_index", T.IntegerType()),
+    T.StructField("cot_content", T.StringType()),
+    T.StructField("category", T.StringType()),
+    T.StructField("src", T.StringType()),
+])
+
+
+def read_questions(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = None) -> DataFrame:
+    """A benchmark split (parquet or JSON lines) with a fixed schema,
+    options cleaned (P1); ``split`` adds its name as a column."""
+    from ..operators.clean import clean_options
+    df = clean_options(spark.read.schema(QUESTION_SCHEMA).format(fmt).load(path))
+    return df if split is None else df.withColumn("split", F.lit(split))

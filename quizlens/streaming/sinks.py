@@ -2,23 +2,24 @@
 helper that drives a stream to completion (``availableNow``).
 
 ``merge_sink`` is the streaming form of the reference's
-read-merge-dedup-rewrite after every answer: each micro-batch is deduped,
-upserted (J4) into a result table partitioned by shard, and only the shards
-the batch touches are rewritten (dynamic partition overwrite). The merged
-shards are checkpointed to the shared checkpoint folder first, which cuts
-the lineage to the files being replaced. The upsert is idempotent, so a
-replayed batch after a failure gives the same table.
+read-merge-dedup-rewrite after every answer: each micro-batch is upserted (J4)
+against the rows of its own keys and written as one committed version; the
+table is every key's newest version. Committed files are never replaced, so a
+failure or a replay can lose nothing.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.resume import MERGE_KEYS, assign_shard, merge
-from ..session import checkpoint_dir, scratch_path
+from ..operators.resume import MERGE_KEYS, merge
+from ..session import scratch_path
+from ..sources.results import committed
 
 
 def run_available(stream: DataFrame, sink: str, mode: str = "append", fmt: str = "parquet",
@@ -37,31 +38,54 @@ def run_available(stream: DataFrame, sink: str, mode: str = "append", fmt: str =
     return sink
 
 
-def merge_batch(spark: SparkSession, batch: DataFrame, table: str, shards: int,
+def merge_batch(spark: SparkSession, batch: DataFrame, table: str, batch_id: int,
                 keys=MERGE_KEYS, mode: str = "all") -> None:
-    """Upsert one batch into the shard-partitioned table at ``table``."""
-    checkpoint_dir(spark)
-    batch = assign_shard(batch, shards)
-    touched = [r[0] for r in batch.select("shard").distinct().collect()]   # <= shards values
-    cols = [c for c in batch.columns if c != "shard"]
-    try:
-        old = spark.read.parquet(table).where(F.col("shard").isin(touched)).select(*cols)
-    except Exception:   # first batch: no table yet
-        old = spark.createDataFrame([], batch.select(*cols).schema)
-    merged = assign_shard(merge(old, batch.select(*cols), keys, mode), shards)
-    merged = merged.checkpoint(eager=True)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("shard").parquet(table))
-
-
-def merge_sink(stream: DataFrame, table: str, shards: int = 16, keys=MERGE_KEYS,
-               mode: str = "all", checkpoint: str | None = None) -> str:
-    """ST7: drive ``stream`` (result rows with ``seq``) into ``table``."""
+    """Upsert one batch into the table at ``table``, as version ``batch_id``.
+
+    Each batch is written as a version of its own, then a commit marker; the
+    version holds the merged rows of the keys that the batch has, and the table
+    is the newest version of every key (``read_merged``). So a batch costs its
+    own size, no committed file is ever rewritten, and a replayed batch finds
+    its marker or writes the same rows again under a new name."""
+    done = committed(spark, table)
+    if any(v == batch_id for v, _ in done):
+        return
+    cols = batch.columns
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    touched = batch.select(*[F.col(k).alias(f"_b_{k}") for k in keys]).distinct()
+    old = _read(spark, table, done, batch.schema, keys).join(touched, same, "left_semi").select(*cols)
+    name = f"v={batch_id:09d}-{uuid.uuid4().hex[:12]}"
+    merge(old, batch, keys, mode).withColumn("_version", F.lit(batch_id).cast("bigint")).write.parquet(f"{table}/data/{name}")
+    spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version"), F.lit(name).alias("name")).write.parquet(f"{table}/commits/{name}")
+
+
+def _read(spark: SparkSession, table: str, versions: list[tuple[int, str]], schema, keys) -> DataFrame:
+    if not versions:
+        return spark.createDataFrame([], schema)
+    t = spark.read.schema(T.StructType([*schema.fields, T.StructField("_version", T.LongType())])).parquet(
+        *[f"{table}/data/{n}" for _, n in versions])
+    newest = t.groupBy(*[F.col(k).alias(f"_b_{k}") for k in keys]).agg(F.max("_version").alias("_b_version"))
+    same = F.col("_version") == F.col("_b_version")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    return t.join(newest, same).select(*[c for c in t.columns if c != "_version"])
+
+
+def read_merged(spark: SparkSession, table: str, schema, keys=MERGE_KEYS) -> DataFrame:
+    """The merged table: the rows of every key's newest committed version."""
+    return _read(spark, table, committed(spark, table), schema, keys)
+
+
+def merge_sink(stream: DataFrame, table: str, keys=MERGE_KEYS, mode: str = "all", checkpoint: str | None = None) -> str:
+    """ST7: drive ``stream`` (result rows with ``seq``) into ``table``; a
+    table belongs to one stream and its checkpoint."""
     spark = stream.sparkSession
     ck = checkpoint or scratch_path(spark, os.path.basename(table.rstrip("/")) + "-ckpt")
 
-    def each(df, _batch_id):
-        merge_batch(df.sparkSession, df, table, shards, keys, mode)
+    def each(df, batch_id):
+        merge_batch(df.sparkSession, df, table, batch_id, keys, mode)
 
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", ck)
          .trigger(availableNow=True).start())

@@ -1,5 +1,5 @@
-"""Plan checks: pushed filters and pruned reads, size-checked broadcast of
-the exemplar prefixes, no shuffle for the attempt windows beyond one."""
+"""Plan checks: pushed filters and pruned reads, no Python in the flagship,
+no text in the shuffle of the retry fold."""
 
 from conftest import SF_MID
 import __spark_entry__ as E
@@ -15,9 +15,10 @@ def test_filter_and_projection_reach_the_scan(spark):
     assert "ReadSchema: struct<p_partkey:bigint,p_type:string>" in p
 
 
-def test_exemplar_prefix_is_broadcast(spark):
-    p = _plan(E.queries()["fewshot_prompt"](spark, SF_MID))
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+def test_retry_fold_gathers_no_text(spark):
+    p = _plan(E.queries()["best_of_n"](spark, SF_MID))
+    gathered = p[p.index("partial_collect_list("):].split("\n")[0]
+    assert "struct(at" in gathered and "pred" in gathered and "regexp" not in gathered
 
 
 def test_flagship_has_no_python(spark):

@@ -100,15 +100,79 @@ def test_best_of_n_max_token_abort(spark):
     assert r["final_attempt"] == 2 and r["final_pred"] is None and r["final_status"] == "max_tokens"
 
 
+RUN = "model string, question_id long, attempt_mq long, pred string, model_outputs string, hit int"
+
+
+def _run(spark, outcomes, **kw):
+    """m = max tokens, f = failed call, w = wrong answer, r = right answer."""
+    text = {"m": "MaxTokensExceeded", "f": None, "w": "x", "r": "x"}
+    rows = [("m", 1, i, "B" if o == "r" else "C" if o == "w" else None, text[o], int(o == "r")) for i, o in enumerate(outcomes, 1)]
+    df = spark.createDataFrame(rows, RUN)
+    return S.best_of_n(df, **kw).first(), S.attempt_accounting(df, **kw).first()
+
+
 def test_attempt_accounting_backoff(spark):
-    rows = [("m", 1, "MaxTokensExceeded")] * 7 + [("m", 2, "ok")]
-    df = spark.createDataFrame(rows, "model string, question_id long, model_outputs string")
-    got = {r["question_id"]: r for r in S.attempt_accounting(df, retry=7).collect()}
+    best, acc = _run(spark, "m" * 7, retry=7)
     # waits before retries 1..6: 2 + 4 + 8 + 16 + 30 + 30
-    assert got[1]["wait_seconds"] == 90 and got[1]["aborted"] == 1
-    assert got[2]["max_token_attempts"] == 0 and got[2]["aborted"] == 0
-    r0 = S.attempt_accounting(df.where(F.col("question_id") == 1), retry=0).first()
-    assert r0["aborted"] == 1 and r0["wait_seconds"] == 0
+    assert (acc["wait_seconds"], acc["aborted"], best["final_status"]) == (90, 1, "max_tokens")
+    best, acc = _run(spark, "mmm", retry=0)
+    assert (acc["attempts"], acc["aborted"], acc["wait_seconds"]) == (1, 1, 0)
+    assert _run(spark, "r")[1][2:] == (1, 0, 0, 0)
+
+
+def test_max_token_counter_starts_again_with_every_answer_attempt(spark):
+    best, acc = _run(spark, "mwmr", retry_wrong=1, retry=2)
+    assert (acc["aborted"], acc["attempts"], acc["max_token_attempts"], acc["wait_seconds"]) == (0, 4, 2, 4)
+    assert (best["final_pred"], best["final_attempt"], best["correct"]) == ("B", 4, 1)
+    best, acc = _run(spark, "wmmr", retry_wrong=1, retry=2)
+    assert (acc["aborted"], acc["attempts"], best["final_status"], best["final_pred"]) == (1, 3, "max_tokens", None)
+    # rows after the end do not count; failed calls neither count nor end anything
+    best, acc = _run(spark, "wwmmr", retry_wrong=1, retry=2)
+    assert (acc["attempts"], acc["max_token_attempts"], best["final_attempt"], best["final_pred"]) == (2, 0, 2, "C")
+    best, acc = _run(spark, "mffr", retry=2)
+    assert (acc["attempts"], acc["aborted"], best["final_attempt"], best["correct"]) == (4, 0, 4, 1)
+    best, acc = _run(spark, "ff")
+    assert (best["final_status"], best["final_pred"], best["correct"]) == ("failed", None, 0)
+
+
+def test_answered_without_prediction_is_wrong(spark):
+    q = spark.createDataFrame([(1, "A", "law"), (2, "B", "law"), (3, "C", "law"), (4, "D", "law")], "question_id long, answer string, category string")
+    res = spark.createDataFrame([(1, "A", "A", 1), (2, None, "B", 2), (3, "A", "C", 3)], "question_id long, pred string, answer string, seq long")
+    r = S.status_counts(q, res).first()
+    assert (r["success"], r["wrong"], r["pending"]) == (1, 2, 1)
+    mo = res.withColumn("model_outputs", F.when(F.col("question_id") == 3, "MaxTokensExceeded").otherwise("x"))
+    assert _rows(R.resume_plan(q, mo), "question_id", "state") == [(1, "success"), (2, "wrong"), (3, "wrong"), (4, "pending")]
+    assert _rows(R.resume_plan(q, mo, rerun_max_tokens=True), "question_id", "state")[2] == (3, "pending")
+
+
+def test_fractional_policy_reaches_every_summary(spark):
+    df = spark.createDataFrame([("m", "cot", "law", 1, None, "B", 1, ["a", "b"])], "model string, mode string, category string, question_id long, "
+                               "model_outputs string, answer string, answer_index int, options array<string>")
+    sc = S.score(S.with_prediction(df), "expected10")
+    assert S.mode_delta(sc, policy="expected10").first()["acc_cot"] == 0.1
+    assert S.leaderboard_by_category(df, df, "expected10").first()["acc"] == 0.1
+
+
+def test_draws_differ_by_style_and_attempt(spark):
+    rows = [("m", 1, s, a, None, "B", 1, ["a", "b", "c", "d"]) for s in range(24) for a in range(20)]
+    df = spark.createDataFrame(rows, "model string, question_id long, style_id int, attempt int, pred string, answer string, answer_index int, options array<string>")
+    share = S.score(df, "uniform_options").agg(F.avg("hit")).first()[0]
+    assert 0.15 < share < 0.35
+
+
+def test_merge_null_key_is_replaced_once(spark):
+    old = spark.createDataFrame([(1, 1, None, "x")], ROW)
+    new = spark.createDataFrame([(10, 1, None, "w")], ROW)
+    for mode in ("all", "first"):
+        once = R.merge(old, new, mode=mode)
+        assert _rows(once, "seq", "v") == _rows(R.merge(once, new, mode=mode), "seq", "v") == [(1, "w")]
+
+
+def test_drop_failed_union_and_shards(spark):
+    df = spark.createDataFrame([(1, 1, "x"), (2, 2, None)], "seq long, question_id long, model_outputs string")
+    assert _rows(R.drop_failed(df), "question_id") == [(1,)]
+    other = spark.createDataFrame([(1, 9)], "question_id long, seq long")
+    assert _rows(R.merge_shards([df, other]), "seq", "question_id", "model_outputs") == [(1, 1, "x"), (2, 2, None)]
 
 
 def test_strict_subjects_and_exemplars(spark):

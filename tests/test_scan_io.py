@@ -69,6 +69,88 @@ def test_versioned_results(spark):
     assert back == [(1, "law", "B"), (2, "math", "C")]
 
 
+def test_versions_survive_failures_and_keep_text(spark):
+    base = tempfile.mkdtemp(prefix="quizlens-versions-")
+    df = spark.createDataFrame([(7, 1, "01", "A")], "seq long, question_id long, category string, pred string")
+    path = write_results(df, base)
+    broken = df.select("*", F.raise_error(F.lit("stopped")).cast("string").alias("model_outputs"))
+    try:
+        write_results(broken, base)
+        raise AssertionError("the write did not fail")
+    except Exception as e:
+        assert "stopped" in str(e)
+    r = read_results(spark, base).first()
+    assert (r.seq, r.question_id, r.category, r.pred) == (7, 1, "01", "A")
+    with open(os.path.join(path, "_category=01", "part-x.json"), "w") as f:
+        f.write('{"question_id": \n{"seq": 8, "question_id": 2, "category": "01"}\n')
+    good, bad = read_results(spark, base, quarantine=True)
+    assert sorted(x.question_id for x in good.collect()) == [1, 2] and [x[1] for x in bad.collect()] == ['{"question_id": ']
+    try:
+        read_results(spark, base).collect()
+        raise AssertionError("a corrupt line was dropped")
+    except Exception as e:
+        assert "MALFORMED" in str(e) or "Malformed" in str(e)
+
+
+def test_per_file_accuracy_of_result_files(spark):
+    from quizlens.operators.score import per_file_accuracy
+    d = tempfile.mkdtemp(prefix="quizlens-files-")
+    row = lambda i, text: {"question_id": i, "options": ["a", "b"], "answer": "A", "answer_index": 0, "model_outputs": text}
+    with open(f"{d}/law_result.json", "w") as f:
+        json.dump([row(1, "answer is (A)"), row(2, "answer is (B)")], f)
+    with open(f"{d}/law_result.jsonl", "w") as f:
+        json.dump([row(1, "Answer: A")], f)
+    good, _ = read_result_files(spark, f"{d}/*")
+    assert {r.file_category for r in good.collect()} == {"law", "lawl"}
+    got = {(os.path.basename(r.file_path), r.level): (r.succ, r.fail) for r in per_file_accuracy(good, by=("file_path",)).collect()}
+    assert got[("law_result.json", "l2")] == (1, 1) and got[("law_result.jsonl", "l2")] == (1, 0) and len(got) == 4
+
+
+def test_read_questions_has_a_fixed_schema(spark):
+    from quizlens.sources.tables import read_questions
+    d = tempfile.mkdtemp(prefix="quizlens-split-")
+    with open(f"{d}/test.json", "w") as f:
+        f.write(json.dumps({"question_id": 5, "question": "q", "options": ["a", "N/A", "b"], "answer": "B", "answer_index": 2, "cot_content": "", "category": "law", "src": "s"}))
+    r = read_questions(spark, f"{d}/test.json", "json", "test").first()
+    assert (r.question_id, r.options, r.split) == (5, ["a", "b"], "test")
+
+
+def test_generation_fails_row_by_row(spark):
+    from quizlens.operators.generate import generate, token_count_udf
+
+    def f(prompts):
+        if "bad" in prompts:
+            raise ValueError("no bad prompts")
+        return [p.upper() for p in prompts]
+    df = spark.createDataFrame([(i, "bad" if i % 9 == 0 else "ok") for i in range(64)], "question_id long, prompt string").coalesce(1)
+    got = {r.question_id: (r.response, r.error) for r in generate(df, f).collect()}
+    assert all(got[i] == ((None, "ValueError: no bad prompts") if i % 9 == 0 else ("OK", None)) for i in range(64))
+    assert [r[0] for r in spark.createDataFrame([("a b",), (None,)], "t string").select(token_count_udf("t", encode=list)).collect()] == [3, None]
+
+
+def test_kshot_with_a_counter_that_is_not_additive(spark):
+    from quizlens.operators.prompts import fit_kshot
+    q = spark.createDataFrame([(1, "law", "q", ["a", "b"], ""), (2, None, "q", ["a"], "")],
+                              "question_id long, category string, question string, options array<string>, cot_content string")
+    ex = spark.createDataFrame([(9, "law", "e", ["a", "b"], "A: x")], q.schema)
+    chars = lambda c: F.length(c).cast("bigint")
+    whole = {r.question_id: (r.k, r.tokens) for r in fit_kshot(q, ex, 5, 10_000, counter=chars).collect()}
+    assert set(whole) == {1, 2} and whole[1][0] == 1 and whole[2][0] == 0
+    assert {r.question_id for r in fit_kshot(q, ex, 5, 10_000).collect()} == {1, 2}
+    prompts = {r.question_id: len(r.prompt) for r in fit_kshot(q, ex, 5, 10_000, counter=chars).collect() if r.prompt}
+    assert all(whole[i][1] == n for i, n in prompts.items())
+
+
+def test_long_response_is_assembled_in_linear_time(spark):
+    from quizlens.operators.prompts import assemble
+    n = 100_000
+    c = spark.range(n).select(F.lit(1).alias("request_id"), F.col("id").alias("seq"), F.lit("").alias("reasoning"), F.lit("a ").alias("content"),
+                              F.when(F.col("id") == 10, F.lit(7)).cast("bigint").alias("usage_total_tokens"))
+    r = assemble(c, max_tokens=10 * n).first()
+    assert (r.status, r.n_chunks, r.est_tokens, r.final_tokens, len(r.response)) == ("ok", n - 1, n - 1, 7, 2 * (n - 1))
+    assert assemble(c, max_tokens=500).first().n_chunks == 501
+
+
 def test_summary_history_and_report_sinks(spark):
     from quizlens.operators.report import report_lines, summary_json
     from quizlens.sources.results import append_history, write_report, write_summary

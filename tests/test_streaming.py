@@ -130,3 +130,24 @@ def test_tracker_reorders_within_the_watermark(spark):
     batch = {(r.event_id, r.tokens, round(r.rate, 9)) for r in rolling_rate(df, 8).collect()}
     assert samples == batch
     assert got.where("kind = 'late'").count() == 0
+
+
+def test_merge_batches_replay_after_a_failed_write(spark):
+    """A batch that fails half way leaves the table as it was; replayed, it
+    counts once."""
+    from quizlens.streaming.sinks import merge_batch, read_merged
+    table = f"{tempfile.mkdtemp(prefix='quizlens-merge-')}/t"
+    row = "seq long, question_id long, question string, v string"
+    read = lambda: sorted(tuple(r) for r in read_merged(spark, table, spark.createDataFrame([], row).schema).collect())
+    assert read() == []
+    merge_batch(spark, spark.createDataFrame([(1, 1, "a", "x"), (2, 2, None, "y")], row), table, 0)
+    bad = spark.createDataFrame([(5, 2, None, "z")], row).withColumn("v", F.raise_error(F.lit("stopped")).cast("string"))
+    try:
+        merge_batch(spark, bad, table, 1)
+        raise AssertionError("the batch did not fail")
+    except Exception as e:
+        assert "stopped" in str(e)
+    assert read() == [(1, 1, "a", "x"), (2, 2, None, "y")]
+    for _ in range(2):
+        merge_batch(spark, spark.createDataFrame([(5, 2, None, "z"), (6, 3, "c", "n")], row), table, 1)
+        assert read() == [(1, 1, "a", "x"), (2, 2, None, "z"), (6, 3, "c", "n")]
