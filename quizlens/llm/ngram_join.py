@@ -15,7 +15,7 @@ from .components import connected_components
 from .registry import register
 
 SMALL = 64          #: sets below this size use pairs of neighbouring hashes as keys
-ROUNDS = 4          #: rounds against one leader per key before the trees do the rest
+ROUNDS = 1          #: rounds against the best linked node of each key before the trees do the rest
 BLOCK = 2048        #: rows of a key that one tree holds
 FAN_OUT = 8         #: children of a tree node
 CHUNK = 1 << 17     #: node pairs tested at once
@@ -78,8 +78,10 @@ def keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """The hashes as bits, 512 or the next power of two above their number."""
-    width = max(512, 1 << len(s).bit_length())
+    """The hashes as bits, four times the next power of two above their number
+    (1024 at least): few hashes share a bit, so sets just below the threshold
+    are told apart."""
+    width = max(1024, 4 << len(s).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
@@ -306,10 +308,10 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     Equal sets are one node. Nodes that share a key (``keys``) are candidates:
     no link lies outside. First every node of a key meets one leader of it;
     what is linked then is one component, and only pairs of different
-    components remain to be tested. A few rounds with other leaders join large
-    groups of near copies in linear work; signature trees then find the rest of
-    the pairs of each key exactly, so no link that joins two components is
-    lost. Pairs that sizes and bitmaps allow are tested on their exact sets.
+    components remain to be tested. A round against the node with most links
+    of each key (the middle of a group of near copies) joins most of what is
+    left in linear work; signature trees then find the rest of the pairs of
+    each key exactly, so no link that joins two components is lost. Pairs that sizes and bitmaps allow are tested on their exact sets.
 
     A null, empty or wordless text has no shingles, links with nothing and is
     its own component. Rows with equal sets, so also repeated rows, share a
@@ -339,12 +341,14 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     join = _Join(d, nodes, k, percent, s)
     pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     more = join.similar(pair(shared.where("total = 2"), "lo", "hi").union(pair(members, "node", "lo")))
-    for r in range(1, ROUNDS + 1):
+    for r in range(ROUNDS + 1):
         comp = join.components()
         own = members.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        best = join.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+        own = own.join(best, "node", "left")
         mixed = own.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("total"),
-                                       F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(r))).alias("leader")).where("c1 < c2")
-        left = join.keep(own.join(mixed.select("key", "leader", "total"), "key"), "left")
+                                       F.max_by(F.struct("node", "comp"), F.struct(F.coalesce("links", F.lit(0)), "node")).alias("leader")).where("c1 < c2")
+        left = join.keep(own.drop("links").join(mixed.select("key", "leader", "total"), "key"), "left")
         if r == ROUNDS or not more:
             break
         more = join.similar(pair(left.where("comp <> leader.comp").select("node", F.col("leader.node").alias("first")), "node", "first"))

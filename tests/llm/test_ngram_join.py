@@ -80,7 +80,7 @@ def test_documents_match_brute_force(spark, k, percent):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_planted_distances(spark, monkeypatch, seed):
     monkeypatch.setattr(nj, "BLOCK", 5)  # many blocks a key
-    monkeypatch.setattr(nj, "ROUNDS", 1)  # leave work to the trees
+    monkeypatch.setattr(nj, "ROUNDS", 0)  # leave work to the trees
     texts = near_copies(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want = brute_components(list(range(len(texts))), brute_sets(texts, 4), 85)
