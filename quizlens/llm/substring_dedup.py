@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .registry import register
 
-MIN_WORDS = 10      #: shorter lines are left alone
+MIN_WORDS = 1       #: every line with a word is a unit
 
 
 def digests(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, bytes]]:
@@ -46,7 +46,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept_spans`` (start and end in the old text), ``n_units`` and ``removed``
     (number and start of each removed line, with the id where it stays).
 
-    Lines are units. Of equal normalised lines the earliest stays: the one of
+    Lines of at least ``min_words`` words are units, by default every line that
+    has one. Of equal normalised lines the earliest stays: the one of
     the smallest id (null ids last), then the first in the text; all others go,
     also within one document. Digests (128 bits) are grouped by an aggregate
     that combines map-side, then joined to the occurrences of repeated lines

@@ -207,3 +207,11 @@ def test_substring_dedup_edge_rows(spark, edge):
     assert len(out) == len(EDGE) and got[1].text is None and got[2].text == "" and got[3].text == " \t"
     assert got[None].text == "" and [r.text for r in out if r.row.doc_id == 4] == ["x y", "x y"]
     assert substring_dedup.substring_dedup(edge.limit(0)).count() == 0
+
+
+def test_substring_dedup_takes_short_lines(spark):
+    """Lines of one word and up count by default; blank lines do not."""
+    df = spark.createDataFrame([(1, "Yes\n\nSee also"), (2, "see  ALSO\n\nno"), (3, "yes\nyes\n \nmaybe")], "doc_id int, text string")
+    got = {r.row.doc_id: r for r in substring_dedup.substring_dedup(df).collect()}
+    assert {d: r.text for d, r in got.items()} == {1: "Yes\n\nSee also", 2: "\nno", 3: " \nmaybe"}
+    assert {d: [(g.line, g.stays_in) for g in r.removed] for d, r in got.items()} == {1: [], 2: [(0, 1)], 3: [(0, 1), (1, 1)]}
