@@ -13,7 +13,9 @@ from .registry import register
 BUCKETS = 4096          #: hashed character n-grams of lengths 1 to 3
 PER_LANGUAGE = 400      #: labelled documents per language to learn from, at most
 CENTROIDS = 3           #: clusters per language
-SLACK = 0.5             #: a text is rejected below this part of its centroid's lowest training cosine
+LEAST_SHARE = 0.05      #: of a language's documents that a cluster must have
+LOW = 0.0025            #: quantile of a language's training cosines that its floor comes from
+SLACK = 0.5             #: a text is rejected below this part of it
 _MULT = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 _LETTER: np.ndarray | None = None
 
@@ -48,9 +50,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def clusters(own: np.ndarray, k: int) -> np.ndarray:
+    """At most ``k`` centroids by spherical k-means, without chance: the start
+    is the means of equal slices by the cosine to the mean of all. A cluster
+    that falls below ``LEAST_SHARE`` starts again with the farthest third of the
+    largest; one that is still below in the end goes."""
+    order = np.argsort(own @ _unit(own.mean(axis=0)), kind="stable")
+    c = _unit(np.stack([own[part].mean(axis=0) for part in np.array_split(order, min(k, len(own)))]))
+    least = max(1, LEAST_SHARE * len(own))
+    for _ in range(10):
+        near = (own @ c.T).argmax(axis=1)
+        for j in np.flatnonzero(np.bincount(near, minlength=len(c)) < least):
+            large = np.bincount(near, minlength=len(c)).argmax()
+            mine = np.flatnonzero(near == large)
+            near[mine[np.argsort(own[mine] @ c[large], kind="stable")[:len(mine) // 3]]] = j
+        c = _unit(np.stack([own[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
+    return c[np.bincount((own @ c.T).argmax(axis=1), minlength=len(c)) >= least]
+
+
 class Model:
     """Centroids (rows of unit length), their languages, lowest accepted cosines
-    and the weights of the n-grams."""
+    (one for a language) and the weights of the n-grams."""
 
     def __init__(self, counts: np.ndarray, langs: list[str], k: int = CENTROIDS, slack: float = SLACK):
         self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -58,17 +78,8 @@ class Model:
         centres, names, floors = [], [], []
         for name in sorted(set(langs)):
             own = x[lang == name]
-            at = [0]  # farthest-first start, so the outcome does not depend on chance
-            while len(at) < min(k, len(own)):
-                at.append(int((own @ own[at].T).max(axis=1).argmin()))
-            c = own[at]
-            for _ in range(10):
-                near = (own @ c.T).argmax(axis=1)
-                c = _unit(np.stack([own[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
-            cos = own @ c.T
-            for j in range(len(c)):
-                mine = cos[cos.argmax(axis=1) == j, j]
-                floors.append(slack * (mine.min() if len(mine) else cos[:, j].max()))
+            c = clusters(own, k)
+            floors += [slack * np.quantile((own @ c.T).max(axis=1), LOW)] * len(c)
             centres.append(c)
             names += [name] * len(c)
         self.centres, self.names, self.floors = np.concatenate(centres).astype(np.float32), names, np.array(floors)
@@ -120,7 +131,7 @@ def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", ca
 
     Whole texts count. A null, empty or letterless text is ``und``, score 0,
     rejected; so is every text if there was nothing to learn from. A text whose
-    best cosine is below its centroid's floor is rejected, but still carries
+    best cosine is below its language's floor is rejected, but still carries
     the nearest language. Ties go to the first language by name. Repeated rows
     get equal results; no row moves between tasks.
     """

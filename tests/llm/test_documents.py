@@ -126,6 +126,21 @@ def test_language_rejects_far_texts(spark):
     assert [r.rejected for r in language_id.language_id(odd, model).collect()] == [True, True]
 
 
+def test_language_clusters_are_populated_and_short_texts_stay(spark):
+    rows = [(r.lang, language_id.ngram_counts(r.text)) for r in documents(spark).where("lang is not null").orderBy("doc_id").collect()]
+    langs, counts = zip(*[r for r in rows if r[1] is not None])
+    m = language_id.Model(np.stack(counts), list(langs))
+    x, names, langs = m.vectors(np.stack(counts)), np.array(m.names), np.array(langs)
+    for name in sorted(set(langs)):
+        near = (x[langs == name] @ m.centres[names == name].T).argmax(axis=1)
+        sizes = np.bincount(near, minlength=(names == name).sum())
+        assert len(sizes) == 3 and sizes.min() >= 0.05 * sizes.sum() and len(set(m.floors[names == name])) == 1
+    short = ["The shor.", "Thre er. And erhe.", "Ingea therre he.", "The of, onrely ntre blely the of, th."]
+    assert m.predict([language_id.ngram_counts(t) for t in short])[2] == [False] * 4
+    odd = ["日本語の文章です。" * 20, "Ω ξένη γλώσσα " * 20]
+    assert m.predict([language_id.ngram_counts(t) for t in odd])[2] == [True] * 2
+
+
 def repeats(words, n=8):
     at = defaultdict(list)
     for i in range(len(words) - n + 1):
