@@ -103,15 +103,17 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from at most ``per_language`` documents of every language, chosen by
-    a hash of id. They are found on the narrow columns (the limit is applied in
-    each task before the shuffle); the driver gets their n-gram counts, not
-    texts. None if no row has a language."""
+    a hash of id. They are found on the narrow columns (repeated ids are combined,
+    and the limit applied, in each task before the shuffle). Of the rows of one
+    id and language the one with the least hash of its text is taken; the driver
+    gets n-gram counts, not texts. None if no row has a language."""
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    pick = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null")
+    pick = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null").distinct()
             .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language)
-            .select(F.col("id").alias("pick"), F.col("lang").alias("pick_lang")).distinct())
+            .select(F.col("id").alias("pick"), F.col("lang").alias("pick_lang")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(pick), F.expr("id <=> pick and lang = pick_lang"), "left_semi").select("id", "lang", "text")
+    rows = rows.join(F.broadcast(pick), F.expr("id <=> pick and lang = pick_lang"), "left_semi")
+    rows = rows.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches):
         for b in batches:

@@ -149,12 +149,13 @@ def _run(docs: DataFrame, schema: T.StructType, rows):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         sample: int = SAMPLE) -> tuple[Trees, float] | None:
     """Trees and the verdict's threshold, learned from at most ``sample``
-    labelled documents, those of the smallest hashed ids. None unless both
-    labels occur. The driver gets statistics, not texts."""
+    labelled ids, those of the smallest hashes, one document (the one with the
+    least hash of its text) for each label of an id. None unless both labels occur. The driver gets statistics, not texts."""
     pick = (labels.select(F.col(id_col).alias("pick"), F.col(label_col).cast("int").alias("good"))
-            .where("pick is not null and good in (0, 1)").orderBy(F.xxhash64("pick"), "pick", "good").limit(sample))
+            .where("pick is not null and good in (0, 1)").distinct().orderBy(F.xxhash64("pick"), "pick", "good").limit(sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(pick), F.col("id") == F.col("pick")).select(F.struct("id").alias("row"), "text", "good")
+    texts = texts.join(F.broadcast(pick), F.col("id") == F.col("pick"))
+    texts = texts.groupBy("id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(F.struct("id").alias("row"), "text", "good")
     schema = T.StructType([T.StructField("good", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     got = sorted((r.good, r.x) for r in _run(texts, schema, lambda b: {
         "good": b.column(2).to_pylist(), "x": [statistics(t.as_py())[1] for t in b.column(1)]}).collect())

@@ -4,6 +4,7 @@ lines against brute force; edge rows of each."""
 import hashlib
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -230,3 +231,18 @@ def test_substring_dedup_takes_short_lines(spark):
     got = {r.row.doc_id: r for r in substring_dedup.substring_dedup(df).collect()}
     assert {d: r.text for d, r in got.items()} == {1: "Yes\n\nSee also", 2: "\nno", 3: " \nmaybe"}
     assert {d: [(g.line, g.stays_in) for g in r.removed] for d, r in got.items()} == {1: [], 2: [(0, 1)], 3: [(0, 1), (1, 1)]}
+
+
+def test_samples_take_one_row_an_id(spark, monkeypatch):
+    """An id that repeats gives one row to learn from, and takes no other id's place."""
+    rows = [(7, f"the same id again {i}", "en") for i in range(50)] + [(i, f"text number {i} of many", "en") for i in range(10, 13)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "Model", lambda counts, langs: seen.append(len(langs)))
+    for per_language in (4, 400):
+        language_id.fit(docs, per_language=per_language)
+    assert seen == [4, 4]
+    labels = spark.createDataFrame([(7, 1)] * 9 + [(10, 0), (11, 0), (12, 1)], "doc_id int, quality int")
+    monkeypatch.setattr(quality_rules, "Trees", lambda x, y, signs: seen.append(sorted(y)) or SimpleNamespace(score=lambda x: np.zeros(len(x))))
+    quality_rules.fit(docs, labels, sample=4)
+    assert seen[2] == [0, 0, 1, 1]
