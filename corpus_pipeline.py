@@ -34,11 +34,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id.
+    """One document of each group of near copies, the one with the smallest id
+    (null last; of one id, the one with the smallest row key).
     Rows that share id and text are one document and go or stay together; the
     texts themselves are shuffled once, for the join."""
     groups = nj.ngram_join(docs, SHINGLE, PERCENT)
-    goes = groups.where("not (id <=> component_id)").select(F.col("row_key").alias("k"), F.col("id").alias("i")).distinct()
+    goes = groups.where("not kept").select(F.col("row_key").alias("k"), F.col("id").alias("i")).distinct()
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), nj.row_key("doc_id", "text").alias("k"), F.col("doc_id").alias("i"))
     return d.join(goes.select(F.col("k").alias("gk"), F.col("i").alias("gi")), F.expr("k = gk and i <=> gi"), "left_anti").select("row.*")
 

@@ -301,8 +301,9 @@ class _Join:
 
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
                scratch: Scratch | None = None) -> DataFrame:
-    """For every row: ``row_key``, ``id``, ``n_shingles`` and ``component_id``, the
-    smallest id reachable by links. Two rows link when ``100 * intersection >=
+    """For every row: ``row_key``, ``id``, ``n_shingles``, ``component_id``, the
+    smallest id reachable by links, and ``kept``: whether it is the one row of its
+    component that stays, of the smallest id (null last), then row key. Two rows link when ``100 * intersection >=
     percent * union`` of their sets of distinct k-word shingles (75 or more).
 
     Equal sets are one node. Nodes that share a key (``keys``) are candidates:
@@ -356,9 +357,11 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         comp = join.components()
 
     named = sets_of(numbered, comp)
-    least = named.where("n > 0").groupBy("root").agg(F.min("id").alias("component"))
+    rank = F.struct(F.col("id").isNull().alias("no"), "id", "row_key")
+    least = named.where("n > 0").groupBy("root").agg(F.min("id").alias("component"), F.min(rank).alias("stays"))
     return (named.join(least, "root", "left")
-            .select("row_key", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")))
+            .select("row_key", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+                    ((F.col("n") == 0) | rank.eqNullSafe(F.col("stays"))).alias("kept")))
 
 
 def sets_of(numbered: DataFrame, comp: DataFrame) -> DataFrame:

@@ -50,6 +50,15 @@ def test_near_keeps_one_of_each_component(stages):
     assert stages[3].count() < len(rows)
 
 
+def test_near_keeps_one_with_repeated_or_null_ids(spark):
+    """Near copies that share the smallest id, or have no id at all."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    rows = [(1, text["a"]), (1, text["a"] + " one"), (2, text["a"] + " two"), (None, text["b"]), (None, text["b"] + " one"),
+            (None, text["c"]), (None, text["c"] + " one"), (3, text["d"]), (None, text["d"] + " one"), (1, "no copy of it"), (None, ""), (None, None)]
+    left = [(r.doc_id, (r.text or "")[:1]) for r in cp.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF_SMALL).collect()]
+    assert Counter(left) == Counter([(1, "a"), (None, "b"), (None, "c"), (3, "d"), (1, "n"), (None, ""), (None, "")])
+
+
 def test_mix_and_packing(stages, reference):  # noqa: F811
     sizes, taken = Counter(), Counter()
     for rows, c in ((stages[3].collect(), sizes), (stages[4].collect(), taken)):
