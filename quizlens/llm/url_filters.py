@@ -40,7 +40,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.xxhash64(key, F.lit(level * HASHES + i)).bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)]
+    # hashes chain: with the number first, each has a seed of its own over the key's bytes
+    return [F.xxhash64(F.lit(level * HASHES + i), key).bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)]
 
 
 class Cascade:

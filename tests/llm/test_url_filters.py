@@ -46,3 +46,13 @@ def test_query_has_levels_and_no_python(spark):
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Join" not in plan
     assert df.where("listed").count() > 0
+
+
+def test_positions_have_seeds_of_their_own(spark, monkeypatch):
+    """Keys that share one 64-bit hash still get different bits."""
+    real = F.xxhash64
+    # all keys collide when hashed first; hashes of several columns are chained, as Spark does
+    monkeypatch.setattr(url_filters.F, "xxhash64", lambda *c: real(F.lit(0) if "key" in str(c[0]) else c[0], *c[1:]))
+    at = F.array(*url_filters._positions(F.col("key"), 1, 1 << 20))
+    a, b = [r.at for r in spark.createDataFrame([("a",), ("b",)], "key string").select(at.alias("at")).collect()]
+    assert len(set(a)) == len(set(b)) == url_filters.HASHES and not set(a) & set(b)
