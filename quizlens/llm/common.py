@@ -31,9 +31,11 @@ class Scratch:
         self.root = os.path.join(checkpoint_dir(spark), f"llm-{uuid.uuid4().hex}")
         self.paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``by``: the column whose values get folders of their own, so that a
+        filter on it reads no other."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
