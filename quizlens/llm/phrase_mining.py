@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .registry import register
 
-SHARDS = 4              #: shards of a cycle; a phrase is counted in as many steps as these
+SHARDS = 3              #: shards of a cycle; a phrase is counted in as many steps as these
 MAX_FILTER_BITS = 1 << 28   #: of one filter, at most (32 MB); fuller ones let more phrases through, never fewer
 FILTER_BITS_PER_KEY = 16
-SLICE = 4 << 20         #: characters that a task turns into arrays at once (a longer text is a slice of its own)
+SLICE = 4 << 20         #: bytes of one language that a task turns into arrays at once (a longer text is a slice of its own)
+HELD = 16 << 20         #: bytes of all languages that wait in a task
 FLUSH = 1 << 21         #: occurrences that a task holds before it combines them
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
@@ -57,11 +59,13 @@ class Slice:
     -1 stands between pieces, and between texts."""
 
     def __init__(self, lang: str, texts: list[bytes]):
-        tokens = b" . ".join(t.translate(_PIECES).replace(b".", b" . ") for t in texts).lower().split()
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int64, len(tokens))
-        self.lang, self.words = lang, list(number)
-        self.ids = ids if b"." not in number else np.where(ids == number[b"."], -1, ids)
+        text = b" . ".join(texts).translate(_PIECES).replace(b".", b" . ").lower()  # of bytes: ASCII alone
+        one = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(text)], np.int32)), pa.py_buffer(text))
+        words = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
+        self.lang, self.words = lang, words.dictionary.to_pylist()
+        gap = np.array([w in (".", "") for w in self.words], bool)
+        ids = words.indices.to_numpy().astype(np.int64)
+        self.ids = np.where(gap[ids], -1, ids) if len(ids) else ids
         seed = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 1))
         self.hash = _mix(np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)) ^ seed)
 
@@ -70,17 +74,18 @@ class Slice:
         a phrase of n words starts whose first and last n - 1 words both pass
         ``grows(n - 1, hashes)``, its hash (the low three bits are n) and theirs."""
         at = np.flatnonzero(self.ids >= 0)
-        raw = self.hash[self.ids[at]] if len(at) else np.zeros(0, np.uint64)
-        word = np.zeros(len(self.ids), np.uint64)
-        word[at] = raw
-        h = (_mix(raw) << np.uint64(3)) | np.uint64(1)
+        word = (_mix(self.hash) << np.uint64(3)) | np.uint64(1)     # of each distinct word
+        h = word[self.ids[at]]
         yield 1, at, h, None, None
+        go = grows(1, word)[self.ids[at]]
         for n in range(2, max_words + 1):
-            go = grows(n - 1, h)
-            at, raw, h = at[go], raw[go], h[go]
+            if n > 2:
+                go = grows(n - 1, h)
+            at, h = at[go], h[go]
+            raw = self.hash[self.ids[at]] if n == 2 else raw[go]
             both = np.flatnonzero(at[1:] == at[:-1] + 1)  # a piece's end leaves a gap
             left, right = h[both], h[both + 1]
-            at, raw = at[both], raw[both] * _ODD + word[at[both] + n - 1]
+            at, raw = at[both], raw[both] * _ODD + self.hash[self.ids[at[both] + n - 1]]
             h = (_mix(raw + np.uint64(n)) << np.uint64(3)) | np.uint64(n)
             yield n, at, h, left, right
 
@@ -88,16 +93,19 @@ class Slice:
 def slices(batches):
     """``Slice`` objects of batches (lang, text), of bounded size unless one text is larger."""
     held: dict[str, list[bytes]] = {}
-    size = 0
+    size: dict[str, int] = {}
     for b in batches:
         for lang, text in zip(b.column(0), b.column(1)):
-            t = text.as_py().encode("utf-8", "replace")
-            held.setdefault(lang.as_py(), []).append(t)
-            size += len(t)
-            if size > SLICE:
-                yield from (Slice(k, v) for k, v in held.items())
-                held, size = {}, 0
-    yield from (Slice(k, v) for k, v in held.items())
+            k, t = lang.as_py(), text.as_py().encode("utf-8", "replace")
+            held.setdefault(k, []).append(t)
+            size[k] = size.get(k, 0) + len(t)
+            if size[k] > SLICE:
+                del size[k]
+                yield Slice(k, held.pop(k))
+            elif sum(size.values()) > HELD:
+                yield from (Slice(k, held[k]) for k in held)
+                held, size = {}, {}
+    yield from (Slice(k, held[k]) for k in held)
 
 
 class Active:
@@ -149,18 +157,20 @@ def merged(state: DataFrame | None, found: DataFrame, step: int, shards: int, th
     again. A counter below the threshold goes when a full cycle ends with
     nothing new: then its own cycle is over, or has so far seen none of the
     shards that have the phrase. Words have their cycle from step 0 on."""
-    bit = F.lit(1 << (step % shards))
-    new = found.select("h", F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("int").alias("mask"), F.lit(None).cast("int").alias("seen"),
-                       F.lit(None).cast("int").alias("reached"), "n_found")
-    old = new.limit(0) if state is None else state.withColumn("n_found", F.lit(None).cast("bigint"))
-    g = old.unionByName(new).groupBy("h").agg(*[F.max(c).alias(c) for c in ("total", "mask", "seen", "reached")], F.sum("n_found").alias("n_found"))
-    again = F.coalesce("mask", F.lit(0)).bitwiseAND(bit) != 0
-    g = g.select("h", (F.coalesce("total", F.lit(0)) + F.when(again, 0).otherwise(F.coalesce("n_found", F.lit(0)))).alias("total"),
-                 F.coalesce("mask", F.lit(0)).bitwiseOR(F.when(F.col("n_found").isNotNull(), bit).otherwise(0)).alias("mask"),
-                 F.when(F.col("n_found").isNotNull(), step).otherwise(F.col("seen")).alias("seen"), "reached")
+    bit, none = F.lit(1 << (step % shards)), lambda c: F.lit(None).cast("bigint").alias(c)
+    new = found.select("h", none("total"), none("past"), "n_found")
+    if state is not None:   # one number instead of three: narrower rows, and a hash aggregate
+        past = F.col("mask").cast("bigint") + F.shiftleft(F.col("seen").cast("bigint"), 20) + F.shiftleft(F.coalesce(F.col("reached") + 1, F.lit(0)).cast("bigint"), 40)
+        new = new.unionAll(state.select("h", "total", past.alias("past"), none("n_found")))
+    g = new.groupBy("h").agg(F.sum("total").alias("total"), F.max("past").alias("past"), F.sum("n_found").alias("n_found"))
+    bits = lambda shift: F.shiftright("past", shift).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    found, mask, reached = F.coalesce("n_found", F.lit(0)), F.coalesce(bits(0), F.lit(0)), bits(40)
+    total = F.coalesce("total", F.lit(0)) + F.when(mask.bitwiseAND(bit) == 0, found).otherwise(0)
+    g = g.select("h", total.alias("total"), F.when(found > 0, mask.bitwiseOR(bit)).otherwise(mask).alias("mask"),
+                 F.when(found > 0, step).otherwise(bits(20)).alias("seen"),
+                 F.when(reached > 0, reached - 1).when(total >= threshold, step).alias("reached"))
     since = F.when(F.col("h").bitwiseAND(F.lit(7)) == 1, 0).otherwise(F.col("seen"))
-    return (g.withColumn("reached", F.coalesce("reached", F.when(F.col("total") >= threshold, step)))
-            .where(F.col("reached").isNotNull() | (since + shards - 1 > step)))
+    return g.where(F.col("reached").isNotNull() | (since + shards - 1 > step)).withColumn("done", F.col("reached").isNotNull())
 
 
 def frequent(docs: DataFrame, max_words: int, threshold: int, scratch: Scratch, shards: int = SHARDS) -> DataFrame:
@@ -181,12 +191,12 @@ def frequent(docs: DataFrame, max_words: int, threshold: int, scratch: Scratch,
     reached, late = dict(none), None
     while True:
         found = count_step(table.where(F.col("shard") == step % shards), max_words, Active(reached, late, step < shards))
-        state = scratch.keep(merged(state, found, step, shards, threshold), f"state-{step}")
+        state = scratch.keep(merged(state, found, step, shards, threshold), f"state-{step}", "done")
         if step:
             scratch.drop(f"state-{step - 1}")
         step += 1
         n_of = F.col("h").bitwiseAND(F.lit(7))
-        done = state.where("reached is not null")
+        done = state.where("done")
         in_cycle = F.col("reached") >= step - shards
         sizes = {r.n: (r.all, r.late) for r in done.groupBy(n_of.alias("n")).agg(F.count(F.lit(1)).alias("all"), F.count_if(in_cycle).alias("late")).collect()}
         if step >= shards and not any(late for n, (_, late) in sizes.items() if n < max_words):
@@ -199,16 +209,16 @@ def frequent(docs: DataFrame, max_words: int, threshold: int, scratch: Scratch,
     def run(batches):
         for x in slices(batches):
             rows = [(0, "", int((x.ids >= 0).sum()))]
-            names: list[bytes] = x.words
+            names = x.words
             code = x.ids.copy()     # of the phrase that starts here, in ``names``
             for n, at, h, _, _ in x.phrases(max_words, lambda n, h: shared.value[n](h)):  # subphrases of a frequent phrase are frequent
                 at = at[shared.value[n](h)]
                 if n > 1:
                     kinds, inverse = np.unique((code[at] << 32) | x.ids[at + n - 1], return_inverse=True)
-                    names = [names[k >> 32] + b" " + x.words[k & 0xFFFFFFFF] for k in kinds.tolist()]
+                    names = [names[k >> 32] + " " + x.words[k & 0xFFFFFFFF] for k in kinds.tolist()]
                     code[at] = inverse
                 kinds, count = np.unique(code[at], return_counts=True)
-                rows += [(n, names[k].decode("utf-8", "replace"), c) for k, c in zip(kinds.tolist(), count.tolist())]
+                rows += [(n, names[k], c) for k, c in zip(kinds.tolist(), count.tolist())]
             yield pa.record_batch([pa.array([x.lang] * len(rows), pa.string()), *map(pa.array, zip(*rows), (pa.int32(), pa.string(), pa.int64()))],
                                   ["lang", "n_words", "phrase", "f"])
 
