@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .registry import register
 
-SHARDS = 3              #: shards of a cycle; a phrase is counted in as many steps as these
+SHARDS = 2              #: shards of a cycle; a phrase is counted in as many steps as these
 MAX_FILTER_BITS = 1 << 28   #: of one filter, at most (32 MB); fuller ones let more phrases through, never fewer
 FILTER_BITS_PER_KEY = 16
-SLICE = 4 << 20         #: bytes of one language that a task turns into arrays at once (a longer text is a slice of its own)
-HELD = 16 << 20         #: bytes of all languages that wait in a task
-FLUSH = 1 << 21         #: occurrences that a task holds before it combines them
+SLICE = 8 << 20         #: bytes of one language that a task turns into arrays at once (a longer text is a slice of its own)
+HELD = 24 << 20         #: bytes of all languages that wait in a task
+FLUSH = 1 << 23         #: occurrences that a task holds before it combines them
+HELD_PHRASES = 1 << 19  #: that a task of the last scan holds before it passes them on
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
@@ -207,20 +208,30 @@ def frequent(docs: DataFrame, max_words: int, threshold: int, scratch: Scratch,
     shared = docs.sparkSession.sparkContext.broadcast(final)
 
     def run(batches):
+        held: dict[tuple, int] = {}
+
+        def combined():
+            k = list(zip(*held)) or [[]] * 3
+            out = pa.record_batch([*map(pa.array, k, (pa.string(), pa.int32(), pa.string())), pa.array(held.values(), pa.int64())], ["lang", "n_words", "phrase", "f"])
+            held.clear()
+            return out
+
         for x in slices(batches):
-            rows = [(0, "", int((x.ids >= 0).sum()))]
-            names = x.words
-            code = x.ids.copy()     # of the phrase that starts here, in ``names``
+            names, code = x.words, x.ids.copy()     # the phrase that starts at a place, by its number in names
+            held[x.lang, 0, ""] = held.get((x.lang, 0, ""), 0) + int((x.ids >= 0).sum())
             for n, at, h, _, _ in x.phrases(max_words, lambda n, h: shared.value[n](h)):  # subphrases of a frequent phrase are frequent
                 at = at[shared.value[n](h)]
                 if n > 1:
                     kinds, inverse = np.unique((code[at] << 32) | x.ids[at + n - 1], return_inverse=True)
                     names = [names[k >> 32] + " " + x.words[k & 0xFFFFFFFF] for k in kinds.tolist()]
                     code[at] = inverse
-                kinds, count = np.unique(code[at], return_counts=True)
-                rows += [(n, names[k], c) for k, c in zip(kinds.tolist(), count.tolist())]
-            yield pa.record_batch([pa.array([x.lang] * len(rows), pa.string()), *map(pa.array, zip(*rows), (pa.int32(), pa.string(), pa.int64()))],
-                                  ["lang", "n_words", "phrase", "f"])
+                count = np.bincount(code[at], minlength=len(names))
+                for k in np.flatnonzero(count).tolist():
+                    key = (x.lang, n, names[k])
+                    held[key] = held.get(key, 0) + int(count[k])
+            if len(held) > HELD_PHRASES:
+                yield combined()
+        yield combined()
 
     counts = table.select("lang", "text").mapInArrow(run, "lang string, n_words int, phrase string, f bigint")
     counts = counts.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where((F.col("n_words") == 0) | (F.col("f") >= threshold))
