@@ -11,7 +11,7 @@ from .common import Scratch, read
 from .registry import register
 
 PIVOTS = 64             #: cells of the top level, from a sample of 16 times as many vectors
-BLOCK = 1 << 14         #: vectors of a data tree, about
+BLOCK = 1 << 12         #: vectors of a data tree, about
 QUERY_BLOCK = 1 << 12   #: vectors of a query tree, about
 BASE = 1.4              #: a child's radius is at most its parent's divided by this
 LEAF = 16               #: queries that are scored together
@@ -59,6 +59,8 @@ class CoverTree:
         self.end = np.empty(n, np.int64)
         self.radius = np.zeros(n)
         self.depth = np.empty(n, np.int64)
+        exact = n and float(np.abs(points).max()) ** 2 * points.shape[1] < 2 ** 51   # sums of whole numbers
+        square = (points ** 2).sum(axis=1)
         mean = points.mean(axis=0) if n else None
         root = int(((points - mean) ** 2).sum(axis=1).argmin()) if n else 0
         rest = np.delete(np.arange(n), root)
@@ -69,16 +71,21 @@ class CoverTree:
             self.order[node], self.depth[node], self.end[node] = centre, depth, node + 1 + len(rows)
             self.radius[node] = dist.max(initial=0.0)
             reach = self.radius[node] / BASE
-            children = []
-            while len(rows):                    # the farthest point next: a net of the rest
-                c = int(dist.argmax())
-                d = _far(points, rows[c], rows)
-                mine = d <= reach
-                mine[c] = False
+            children, open_ = [], np.ones(len(rows), bool)
+            near, size = (points[rows], square[rows]) if len(rows) else (None, None)
+            while open_.any():                  # the farthest point next: a net of the rest
+                c = int(np.where(open_, dist, -1.0).argmax())
+                if exact:
+                    d = np.sqrt(np.maximum(size + size[c] - 2 * (near @ near[c]), 0))
+                else:
+                    d = np.sqrt(((near - near[c]) ** 2).sum(axis=1))
+                mine = open_ & (d <= reach)
+                open_ &= ~mine
+                open_[c] = mine[c] = False
                 children.append((rows[c], rows[mine], d[mine], depth + 1))
-                left = ~mine
-                left[c] = False
-                rows, dist = rows[left], dist[left]
+                if 2 * open_.sum() < len(rows):
+                    rows, dist, near, size = rows[open_], dist[open_], near[open_], size[open_]
+                    open_ = np.ones(len(rows), bool)
             stack += children[::-1]
         self.points = points[self.order]
         self.norm = np.sqrt((self.points ** 2).sum(axis=1))
@@ -232,8 +239,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, factor: float = 256.0, id_co
     cell is split), each with its own cover tree. Every query block first meets
     the blocks of its own cell; the k-th scores found are its thresholds. Blocks
     of another cell follow, unless the cell's radius and the query block's, about
-    the same pivots, exclude every pair; within a pair of blocks both trees are
-    traversed. All exact: nothing but bounds excludes a pair. Where bounds
+    the same pivots, exclude every pair; the query blocks that a data block still
+    has to meet come together in bundles of bounded size, as one tree. Within a
+    pair of blocks both trees are traversed. All exact: nothing but bounds excludes a pair. Where bounds
     exclude little (vectors without clusters), every query block meets every
     data block; each vector then moves once per query block.
 
@@ -269,13 +277,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, factor: float = 256.0, id_co
     query = placed.where("asks").select("row", "id", "vec", "cell", "dist", part(groups, 2).alias("group"))
 
     def meet(q: DataFrame, pairs: DataFrame) -> DataFrame:
-        """``q``: queries with ``least``; ``pairs(cell, group, at)``: a query group and the data cell it meets."""
+        """``q``: queries with ``least``; ``pairs(cell, group, at, bundle)``: a query
+        group, the data cell it meets, and with which other groups."""
         every = F.explode(F.sequence(F.lit(0), _look_up(blocks, "at") - 1)).alias("part")
-        pairs = pairs.select("cell", "group", "at", every)
         none = lambda t, name: F.lit(None).cast(t).alias(name)
-        left = q.join(pairs, ["cell", "group"]).select("cell", "group", "at", "part", "row", none(kind, "id"), "vec", "least")
-        right = (data.withColumnRenamed("cell", "at").join(pairs, ["at", "part"])
-                 .select("cell", "group", "at", "part", "row", "id", "vec", none("double", "least")))
+        left = (q.join(pairs, ["cell", "group"]).select("at", "bundle", every, "row", "vec", "least")
+                .select("at", "bundle", "part", "row", none(kind, "id"), "vec", "least"))
+        right = (data.withColumnRenamed("cell", "at").join(pairs.select("at", "bundle").distinct(), "at")
+                 .select("at", "bundle", "part", "row", "id", "vec", none("double", "least")))
 
         def run(t):
             asks = t.column("least").is_valid().to_numpy()
@@ -286,12 +295,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, factor: float = 256.0, id_co
             return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], t.schema.field("id").type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                             names=["query_row", "id", "row", "score"])
 
-        return (left.unionAll(right).groupBy("cell", "group", "at", "part")
+        return (left.unionAll(right).groupBy("at", "part", "bundle")
                 .applyInArrow(run, f"query_row bigint, id {kind}, row bigint, score bigint"))
 
     by_rank = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("id").isNull(), "id", "row")
     best_of = lambda found: found.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
-    own = query.select("cell", "group").distinct().withColumn("at", F.col("cell"))
+    own = query.select("cell", "group").distinct().select("cell", "group", F.col("cell").alias("at"), F.col("group").cast("long").alias("bundle"))
     first = s.keep(best_of(meet(query.withColumn("least", F.lit(float("-inf"))), own)).drop("rank"), "first")
     worst = first.groupBy("query_row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).drop("n")
     known = query.join(worst.withColumnRenamed("query_row", "row"), "row", "left")
@@ -303,16 +312,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, factor: float = 256.0, id_co
         size = np.sqrt((c ** 2).sum(axis=1))
         for b in batches:
             out = []
-            for cell, group, r, least in zip(*map(pa.Array.to_pylist, b.columns)):
+            for cell, group, r, least, n in zip(*map(pa.Array.to_pylist, b.columns)):
                 for at in radius:
                     bound = c[cell] @ c[at] + r * size[at] + radius[at] * size[cell] + r * radius[at]
                     if at != cell and bound + _EPS * (size[cell] + r + 1) * (size[at] + radius[at] + 1) >= least:
-                        out.append((cell, group, at))
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.record_batch([pa.array(x, pa.int32()) for x in cols], ["cell", "group", "at"])
+                        out.append((cell, group, at, n))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.record_batch([*[pa.array(x, pa.int32()) for x in cols[:3]], pa.array(cols[3], pa.int64())], ["cell", "group", "at", "n"])
 
-    far = known.groupBy("cell", "group").agg(F.max("dist"), F.min("least")).mapInArrow(others, "cell int, group int, at int")
+    far = known.groupBy("cell", "group").agg(F.max("dist"), F.min("least"), F.count(F.lit(1))).mapInArrow(others, "cell int, group int, at int, n long")
     far = s.keep(far, "pairs")
+    total = far.groupBy("at").agg(F.ceil(F.sum("n") / query_block).alias("bundles"))
+    far = far.join(total, "at").select("cell", "group", "at", F.pmod(F.xxhash64("cell", "group"), "bundles").alias("bundle"))
     out = best_of(first.unionByName(meet(known.drop("dist"), far)))
     named = query.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
     return out.join(named, "query_row").select("query_row", "query_id", "rank", "id", "score")
