@@ -11,6 +11,8 @@ from ..operators import clean as C
 from ..operators import resume as R
 from ..operators import score as S
 from ..sources import fixtures as fx
+from ..sources.array_files import file_label, write_result_files
+from ..sources.results import RESULT_SCHEMA, fresh_dir, read_result_files, read_shards, write_results
 from . import sqlparts as X
 from .fixture_sql import with_views
 from .registry import register
@@ -249,6 +251,71 @@ def shard_coverage(spark, sf):
     return R.shard_coverage(_test(spark, sf), fx.saved_results(spark, sf), SHARDS)
 
 
+# ---------------------------------------------------------------- S2-S4, U4: files
+IDS_PER_FILE = 5000
+
+
+@register("score_result_files", with_views(f"""
+with x as (select model || '/' || category || '/' || cast(question_id // {IDS_PER_FILE} as varchar) as file, model, question_id, answer, answer_index, options,
+             {X.l1('model_outputs')} as p1, {X.l2('model_outputs')} as p2 from res),
+long as (
+  select file, 'l1' as level, {X.credit('uniform10', pred='p1', seed='12345:l1', keys=('question_id',))} as credit from x
+  union all
+  select file, 'l2' as level, {X.credit('uniform10', pred='p2', seed='12345:l2', keys=('question_id',))} as credit from x)
+select file, level, count(*) filter (where credit > 0) as succ, count(*) filter (where credit = 0) as fail,
+  (count(*) filter (where credit > 0))::DOUBLE / count(*) as acc
+from long group by file, level""", "res"))
+def score_result_files(spark, sf):
+    """All runs written as array files, read again in byte ranges
+    and scored file by file at both levels."""
+    path = fresh_dir(spark, "array-files")
+    write_result_files(fx.result_rows(spark, sf), path, F.floor(F.col("question_id") / IDS_PER_FILE))
+    good, _ = read_result_files(spark, path)
+    good = good.withColumn("file", file_label(F.col("file_path")))
+    return S.per_file_accuracy(good, by=("file",))
+
+
+@register("quarantined_files", with_views(f"""
+select model || '/' || category || '/' || cast(question_id // {IDS_PER_FILE} as varchar) as file, 'does not fit the schema' as reason,
+  row_number() over (partition by model, category, question_id // {IDS_PER_FILE} order by seq) - 1 as seq
+from res qualify question_id % 7 = 0""", "res"))
+def quarantined_files(spark, sf):
+    """S3: rows whose question id is a text that is no number go to quarantine, each alone."""
+    path = fresh_dir(spark, "array-files")
+    rows = fx.result_rows(spark, sf)
+    line = F.to_json(F.struct(*rows.columns))
+    odd = F.regexp_replace(line, r'"question_id":(\d+)', '"question_id":"q$1"')
+    write_result_files(rows, path, F.floor(F.col("question_id") / IDS_PER_FILE), line=F.when(F.col("question_id") % 7 == 0, odd).otherwise(line))
+    _, bad = read_result_files(spark, path)
+    return bad.select(file_label(F.col("file_path")).alias("file"), "reason", "seq")
+
+
+PROCESSES = 8
+
+
+@register("read_shards", with_views(f"""
+with s as (select *, cast(question_id % {PROCESSES} as int) as shard from saved),
+e as (select distinct question_id, cast(question_id % {PROCESSES} as int) as shard from q where split = 'test'),
+p as (select distinct question_id from s where shard not in (1, 2))
+select e.shard, case e.shard when 1 then 'absent' when 2 then 'started' else 'committed' end as state,
+  count(*) as expected, count(p.question_id) as present, count(*) - count(p.question_id) as missing
+from e left join p on e.question_id = p.question_id group by e.shard""", "q", "saved"))
+def read_shards_q(spark, sf):
+    """U4, S3: shards of a run as they finish: one is absent, one has written
+    rows but no commit; coverage is by what is committed."""
+    base = fresh_dir(spark, "shards")
+    saved = R.assign_shard(fx.saved_results(spark, sf), PROCESSES)
+    for i in range(PROCESSES):
+        own = saved.where(F.col("shard") == i).drop("shard")
+        if i == 2:
+            own.withColumn("_category", F.col("category")).write.partitionBy("_category").json(f"{base}/shard={i}/data/v=000000001-unfinished")
+        elif i != 1:
+            write_results(own, f"{base}/shard={i}")
+    rows, states = read_shards(spark, base, PROCESSES, RESULT_SCHEMA)
+    done = R.shard_coverage(_test(spark, sf), R.merge_shards([rows]), PROCESSES)
+    return done.join(states, "shard").select("shard", "state", "expected", "present", "missing")
+
+
 # ---------------------------------------------------------------- A9-A12, A4
 def _scored_resp(spark, sf):
     q = C.clean_options(_q(spark, sf))

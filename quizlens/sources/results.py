@@ -3,11 +3,12 @@
 The reference keeps one JSON array per category (``<category>_result.json``)
 and rewrites it whole after every answer. Here:
 
-* ``read_result_files`` reads that format - one whole file per row, parsed
-  with ``from_json`` - keeping the file's identity, the category from the
+* ``read_result_files`` reads that format, several tasks a file
+  (``array_files``), keeping the file's identity, the category from the
   file name and each row's position in its file (``seq``). Files that are
-  not a JSON array, or do not parse, go to a quarantine DataFrame instead
-  of stopping the job (the reference retries forever).
+  not a JSON array, or do not parse, and rows that do not fit go to a
+  quarantine DataFrame instead of stopping the job (the reference retries
+  forever).
 * ``write_results`` / ``read_results`` use the scalable form: JSON lines
   partitioned by category under a new version folder per write; readers
   take the newest version with a commit marker, so a failed write is never
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
+from . import array_files
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
@@ -42,27 +44,8 @@ RESULT_SCHEMA = T.StructType([
 
 def read_result_files(spark: SparkSession, pattern: str, schema: T.StructType = RESULT_SCHEMA,
                       suffix: str = "_result.json"):
-    """Read ``<category>_result.json*`` files (one JSON array each).
-
-    Returns ``(good, bad)``: ``good`` has one row per array element plus
-    ``file_path``, ``file_category`` (file name minus suffix) and ``seq``
-    (position in the file); ``bad`` has ``file_path`` and ``reason``.
-    """
-    raw = (spark.read.option("wholetext", True).text(pattern)
-           .select("value", F.col("_metadata.file_path").alias("file_path"),
-                   F.col("_metadata.file_name").alias("file_name")))
-    is_array = F.col("value").rlike(r"^\s*\[")
-    parsed = raw.select("file_path", "file_name", is_array.alias("_is_array"),
-                        F.when(is_array, F.from_json("value", T.ArrayType(schema))).alias("_rows"))
-    good = (parsed.where(F.col("_rows").isNotNull())
-            .select("file_path", F.replace("file_name", F.lit(suffix), F.lit("")).alias("file_category"),
-                    F.posexplode("_rows").alias("seq", "_r"))
-            .select("file_path", "file_category", F.col("seq").cast("bigint"),
-                    *[F.col("_r")[f.name].alias(f.name) for f in schema.fields if f.name != "seq"]))
-    bad = (parsed.where(F.col("_rows").isNull())
-           .select("file_path", F.when(~F.col("_is_array"), F.lit("not a JSON array"))
-                   .otherwise(F.lit("malformed JSON")).alias("reason")))
-    return good, bad
+    """``(good, bad)`` rows of JSON-array files (see ``array_files``)."""
+    return array_files.read_result_files(spark, pattern, schema, suffix)
 
 
 def write_results(df: DataFrame, base: str, version: int | None = None) -> str:
@@ -114,6 +97,27 @@ def read_results(spark: SparkSession, base: str, schema: T.StructType = RESULT_S
             parsed.where(broken).select("file_path", F.col("value").alias("_corrupt_record")))
 
 
+def read_shards(spark: SparkSession, base: str, shards: int, schema: T.StructType = RESULT_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """U4: the results of a run dealt over ``shards`` processes that each write
+    (``write_results``) under ``base/shard=<i>`` and may be absent, running or
+    half written. Returns the rows of every shard's newest committed version,
+    with ``shard``, and a table ``(shard, state)``: ``committed``, ``started``
+    (a folder without a commit) or ``absent``. One scan reads all shards; the
+    driver looks at ``shards`` folders."""
+    found = {}
+    for i in range(shards):
+        path = os.path.join(base, f"shard={i}")
+        versions = committed(spark, path)
+        found[i] = (os.path.join(path, "data", versions[-1][1]) if versions else None, "committed" if versions else "started" if exists(spark, path) else "absent")
+    paths = [p for p, _ in found.values() if p]
+    states = spark.createDataFrame([(i, s) for i, (_, s) in found.items()], "shard int, state string")
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("shard", T.IntegerType())])), states
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(paths)
+    shard = F.regexp_extract(F.col("_metadata.file_path"), r"/shard=(\d+)/data/", 1).cast("int")
+    return rows.select(*schema.fieldNames(), shard.alias("shard")), states
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
