@@ -143,5 +143,6 @@ def write_result_files(df: DataFrame, path: str, file_no: Column, by=("model", "
 
 def file_label(path: Column, by=("model", "category")) -> Column:
     """``<by>/.../<file_no>`` of the path of a file that ``write_result_files`` made."""
-    parts = [F.regexp_extract(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), rf"/{c}=([^/]*)/", 1) for c in (*by, "file_no")]
-    return F.concat_ws("/", *parts)
+    decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    # encoded twice: a folder's name, and the path as a URI
+    return F.concat_ws("/", *[decode(F.regexp_extract(decode(path), rf"/{c}=([^/]*)/", 1)) for c in (*by, "file_no")])
