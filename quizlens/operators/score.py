@@ -197,52 +197,90 @@ def paired_drop(first: DataFrame, second: DataFrame, policy: str = "wrong") -> D
     return j.withColumn("drop", F.col("acc_first") - F.col("acc_second"))
 
 
+ATTEMPT_BLOCK = 1 << 14     #: attempts of a key that one group folds
+_AT = "struct<at:bigint,code:string,pred:string>"
+
+
+def _num(n) -> Column:
+    return F.lit(n).cast("bigint")
+
+
+def _run_state(run, wrong) -> Column:
+    """What a block of attempts comes to: whether the sequence is over, the two
+    counters it leaves with, what it adds up, its last answer and its last row."""
+    return F.struct(F.lit(False).alias("over"), run.alias("run"), wrong.alias("wrong"), _num(0).alias("n"), _num(0).alias("max_tokens"),
+                    _num(0).alias("wait"), F.lit(None).cast(_AT).alias("answer"), F.lit(None).cast(_AT).alias("last"))
+
+
+def _attempt(retry_wrong: int, limit: int):
+    """One attempt after another (an ``aggregate`` step)."""
+    def step(a, r):
+        full, failed, right, killed = (r["code"] == c for c in ("max_tokens", "failed", "right", "killed"))
+        run = F.when(full, a["run"] + 1).when(failed, a["run"]).otherwise(_num(0))
+        wrong = a["wrong"] + (~full & ~failed & ~right & ~killed).cast("bigint")
+        over = right | killed | (run >= limit) | (wrong > retry_wrong)
+        return F.when(a["over"], a).otherwise(F.struct(
+            over.alias("over"), run.alias("run"), wrong.alias("wrong"), (a["n"] + 1).alias("n"), (a["max_tokens"] + full.cast("bigint")).alias("max_tokens"),
+            (a["wait"] + F.when(full & ~over, F.least(F.pow(F.lit(2), run).cast("bigint"), _num(30))).otherwise(_num(0))).alias("wait"),
+            F.when(full | failed, a["answer"]).otherwise(r).alias("answer"), r.alias("last")))
+    return step
+
+
+def _then(width: int):
+    """A block's map after the blocks before it (an ``aggregate`` step): the map
+    has one entry per pair of counters that the block can be entered with."""
+    def step(a, m):
+        b = F.get(m["map"], (a["run"] * width + a["wrong"]).cast("int"))
+        return F.when(a["over"], a).otherwise(F.struct(
+            b["over"].alias("over"), b["run"].alias("run"), b["wrong"].alias("wrong"), *[(a[c] + b[c]).alias(c) for c in ("n", "max_tokens", "wait")],
+            F.coalesce(b["answer"], a["answer"]).alias("answer"), b["last"].alias("last")))
+    return step
+
+
 def attempt_runs(scored: DataFrame, retry_wrong: int = 0, retry: int = 1, key=("model", "question_id"),
-                 order: str = "attempt_mq") -> DataFrame:
-    """A9 + A10: what the retries of every key come to, attempts in ``order``.
+                 order: str = "attempt_mq", block: int = ATTEMPT_BLOCK) -> DataFrame:
+    """A9 + A10: what the retries of every key come to, attempts in ``order``
+    (whole numbers).
 
     A max-token attempt repeats the same answer attempt; ``retry`` of them in
     one answer attempt (at least one) abort the key. A failed call (null
     output) is repeated without counting. A wrong answer starts a new answer
-    attempt, ``retry_wrong`` times. The sequence ends with a right answer, an
-    abort or the last allowed wrong answer; later rows do not count.
-
-    Only a letter code, position and prediction of each attempt are shuffled
-    (no text); a key's list is as long as its attempts, and one fold carries a
-    few numbers through it. ``wait`` is the backoff: min(2^n, 30) s after the
-    n-th max-token attempt that does not abort."""
-    key, limit = list(key), max(retry, 1)
+    attempt, ``retry_wrong`` times. A question that was killed stays so. The
+    sequence ends with a right answer, a kill, an abort or the last allowed wrong
+    answer; later rows do not count. ``final`` is the row it ended with, or else
+    the last answer, or else the last row.
+
+    The rules are an automaton with few states, ``retry * (retry_wrong + 1)``.
+    Attempts are cut into blocks of ``block`` numbers of ``order``; each block is
+    folded, without knowing the ones before it, into a map from every state to
+    what it comes to (the first block needs one state only), and maps compose.
+    So a key's attempts are spread over tasks, and the task that puts a key
+    together sees one row per block. Only a letter code, position and prediction
+    of each attempt are shuffled (no text). ``wait`` is the backoff: min(2^n, 30)
+    s after the n-th max-token attempt that does not abort."""
+    key, limit, width = list(key), max(retry, 1), max(retry_wrong, 0) + 1
     code = (F.when(F.col("model_outputs").isNull(), "failed").when(F.col("model_outputs") == MAX_TOKENS_TEXT, "max_tokens")
-            .when(F.col("hit") == 1, "right").otherwise(output_status("model_outputs")))
-    rows = scored.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), code.alias("code"), F.col("pred")))).alias("rows"))
-    num = lambda n: F.lit(n).cast("bigint")
-    start = F.struct(F.lit(False).alias("over"), num(0).alias("n"), num(0).alias("run"), num(0).alias("max_tokens"), num(0).alias("wrong"),
-                     num(0).alias("wait"), F.lit(None).cast("struct<at:bigint,code:string,pred:string>").alias("final"))
-
-    def step(a, r):
-        r = F.struct(r["at"].cast("bigint").alias("at"), r["code"].alias("code"), r["pred"].alias("pred"))
-        full, failed, right = r["code"] == "max_tokens", r["code"] == "failed", r["code"] == "right"
-        run = F.when(full, a["run"] + 1).when(failed, a["run"]).otherwise(num(0))
-        wrong = a["wrong"] + (~full & ~failed & ~right).cast("bigint")
-        over = right | (run >= limit) | (wrong > retry_wrong)
-        answered = a["final"].isNotNull() & ~a["final"]["code"].isin("max_tokens", "failed")
-        return F.when(a["over"], a).otherwise(F.struct(
-            over.alias("over"), (a["n"] + 1).alias("n"), run.alias("run"), (a["max_tokens"] + full.cast("bigint")).alias("max_tokens"),
-            wrong.alias("wrong"), (a["wait"] + F.when(full & ~over, F.least(F.pow(F.lit(2), run).cast("bigint"), num(30))).otherwise(num(0))).alias("wait"),
-            F.when((full | failed) & ~over & answered, a["final"]).otherwise(r).alias("final")))
-
-    return rows.select(*key, F.aggregate("rows", start, step).alias("r")).select(*key, "r.*")
+            .when(output_status("model_outputs") == "killed", "killed").when(F.col("hit") == 1, "right").otherwise(output_status("model_outputs")))
+    at = F.col(order).cast("bigint")
+    part = F.greatest(F.floor(at / F.lit(block)), F.lit(0)).cast("bigint")
+    rows = scored.groupBy(*key, part.alias("_part")).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), code.alias("code"), F.col("pred").cast("string").alias("pred")))).alias("rows"))
+    entries = F.sequence(_num(0), F.when(F.col("_part") == 0, 0).otherwise(limit * width - 1).cast("bigint"))
+    step = _attempt(retry_wrong, limit)
+    maps = F.transform(entries, lambda s: F.aggregate("rows", _run_state(F.floor(s / width).cast("bigint"), s % width), step))
+    blocks = rows.select(*key, F.struct("_part", maps.alias("map")).alias("m")).groupBy(*key).agg(F.array_sort(F.collect_list("m")).alias("maps"))
+    r = blocks.select(*key, F.aggregate("maps", _run_state(_num(0), _num(0)), _then(width)).alias("r")).select(*key, "r.*")
+    return r.withColumn("final", F.when(F.col("over"), F.col("last")).otherwise(F.coalesce("answer", "last"))).drop("answer", "last")
 
 
 def best_of_n(scored: DataFrame, retry_wrong: int = 0, retry: int = 1, key=("model", "question_id"),
               order: str = "attempt_mq") -> DataFrame:
     """The attempt that stands per key (see ``attempt_runs``): the right
-    one, the aborted one, or the last answer."""
+    one, the killed or aborted one, or the last answer."""
     key = list(key)
     code = F.col("final.code")
     return attempt_runs(scored, retry_wrong, retry, key, order).select(
         *key, F.col("n").alias("n_attempts"), F.col("final.at").alias("final_attempt"),
-        F.when(~code.isin("max_tokens", "failed"), F.col("final.pred")).alias("final_pred"),
+        F.when(~code.isin("max_tokens", "failed", "killed"), F.col("final.pred")).alias("final_pred"),
         F.when(code == "right", F.lit("ok")).otherwise(code).alias("final_status"), (code == "right").cast("int").alias("correct"))
 
 

@@ -44,7 +44,7 @@ def tracked(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float =
             block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Every telemetry row with its question's state after it: ``us``,
     ``episode`` (resets so far), ``live``, ``tokens``, ``rate`` and
-    ``next_us`` (time of the question's next row).
+    ``next_us`` (time of the question's next row that is no count).
 
     A reset starts an episode; ``success`` / ``wrong`` end it, which removes
     history, count and rate, so rows after it are not live until the next
@@ -52,7 +52,13 @@ def tracked(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float =
     live ``count`` rows add to the count without touching the rate. The rate
     is tokens/s over the samples of the last ``window_s`` seconds of the
     episode; with fewer than two, no time span (> ``min_dt_s``) or no growth
-    the previous rate is kept (0 after a reset). Counts do not decrease.
+    the previous rate is kept (0 after a reset). Growth is since the first of
+    those samples, so a server's count below the own one lowers the next rates.
+
+    The first sample of a window is not looked for row by row: each sample also
+    goes into the same sorted rows as a probe at its window's start, and one
+    running pass from the end hands every probe the first sample after it. That
+    is linear however many samples a window holds.
 
     Time is cut into blocks of a few rate windows, so the rows of one block of
     one question - not of one question - meet in a task. Each row goes once
@@ -77,20 +83,25 @@ def tracked(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float =
     for name, v in steps.items():   # counted from the block's start: rows of the block before add up to 0
         t = t.withColumn(name, F.sum(v).over(upto) - F.coalesce(F.sum(F.when(F.col("halo"), v)).over(whole), F.lit(0)))
     t = t.withColumn("base", F.last(F.when(reset, F.struct("c", "f")), ignorenulls=True).over(upto))
-    t = t.withColumn("next_us", F.lead("us").over(whole.orderBy("us", "event_id")))
+    back = whole.orderBy(F.desc("us"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("next_us", F.last(F.when(F.col("kind") != "count", F.col("us")), ignorenulls=True).over(back))
+    probes = F.when(sample & ~F.col("halo"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    t = t.select("*", F.explode(probes).alias("probe"))
+    at = F.when(F.col("probe"), F.col("us") - win).otherwise(F.col("us"))
     of_episode = Window.partitionBy("question_id", "blk", "e")
-    frame = of_episode.orderBy("us").rangeBetween(-win, Window.currentRow)
-    span = (F.col("us") - F.min(F.when(sample, F.col("us"))).over(frame)).cast("double") / float(US)
-    grown = F.col("c") - F.min(F.when(sample, F.col("c"))).over(frame)
-    t = t.withColumn("raw", F.when(sample & ~F.col("halo") & (span > min_dt_s) & (grown > 0), grown.cast("double") / span))
+    from_end = of_episode.orderBy(at.desc(), "probe", F.desc("us"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("first", F.last(F.when(sample & ~F.col("probe"), F.struct("us", "c")), ignorenulls=True).over(from_end))
+    span, grown = (F.col("us") - F.col("first.us")).cast("double") / float(US), F.col("c") - F.col("first.c")
+    t = t.withColumn("raw", F.when(F.col("probe") & (span > min_dt_s) & (grown > 0), grown.cast("double") / span)).drop("first")
+    # a sample's probe comes just before it, so it finds its own rate
     t = t.withColumn("last_raw", F.last("raw", ignorenulls=True).over(
-        of_episode.orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    t = t.where(~F.col("halo")).drop("halo", "raw").checkpoint(eager=True)
+        of_episode.orderBy("us", "event_id", F.desc("probe")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    t = t.where(~F.col("halo") & ~F.col("probe")).drop("halo", "raw", "probe").checkpoint(eager=True)
 
     at = F.struct("us", "event_id")
     blocks = t.groupBy("question_id", "blk").agg(
         *[F.max_by(n, at).alias(f"sum_{n}") for n in steps], F.max_by("last_raw", at).alias("raw_end"),
-        F.max_by("base", F.when(reset, at)).alias("base_end"), F.min("us").alias("first_us"))
+        F.max_by("base", F.when(reset, at)).alias("base_end"), F.min(F.when(F.col("kind") != "count", F.col("us"))).alias("first_us"))
     order = Window.partitionBy("question_id").orderBy("blk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     for n in steps:
@@ -99,7 +110,8 @@ def tracked(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: float =
     end = F.when(seen, F.struct((F.col("in_c") + F.col("base_end.c")).alias("c"), (F.col("in_f") + F.col("base_end.f")).alias("f")))
     blocks = (blocks.withColumn("base_in", F.last(end, ignorenulls=True).over(before))
               .withColumn("rate_in", F.last(F.when(seen, F.coalesce("raw_end", F.lit(0.0))).otherwise(F.col("raw_end")), ignorenulls=True).over(before))
-              .withColumn("next_block_us", F.lead("first_us").over(order)))
+              .withColumn("next_block_us", F.last("first_us", ignorenulls=True).over(
+                  Window.partitionBy("question_id").orderBy(F.desc("blk")).rowsBetween(Window.unboundedPreceding, -1))))
     r = t.join(blocks.select("question_id", "blk", "in_e", "in_c", "in_f", "base_in", "rate_in", "next_block_us"), ["question_id", "blk"])
 
     def since_reset(n):     # growth since the episode's start, in this block or in an earlier one
@@ -122,12 +134,13 @@ def rolling_rate(tele: DataFrame, window_s: float = RATE_WINDOW_S, min_dt_s: flo
 
 
 def stalls(tele: DataFrame, threshold_s: float = STALL_S, window_s: float = RATE_WINDOW_S) -> DataFrame:
-    """Rows after which a live question was silent for more than
-    ``threshold_s``: a live update or count whose question's next row is
-    later than that. ``next_us`` is null where no row followed."""
+    """Samples after which a live question was silent for more than
+    ``threshold_s``: no further sample, reset or end came in that time. A
+    count the server reports is no sign of life. ``next_us`` is null where no
+    such row followed."""
     t = tracked(tele, window_s)
     quiet = F.col("next_us").isNull() | (F.col("next_us") - F.col("us") > int(threshold_s * US))
-    return t.where(F.col("live") & F.col("kind").isin(*ACTIVITY) & quiet).select("question_id", "episode", "us", "next_us")
+    return t.where(F.col("live") & (F.col("kind") == "update") & quiet).select("question_id", "episode", "us", "next_us")
 
 
 def stall_flags(tele: DataFrame, threshold_s: float = STALL_S, now: Column | None = None,
@@ -137,9 +150,9 @@ def stall_flags(tele: DataFrame, threshold_s: float = STALL_S, now: Column | Non
     (default: the latest ``ts``, as a scalar subquery). A finished question,
     or one without a sample since its reset, is not stalled."""
     thr = int(threshold_s * US)
-    busy = F.col("live") & F.col("kind").isin(*ACTIVITY)
+    busy = F.col("live") & (F.col("kind") == "update")
     g = tracked(tele, window_s).groupBy("question_id").agg(
-        F.count_if(F.col("live") & (F.col("kind") == "update")).alias("samples"),
+        F.count_if(busy).alias("samples"),
         F.count_if(busy & (F.col("next_us") - F.col("us") > thr)).alias("stalls"),
         F.max(F.when(busy & F.col("next_us").isNull(), F.col("us"))).alias("_last"))
     now_us = epoch_us(now) if now is not None else tele.select(F.max(epoch_us("ts"))).scalar()

@@ -319,24 +319,28 @@ def read_shards_q(spark, sf):
 # ---------------------------------------------------------------- A9-A12, A4
 def _scored_resp(spark, sf):
     q = C.clean_options(_q(spark, sf))
-    return S.score(S.with_prediction(S.attach_gold(fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS), q)), "wrong")
+    r = fx.responses(spark, sf, q, gold=S.GOLD_COLUMNS)
+    r = r.withColumn("model_outputs", F.when(F.col("tokens") % 40 == 7, "Killed by user").otherwise(F.col("model_outputs")))
+    return S.score(S.with_prediction(S.attach_gold(r, q)), "wrong")
 
 
 RETRY_WRONG, RETRY = 2, 2
 # In words: answers (rows that are neither failed calls nor max-token aborts)
-# number the answer attempts; the sequence ends at the first right answer, at
-# the RETRY-th max-token row of one answer attempt, or at the last allowed wrong
+# number the answer attempts; the sequence ends at the first right answer or
+# kill, at the RETRY-th max-token row of one answer attempt, or at the last allowed wrong
 # answer.
 RUNS_SQL = f"""
+o as (select * replace (case when tokens % 40 = 7 then 'Killed by user' else model_outputs end as model_outputs) from resp),
 s as (
   select r.model, r.question_id, r.attempt_mq as pos, r.model_outputs as mo, {X.l2('r.model_outputs')} as pred, q.answer
-  from resp r join q on r.question_id = q.question_id),
-k as (select *, mo = 'MaxTokensExceeded' as full_, mo is not null and mo <> 'MaxTokensExceeded' as answered,
-        coalesce(mo <> 'MaxTokensExceeded' and pred = answer, false) as hit from s),
+  from o r join q on r.question_id = q.question_id),
+k as (select *, mo = 'MaxTokensExceeded' as full_, mo = 'Killed by user' as killed,
+        mo is not null and mo not in ('MaxTokensExceeded', 'Killed by user') as answered,
+        coalesce(mo not in ('MaxTokensExceeded', 'Killed by user') and pred = answer, false) as hit from s),
 n as (select *, coalesce(count(*) filter (where answered) over (partition by model, question_id order by pos
         rows between unbounded preceding and 1 preceding), 0) as tries from k),
 m as (select *, count(*) filter (where full_) over (partition by model, question_id, tries order by pos) as run from n),
-e as (select model, question_id, min(pos) filter (where hit or (full_ and run >= {RETRY}) or (answered and not hit and tries >= {RETRY_WRONG})) as fin
+e as (select model, question_id, min(pos) filter (where hit or killed or (full_ and run >= {RETRY}) or (answered and not hit and tries >= {RETRY_WRONG})) as fin
       from m group by model, question_id),
 u as (select m.*, e.fin from m join e on m.model = e.model and m.question_id = e.question_id where e.fin is null or m.pos <= e.fin)"""
 

@@ -61,7 +61,7 @@ def stream_rolling_rate(spark, sf):
 @register("stream_stalls", with_views(f"""
 with {TRACKED_SQL}
 select question_id, cast(episode as bigint) as episode, us + {25 * HOUR * 1_000_000} as us, cast(tokens as bigint) as tokens from tr
-where live and kind in ('update', 'count') and (next_us - us > {25 * HOUR * 1_000_000} or next_us is null
+where live and kind = 'update' and (next_us - us > {25 * HOUR * 1_000_000} or next_us is null
   and (us + {25 * HOUR * 1_000_000}) // 1000 <= (select max(epoch_us(ts)) // 1000 from tele) - {30 * HOUR * 1000})""", "tele"))
 def stream_stalls(spark, sf):
     """ST3: the alerts of the tracker - every silence of a live question

@@ -363,13 +363,13 @@ HOUR = 3600
 # success or wrong row; a row counts while its episode is not over.
 TRACKED_SQL = f"""
 t as (select *, epoch_us(ts) as us from tele),
-e as (select *, count(*) filter (where kind = 'reset') over o as episode, lead(us) over (partition by question_id order by us, event_id) as next_us
+e as (select *, count(*) filter (where kind = 'reset') over o as episode, first_value(case when kind <> 'count' then us end ignore nulls) over (partition by question_id order by us, event_id rows between 1 following and unbounded following) as next_us
       from t window o as (partition by question_id order by us, event_id rows between unbounded preceding and current row)),
 l as (select *, coalesce(count(*) filter (where kind in ('success', 'wrong')) over (partition by question_id, episode order by us, event_id
         rows between unbounded preceding and 1 preceding), 0) = 0 as live from e),
 c as (select *, case when live and kind <> 'reset' then cast(coalesce(sum(case when kind in ('update', 'count') then delta end)
         over (partition by question_id, episode order by us, event_id rows between unbounded preceding and current row), 0) as bigint) else 0 end as tokens from l),
-w as (select *, min(us) filter (where kind = 'update' and live) over f as us0, min(tokens) filter (where kind = 'update' and live) over f as c0 from c
+w as (select *, min(us) filter (where kind = 'update' and live) over f as us0, arg_min(tokens, (us, event_id)) filter (where kind = 'update' and live) over f as c0 from c
       window f as (partition by question_id, episode order by us range between {8 * HOUR * 1_000_000} preceding and current row)),
 r as (select *, case when kind = 'update' and live and (us - us0)::DOUBLE / 1000000.0 > 0.05 and tokens - c0 > 0
         then (tokens - c0)::DOUBLE / ((us - us0)::DOUBLE / 1000000.0) end as raw from w),
@@ -387,7 +387,7 @@ def rolling_rate(spark, sf):
 
 @register("stall_flags", with_views(f"""
 with {TRACKED_SQL},
-busy as (select *, live and kind in ('update', 'count') as b from tr)
+busy as (select *, live and kind = 'update' as b from tr)
 select question_id, count(*) filter (where live and kind = 'update') as samples,
   count(*) filter (where b and next_us - us > {25 * HOUR * 1_000_000}) as stalls,
   cast(coalesce((select max(epoch_us(ts)) from tele) - max(us) filter (where b and next_us is null) > {25 * HOUR * 1_000_000}, false) as int) as stalled_now

@@ -5,9 +5,9 @@ episode number, whether the episode is live, tokens, the samples of the last
 rate window, rate, last activity, stall flag, status and retry count. The
 rows of a micro-batch are taken in (ts, event_id) order and handled as
 arrays, by the rules of ``operators.telemetry.tracked``, so the rows equal the
-batch twin. Stalls are reported twice over: a live question's row that comes
-later than the threshold after its activity, and an event-time timeout when
-none comes before the watermark passes that moment. Rows older than the
+batch twin. Stalls are reported twice over: a question's row (other than a
+count) that comes later than the threshold after its last sample, and an
+event-time timeout when none comes before the watermark passes that moment. Rows older than the
 watermark are reported as ``late`` and not applied.
 
 State is keyed and bounded by the samples of one rate window; a finished
@@ -31,9 +31,9 @@ KEEP_S = 24 * 3600
 OUTPUT_SCHEMA = ("event_id long, question_id long, kind string, episode long, tokens long, "
                  "rate double, us long, status string, retries long")
 STATE_SCHEMA = ("episode long, live boolean, tokens long, rate double, sample_us array<long>, sample_tokens array<long>, "
-                "active_us long, last_us long, stalled boolean, status string, retries long, "
+                "active_us long, active_tokens long, last_us long, stalled boolean, status string, retries long, "
                 "wait_id array<long>, wait_kind array<string>, wait_delta array<long>, wait_us array<long>")
-_NEW = (0, True, 0, 0.0, [], [], None, 0, False, "pending", 0, [], [], [], [])
+_NEW = (0, True, 0, 0.0, [], [], None, 0, 0, False, "pending", 0, [], [], [], [])
 
 
 def _latest(flag: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def advance(state: tuple, rows: pd.DataFrame, win_us: int, min_dt_s: float, stal
     """The state after ``rows`` (event_id, kind, delta, us; in order), the rows
     with their results, and the stalls (episode, tokens, rate, us, status,
     retries) that they reveal."""
-    ep0, live0, tok0, rate0, su0, st0, act0, _, stalled0, status0, retries0 = state[:11]
+    ep0, live0, tok0, rate0, su0, st0, act0, act_tok0, _, stalled0, status0, retries0 = state[:12]
     kind, us, n = rows["kind"].to_numpy(), rows["us"].to_numpy(np.int64), len(rows)
     reset, done, grows = kind == "reset", np.isin(kind, FINISHED), np.isin(kind, ACTIVITY)
     start = _latest(reset)                                  # where the row's episode starts here
@@ -79,18 +79,22 @@ def advance(state: tuple, rows: pd.DataFrame, win_us: int, min_dt_s: float, stal
     status = np.where(says >= 0, np.where(reset, "active", kind)[says], status0)
     retries = retries0 + np.maximum(episode - 1, 0) - max(ep0 - 1, 0)
 
-    busy = live & grows
-    gap = np.flatnonzero(busy[:-1] & (us[1:] - us[:-1] > stall_us))
+    # silence ends with a sample, a reset or an end; a server's count is no sign of life
+    signs = np.flatnonzero(kind != "count")
+    gap = signs[:-1][take[signs[:-1]] & (us[signs[1:]] - us[signs[:-1]] > stall_us)]
     alerts = [(episode[i], tokens[i], rate[i], us[i] + stall_us, status[i], retries[i]) for i in gap]
-    if n and act0 is not None and not stalled0 and us[0] - act0 > stall_us:
-        alerts.insert(0, (ep0, tok0, rate0, act0 + stall_us, status0, retries0))
+    if len(signs) and act0 is not None and not stalled0 and us[signs[0]] - act0 > stall_us:
+        alerts.insert(0, (ep0, act_tok0, rate0, act0 + stall_us, status0, retries0))
+    act, act_tok, stalled = act0, act_tok0, stalled0
+    if len(signs):
+        act, act_tok, stalled = (int(us[signs[-1]]), int(tokens[signs[-1]]), False) if take[signs[-1]] else (None, 0, False)
     out = pd.DataFrame({"event_id": rows["event_id"], "kind": kind, "episode": episode, "tokens": tokens, "rate": rate,
                         "us": us, "status": status, "retries": retries})
     if n:
         alive = bool(live[-1] and not done[-1])
         keep = (s_ep == episode[-1]) & (s_us >= us[-1] - win_us) & alive
-        state = (int(episode[-1]), alive, int(tokens[-1]) if alive else 0, float(rate[-1]) if busy[-1] else 0.0, s_us[keep].tolist(), s_tok[keep].tolist(),
-                 int(us[-1]) if busy[-1] else None, int(us[-1]), False, str(status[-1]), int(retries[-1]))
+        state = (int(episode[-1]), alive, int(tokens[-1]) if alive else 0, float(rate[-1]) if alive and grows[-1] else 0.0, s_us[keep].tolist(), s_tok[keep].tolist(),
+                 act, act_tok, int(us[-1]), stalled, str(status[-1]), int(retries[-1]))
     return state, out, alerts
 
 
@@ -100,18 +104,18 @@ def _tracker(window_s: float, min_dt_s: float, stall_s: float, keep_s: float, re
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = tuple(state.get) if state.exists else _NEW
         mark = state.getCurrentWatermarkMs() * 1000
-        wait = pd.DataFrame(dict(zip(("event_id", "kind", "delta", "us"), map(list, (x if x is not None else [] for x in old[11:])))))
+        wait = pd.DataFrame(dict(zip(("event_id", "kind", "delta", "us"), map(list, (x if x is not None else [] for x in old[12:])))))
         come = [wait] if state.hasTimedOut else [wait, *(p[["event_id", "kind", "delta", "us"]] for p in pdfs)]
         rows = pd.concat([p for p in come if len(p)] or [wait], ignore_index=True)
         late = rows["us"] < mark if not reorder else (rows["us"] < mark) & (rows.index >= len(wait))
         ready = ~late & ((rows["us"] < mark) | (not reorder))
-        new, out, alerts = advance((*old[:4], old[4] or [], old[5] or [], *old[6:11]), rows[ready].sort_values(["us", "event_id"], ignore_index=True),
+        new, out, alerts = advance((*old[:4], old[4] or [], old[5] or [], *old[6:12]), rows[ready].sort_values(["us", "event_id"], ignore_index=True),
                                    win_us, min_dt_s, stall_us)
-        ep, live, tokens, rate, _, _, act, last, stalled, status, retries = new
+        ep, live, tokens, rate, _, _, act, act_tokens, last, stalled, status, retries = new
         due = act + stall_us if act is not None and not stalled else None
         if due is not None and due // 1000 <= state.getCurrentWatermarkMs():
-            alerts.append((ep, tokens, rate, due, status, retries))
-            new, due = (*new[:8], True, *new[9:]), None
+            alerts.append((ep, act_tokens, rate, due, status, retries))
+            new, due = (*new[:9], True, *new[10:]), None
         tail = rows[~late & ~ready]
         moments = [due] * (due is not None) + [tail["us"].min() + 1000] * bool(len(tail)) + [last + keep_us] * (status in FINISHED)
         if status in FINISHED and not len(tail) and last + keep_us <= mark:

@@ -58,3 +58,42 @@ def test_hot_question_is_split_over_tasks(spark):
     assert sum(held) == 3000 and len(held) >= 6 and max(held) < 1200
     one = {r.event_id: (r.tokens, r.rate) for r in tracked(df, 8, block_windows=10**4).collect()}
     assert {r.event_id: (r.tokens, r.rate) for r in tracked(df, 8).collect()} == one
+
+
+TELE = "event_id long, question_id long, ts timestamp_ntz, kind string, delta long"
+
+
+def _tele(spark, rows):
+    from datetime import datetime, timedelta
+    return spark.createDataFrame([(i, q, datetime(2024, 1, 1) + timedelta(seconds=s), k, d) for i, (q, s, k, d) in enumerate(rows)], TELE)
+
+
+def test_rate_is_since_the_first_sample_when_counts_fall(spark):
+    """A server's count below the own one: growth since the first sample of the
+    window (here 100 at 1 s), not since the least."""
+    df = _tele(spark, [(1, 0, "reset", 0), (1, 1, "update", 100), (1, 2, "count", -60), (1, 3, "update", 5), (1, 5, "update", 75), (1, 9.5, "update", 20)])
+    got = {r.event_id: (r.tokens, r.rate) for r in tracked(df, 8).collect()}
+    assert got == {0: (0, 0.0), 1: (100, 0.0), 2: (40, 0.0), 3: (45, 0.0), 4: (120, 5.0), 5: (140, 95 / 6.5)}
+
+
+def test_a_count_is_no_sign_of_life(spark):
+    """Update at 1 s, count at 20 s, now 40 s: stalled; a count without a sample: not."""
+    from quizlens.operators.telemetry import stall_flags
+    df = _tele(spark, [(1, 0, "reset", 0), (1, 1, "update", 5), (1, 20, "count", 1), (2, 0, "reset", 0), (2, 1, "count", 7), (3, 39, "reset", 0), (3, 40, "update", 1)])
+    assert {r.question_id: (r.samples, r.stalls, r.stalled_now) for r in stall_flags(df, 25).collect()} == {1: (1, 0, 1), 2: (0, 0, 0), 3: (1, 0, 0)}
+
+
+def test_dense_window_takes_linear_time(spark):
+    """100,000 samples of one question within one window."""
+    import time
+
+    def run(n):
+        df = spark.range(n).select(F.col("id").alias("event_id"), F.lit(1).alias("question_id"), F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 70)
+                                   .cast("timestamp_ntz").alias("ts"), F.lit("update").alias("kind"), F.lit(1).alias("delta"))
+        t0 = time.time()
+        last = tracked(df, 8).orderBy(F.desc("event_id")).first()
+        assert abs(last.rate - 1e6 / 70) < 1e-6 and last.tokens == n
+        return time.time() - t0
+
+    run(1000)
+    assert run(100_000) < 20

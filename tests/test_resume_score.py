@@ -104,8 +104,8 @@ RUN = "model string, question_id long, attempt_mq long, pred string, model_outpu
 
 
 def _run(spark, outcomes, **kw):
-    """m = max tokens, f = failed call, w = wrong answer, r = right answer."""
-    text = {"m": "MaxTokensExceeded", "f": None, "w": "x", "r": "x"}
+    """m = max tokens, f = failed call, w = wrong answer, r = right answer, k = killed."""
+    text = {"m": "MaxTokensExceeded", "f": None, "w": "x", "r": "x", "k": "Killed by user"}
     rows = [("m", 1, i, "B" if o == "r" else "C" if o == "w" else None, text[o], int(o == "r")) for i, o in enumerate(outcomes, 1)]
     df = spark.createDataFrame(rows, RUN)
     return S.best_of_n(df, **kw).first(), S.attempt_accounting(df, **kw).first()
@@ -135,6 +135,69 @@ def test_max_token_counter_starts_again_with_every_answer_attempt(spark):
     assert (best["final_status"], best["final_pred"], best["correct"]) == ("failed", None, 0)
 
 
+def test_killed_question_stays_killed(spark):
+    best, acc = _run(spark, "kr", retry_wrong=3)
+    assert (best["correct"], best["final_status"], best["final_attempt"], best["final_pred"], acc["attempts"]) == (0, "killed", 1, None, 1)
+    best, acc = _run(spark, "wmkr", retry_wrong=3, retry=3)
+    assert (best["correct"], best["final_status"], best["final_attempt"], acc["attempts"], acc["aborted"], acc["wait_seconds"]) == (0, "killed", 3, 3, 0, 2)
+    assert _run(spark, "rk")[0]["final_status"] == "ok"
+
+
+def _walk(outcomes, retry_wrong, retry):
+    """The loop in plain words: (final attempt, status, attempts, max-token attempts, wait)."""
+    run = wrong = full = wait = n = 0
+    answer = last = None
+    for i, o in outcomes:
+        n, last = n + 1, (i, o)
+        if o in "mf":
+            if o == "m":
+                run, full = run + 1, full + 1
+                if run >= max(retry, 1):
+                    return i, "max_tokens", n, full, wait
+                wait += min(2 ** run, 30)
+            continue
+        run, answer = 0, (i, o)
+        if o in "rk":
+            return i, {"r": "ok", "k": "killed"}[o], n, full, wait
+        wrong += 1
+        if wrong > retry_wrong:
+            break
+    i, o = answer or last
+    return i, {"w": "ok", "m": "max_tokens", "f": "failed"}[o], n, full, wait
+
+
+def test_blocks_of_attempts_compose(spark):
+    """Any cut into blocks gives what the plain loop gives; gaps and missing blocks included."""
+    import random
+    rnd, text = random.Random(6), {"m": "MaxTokensExceeded", "f": None, "w": "x", "r": "x", "k": "Killed by user"}
+    seqs = {q: [(i, rnd.choices("mfwrk", [6, 5, 4, .3, .2])[0]) for i in sorted(rnd.sample(range(60), rnd.randrange(1, 40)))] for q in range(120)}
+    df = spark.createDataFrame([("m", q, i, "B" if o == "r" else "C", text[o], int(o == "r")) for q, s in seqs.items() for i, o in s], RUN).repartition(3)
+    for retry_wrong, retry in ((0, 1), (2, 2), (5, 4)):
+        want = {q: _walk(s, retry_wrong, retry) for q, s in seqs.items()}
+        for block in (1, 7, 1 << 14):
+            runs = S.attempt_runs(df, retry_wrong, retry, block=block).collect()
+            got = {r.question_id: (r.final["at"], {"right": "ok"}.get(r.final["code"], r.final["code"]), r.n, r.max_tokens, r.wait) for r in runs}
+            assert got == want, (retry_wrong, retry, block)
+
+
+def test_hot_key_of_attempts_is_spread(spark):
+    """A third of all attempts belong to one key; no task of the first step folds more than a block or two of them."""
+    n = 60000
+    df = spark.range(n).select(F.lit("m").alias("model"), F.when(F.col("id") < n // 3, 0).otherwise(F.col("id")).alias("question_id"), F.col("id").alias("attempt_mq"),
+                               F.lit("C").alias("pred"), F.when(F.col("id") % 3 == 0, "MaxTokensExceeded").alias("model_outputs"), F.lit(0).alias("hit"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = (df.groupBy("model", "question_id", F.floor(F.col("attempt_mq") / 512).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+                .where("question_id = 0").groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect())
+        assert len(held) >= 4 and max(r.n for r in held) < n // 6
+        plan = S.attempt_runs(df, 3, 10 ** 6 // n, block=512)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") == 2 and "_groupingexpression" in plan.split("Exchange hashpartitioning")[2]   # first by key and block
+    r = S.attempt_runs(df, 3, 16, block=512).where("question_id = 0").first()
+    assert (r.n, r.over, r.final["code"]) == (46, True, "max_tokens")
+
+
 def test_answered_without_prediction_is_wrong(spark):
     q = spark.createDataFrame([(1, "A", "law"), (2, "B", "law"), (3, "C", "law"), (4, "D", "law")], "question_id long, answer string, category string")
     res = spark.createDataFrame([(1, "A", "A", 1), (2, None, "B", 2), (3, "A", "C", 3)], "question_id long, pred string, answer string, seq long")
