@@ -15,7 +15,7 @@ from .components import connected_components
 from .registry import register
 
 SMALL = 64          #: sets below this size use pairs of neighbouring hashes as keys
-ROUNDS = 1          #: rounds against the best linked node of each key before the trees do the rest
+ROUNDS = 3          #: rounds against one node of each key (the best linked, then any) before the trees do the rest
 BLOCK = 2048        #: rows of a key that one tree holds
 FAN_OUT = 8         #: children of a tree node
 CHUNK = 1 << 17     #: node pairs tested at once
@@ -309,9 +309,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     Equal sets are one node. Nodes that share a key (``keys``) are candidates:
     no link lies outside. First every node of a key meets one leader of it;
     what is linked then is one component, and only pairs of different
-    components remain to be tested. A round against the node with most links
-    of each key (the middle of a group of near copies) joins most of what is
-    left in linear work; signature trees then find the rest of the pairs of
+    components remain to be tested. Rounds against the node with most links of
+    each key (the middle of a group of near copies), then against other members,
+    join most of what is left in linear work; signature trees then find the rest of the pairs of
     each key exactly, so no link that joins two components is lost. Pairs that sizes and bitmaps allow are tested on their exact sets.
 
     A null, empty or wordless text has no shingles, links with nothing and is
@@ -347,8 +347,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         own = members.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
         best = join.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
         own = own.join(best, "node", "left")
+        by = F.struct(F.coalesce("links", F.lit(0)), "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node")
         mixed = own.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("total"),
-                                       F.max_by(F.struct("node", "comp"), F.struct(F.coalesce("links", F.lit(0)), "node")).alias("leader")).where("c1 < c2")
+                                       F.max_by(F.struct("node", "comp"), by).alias("leader")).where("c1 < c2")
         left = join.keep(own.drop("links").join(mixed.select("key", "leader", "total"), "key"), "left")
         if r == ROUNDS or not more:
             break
