@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+MAX_FILTER_BITS = 1 << 28   #: of one filter, at most (32 MB); fuller ones let more keys through, never fewer
+FILTER_BITS_PER_KEY = 16
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,3 +64,34 @@ def squeeze(c: Column) -> Column:
 def word_count(c: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def row_of(df: DataFrame, cols: list[str] | None = None) -> Column:
+    """Columns, whatever their names, as one struct."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in (df.columns if cols is None else cols)])
+
+
+class Filter:
+    """Bloom filter over 64-bit phrase hashes, two bits a key."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(bits - 1)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(h), bool)
+        for shift in (3, 34):
+            at = (h >> np.uint64(shift)) & self.mask
+            hit &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return hit
+
+
+def filter_of(keys: DataFrame, n: int) -> Filter:
+    """Filter of the column ``h`` of ``keys`` (``n`` rows). The words with a bit
+    are put together by an aggregate; the driver gets at most 2**22 of them."""
+    bits = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (n * FILTER_BITS_PER_KEY).bit_length()))
+    at = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(bits - 1)) for s in (3, 34)])).alias("at")
+    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
+    t = words.toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[t.column("word").to_numpy()] = t.column("v").to_numpy().view(np.uint64)
+    return Filter(bits, out)

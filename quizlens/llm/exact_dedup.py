@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, squeeze
+from .common import Scratch, read, row_of, squeeze
 from .registry import register
 
 #: A chunk ends after a word whose last letters are one of a-f and one of n-s,
@@ -17,7 +17,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Da
     """Per row: its number, id, the SHA-256 of the normalised text and the
     chunks as (64-bit id, SHA-256). A null text counts as empty."""
     norm = squeeze(F.coalesce(F.col(text_col), F.lit("")))
-    return (docs.select(F.struct(*carry).alias("row") if carry else F.lit(0).alias("row"),
+    return (docs.select(row_of(docs, carry).alias("row") if carry else F.lit(0).alias("row"),
                         F.col(id_col).alias("id"), norm.alias("norm"))
             .select(F.monotonically_increasing_id().alias("rid"), "row", "id", F.sha2("norm", 256).alias("sha"),
                     F.transform(F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)),

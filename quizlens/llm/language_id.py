@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, row_of
 from .registry import register
 
 BUCKETS = 4096          #: hashed character n-grams of lengths 1 to 3
 PER_LANGUAGE = 400      #: labelled documents per language to learn from, at most
 CENTROIDS = 3           #: clusters per language
+MOST_ROWS = 8192        #: labelled documents of all languages together, at most
+SLICE = 256             #: documents whose counts a task holds at once
 LEAST_SHARE = 0.05      #: of a language's documents that a cluster must have
 LOW = 0.0025            #: quantile of a language's training cosines that its floor comes from
 SLACK = 0.5             #: a text is rejected below this part of it
@@ -42,7 +44,7 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     two = (one[:-1] ^ (one[:-1] >> 15)) * _MULT[1] + c[1:] * _MULT[2]
     three = (two[:-1] ^ (two[:-1] >> 13)) * _MULT[0] + c[2:] * _MULT[1]
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
-    return np.bincount(np.concatenate([one, two, three]) >> shift, minlength=BUCKETS)
+    return np.bincount(np.concatenate([one, two, three]) >> shift, minlength=BUCKETS).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -102,29 +104,34 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE) -> Model | None:
-    """Learn from at most ``per_language`` documents of every language, chosen by
-    a hash of id. They are found on the narrow columns (repeated ids are combined,
-    and the limit applied, in each task before the shuffle). Of the rows of one
-    id and language the one with the least hash of its text is taken; the driver
-    gets n-gram counts, not texts. None if no row has a language."""
+    """Learn from at most ``per_language`` documents of every language and
+    ``MOST_ROWS`` of all (languages with few documents first), chosen by a hash
+    of id. A language's number of rows says which part of the hashes is more
+    than enough, so only about twice the documents in question, not all of a
+    frequent language, are put in order. Of the rows of one id and language the
+    one with the least hash of its text is taken; the driver gets n-gram counts,
+    16 KB a document, not texts. None if no row has a language."""
+    names = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null")
+    part = names.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("part"))
+    share = (F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53))
+    few = names.join(part, "lang").where(share < F.col("part")).select("id", "lang").distinct()
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    pick = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null").distinct()
-            .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language)
-            .select(F.col("id").alias("pick"), F.col("lang").alias("pick_lang")))
+    pick = (few.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language)
+            .orderBy("n", "lang", F.xxhash64("id")).limit(MOST_ROWS).select(F.col("id").alias("pick"), F.col("lang").alias("pick_lang")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(pick), F.expr("id <=> pick and lang = pick_lang"), "left_semi")
+    rows = rows.join(F.broadcast(pick), F.expr("id <=> pick and lang = pick_lang"), "left_semi")     # at most MOST_ROWS rows
     rows = rows.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches):
         for b in batches:
             got = [(i, x, c) for i, x, t in zip(*map(pa.Array.to_pylist, b.columns)) if (c := ngram_counts(t)) is not None]
             yield pa.record_batch([pa.array([str(g[0]) for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()),
-                                   pa.array([g[2].astype("<u4").tobytes() for g in got], pa.binary())], ["id", "lang", "counts"])
+                                   pa.array([g[2].astype("<f4").tobytes() for g in got], pa.binary())], ["id", "lang", "counts"])
 
     got = sorted((r.lang, r.id, bytes(r.counts)) for r in rows.mapInArrow(features, "id string, lang string, counts binary").collect())
     if not got:
         return None
-    return Model(np.stack([np.frombuffer(g[2], "<u4") for g in got]), [g[0] for g in got])
+    return Model(np.stack([np.frombuffer(g[2], "<f4") for g in got]), [g[0] for g in got])
 
 
 def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -135,16 +142,18 @@ def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", ca
     rejected; so is every text if there was nothing to learn from. A text whose
     best cosine is below its language's floor is rejected, but still carries
     the nearest language. Ties go to the first language by name. Repeated rows
-    get equal results; no row moves between tasks.
+    get equal results; no row moves between tasks. A task holds the counts of
+    ``SLICE`` documents at a time. A very long text is counted whole. An empty
+    table gives no row; columns of any name are carried in ``row``.
     """
     cols = docs.columns if carry is None else carry
-    d = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col(text_col).alias("text"))
+    d = docs.select(row_of(docs, cols).alias("row"), F.col(text_col).alias("text"))
     schema = d.select("row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         m = shared.value
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             counts = [ngram_counts(t.as_py()) for t in b.column(1)]
             lang, cos, far = m.predict(counts) if m else (["und"] * len(counts), [0.0] * len(counts), [True] * len(counts))
             yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(cos, pa.float64()), pa.array(far, pa.bool_())],

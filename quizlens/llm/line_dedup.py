@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, read, row_of
 from .components import connected_components
 from .registry import register
 
@@ -188,13 +188,13 @@ def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id",
     text stays null; columns and their names are unchanged."""
     gone = verdicts.where("not kept").groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("id").alias("gid"), F.col("key").alias("gkey"), "gone")
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+    d = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                     F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"))
     both = d.join(gone, (F.col("key") == F.col("gkey")) & F.col("id").eqNullSafe(F.col("gid")), "left")
     flags = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.try_element_at(flags, i).isNull()), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return both.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return both.select(*[text.alias(c) if c == text_col else F.col("row").getField(f"`{c}`" if "." in c else c).alias(c) for c in docs.columns])
 
 
 @register("op3_line_dedup")

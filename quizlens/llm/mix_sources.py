@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, word_count
+from .common import Scratch, read, row_of, word_count
 from .registry import register
 
 #: Seeds tried per source for the fractional copies.
@@ -49,9 +49,11 @@ def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     ``source, source_size, target, whole, part, seed``.
 
     A document of the source is to appear ``whole`` times, and once more with
-    probability ``part``. Any seed gives every document that probability; of
+    probability ``part``. Any one seed gives every document that probability; of
     ``SEEDS`` seeds the one is kept whose copies come nearest to the target, so
-    that a few long documents don't carry a small source off its target. Both
+    that a few long documents don't carry a small source off its target. With
+    that choice a document's chance is near ``part``, not exactly it. The windows
+    over sources see one row per source (they suit up to some 10**5 sources). Both
     passes are aggregates by source, combined before the shuffle, so a source
     with a third of all rows costs no more than others.
     """
@@ -93,7 +95,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     The draw depends on id and text, so reruns and retries agree; repeated rows
     share it. Null sources are a source of their own; a null or empty text has
     no words and weighs nothing, but is emitted at its source's rate. A source
-    without words has target 0 and its rows go. An empty table stays empty.
+    without words has target 0 and its rows go. An empty table stays empty; a
+    very long text is a large size, and columns may have any names.
     The text is read twice (to count, to emit) and shuffled only if the table
     of sources is too large for a broadcast by measured size.
     """
@@ -101,7 +104,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     sized = s.keep(sizes(docs, id_col, text_col, source_col), "sized")
     plan = s.keep(mix_plan(sized, weights, cap, share), "plan")
     s.drop("sized")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(source_col).alias("source"),
+    rows = docs.select(row_of(docs).alias("row"), F.col(source_col).alias("source"),
                        document_key(id_col, text_col).alias("key"))
     return (copies(rows, plan).where("copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*"))

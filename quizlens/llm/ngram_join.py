@@ -15,8 +15,9 @@ from .components import connected_components
 from .registry import register
 
 SMALL = 64          #: sets below this size use pairs of neighbouring hashes as keys
-ROUNDS = 3          #: rounds against one node of each key (the best linked, then any) before the trees do the rest
+ROUNDS = 1          #: rounds against one node of each key (the best linked, then any) before the trees do the rest
 BLOCK = 2048        #: rows of a key that one tree holds
+LISTED = 64         #: nodes of at most so many open keys carry them, so that a pair comes from one of its keys only
 FAN_OUT = 8         #: children of a tree node
 CHUNK = 1 << 17     #: node pairs tested at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -280,11 +281,18 @@ class _Join:
         def traverse(table):
             node, n, comp, side = (table.column(c).to_numpy() for c in ("node", "n", "comp", "side"))
             bits = folded([x.as_py() for x in table.column("bits")])
+            lists, here = [None if x is None else set(x) for x in table.column("lists").to_pylist()], table.column("key")[0].as_py()
             at = [np.flatnonzero(side == i) for i in (0, 1)]
+
+            def mine(i, j):     # of the keys that both have, the least tells of the pair
+                return lists[i] is None or lists[j] is None or min(lists[i] & lists[j]) == here
+
             x, *y = [SignatureTree(n[i], bits[i], comp[i]) for i in at if len(i)]
             if y or not len(at[1]):
                 for i, j in dual_traversal(x, y[0] if y else x, percent):
-                    p, q = node[at[0][i]], node[at[1 if y else 0][j]]
+                    i, j = at[0][i], at[1 if y else 0][j]
+                    once = np.fromiter(map(mine, i.tolist(), j.tolist()), bool, len(i))
+                    p, q = node[i[once]], node[j[once]]
                     yield pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
         def group(table):
@@ -292,10 +300,12 @@ class _Join:
             return pa.concat_tables(found) if found else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
         blocks = F.ceil(F.col("total") / BLOCK)
-        r = (rows.join(self.nodes.select("node", "n", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), blocks))
+        listed = rows.groupBy("node").agg(F.collect_set("key").alias("lists")).where(F.size("lists") <= LISTED)
+        rows = rows.join(self.nodes.select("node", "n", "bits"), "node").join(listed, "node", "left")
+        r = (rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), blocks))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") > F.col("other")).cast("long").alias("side"), "node", "n", "bits", "comp"))
+                     (F.col("own") > F.col("other")).cast("long").alias("side"), "node", "n", "bits", "comp", "lists"))
         return r.groupBy("key", "i", "j").applyInArrow(group, "a bigint, b bigint")
 
 

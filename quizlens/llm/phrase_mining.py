@@ -9,12 +9,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Filter, Scratch, filter_of, read
 from .registry import register
 
 SHARDS = 2              #: shards of a cycle; a phrase is counted in as many steps as these
-MAX_FILTER_BITS = 1 << 28   #: of one filter, at most (32 MB); fuller ones let more phrases through, never fewer
-FILTER_BITS_PER_KEY = 16
 SLICE = 8 << 20         #: bytes of one language that a task turns into arrays at once (a longer text is a slice of its own)
 HELD = 24 << 20         #: bytes of all languages that wait in a task
 FLUSH = 1 << 23         #: occurrences that a task holds before it combines them
@@ -29,32 +27,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Filter:
-    """Bloom filter over 64-bit phrase hashes, two bits a key."""
-
-    def __init__(self, bits: int, words: np.ndarray):
-        self.words, self.mask = words, np.uint64(bits - 1)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(h), bool)
-        for shift in (3, 34):
-            at = (h >> np.uint64(shift)) & self.mask
-            hit &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return hit
-
-
-def filter_of(keys: DataFrame, n: int) -> Filter:
-    """Filter of the column ``h`` of ``keys`` (``n`` rows). The words with a bit
-    are put together by an aggregate; the driver gets at most 2**22 of them."""
-    bits = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (n * FILTER_BITS_PER_KEY).bit_length()))
-    at = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(bits - 1)) for s in (3, 34)])).alias("at")
-    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
-    t = words.toArrow()
-    out = np.zeros(bits >> 6, np.uint64)
-    out[t.column("word").to_numpy()] = t.column("v").to_numpy().view(np.uint64)
-    return Filter(bits, out)
-
-
 class Slice:
     """Words of one language, in order. ``ids`` number the distinct words;
     -1 stands between pieces, and between texts."""

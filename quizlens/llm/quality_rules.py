@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, row_of
 from .registry import register
 
 WINDOW = 8              #: words of a window that may repeat
@@ -46,6 +48,12 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Code point -> 1 upper-case letter, 2 other letter (of any script), 3 digit, 0 else."""
+    return np.array([1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 0 for c in map(chr, range(0x110000))], np.uint8)
+
+
 def statistics(text: str | None) -> tuple[list[int], list[float]]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), features."""
     text = text or ""
@@ -56,13 +64,13 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     dup = len(lines) - len(set(lines))
     repeat = repeat_words(words)
     c = max(chars, 1)
-    ascii_ = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    count = np.bincount(ascii_, minlength=256)
-    upper, lower, digit = count[65:91].sum(), count[97:123].sum() + count[192:].sum(), count[48:58].sum()
-    marks = count[[33, 44, 46, 58, 59]].sum()
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    upper, letter, digit = np.bincount(_kinds()[points], minlength=4)[1:].tolist()
+    letter += upper
+    marks, bars = sum(map(text.count, "!,.:;")), text.count("|")
     return [n, chars, symbols, dup, repeat], [
         float(np.log1p(n)), chars / max(n, 1), symbols / c, dup / max(len(lines), 1), repeat / max(n, 1), upper / c, digit / c,
-        (upper + lower) / c, marks / c, n / max(len(lines), 1), len(set(words)) / max(n, 1), count[124] / c]
+        letter / c, marks / c, n / max(len(lines), 1), len(set(words)) / max(n, 1), bars / c]
 
 
 class Trees:
@@ -176,7 +184,7 @@ def quality_rules(docs: DataFrame, model: tuple[Trees, float] | None, text_col:
     labels of both kinds) the score is null and the base rules decide alone.
     Repeated rows get equal verdicts; an empty table stays empty.
     """
-    d = docs.select(F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"), F.col(text_col).alias("text"))
+    d = docs.select(row_of(docs, carry).alias("row"), F.col(text_col).alias("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = T.StructType([d.schema["row"], *[T.StructField(n, T.LongType()) for n in names], T.StructField("base_failed", T.BooleanType()),
                            T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])

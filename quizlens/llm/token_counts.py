@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, row_of
 from .registry import register
 from .tokens import default_path, encoder
 
@@ -127,7 +127,7 @@ def count_trees(docs: DataFrame, text_col: str = "text", tokenizer: str | None =
     ``tree`` (heaps of characters and tokens) of every row; the root, element
     1, is the document's count. Null text counts as empty: one empty leaf."""
     path = tokenizer or default_path()
-    d = docs.select(F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"), F.col(text_col).alias("text"))
+    d = docs.select(row_of(docs, carry).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([*d.schema.fields, T.StructField("tree", TREE)])
 
     def run(batches):

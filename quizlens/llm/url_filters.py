@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, read
+from .common import Scratch, ascii_lower, read, row_of
 from .registry import register
 
 HASHES = 4              #: bits per key
@@ -128,7 +128,7 @@ def url_filters(pages: DataFrame, listed: Callable[[DataFrame], DataFrame], rule
     """
     s = scratch or Scratch(pages.sparkSession)
     host, path = host_and_path(F.col(url_col))
-    d = pages.select(F.struct(*[pages[c] for c in (carry or pages.columns)]).alias("row"), host.alias("host"), path.alias("path"))
+    d = pages.select(row_of(pages, carry).alias("row"), host.alias("host"), path.alias("path"))
     d = d.withColumn("key", page_key(F.col("host"), F.col("path")))
     universe = s.keep(d.select("host", "path", "key").distinct(), "keys")
     marked = Cascade(listed(universe), universe, s, max_bits).mark(d, "key", "listed")

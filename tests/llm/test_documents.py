@@ -192,45 +192,127 @@ def test_quality_edge_rows(spark, edge):
     assert got[3].word_chars == 0 and got[6].n_words == 4 and quality_rules.quality_rules(edge.limit(0), None).count() == 0
 
 
-def removed_lines(docs, min_words):
-    seen, out = set(), defaultdict(list)
+def clauses(text):
+    """(start, end, normalised) of every clause with a word."""
+    out, start = [], 0
+    marks = ".!?,;:"
+    for i, c in enumerate(text or ""):
+        nxt = text[i + 1:i + 2]
+        if c == "\n" or (c in marks and not (nxt and nxt in marks)):
+            out.append((start, i + 1))
+            start = i + 1
+    out.append((start, len(text or "")))
+    return [(a, z, " ".join(text[a:z].split()).lower()) for a, z in out if (text or "")[a:z].split()]
+
+
+def repeats_and_passages(docs, least):
+    """Per document the repeated clauses (number, where it stays), and the numbers
+    of those in passages of ``least`` words or more."""
+    seen, out = {}, {}
     for d, text in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
-        for i, line in enumerate((text or "").split("\n")):
-            if len(line.split()) >= min_words:
-                norm = " ".join(line.split()).lower()
-                (out[d].append(i) if norm in seen else seen.add(norm))
+        own = clauses(text)
+        again = []
+        for i, (_, _, norm) in enumerate(own):
+            if norm in seen:
+                again.append((i, seen[norm]))
+            else:
+                seen[norm] = d
+        numbers, gone, run = {i for i, _ in again}, [], []
+        for i in range(len(own) + 1):
+            if i in numbers:
+                run.append(i)
+            else:
+                gone += run if sum(len(own[j][2].split()) for j in run) >= least else []
+                run = []
+        out[d] = (own, again, gone)
     return out
 
 
-def test_substring_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 30])
+def test_substring_dedup_matches_brute_force(spark, least):
     docs = {r.doc_id: r.text for r in documents(spark).collect()}
-    want = removed_lines(docs.items(), substring_dedup.MIN_WORDS)
-    rows = substring_dedup.op1_substring_dedup(spark, SF_MID).collect()
-    assert len(rows) == len(docs) and sum(map(len, want.values())) > 100
+    want = repeats_and_passages(docs.items(), least)
+    rows = (substring_dedup.substring_dedup(documents(spark), min_run=least) if least == 1 else substring_dedup.substring_dedup(documents(spark))).collect()
+    assert len(rows) == len(docs) and sum(len(w[2]) for w in want.values()) > 100
     for r in rows:
-        t = docs[r.doc_id]
-        assert [g.line for g in r.removed] == want[r.doc_id]
+        t = docs[r.row.doc_id]
+        own, again, gone = want[r.row.doc_id]
+        assert [(x.unit, x.stays_in) for x in r.repeats] == again and [x.unit for x in r.removed] == gone and r.n_units == len(own)
+        assert all((x.start, x.end) == own[x.unit][:2] for x in r.repeats)
         assert r.text == "".join(t[s.start:s.end] for s in r.kept_spans)
-        lines = t.split("\n")
-        assert r.text.strip("\n") == "\n".join(x for i, x in enumerate(lines) if i not in set(want[r.doc_id])).strip("\n")
-        for g in r.removed:
-            assert t[g.start:].startswith(lines[g.line]) and g.stays_in <= r.doc_id
+        away = [(own[i][0], own[i][1] if i + 1 not in gone else own[i + 1][0]) for i in gone]
+        assert r.text == "".join(c for at, c in enumerate(t) if not any(a <= at < z for a, z in away))
 
 
 def test_substring_dedup_edge_rows(spark, edge):
-    out = substring_dedup.substring_dedup(edge, min_words=1).collect()
+    out = substring_dedup.substring_dedup(edge, min_run=1).collect()
     got = {r.row.doc_id: r for r in out}
     assert len(out) == len(EDGE) and got[1].text is None and got[2].text == "" and got[3].text == " \t"
     assert got[None].text == "" and [r.text for r in out if r.row.doc_id == 4] == ["x y", "x y"]
     assert substring_dedup.substring_dedup(edge.limit(0)).count() == 0
 
 
-def test_substring_dedup_takes_short_lines(spark):
-    """Lines of one word and up count by default; blank lines do not."""
-    df = spark.createDataFrame([(1, "Yes\n\nSee also"), (2, "see  ALSO\n\nno"), (3, "yes\nyes\n \nmaybe")], "doc_id int, text string")
+def test_substring_dedup_catches_passages_and_leaves_chance_repeats(spark):
+    """A passage of over 50 words inside other text goes from the second document
+    on; short phrases that repeat stay, but are told of."""
+    passage = " ".join(f"Clause number {i} of the text, which runs on and on;" for i in range(8))
+    df = spark.createDataFrame([(1, f"One. {passage} Two."), (2, f"Something else here {passage}\nSee also: One. More"), (3, "See also: a thing. One.")], "doc_id int, text string")
     got = {r.row.doc_id: r for r in substring_dedup.substring_dedup(df).collect()}
-    assert {d: r.text for d, r in got.items()} == {1: "Yes\n\nSee also", 2: "\nno", 3: " \nmaybe"}
-    assert {d: [(g.line, g.stays_in) for g in r.removed] for d, r in got.items()} == {1: [], 2: [(0, 1)], 3: [(0, 1), (1, 1)]}
+    assert got[1].text == f"One. {passage} Two." and got[3].text == "See also: a thing. One."
+    kept = got[2].text
+    assert kept.startswith("Something else here Clause number 0 of the text,") and kept.endswith("\nSee also: One. More") and "number 5" not in kept
+    assert [x.stays_in for x in got[3].repeats] == [2, 1] and got[3].removed == []
+
+
+def test_language_is_the_nearest_centroid(spark):
+    """Predictions recomputed in plain Python from the model's centroids."""
+    docs = documents(spark, SF_SMALL)
+    model = language_id.fit(docs)
+    rows = {r.row.doc_id: r for r in language_id.language_id(docs, model).collect()}
+    for r in docs.collect()[:60]:
+        counts = language_id.ngram_counts(r.text)
+        if counts is None:
+            assert rows[r.doc_id].lang_pred == "und" and rows[r.doc_id].rejected
+            continue
+        v = [np.log1p(float(c)) * float(w) for c, w in zip(counts, model.idf)]
+        size = sum(x * x for x in v) ** 0.5
+        cos = [sum(x / size * float(y) for x, y in zip(v, c)) for c in model.centres]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert rows[r.doc_id].lang_pred == model.names[best] and abs(rows[r.doc_id].score - cos[best]) < 1e-4
+        assert rows[r.doc_id].rejected == (cos[best] < model.floors[best])
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """At most MOST_ROWS documents are learned from, however many languages there are."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 500) as lang")
+    seen = []
+    monkeypatch.setattr(language_id, "Model", lambda counts, langs: seen.append((len(langs), len(set(langs)))))
+    monkeypatch.setattr(language_id, "MOST_ROWS", 700)
+    language_id.fit(docs)
+    assert seen == [(700, 500)]
+
+
+def test_letters_of_any_script():
+    for text in ("Обычный русский текст о погоде и природе.", "Ein gewöhnlicher Satz über das Wetter heute."):
+        features = dict(zip(quality_rules.FEATURES, quality_rules.statistics(text)[1]))
+        assert features["letter_share"] > 0.9 and 0 < features["upper_share"] < 0.15
+
+
+def test_columns_of_any_name(spark):
+    from quizlens.llm import line_dedup, token_counts, url_filters
+    docs = documents(spark, SF_SMALL).withColumn("a.b", F.lit(1)).withColumn("row.text", F.lit("x"))
+    n, model = docs.count(), language_id.fit(docs)
+    assert language_id.language_id(docs, model).select("row.*").columns == docs.columns
+    assert exact_dedup.exact_dedup(docs, carry=docs.columns).select("row.*").columns == docs.columns
+    assert mix_sources.mix_sources(docs).columns == docs.columns
+    assert substring_dedup.substring_dedup(docs).count() == n
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    assert quality_rules.quality_rules(docs, quality_rules.fit(docs, labels)).count() == n
+    assert token_counts.count_trees(docs).count() == n
+    small = docs.limit(20)
+    assert line_dedup.without_lines(small, line_dedup.line_dedup(small)).columns == docs.columns
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").withColumn("a.b", F.lit(1))
+    assert url_filters.url_filters(pages, url_filters.spam_keys, url_filters.RULES).count() == pages.count()
 
 
 def test_samples_take_one_row_an_id(spark, monkeypatch):
