@@ -194,7 +194,7 @@ def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id",
     flags = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.try_element_at(flags, i).isNull()), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return both.select(*[text.alias(c) if c == text_col else F.col("row").getField(f"`{c}`" if "." in c else c).alias(c) for c in docs.columns])
+    return both.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 @register("op3_line_dedup")
