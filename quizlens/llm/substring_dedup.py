@@ -17,6 +17,7 @@ from .registry import register
 MIN_RUN = 30        #: words of neighbouring repeated units from which on they go; 1 removes every repeated unit
 UNIT = re.compile(r"[^\n.!?,;:]*(?:[.!?,;:]+|\n|\Z)")
 FLUSH = 1 << 20     #: hashes that a task holds before it combines them
+PART = 512          #: texts that a task cuts at once
 
 
 def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
@@ -123,7 +124,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     (F.col("key") == F.col("gkey")) & F.col("id").eqNullSafe(F.col("gid")), "left").select("row", "text", "gone")
 
     def cut(batches):
-        for b in batches:
+        for b in (whole.slice(i, PART) for whole in batches for i in range(0, whole.num_rows, PART)):
             rows = []
             for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 got, stays = units(text), {g["unit"]: g["stays_in"] for g in gone or ()}
