@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, filter_of, read
 from .components import connected_components
 from .registry import register
 
@@ -348,7 +348,18 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     rows = numbered.where("n > 1").select("node", F.explode("keys").alias("key"))
     shared = s.keep(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo < hi"), "shared")
     # a key of two rows needs no second look at the keys
-    members = s.keep(rows.join(shared.where("total > 2").select("key", "lo"), "key").distinct(), "members")
+    often = shared.where("total > 2")
+    open_ = docs.sparkSession.sparkContext.broadcast(filter_of(often.select(F.col("key").alias("h")), often.count()))
+
+    def hits(batches):  # most keys have one row; those need not be shuffled again
+        for b in batches:
+            key = b.column(1).flatten()
+            owner = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+            at = np.flatnonzero(open_.value(key.to_numpy().view(np.uint64)))
+            yield pa.record_batch([b.column(0).take(pa.array(owner[at])), key.take(pa.array(at))], ["node", "key"])
+
+    some = numbered.where("n > 1").select("node", "keys").mapInArrow(hits, "node bigint, key bigint")
+    members = s.keep(some.join(often.select("key", "lo"), "key").distinct(), "members")
     join = _Join(d, nodes, k, percent, s)
     pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     more = join.similar(pair(shared.where("total = 2"), "lo", "hi").union(pair(members, "node", "lo")))
