@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
+from quizlens.llm import common
 from quizlens.llm import phrase_mining as pm
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -59,7 +60,7 @@ def test_cycles_and_full_filters(spark, monkeypatch, shards, bits):
     monkeypatch.setattr(pm, "SHARDS", shards)
     monkeypatch.setattr(pm.frequent, "__defaults__", (shards,))
     if bits == 1:
-        monkeypatch.setattr(pm, "MAX_FILTER_BITS", 1 << 6)
+        monkeypatch.setattr(common, "MAX_FILTER_BITS", 1 << 6)
     r = random.Random(shards)
     words = [f"w{int(30 * r.random() ** 3)}" for _ in range(9000)]
     docs = [(r.choice(["x", "y", None]), " ".join(words[i:i + 40]) + r.choice([".", "\n", "", "!? "])) for i in range(0, 9000, 37)]
