@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ from .common import Scratch, read, row_of
 from .components import connected_components
 from .registry import register
 
-MIN_WORDS = 1       #: the query takes every line with a word
 PERCENT = 80        #: least Jaccard similarity of linked lines
-CHARS = 8           #: characters of a shingle; one starts at every word
-SKETCH = 5          #: least hashes of a line; every two of them are a band
+CHARS = 7           #: characters of a shingle; one starts at every place of a line
+SKETCH = 6          #: least hashes of a line; every ``BAND`` of them are a band
+BAND = 3
 ROUNDS = 4          #: rounds against the best linked, then any line of each band, before the rest of the pairs
-FILTER_BITS = 1 << 25
+MAX_FILTER_BITS = 1 << 27
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -29,34 +31,46 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
             .select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")))  # hashes chain: the seed goes first
 
 
-def shingles(norm: Column, before: str = r"\x20") -> Column:
-    """Distinct 64-bit hashes of the shingles: ``CHARS`` characters from every
-    word's start on (every place that follows ``before``), fewer at the end."""
-    found = F.regexp_extract_all(norm, F.lit(r"(?s)%s(?=(.{1,%d}))" % (before, CHARS)), F.lit(1))
+def shingles(norm: Column) -> Column:
+    """Distinct 64-bit hashes of the ``CHARS`` characters from every place of a
+    line on; a line that has no more than that is one shingle."""
+    line = F.substring(norm, 2, 1 << 30)  # without the space in front
+    found = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % CHARS), F.lit(1))
+    found = F.when(F.length(line) > CHARS, found).otherwise(F.array(line))
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
 
-def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+def sketch(found: Column) -> Column:
+    """The ``SKETCH`` least of the hashes, in order. Long sets are not sorted
+    whole: a bound below which some 32 are expected keeps the least ones; where
+    it leaves too few, all are sorted."""
+    bound = (F.lit(-2.0 ** 63) + F.lit(32 * 2.0 ** 64) / F.size(found)).cast("bigint")
+    few = F.filter(found, lambda x: x < bound)
+    low = F.when(F.size(found) <= 64, found).otherwise(F.when(F.size(few) >= SKETCH, few).otherwise(found))
+    return F.slice(F.sort_array(low), 1, SKETCH)
+
+
+def _pair(df: DataFrame, x: str, y: str, percent: int) -> DataFrame:
+    """Pairs of two struct columns ``(node, n)`` whose sizes allow a link."""
+    fits = f"{x}.node <> {y}.node and {percent} * greatest({x}.n, {y}.n) <= 100 * least({x}.n, {y}.n)"
+    return df.where(fits).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
 
 
 def sets_of(docs: DataFrame, need: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
-    """``(node, n, set, fine)`` of the lines ``need(node, h1, h2)``, from the
-    texts, read once more. ``fine``, of small sets only, has the shingles of all
-    places: a few word starts alone don't tell long words apart. A Bloom filter of bounded size thins the lines before they
-    are shuffled (too many lines only make it useless); equal lines are combined
-    first, so a very common line costs one row a task."""
-    at = lambda: F.col("h1").bitwiseAND(F.lit(FILTER_BITS - 1))
+    """``(node, set)`` of the lines ``need(node, h1, h2)``, from the texts, read
+    once more. A Bloom filter of 8 bits a line, up to a bound (beyond it, more
+    lines come through, never fewer), thins the lines before they are shuffled;
+    equal lines are combined first, so a very common line costs one row a task."""
+    bits = min(MAX_FILTER_BITS, 1 << max(16, (8 * need.count()).bit_length()))
+    at = lambda: F.col("h1").bitwiseAND(F.lit(bits - 1))
     bit = F.expr("shiftleft(1L, cast(h1 & 63 as int))")
     words = need.groupBy(F.shiftright(at(), 6).alias("word")).agg(F.bit_or(bit).alias("v"))
-    words = words.union(need.sparkSession.range(FILTER_BITS // 64).select("id", F.lit(0).cast("bigint")))
+    words = words.union(need.sparkSession.range(bits // 64).select("id", F.lit(0).cast("bigint")))
     words = words.groupBy("word").agg(F.bit_or("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("word", "v")))["v"].alias("w"))
     table = scratch.keep(words, "filter").scalar()
     hit = F.getbit(F.element_at(table, (F.shiftright(at(), 6) + 1).cast("int")), F.col("h1").bitwiseAND(F.lit(63)).cast("int")) == 1
     found = lines(docs, min_words).where(hit).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-    found = found.join(need, ["h1", "h2"]).select("node", "norm", shingles(F.col("norm")).alias("set"))
-    fine = F.when(F.size("set") <= SKETCH, shingles(F.col("norm"), ""))
-    return scratch.keep(found.select("node", F.size("set").alias("n"), "set", fine.alias("fine")), "sets")
+    return scratch.keep(found.join(need, ["h1", "h2"]).select("node", shingles(F.col("norm")).alias("set")), "sets")
 
 
 def similar(a: str, b: str, percent: int) -> Column:
@@ -65,11 +79,6 @@ def similar(a: str, b: str, percent: int) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-def alike(x: str, y: str, percent: int) -> Column:
-    """``similar`` by the sets, and by the fine ones where both lines have them."""
-    return similar("set" + x, "set" + y, percent) & F.coalesce(similar("fine" + x, "fine" + y, percent), F.lit(True))
-
-
 class _Links:
     """Exact tests of pairs of nodes (distinct lines)."""
 
@@ -93,9 +102,9 @@ class _Links:
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         self.tested = self.keep(pairs, "pairs")
-        side = lambda x: self.sets.select(F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "set", "fine")])
+        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias("set" + x))
         first = self.tested.join(side("a"), "a")
-        fits = (F.col("x.b") == F.col("y.b")) & (self.percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")) & alike("a", "b", self.percent)
+        fits = (F.col("x.b") == F.col("y.b")) & similar("seta", "setb", self.percent)
         return self.add(first.alias("x").join(side("b").alias("y"), fits).select("a", "x.b"))
 
     def components(self) -> DataFrame:
@@ -104,37 +113,40 @@ class _Links:
 
 
 def bands(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, node)``: every two of a line's ``SKETCH`` least hashes that other
-    lines have among theirs too. At similarity 0.8 two lines share two of five
-    or more with probability above 0.99. Hashes that one line alone has can't
+    """``(key, at)``, ``at`` being ``(node, n)``: every ``BAND`` of a line's
+    ``SKETCH`` least hashes that other lines have among theirs too. At similarity
+    0.8 two lines share three of six or more with probability above 0.98, at 0.2
+    with 0.1. A line of fewer than ``BAND`` hashes is similar to lines of the
+    same hashes alone, which are its band. Hashes that one line alone has can't
     be in a shared band; they go first, which saves most of the rows."""
-    values = nodes.select("node", F.explode("sketch").alias("v"))
+    at = F.struct("node", "n").alias("at")
+    values = nodes.where(F.size("sketch") >= BAND).select(at, F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
-    own = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_set("v")).alias("vs")).where("size(vs) > 1")
-    couples = [F.when(F.size("vs") > j, F.xxhash64(F.try_element_at("vs", F.lit(i + 1)), F.try_element_at("vs", F.lit(j + 1))))
-               for i in range(SKETCH) for j in range(i + 1, SKETCH)]
-    return scratch.keep(own.select("node", F.explode(F.array_compact(F.array(*couples))).alias("key")), "bands")
+    own = values.join(often, "v").groupBy("at").agg(F.sort_array(F.collect_set("v")).alias("vs")).where(F.size("vs") >= BAND)
+    some = [F.when(F.size("vs") > max(c), F.xxhash64(*[F.try_element_at("vs", F.lit(i + 1)) for i in c]))
+            for c in combinations(range(SKETCH), BAND)]
+    few = nodes.where(F.size("sketch") < BAND).select(F.xxhash64(F.size("sketch"), "sketch").alias("key"), at)
+    return scratch.keep(own.select(F.explode(F.array_compact(F.array(*some))).alias("key"), "at").union(few), "bands")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
-               scratch: Scratch | None = None, min_words: int = 10) -> DataFrame:
-    """One row per line of ``min_words`` words or more (1 takes every line with
-    a word, as the query does): ``id, key`` (of id and
-    text), ``line`` (from 0), ``n_shingles``, ``keep_id, keep_key, keep_line``
+               scratch: Scratch | None = None, min_words: int = 1) -> DataFrame:
+    """One row per line of ``min_words`` words or more (1: every line with a
+    word): ``id, key`` (of id and text), ``line`` (from 0), ``n_shingles``, ``keep_id, keep_key, keep_line``
     (the line of its component that stays) and ``kept``.
 
     Equal lines (lower-cased, white space squeezed) are one node. MinHash: a
     line's sketch is the least hashes of its character shingles; lines that
-    share two of them are candidates, tested exactly by the Jaccard similarity
+    share three of them are candidates, tested exactly by the Jaccard similarity
     of their shingles. The nodes of a band meet one leader first, then the best
     linked one and a few others; what is linked is one component, and after that
     only lines of different components are compared, inside the join, so no
-    pairs but links come out of it. The sets
-    are made from the texts once, for lines that share a band. Linked lines form components; of each, the line with the
-    smallest id (null ids last), then the first in the text, stays.
+    pairs but links come out of it. The sets are made from the texts once, for
+    lines that share a band. Linked lines form components; of each, the line
+    with the smallest id (null ids last), then the first in the text, stays.
 
-    Lines of fewer than five shingles have all their hashes in the sketch; a line
-    of one shingle is in no band and only joins its equals.
+    One rule holds for all lines, whatever their length or script: lines up to
+    ``CHARS`` characters are one shingle, so they join only their equals.
 
     Rows with equal id and text count as one document. Null, empty and too short
     lines give no row; a very long line is one larger set. An empty table gives
@@ -142,36 +154,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     s = scratch or Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    occ = lines(d, min_words).withColumn("set", shingles(F.col("norm")))
-    occ = s.keep(occ.select("id", "key", "line", "h1", "h2", F.size("set").alias("n"), F.slice(F.sort_array("set"), 1, SKETCH).alias("sketch")), "lines")
+    occ = lines(d, min_words).select("id", "key", "line", "h1", "h2", shingles(F.col("norm")).alias("set"))
+    occ = s.keep(occ.select("id", "key", "line", "h1", "h2", F.size("set").alias("n"), sketch(F.col("set")).alias("sketch")), "lines")
     rank = F.struct(F.col("id").isNull().alias("no"), "id", "key", "line")
     nodes = occ.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = s.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     rows = bands(nodes, s)
-    shared = s.keep(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo < hi"), "shared")
+    shared = s.keep(rows.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo < hi"), "shared")
     members = s.keep(rows.join(shared.where("total > 2").select("key", "lo"), "key"), "members")
     two = shared.where("total = 2")
-    need = members.select("node").union(two.select("lo")).union(two.select("hi")).distinct()
-    links = _Links(sets_of(d, nodes.select("node", "h1", "h2").join(need, "node"), s, min_words), percent, s)
-    more = links.test(_pair(two, "lo", "hi").union(_pair(members, "node", "lo")))
+    need = members.select("at.node").union(two.select("lo.node")).union(two.select("hi.node")).distinct()
+    need = s.keep(nodes.select("node", "h1", "h2").join(need, "node"), "need")
+    links = _Links(sets_of(d, need, s, min_words), percent, s)
+    more = links.test(_pair(two, "lo", "hi", percent).union(_pair(members, "at", "lo", percent)))
     for r in range(ROUNDS + 1):
         comp = links.components()
         best = links.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        own = (members.select("key", "node").join(comp, "node", "left").join(best, "node", "left")
-               .select("key", "node", F.coalesce("root", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
+        own = (members.select("key", "at.node", "at").join(comp, "node", "left").join(best, "node", "left")
+               .select("key", "at", F.coalesce("root", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
         mixed = own.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
-                                       F.max_by(F.struct("node", "comp"), F.struct("links", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node"))
+                                       F.max_by(F.struct("at", "comp"), F.struct("links", "at") if r == 0 else F.struct(F.xxhash64("at", F.lit(r)), "at"))
                                        .alias("leader")).where("c1 < c2")
         left = links.keep(own.drop("links").join(mixed.select("key", "leader"), "key"), "left")
         if r == ROUNDS or not more:
             break
-        more = links.test(_pair(left.where("comp <> leader.comp").select("node", F.col("leader.node").alias("first")), "node", "first"))
+        more = links.test(_pair(left.where("comp <> leader.comp").select("at", F.col("leader.at").alias("first")), "at", "first", percent))
     # the rest: lines of one band, but of different components; the exact test is part of the join
-    rest = links.keep(left.drop("leader").join(links.sets, "node"), "rest")
-    other = rest.toDF("node2", "key", "comp2", "n2", "set2", "fine2")
+    rest = links.keep(left.select("key", "comp", "at.*").join(links.sets, "node"), "rest")
+    other = rest.select("key", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "set")])
     apart = ((F.col("x.key") == F.col("y.key")) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
-             & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2")) & alike("", "2", percent))
+             & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2")) & similar("set", "set2", percent))
     if links.add(rest.alias("x").join(other.alias("y"), apart).select(F.col("node").alias("a"), F.col("node2").alias("b"))):
         comp = links.components()
 
@@ -200,5 +213,5 @@ def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id",
 @register("op3_line_dedup")
 def op3_line_dedup(spark, sf_dir):
     """One row per line with a word: where its component's line that stays is."""
-    return line_dedup(read(spark, sf_dir, "documents"), min_words=MIN_WORDS).select(
+    return line_dedup(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "line", "n_shingles", F.col("keep_id").alias("keep_doc_id"), "keep_line", "kept")
