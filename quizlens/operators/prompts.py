@@ -68,22 +68,23 @@ def fewshot(questions: DataFrame, exemplars: DataFrame, k: int | None = None, st
     format (T2) and the template header (``template``: e.g.
     ``sources.results.header_template(spark, path)``). A category without exemplars gets
     a zero-shot prompt (local runner); ``strict`` raises instead (API
-    runners fail with KeyError).
+    runners fail with KeyError). A question without a category has an empty
+    name in its header and no exemplars, as in ``fit_kshot``.
     """
+    name = F.coalesce("category", F.lit(""))
     if style == "api":
         render = format_inline("question", "options", "cot_content")
         target = format_inline("question", "options")
-        header = F.concat(F.lit(API_HEADER.split("{}")[0]), F.col("category"), F.lit(API_HEADER.split("{}")[1]))
+        header = F.concat(F.lit(API_HEADER.split("{}")[0]), name, F.lit(API_HEADER.split("{}")[1]))
     else:
         render = format_block("question", "options", "cot_content", with_answer=True)
         target = format_block("question", "options", with_answer=False)
         tpl = template if template is not None else F.lit(LOCAL_HEADER_TEMPLATE)
-        header = F.concat(F.replace(tpl, F.lit("{$}"), F.col("category")), F.lit("\n"))
+        header = F.concat(F.replace(tpl, F.lit("{$}"), name), F.lit("\n"))
     j = questions.join(exemplar_texts(exemplars, k, render), "category", "left")
     if strict:
         j = j.where(F.when(F.col("exemplars").isNull(),
-                           F.raise_error(F.concat(F.lit("no exemplars for category "),
-                                                  F.col("category")))).isNull())
+                           F.raise_error(F.concat(F.lit("no exemplars for category "), name))).isNull())
     prefix = F.array_join(F.coalesce(F.col("exemplars"), F.array().cast("array<string>")), "")
     return j.select("question_id", "category",
                     F.concat(header, prefix, target).alias("prompt"),
@@ -181,7 +182,7 @@ def style_grid(questions: DataFrame) -> DataFrame:
     header = F.lit(None).cast("string")
     for i, h in enumerate(STYLE_HEADERS):
         header = F.when(F.col("header_id") == i + 1,
-                        F.replace(F.lit(h), F.lit("{subject}"), F.col("category"))).otherwise(header)
+                        F.replace(F.lit(h), F.lit("{subject}"), F.coalesce("category", F.lit("")))).otherwise(header)
     body = F.lit(None).cast("string")
     for i, fmt in enumerate(STYLE_FORMATS):
         body = F.when(F.col("format_id") == i + 1,

@@ -14,7 +14,7 @@ from ..functions.extract import extract
 from ..operators import score as S
 from ..operators.resume import resume_plan
 from ..sources import fixtures as fx
-from ..sources.results import fresh_dir, read_results, write_results
+from ..sources.results import append_history, fresh_dir, read_categories, read_history, read_results, write_results
 from ..streaming import tracker as TR
 from ..streaming.sinks import live_board, merge_sink, read_merged, run_available
 from . import sqlparts as X
@@ -129,28 +129,58 @@ def stream_live_board(spark, sf):
 
 
 @register("stream_merge", with_views("""
-with b as (select *, case when seq % 1000 = 1 then 1 when seq % 1000 = 2 then 2 else 3 end as batch from saved),
-f as (select question_id, question, min(batch) as fb from b group by question_id, question),
-g as (select b.question_id, b.question,
+with b as (select *, case when seq % 1000 = 1 then 1 when seq % 1000 = 2 then 2 else 3 end as batch from allsaved),
+f as (select model, question_id, question, min(batch) as fb from b group by model, question_id, question),
+g as (select b.model, b.question_id, b.question,
         max(b.seq) filter (where b.batch = f.fb) as pos,
         arg_max(struct_pack(category := b.category, answer := b.answer, pred := b.pred,
                             model_outputs := b.model_outputs), b.seq) as v
-      from b join f on b.question_id = f.question_id and b.question = f.question
-      group by b.question_id, b.question)
-select pos as seq, question_id, question, v.category as category, v.answer as answer, v.pred as pred,
-  v.model_outputs as model_outputs from g""", "saved"))
+      from b join f on b.model = f.model and b.question_id = f.question_id and b.question = f.question
+      group by b.model, b.question_id, b.question)
+select pos as seq, model, question_id, question, v.category as category, v.answer as answer, v.pred as pred,
+  v.model_outputs as model_outputs from g""", "allsaved"))
 def stream_merge(spark, sf):
-    """ST7: saved results arrive as first attempts, second attempts, then the
-    rest, each as one file set and so one micro-batch of one stream, which
-    starts again from its checkpoint after each; a replaced row keeps its
-    position."""
+    """ST7: the saved results of all models arrive as first attempts, second
+    attempts, then the rest, each as one file set and so one micro-batch of one
+    stream, which starts again from its checkpoint after each; a replaced row
+    keeps its position. The second batch ends in a compaction, on which the
+    third one builds."""
     table, src, ck = fresh_dir(spark, "merged"), fresh_dir(spark, "saved-src"), fresh_dir(spark, "merge-ckpt")
-    s = fx.saved_results(spark, sf)
+    s, keys = fx.all_saved(spark, sf), ("model", "question_id", "question")
     att = F.col("seq") % 1000
     for i, cond in enumerate((att == 1, att == 2, att >= 3)):
         s.where(cond).write.parquet(f"{src}/s{i}")
-        merge_sink(spark.readStream.schema(s.schema).parquet(f"{src}/*"), table, checkpoint=ck)
-    return read_merged(spark, table, s.schema)
+        merge_sink(spark.readStream.schema(s.schema).parquet(f"{src}/*"), table, keys, checkpoint=ck, compact_after=1 if i == 1 else None)
+    return read_merged(spark, table, s.schema, keys)
+
+
+@register("read_categories", with_views("""
+with size as (select category, count(*) as n from q where split = 'test' group by category),
+big as (select category from size where n >= (select avg(n) from size))
+select model, category, question_id, pred from res where category in (select category from big)""", "res"))
+def read_categories_of_runs(spark, sf):
+    """Result files of all models, written by category; those of the
+    categories with at least the mean number of test questions are read back,
+    pruned at run time by that table of categories."""
+    base, res = fresh_dir(spark, "by-category"), fx.result_rows(spark, sf)
+    write_results(res, base)
+    size = fx.questions(spark, sf).where("split = 'test'").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    big = size.where(F.col("n") >= size.agg(F.avg("n")).scalar()).select("category")
+    return read_categories(spark, base, big, res.schema).select("model", "category", "question_id", "pred")
+
+
+@register("run_history", with_views("""
+select model, 'CoT' as mode, 'all' as subjects, cast(count(*) as bigint) as n, cast(count(*) filter (where pred = answer) as bigint) as corr
+from res group by model""", "res"))
+def run_history(spark, sf):
+    """One history row per model of the finished runs, appended by a run
+    that is then retried, and read back: the retry replaces its own rows."""
+    path = fresh_dir(spark, "history")
+    rows = fx.result_rows(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == F.col("answer")).alias("corr"))
+    rows = rows.select("model", F.lit("CoT").alias("mode"), F.lit("all").alias("subjects"), "n", "corr")
+    for _ in range(2):
+        append_history(rows, path, run_id="first")
+    return read_history(spark, path, rows.schema)
 
 
 @register("results_roundtrip", with_views(

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,15 +80,19 @@ def committed(spark: SparkSession, base: str) -> list[tuple[int, str]]:
     return sorted((int(r.version), r.name) for r in spark.read.schema("version bigint, name string").parquet(f"{path}/*").collect())
 
 
+def _newest(spark: SparkSession, base: str) -> str:
+    vs = committed(spark, base)
+    if not vs:
+        raise FileNotFoundError(f"no committed version under {base}")
+    return os.path.join(base, "data", vs[-1][1])
+
+
 def read_results(spark: SparkSession, base: str, schema: T.StructType = RESULT_SCHEMA,
                  quarantine: bool = False):
     """Newest committed version of ``base``. A line that does not parse raises;
     with ``quarantine`` such lines are returned beside the good rows
     (``(good, bad)``) instead."""
-    vs = committed(spark, base)
-    if not vs:
-        raise FileNotFoundError(f"no committed version under {base}")
-    path = os.path.join(base, "data", vs[-1][1])
+    path = _newest(spark, base)
     if not quarantine:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path).drop("_category")
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
@@ -97,6 +102,33 @@ def read_results(spark: SparkSession, base: str, schema: T.StructType = RESULT_S
             parsed.where(broken).select("file_path", F.col("value").alias("_corrupt_record")))
 
 
+def read_categories(spark: SparkSession, base: str, categories, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
+    """The rows of some categories of the newest committed version; files of
+    other categories are not read. ``categories`` is a list (None: rows without
+    one), pruned while planning, or a DataFrame with a column ``category``,
+    whose values prune the scan at run time where its join is broadcast
+    (adaptive execution does so only for a side that it measured small)."""
+    full = T.StructType([*schema.fields, T.StructField("_category", T.StringType())])
+    t = spark.read.schema(full).option("mode", "FAILFAST").json(_newest(spark, base))
+    folder = lambda c: F.nullif(c, F.lit(""))  # noqa: E731  null and empty names share the default folder
+    if isinstance(categories, DataFrame):
+        wanted = categories.select(F.col("category").alias("_wanted")).distinct()
+        wanted = wanted.withColumn("_folder", folder(F.col("_wanted")))
+        named = wanted.where(F.length("_folder") > 0)
+        rows = t.join(named, (F.col("_category") == F.col("_folder")) & (F.col("category") == F.col("_wanted")), "left_semi")
+        none = wanted.where("_folder is null")
+        rest = t.where("_category is null").join(none, F.col("category").eqNullSafe(F.col("_wanted")), "left_semi")
+        return rows.union(rest).select(*schema.fieldNames())
+    names = list(dict.fromkeys(categories))
+    in_folder = F.col("_category").isin([c for c in names if c])
+    if any(not c for c in names):
+        in_folder = in_folder | F.col("_category").isNull()
+    exact = F.col("category").isin([c for c in names if c is not None])
+    if None in names:
+        exact = F.coalesce(exact, F.lit(False)) | F.col("category").isNull()
+    return t.where(in_folder).where(exact).select(*schema.fieldNames())
+
+
 def read_shards(spark: SparkSession, base: str, shards: int, schema: T.StructType = RESULT_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """U4: the results of a run dealt over ``shards`` processes that each write
     (``write_results``) under ``base/shard=<i>`` and may be absent, running or
@@ -129,9 +161,20 @@ def write_summary(summary_json: DataFrame, path: str) -> None:
         .write.mode("overwrite").text(path)
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Append run-history rows ``[model, CoT, subjects, time, acc]``."""
-    rows.write.mode("append").csv(path)
+def append_history(rows: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Append run-history rows ``[model, CoT, subjects, time, acc]``. With
+    ``run_id`` the rows go to a folder of that run, which a retry of the run
+    replaces, so no run counts twice; without, they are only appended."""
+    if run_id is None:
+        rows.write.mode("append").csv(path)
+    else:
+        rows.write.mode("overwrite").csv(os.path.join(path, f"run={quote(run_id, safe='')}"))
+
+
+def read_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of the history that ``append_history`` wrote, in columns of
+    ``schema``."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).csv(path)
 
 
 def write_report(lines: DataFrame, path: str, by: str = "model") -> None:

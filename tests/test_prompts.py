@@ -4,7 +4,7 @@ worked example)."""
 from pyspark.sql import functions as F
 
 from quizlens.functions.text import format_block, format_inline, options_line, truncate
-from quizlens.operators.prompts import API_HEADER, style_grid
+from quizlens.operators.prompts import API_HEADER, fewshot, style_grid
 
 
 def _one(spark, col, q="Q1", options=("x", "y"), cot=None):
@@ -90,3 +90,14 @@ def test_header_template_from_file_equals_builtin(spark):
     b = {r.question_id: r.prompt for r in
          fewshot(test, ex, 5, "local", template=header_template(spark, f"{d}/initial_prompt.txt")).collect()}
     assert a == b and all(p.startswith("The following are multiple choice questions") for p in a.values())
+
+
+def test_question_without_category_has_a_prompt(spark):
+    row = "question_id long, category string, question string, options array<string>, cot_content string, answer string"
+    test = spark.createDataFrame([(1, None, Q, OPTS, "", "A")], row)
+    ex = spark.createDataFrame([(2, None, Q, OPTS, "A: x", "A"), (3, "law", Q, OPTS, "A: x", "A")], row)
+    for style in ("api", "local"):
+        r = fewshot(test, ex, 5, style).first()
+        assert r.n_shots == 0 and Q in r.prompt and "None" not in r.prompt.split(Q)[0]
+    rows = style_grid(test).collect()
+    assert len(rows) == 24 and all(Q in r.prompt for r in rows)

@@ -3,6 +3,7 @@ files are quarantined."""
 
 import json
 import os
+import re
 import random
 import tempfile
 
@@ -180,3 +181,32 @@ def test_fixed_decimal_rounds_half_to_even(spark):
     df = spark.createDataFrame([(1, 8), (3, 8), (5, 16), (2, 3), (0, 5), (7, 7)], "n long, d long")
     got = [r[0] for r in df.select(fixed_decimal("n", "d", 2)).collect()]
     assert got == ["0.12", "0.38", "0.31", "0.67", "0.00", "1.00"]
+
+
+def test_read_categories_prunes(spark):
+    from quizlens.sources.results import read_categories
+    base = tempfile.mkdtemp(prefix="quizlens-categories-")
+    rows = [(i, c, "A") for i, c in enumerate(["law", "math", "01", "", None, "law", "a/b=c d"])]
+    df = spark.createDataFrame(rows, "question_id long, category string, pred string")
+    write_results(df, base)
+    ids = lambda d: sorted(r.question_id for r in d.collect())
+    table = lambda *c: spark.createDataFrame([(x,) for x in c], "category string")
+    for names, want in [(["law"], [0, 5]), (["01", "a/b=c d", "none"], [2, 6]), ([""], [3]), ([None], [4]), ([None, "math", ""], [1, 3, 4]), ([], [])]:
+        assert ids(read_categories(spark, base, names)) == want
+        assert ids(read_categories(spark, base, table(*names, *names))) == want
+    plan = read_categories(spark, base, ["law"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_category", plan)
+    plan = read_categories(spark, base, table("law", "x").where("category > 'b'"))._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_history_counts_a_retried_run_once(spark):
+    from quizlens.sources.results import append_history, read_history
+    path = tempfile.mkdtemp(prefix="quizlens-history-") + "/h"
+    row = "model string, mode string, subjects string, time string, acc double"
+    hist = spark.createDataFrame([("llama, 7b", "CoT", "[all]", "12-02_10-00", 0.5)], row)
+    for run in ("a/1", "a/1", "b"):
+        append_history(hist, path, run)
+    append_history(hist, path)
+    got = read_history(spark, path, hist.schema).collect()
+    assert len(got) == 3 and all(tuple(r) == tuple(hist.first()) for r in got)

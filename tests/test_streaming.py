@@ -151,3 +151,74 @@ def test_merge_batches_replay_after_a_failed_write(spark):
     for _ in range(2):
         merge_batch(spark, spark.createDataFrame([(5, 2, None, "z"), (6, 3, "c", "n")], row), table, 1)
         assert read() == [(1, 1, "a", "x"), (2, 2, None, "z"), (6, 3, "c", "n")]
+
+
+def _files_read(df):
+    """Files that the executed plan's scans opened."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, todo = 0, [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+            continue
+        if "QueryStage" in p.getClass().getName():
+            todo.append(p.plan())
+            continue
+        m = p.metrics().get("numFiles")
+        if m.isDefined():
+            total += m.get().value()
+        kids = p.children()
+        todo.extend(kids.apply(i) for i in range(kids.size()))
+    return total
+
+
+def test_merge_reads_the_buckets_of_its_keys(spark):
+    from quizlens.streaming import sinks
+    table = f"{tempfile.mkdtemp(prefix='quizlens-buckets-')}/t"
+    row = "seq long, question_id long, question string, v string"
+    keys = ("question_id", "question")
+    full = spark.range(1000).select(F.col("id").alias("seq"), F.col("id").alias("question_id"), F.lit("q").alias("question"), F.lit("a").alias("v"))
+    schema = spark.createDataFrame([], row).schema
+    sinks.merge_batch(spark, full.coalesce(1), table, 0)
+    whole = _files_read(sinks._read(spark, table, sinks._versions(spark, table)[1], schema, keys))
+    few = _files_read(sinks._read(spark, table, sinks._versions(spark, table)[1], schema, keys, [3]))
+    assert whole >= sinks.BUCKETS and 0 < few * 16 <= whole
+    sinks.merge_batch(spark, spark.createDataFrame([(9000, 5, "q", "b"), (9001, 2000, "q", "n")], row), table, 1)
+    got = {r.question_id: (r.seq, r.v) for r in sinks.read_merged(spark, table, schema).collect()}
+    assert len(got) == 1001 and got[5] == (5, "b") and got[2000] == (9001, "n") and got[6] == (6, "a")
+
+
+def test_compaction_failure_replay_and_purge(spark, monkeypatch):
+    """A compaction that stops before its marker changes nothing; after a whole
+    one the rows are the same, earlier batches stay done, later ones count."""
+    from quizlens.streaming import sinks
+    table = f"{tempfile.mkdtemp(prefix='quizlens-compact-')}/t"
+    row = "seq long, question_id long, question string, v string"
+    schema = spark.createDataFrame([], row).schema
+    read = lambda: sorted((tuple(r) for r in sinks.read_merged(spark, table, schema).collect()), key=str)
+    batches = [[(1, 1, "a", "x"), (2, 2, None, "y")], [(3, 2, None, "z"), (4, None, "n", "w")], [(5, 1, "a", None)]]
+    df = [spark.createDataFrame(b, row) for b in batches]
+    for i in (0, 1):
+        sinks.merge_batch(spark, df[i], table, i)
+    want = read()
+    assert want == [(1, 1, "a", "x"), (2, 2, None, "z"), (4, None, "n", "w")]
+    rows = sinks._rows
+    monkeypatch.setattr(sinks, "_rows", lambda *a: rows(*a).withColumn("v", F.raise_error(F.lit("stopped")).cast("string")))
+    try:
+        sinks.compact(spark, table, schema)
+        raise AssertionError("the compaction did not fail")
+    except Exception as e:
+        assert "stopped" in str(e)
+    monkeypatch.setattr(sinks, "_rows", rows)
+    assert read() == want and len(sinks._versions(spark, table)[1]) == 2
+    sinks.merge_batch(spark, df[1], table, 1)  # replayed
+    assert read() == want
+    for _ in range(2):
+        sinks.compact(spark, table, schema)
+        assert read() == want and len(sinks._versions(spark, table)[1]) == 1
+    assert sinks.purge(spark, table) == 2 and sinks.purge(spark, table) == 0 and read() == want
+    for i in (0, 1, 2, 2):
+        sinks.merge_batch(spark, df[i], table, i)
+    assert read() == [(1, 1, "a", None), (2, 2, None, "z"), (4, None, "n", "w")]
