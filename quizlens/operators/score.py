@@ -330,3 +330,23 @@ def token_totals(responses: DataFrame, by=("model",), approx_quantiles: bool = F
     if approx_quantiles:
         aggs.append(F.percentile_approx("tokens", [0.5, 0.95], 10000).alias("p50_p95"))
     return responses.groupBy(*by).agg(*aggs)
+
+
+SKETCH_K = 1600     #: size of a quantile sketch; its rank error stays far below 1 %
+
+
+def quantile_sketches(df: DataFrame, value: str, by=("model", "category"), k: int = SKETCH_K) -> DataFrame:
+    """Per group ``n`` values that are not null and their ``sketch`` (KLL, a
+    few KB whatever the group's size), to be stored beside a run's results and
+    merged with those of other runs. A group without values has a null sketch."""
+    v = F.col(value).cast("bigint")
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.when(F.count(v) > 0, F.kll_sketch_agg_bigint(v, F.lit(k))).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by=("model",), probs=(0.5, 0.95), k: int = SKETCH_K) -> DataFrame:
+    """``quantile_sketches`` of any number of files or runs combined per
+    group (map-side first): ``n`` and ``p50``, ``p95`` ... as bigint, each a
+    value of the group whose rank is within 1 % of the asked one. Sketches are
+    randomised, so a value may differ between runs within that bound."""
+    g = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("_s"))
+    return g.select(*by, "n", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_bigint("_s", F.lit(float(p)))).alias(f"p{round(100 * p)}") for p in probs])

@@ -430,6 +430,23 @@ def token_totals(spark, sf):
     return S.token_totals(fx.responses(spark, sf))
 
 
+@register("token_quantiles", with_views("""
+select model, count(tokens) as n, true as p50_within, true as p95_within from resp group by model""", "q", "resp"))
+def token_quantiles(spark, sf):
+    """Quantile sketches of every shard's token counts are stored, read back
+    and merged per model; whether the exact rank of each merged quantile is within
+    1 % of the asked one (the values themselves are approximate)."""
+    path, r = fresh_dir(spark, "sketches"), fx.responses(spark, sf).select("model", "question_id", "tokens")
+    S.quantile_sketches(R.assign_shard(r, 8), "tokens", ("model", "shard")).write.parquet(path)
+    m = S.merged_quantiles(spark.read.parquet(path))
+    shares = []
+    for c in ("p50", "p95"):
+        shares += [F.sum((F.col("tokens") < F.col(c)).cast("int")).alias(c + "_below"), F.sum((F.col("tokens") <= F.col(c)).cast("int")).alias(c + "_upto")]
+    g = r.join(m, "model").groupBy("model", "n").agg(*shares)
+    within = lambda c, p: (F.col(c + "_below") <= (p + 0.01) * F.col("n")) & (F.col(c + "_upto") >= (p - 0.01) * F.col("n"))
+    return g.select("model", "n", within("p50", 0.5).alias("p50_within"), within("p95", 0.95).alias("p95_within"))
+
+
 @register("wrong_stats", with_views(f"""
 with {FILLED_SQL},
 g as (select category, count(*) as total, count(*) filter (where answer is distinct from pred) as wrong

@@ -256,3 +256,20 @@ def test_strict_subjects_and_exemplars(spark):
     with pytest.raises(Exception) as e:
         fewshot(test, ex, 5, "api", strict=True).collect()
     assert "no exemplars for category math" in str(e.value) or isinstance(e.value, PySparkException)
+
+
+def test_merged_quantiles_are_near_the_exact_ranks(spark):
+    """A group with most of the rows, one of few rows, nulls, and a group
+    without a value; sketches of several runs come together."""
+    from quizlens.operators.score import merged_quantiles, quantile_sketches
+    d = spark.range(60000).select(F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("model"), (F.col("id") % 5).alias("category"),
+                                  F.pmod(F.xxhash64("id"), F.lit(10000)).alias("t"))
+    none = spark.createDataFrame([("a", 9, None), ("c", 1, None)], "model string, category long, t long")
+    first, second = quantile_sketches(d.where("id < 20000"), "t"), quantile_sketches(d.where("id >= 20000").union(none), "t")
+    got = {r.model: r for r in merged_quantiles(first.union(second), probs=(0.5, 0.9)).collect()}
+    assert got["c"].n == 0 and got["c"].p50 is None
+    for m in "ab":
+        values = sorted(r.t for r in d.where(F.col("model") == m).collect())
+        assert got[m].n == len(values)
+        for p, v in ((0.5, got[m].p50), (0.9, got[m].p90)):
+            assert v in values and abs(sum(x <= v for x in values) / len(values) - p) <= 0.01
