@@ -1,13 +1,17 @@
-"""Fuzzy deduplication of lines by MinHash (native)."""
+"""Fuzzy deduplication of lines by MinHash."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, row_of
+from .common import Scratch, filter_of, read, row_of
 from .components import connected_components
 from .registry import register
 
@@ -15,39 +19,126 @@ PERCENT = 80        #: least Jaccard similarity of linked lines
 CHARS = 7           #: characters of a shingle; one starts at every place of a line
 SKETCH = 6          #: least hashes of a line; every ``BAND`` of them are a band
 BAND = 3
-ROUNDS = 4          #: rounds against the best linked, then any line of each band, before the rest of the pairs
-MAX_FILTER_BITS = 1 << 27
-
-
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs(id, key, text)`` -> one row per line of ``min_words`` words or
-    more: ``id, key, line`` (from 0), ``norm`` (lower case, one space before
-    every word) and its 128-bit digest ``h1, h2``."""
-    text = F.regexp_replace(F.lower("text"), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
-    each = docs.select("id", "key", F.posexplode(F.split(text, "\n")).alias("line", "norm"))
-    each = each.select("id", "key", "line", F.concat(F.lit(" "), F.trim("norm")).alias("norm"))
-    # the space before a line without a word is no word
-    return (each.where((F.length("norm") > 1) & (F.length("norm") - F.length(F.translate("norm", " ", "")) >= min_words))
-            .select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")))  # hashes chain: the seed goes first
-
-
-def shingles(norm: Column) -> Column:
-    """Distinct 64-bit hashes of the ``CHARS`` characters from every place of a
-    line on; a line that has no more than that is one shingle."""
-    line = F.substring(norm, 2, 1 << 30)  # without the space in front
-    found = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % CHARS), F.lit(1))
-    found = F.when(F.length(line) > CHARS, found).otherwise(F.array(line))
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
-
-
-def sketch(found: Column) -> Column:
-    """The ``SKETCH`` least of the hashes, in order. Long sets are not sorted
-    whole: a bound below which some 32 are expected keeps the least ones; where
-    it leaves too few, all are sorted."""
-    bound = (F.lit(-2.0 ** 63) + F.lit(32 * 2.0 ** 64) / F.size(found)).cast("bigint")
-    few = F.filter(found, lambda x: x < bound)
-    low = F.when(F.size(found) <= 64, found).otherwise(F.when(F.size(few) >= SKETCH, few).otherwise(found))
-    return F.slice(F.sort_array(low), 1, SKETCH)
+ROUNDS = 2          #: rounds against the best linked, then any line of each band, before the rest of the pairs
+HASH_BITS = 52      #: of a shingle; the bits above number the lines of a slice
+SLICE_CHARS = 1 << 18   #: characters that become arrays at once (a longer line is a slice of its own)
+ROWS_OUT = 1 << 15  #: lines a task holds before it passes them on
+_PAD = 0x1FFFFF     # behind a line shorter than a shingle; no character has this number
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SPACES = str.maketrans("\t\x0b\x0c\r", "    ")
+
+
+def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, str]]:
+    """``(line, norm)`` of the lines of ``min_words`` words or more: numbers from
+    0, lower case, one space between words."""
+    text = (text or "").lower()
+    if any(c in text for c in "\t\x0b\x0c\r"):
+        text = text.translate(_SPACES)
+    for i, line in enumerate(text.split("\n")):
+        line = line.strip(" ")
+        if "  " in line:
+            line = " ".join(filter(None, line.split(" ")))
+        if line and line.count(" ") + 1 >= min_words:
+            yield i, line
+
+
+def digest(norms: list[str]) -> np.ndarray:
+    """128-bit digests, as two columns of signed 64-bit numbers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in norms), np.int64).reshape(-1, 2)
+
+
+def _hash(c: Iterable[np.ndarray]) -> np.ndarray:
+    """Hashes of ``CHARS`` = 7 neighbouring code points, given by 64-bit arrays
+    of pairs of neighbours at places 0, 2, 3 and 5 (3 is in two of them)."""
+    p0, p2, p3, p5 = c
+    x = (p0 * _K1 + p2) * _K2 + (p3 * _K1 + p5)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x >> np.uint64(64 - HASH_BITS)
+
+
+def shingles(norms: list[str]) -> np.ndarray:
+    """Distinct shingles of at most ``1 << (64 - HASH_BITS)`` lines, sorted: a
+    line's number in the high bits, a hash of the ``CHARS`` characters from any
+    of its places in the low ones. A line that has no more than that is one
+    shingle."""
+    size = np.fromiter(map(len, norms), np.int64, len(norms))
+    end = np.cumsum(size)
+    start = end - size
+    code = np.frombuffer("".join(norms).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    code = np.concatenate([code, np.full(CHARS, _PAD, np.uint64)])
+    pair = (code[:-1] << np.uint64(21)) | code[1:]
+    n = int(end[-1])
+    h = _hash([pair[i:i + n] for i in (0, 2, 3, 5)])
+    h |= np.repeat(np.arange(len(norms), dtype=np.uint64) << np.uint64(HASH_BITS), size)
+    whole = np.ones(n, bool)   # places where a shingle lies within its line
+    for i in range(1, CHARS):
+        whole[np.maximum(end - i, start)] = False
+    short = np.flatnonzero(size < CHARS)
+    at = np.arange(CHARS)
+    part = np.where(at < size[short, None], code[np.minimum(start[short, None] + at, n)], np.uint64(_PAD))
+    pair = (part[:, :-1] << np.uint64(21)) | part[:, 1:]
+    few = _hash([pair[:, i] for i in (0, 2, 3, 5)]) | (short.astype(np.uint64) << np.uint64(HASH_BITS))
+    h = np.sort(np.concatenate([h[whole], few]))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def per_line(found: np.ndarray, n: int) -> np.ndarray:
+    """How many of the shingles each of ``n`` lines has."""
+    return np.bincount((found >> np.uint64(HASH_BITS)).astype(np.int64), minlength=n)
+
+
+def sketches(norms: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """Sizes of the shingle sets of a slice, and their ``SKETCH`` least hashes, in order."""
+    found = shingles(norms)
+    n = per_line(found, len(norms))
+    nth = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
+    least = found[nth < SKETCH] & np.uint64((1 << HASH_BITS) - 1)
+    offsets = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))]).astype(np.int32)
+    return n, pa.ListArray.from_arrays(pa.array(offsets), pa.array(least.view(np.int64)))
+
+
+def cuts(sizes: Iterable[int]) -> Iterator[slice]:
+    """Slices of neighbouring rows with these numbers of characters."""
+    a = b = held = 0
+    for x in sizes:
+        if b > a and (held + x > SLICE_CHARS or b - a == 1 << (64 - HASH_BITS)):
+            yield slice(a, b)
+            a, held = b, 0
+        b, held = b + 1, held + x
+    if b > a:
+        yield slice(a, b)
+
+
+def signatures(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs(id, key, text)`` -> one row per line: ``id, key, line``, digest
+    ``h1, h2``, size ``n`` of its shingle set, ``sketch``."""
+
+    def run(batches):
+        for b in batches:
+            rows, line, norms, held = [], [], [], 0
+
+            def out():
+                d = digest(norms)
+                parts = [sketches(norms[c]) for c in cuts(map(len, norms))]
+                at = pa.array(rows, pa.int32())
+                return pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]),
+                                        pa.array(np.concatenate([n for n, _ in parts]).astype(np.int32)), pa.concat_arrays([x for _, x in parts])],
+                                       ["id", "key", "line", "h1", "h2", "n", "sketch"])
+
+            for r, text in enumerate(b.column(2)):
+                for i, norm in lines_of(text.as_py(), min_words):
+                    rows.append(r), line.append(i), norms.append(norm)
+                    held += len(norm)
+                if len(rows) >= ROWS_OUT or held > 16 * SLICE_CHARS:
+                    if rows:
+                        yield out()
+                    rows, line, norms, held = [], [], [], 0
+            if rows:
+                yield out()
+
+    of = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "key", "text").mapInArrow(run, f"id {of}, key bigint, line int, h1 bigint, h2 bigint, n int, sketch array<bigint>")
 
 
 def _pair(df: DataFrame, x: str, y: str, percent: int) -> DataFrame:
@@ -56,34 +147,52 @@ def _pair(df: DataFrame, x: str, y: str, percent: int) -> DataFrame:
     return df.where(fits).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
 
 
-def sets_of(docs: DataFrame, need: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
-    """``(node, set)`` of the lines ``need(node, h1, h2)``, from the texts, read
-    once more. A Bloom filter of 8 bits a line, up to a bound (beyond it, more
-    lines come through, never fewer), thins the lines before they are shuffled;
-    equal lines are combined first, so a very common line costs one row a task."""
-    bits = min(MAX_FILTER_BITS, 1 << max(16, (8 * need.count()).bit_length()))
-    at = lambda: F.col("h1").bitwiseAND(F.lit(bits - 1))
-    bit = F.expr("shiftleft(1L, cast(h1 & 63 as int))")
-    words = need.groupBy(F.shiftright(at(), 6).alias("word")).agg(F.bit_or(bit).alias("v"))
-    words = words.union(need.sparkSession.range(bits // 64).select("id", F.lit(0).cast("bigint")))
-    words = words.groupBy("word").agg(F.bit_or("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("word", "v")))["v"].alias("w"))
-    table = scratch.keep(words, "filter").scalar()
-    hit = F.getbit(F.element_at(table, (F.shiftright(at(), 6) + 1).cast("int")), F.col("h1").bitwiseAND(F.lit(63)).cast("int")) == 1
-    found = lines(docs, min_words).where(hit).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-    return scratch.keep(found.join(need, ["h1", "h2"]).select("node", shingles(F.col("norm")).alias("set")), "sets")
+def texts_of(docs: DataFrame, need: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+    """``(node, norm)`` of the lines ``need(node, h1, h2)``, from the texts, read
+    once more. A Bloom filter of bounded size (a fuller one lets more lines
+    through, never fewer) thins the lines before they are shuffled; equal lines
+    are combined first, so a very common line costs one row a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(need.select(F.col("h1").alias("h")), need.count()))
 
+    def run(batches):
+        for b in batches:
+            norms = {norm for text in b.column(2) for _, norm in lines_of(text.as_py(), min_words)}
+            if norms:
+                norms = list(norms)
+                d = digest(norms)
+                hit = np.flatnonzero(shared.value(d[:, 0].view(np.uint64)))
+                yield pa.record_batch([pa.array(d[hit, 0]), pa.array(d[hit, 1]), pa.array([norms[i] for i in hit.tolist()], pa.string())], ["h1", "h2", "norm"])
 
-def similar(a: str, b: str, percent: int) -> Column:
-    """Whether the Jaccard similarity of two array columns is ``percent`` or more."""
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+    found = docs.select("id", "key", "text").mapInArrow(run, "h1 bigint, h2 bigint, norm string")
+    found = found.join(need, ["h1", "h2"]).groupBy("node").agg(F.first("norm").alias("norm"))
+    return scratch.keep(found, "texts")
+
+
+def similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of the rows ``(a, b, ta, tb)`` whose texts' shingle sets have
+    a Jaccard similarity of ``percent`` or more. Pairs pass through, a batch at a
+    time."""
+
+    def run(batches):
+        for batch in batches:
+            ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            fits = []
+            for c in cuts(len(x) + len(y) for x, y in zip(ta, tb)):
+                x, y, n = shingles(ta[c]), shingles(tb[c]), c.stop - c.start
+                both = np.sort(np.concatenate([x, y]))
+                both = per_line(both[:-1][both[1:] == both[:-1]], n)
+                fits.append(100 * both >= percent * (per_line(x, n) + per_line(y, n) - both))
+            if fits:
+                yield batch.select([0, 1]).filter(pa.array(np.concatenate(fits)))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 class _Links:
     """Exact tests of pairs of nodes (distinct lines)."""
 
-    def __init__(self, sets: DataFrame, percent: int, scratch: Scratch):
-        self.sets, self.percent, self.s = sets, percent, scratch
+    def __init__(self, texts: DataFrame, percent: int, scratch: Scratch):
+        self.texts, self.percent, self.s = texts, percent, scratch
         self.tested = self.links = None
         self.n = 0
 
@@ -102,18 +211,21 @@ class _Links:
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         self.tested = self.keep(pairs, "pairs")
-        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias("set" + x))
-        first = self.tested.join(side("a"), "a")
-        fits = (F.col("x.b") == F.col("y.b")) & similar("seta", "setb", self.percent)
-        return self.add(first.alias("x").join(side("b").alias("y"), fits).select("a", "x.b"))
+        side = lambda x: self.texts.select(F.col("node").alias(x), F.col("norm").alias("t" + x))
+        return self.add(similar(self.tested.join(side("a"), "a").join(side("b"), "b"), self.percent))
 
     def components(self) -> DataFrame:
         self.n += 1
         return self.keep(connected_components(self.links, self.s, f"cc-{self.n}"), "components")
 
 
-def bands(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, at)``, ``at`` being ``(node, n)``: every ``BAND`` of a line's
+def _band(vs: Column, places) -> Column:
+    return F.xxhash64(*[F.try_element_at(vs, F.lit(i + 1)) for i in places])
+
+
+def bands(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(at, vs)``, a line's shared hashes, and ``(key, at)``, its bands; ``at``
+    is ``(node, n)``. A band is every ``BAND`` of a line's
     ``SKETCH`` least hashes that other lines have among theirs too. At similarity
     0.8 two lines share three of six or more with probability above 0.98, at 0.2
     with 0.1. A line of fewer than ``BAND`` hashes is similar to lines of the
@@ -123,10 +235,10 @@ def bands(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     values = nodes.where(F.size("sketch") >= BAND).select(at, F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
     own = values.join(often, "v").groupBy("at").agg(F.sort_array(F.collect_set("v")).alias("vs")).where(F.size("vs") >= BAND)
-    some = [F.when(F.size("vs") > max(c), F.xxhash64(*[F.try_element_at("vs", F.lit(i + 1)) for i in c]))
-            for c in combinations(range(SKETCH), BAND)]
+    own = scratch.keep(own, "hashes")
+    some = [F.when(F.size("vs") > max(c), _band(F.col("vs"), c)) for c in combinations(range(SKETCH), BAND)]
     few = nodes.where(F.size("sketch") < BAND).select(F.xxhash64(F.size("sketch"), "sketch").alias("key"), at)
-    return scratch.keep(own.select(F.explode(F.array_compact(F.array(*some))).alias("key"), "at").union(few), "bands")
+    return own, scratch.keep(own.select(F.explode(F.array_compact(F.array(*some))).alias("key"), "at").union(few), "bands")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
@@ -140,9 +252,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share three of them are candidates, tested exactly by the Jaccard similarity
     of their shingles. The nodes of a band meet one leader first, then the best
     linked one and a few others; what is linked is one component, and after that
-    only lines of different components are compared, inside the join, so no
-    pairs but links come out of it. The sets are made from the texts once, for
-    lines that share a band. Linked lines form components; of each, the line
+    only lines of different components are compared, in the join's own tasks, so
+    no pairs but links come out of it. Exact sets are made in the tests, from the
+    texts of the lines that share a band, which are read once more. Linked lines form components; of each, the line
     with the smallest id (null ids last), then the first in the text, stays.
 
     One rule holds for all lines, whatever their length or script: lines up to
@@ -150,23 +262,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with equal id and text count as one document. Null, empty and too short
     lines give no row; a very long line is one larger set. An empty table gives
-    an empty result; other columns are not looked at.
+    an empty result; other columns, whatever their names, are not looked at.
     """
     s = scratch or Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    occ = lines(d, min_words).select("id", "key", "line", "h1", "h2", shingles(F.col("norm")).alias("set"))
-    occ = s.keep(occ.select("id", "key", "line", "h1", "h2", F.size("set").alias("n"), sketch(F.col("set")).alias("sketch")), "lines")
+    occ = s.keep(signatures(d, min_words), "lines")
     rank = F.struct(F.col("id").isNull().alias("no"), "id", "key", "line")
     nodes = occ.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = s.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    rows = bands(nodes, s)
+    own_hashes, rows = bands(nodes, s)
     shared = s.keep(rows.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo < hi"), "shared")
     members = s.keep(rows.join(shared.where("total > 2").select("key", "lo"), "key"), "members")
     two = shared.where("total = 2")
     need = members.select("at.node").union(two.select("lo.node")).union(two.select("hi.node")).distinct()
     need = s.keep(nodes.select("node", "h1", "h2").join(need, "node"), "need")
-    links = _Links(sets_of(d, need, s, min_words), percent, s)
+    links = _Links(texts_of(d, need, s, min_words), percent, s)
     more = links.test(_pair(two, "lo", "hi", percent).union(_pair(members, "at", "lo", percent)))
     for r in range(ROUNDS + 1):
         comp = links.components()
@@ -180,12 +291,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if r == ROUNDS or not more:
             break
         more = links.test(_pair(left.where("comp <> leader.comp").select("at", F.col("leader.at").alias("first")), "at", "first", percent))
-    # the rest: lines of one band, but of different components; the exact test is part of the join
-    rest = links.keep(left.select("key", "comp", "at.*").join(links.sets, "node"), "rest")
-    other = rest.select("key", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "set")])
+    # the rest: lines of one band, but of different components; they are tested as
+    # they leave the join, each pair in the first of its bands
+    rest = links.keep(left.select("key", "comp", "at.*").join(links.texts, "node")
+                      .join(own_hashes.select("at.node", "vs"), "node", "left"), "rest")
+    other = rest.select("key", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "norm", "vs")])
+    first = F.col("vs").isNull() | (_band(F.array_intersect("vs", "vs2"), range(BAND)) == F.col("x.key"))
     apart = ((F.col("x.key") == F.col("y.key")) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
-             & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2")) & similar("set", "set2", percent))
-    if links.add(rest.alias("x").join(other.alias("y"), apart).select(F.col("node").alias("a"), F.col("node2").alias("b"))):
+             & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2")) & first)
+    pairs = rest.alias("x").join(other.alias("y"), apart)
+    if links.add(similar(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("norm").alias("ta"), F.col("norm2").alias("tb")), percent)):
         comp = links.components()
 
     named = nodes.select("h1", "h2", "node", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))

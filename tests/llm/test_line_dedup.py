@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,9 +94,26 @@ def test_edge_rows_and_texts(spark):
     assert ld.line_dedup(df.limit(0)).count() == 0
 
 
-def test_no_python_in_plan(spark):
+def test_no_cross_join_in_plan(spark):
     plan = ld.op3_line_dedup(spark, SF_SMALL)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_shingles_are_those_of_a_plain_loop():
+    """Slices of any cut, short lines next to long ones, other scripts."""
+    r = random.Random(5)
+    norms = ["".join(r.choice("ab é这😀\0-") for _ in range(r.choice([1, 2, 6, 7, 8, 9, 40, 300]))) for _ in range(500)]
+    want = [{x[j:j + 7] for j in range(max(1, len(x) - 6))} for x in norms]
+    of = {}  # a shingle's hash is the same wherever it stands, and no two share one
+    for c in [slice(0, 500), slice(3, 4), slice(100, 250)]:
+        found = ld.shingles(norms[c])
+        assert ld.per_line(found, c.stop - c.start).tolist() == [len(x) for x in want[c]]
+        for i, x in enumerate(want[c]):
+            h = found[found >> np.uint64(ld.HASH_BITS) == i] & np.uint64((1 << ld.HASH_BITS) - 1)
+            alone = {s: int(ld.shingles([s])[0]) for s in x}
+            assert set(h.tolist()) == set(alone.values()) and all(of.setdefault(k, v) == v for k, v in alone.items())
+    assert len(set(of.values())) == len(of)
+    assert [(c.start, c.stop) for c in ld.cuts([1 << 17, 1 << 17, 1, 1 << 20, 5])] == [(0, 2), (2, 3), (3, 4), (4, 5)]
 
 
 WORDS = ("river stone amber night falcon copper meadow winter harbor candle forest marble thunder silver orchard "
@@ -140,11 +158,12 @@ def test_one_rule_for_all_lines(spark, a, b, same):
     assert {r.id: r.keep_id for r in ld.line_dedup(docs).collect()} == {1: 1, 2: 1 if same else 2}
 
 
-def test_digest_has_two_independent_halves(spark, monkeypatch):
-    """Lines that share the first 64-bit hash still differ in the second."""
-    real = F.xxhash64
-    # all texts collide when hashed first; hashes of several columns are chained, as Spark does
-    monkeypatch.setattr(ld.F, "xxhash64", lambda *c: real(F.lit(0) if str(c[0]) == "norm" else c[0], *c[1:]))
-    docs = spark.createDataFrame([(1, "a b\nc d\na B")], "id int, text string").withColumn("key", F.lit(1).cast("bigint"))
-    rows = ld.lines(docs, 1).collect()
-    assert len({r.h1 for r in rows}) == 1 and rows[0].h2 == rows[2].h2 != rows[1].h2
+def test_lines_that_share_half_a_digest_are_two(spark, monkeypatch):
+    """Lines of one first half of the digest still differ in the second."""
+    real = ld.digest
+    monkeypatch.setattr(ld, "digest", lambda norms: np.column_stack([np.zeros(len(norms), np.int64), real(norms)[:, 1]]))
+    docs = spark.createDataFrame([(1, "first line of words\nsecond thing altogether\nFirst  line of words")], "doc_id int, text string")
+    rows = {r.line: r.keep_line for r in ld.line_dedup(docs).collect()}
+    assert rows == {0: 0, 1: 1, 2: 0}
+    d = real(["a b", "c d", "a b"])
+    assert (d[0] == d[2]).all() and (d[0] != d[1]).all()
