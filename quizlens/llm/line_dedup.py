@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,14 @@ from .registry import register
 
 PERCENT = 80        #: least Jaccard similarity of linked lines
 CHARS = 7           #: characters of a shingle; one starts at every place of a line
-SKETCH = 6          #: least hashes of a line; every ``BAND`` of them are a band
-BAND = 3
+BANDS, ROWS = 8, 4  #: bands of a line, MinHashes of a band: two lines share a band with probability 0.985 at similarity 0.8, 0.013 at 0.2
 ROUNDS = 2          #: rounds against the best linked, then any line of each band, before the rest of the pairs
 HASH_BITS = 52      #: of a shingle; the bits above number the lines of a slice
 SLICE_CHARS = 1 << 18   #: characters that become arrays at once (a longer line is a slice of its own)
 ROWS_OUT = 1 << 15  #: lines a task holds before it passes them on
 _PAD = 0x1FFFFF     # behind a line shorter than a shingle; no character has this number
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SEEDS = np.random.default_rng(1).integers(0, 1 << 32, (BANDS * ROWS, 2), np.uint32) | np.array([0, 1], np.uint32)  # the multipliers are odd
 _SPACES = str.maketrans("\t\x0b\x0c\r", "    ")
 
 
@@ -88,14 +87,21 @@ def per_line(found: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((found >> np.uint64(HASH_BITS)).astype(np.int64), minlength=n)
 
 
-def sketches(norms: list[str]) -> tuple[np.ndarray, pa.Array]:
-    """Sizes of the shingle sets of a slice, and their ``SKETCH`` least hashes, in order."""
+def signed(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the shingle sets of a slice, and the keys of each line's bands:
+    a hash of ``ROWS`` MinHashes and of the band's number."""
     found = shingles(norms)
     n = per_line(found, len(norms))
-    nth = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
-    least = found[nth < SKETCH] & np.uint64((1 << HASH_BITS) - 1)
-    offsets = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))]).astype(np.int32)
-    return n, pa.ListArray.from_arrays(pa.array(offsets), pa.array(least.view(np.int64)))
+    start = np.cumsum(n) - n
+    h = (found >> np.uint64(HASH_BITS - 32)).astype(np.uint32)  # the high half of a hash, without the line
+    keys = np.empty((len(norms), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(norms), band + 1, np.uint64)
+        for add, by in _SEEDS[band * ROWS:(band + 1) * ROWS]:
+            key = (key ^ np.minimum.reduceat((h ^ add) * by, start)) * _K1
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key * _K2
+    return n, keys.view(np.int64)
 
 
 def cuts(sizes: Iterable[int]) -> Iterator[slice]:
@@ -112,7 +118,7 @@ def cuts(sizes: Iterable[int]) -> Iterator[slice]:
 
 def signatures(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs(id, key, text)`` -> one row per line: ``id, key, line``, digest
-    ``h1, h2``, size ``n`` of its shingle set, ``sketch``."""
+    ``h1, h2``, size ``n`` of its shingle set, keys of its ``bands``."""
 
     def run(batches):
         for b in batches:
@@ -120,11 +126,12 @@ def signatures(docs: DataFrame, min_words: int) -> DataFrame:
 
             def out():
                 d = digest(norms)
-                parts = [sketches(norms[c]) for c in cuts(map(len, norms))]
+                n, keys = map(np.concatenate, zip(*[signed(norms[c]) for c in cuts(map(len, norms))]))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 at = pa.array(rows, pa.int32())
                 return pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]),
-                                        pa.array(np.concatenate([n for n, _ in parts]).astype(np.int32)), pa.concat_arrays([x for _, x in parts])],
-                                       ["id", "key", "line", "h1", "h2", "n", "sketch"])
+                                        pa.array(n.astype(np.int32)), keys],
+                                       ["id", "key", "line", "h1", "h2", "n", "bands"])
 
             for r, text in enumerate(b.column(2)):
                 for i, norm in lines_of(text.as_py(), min_words):
@@ -138,17 +145,16 @@ def signatures(docs: DataFrame, min_words: int) -> DataFrame:
                 yield out()
 
     of = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "key", "text").mapInArrow(run, f"id {of}, key bigint, line int, h1 bigint, h2 bigint, n int, sketch array<bigint>")
+    return docs.select("id", "key", "text").mapInArrow(run, f"id {of}, key bigint, line int, h1 bigint, h2 bigint, n int, bands array<bigint>")
 
 
-def _pair(df: DataFrame, x: str, y: str, percent: int) -> DataFrame:
-    """Pairs of two struct columns ``(node, n)`` whose sizes allow a link."""
-    fits = f"{x}.node <> {y}.node and {percent} * greatest({x}.n, {y}.n) <= 100 * least({x}.n, {y}.n)"
-    return df.where(fits).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
+def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs of two columns of nodes, the smaller one first."""
+    return df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def texts_of(docs: DataFrame, need: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
-    """``(node, norm)`` of the lines ``need(node, h1, h2)``, from the texts, read
+    """The rows ``need(node, h1, h2, ...)`` with the line, ``norm``, from the texts, read
     once more. A Bloom filter of bounded size (a fuller one lets more lines
     through, never fewer) thins the lines before they are shuffled; equal lines
     are combined first, so a very common line costs one row a task."""
@@ -164,8 +170,8 @@ def texts_of(docs: DataFrame, need: DataFrame, scratch: Scratch, min_words: int)
                 yield pa.record_batch([pa.array(d[hit, 0]), pa.array(d[hit, 1]), pa.array([norms[i] for i in hit.tolist()], pa.string())], ["h1", "h2", "norm"])
 
     found = docs.select("id", "key", "text").mapInArrow(run, "h1 bigint, h2 bigint, norm string")
-    found = found.join(need, ["h1", "h2"]).groupBy("node").agg(F.first("norm").alias("norm"))
-    return scratch.keep(found, "texts")
+    found = found.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    return scratch.keep(found.join(need, ["h1", "h2"]).drop("h1", "h2"), "texts")
 
 
 def similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -211,36 +217,15 @@ class _Links:
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         self.tested = self.keep(pairs, "pairs")
-        side = lambda x: self.texts.select(F.col("node").alias(x), F.col("norm").alias("t" + x))
-        return self.add(similar(self.tested.join(side("a"), "a").join(side("b"), "b"), self.percent))
+        side = lambda x: self.texts.select(F.col("node").alias(x), F.col("norm").alias("t" + x), F.col("n").alias("n" + x))
+        both = self.tested.join(side("a"), "a").join(side("b"), "b").where(f"{self.percent} * greatest(na, nb) <= 100 * least(na, nb)")
+        return self.add(similar(both, self.percent))
 
     def components(self) -> DataFrame:
         self.n += 1
         return self.keep(connected_components(self.links, self.s, f"cc-{self.n}"), "components")
 
 
-def _band(vs: Column, places) -> Column:
-    return F.xxhash64(*[F.try_element_at(vs, F.lit(i + 1)) for i in places])
-
-
-def bands(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``(at, vs)``, a line's shared hashes, and ``(key, at)``, its bands; ``at``
-    is ``(node, n)``. A band is every ``BAND`` of a line's
-    ``SKETCH`` least hashes that other lines have among theirs too. At similarity
-    0.8 two lines share three of six or more with probability above 0.98, at 0.2
-    with 0.1. A line of fewer than ``BAND`` hashes is similar to lines of the
-    same hashes alone, which are its band. Hashes that one line alone has can't
-    be in a shared band; they go first, which saves most of the rows."""
-    at = F.struct("node", "n").alias("at")
-    values = nodes.where(F.size("sketch") >= BAND).select(at, F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
-    own = values.join(often, "v").groupBy("at").agg(F.sort_array(F.collect_set("v")).alias("vs")).where(F.size("vs") >= BAND)
-    own = scratch.keep(own, "hashes")
-    some = [F.when(F.size("vs") > max(c), _band(F.col("vs"), c)) for c in combinations(range(SKETCH), BAND)]
-    few = nodes.where(F.size("sketch") < BAND).select(F.xxhash64(F.size("sketch"), "sketch").alias("key"), at)
-    return own, scratch.keep(own.select(F.explode(F.array_compact(F.array(*some))).alias("key"), "at").union(few), "bands")
-
-
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                scratch: Scratch | None = None, min_words: int = 1) -> DataFrame:
     """One row per line of ``min_words`` words or more (1: every line with a
@@ -248,9 +233,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (the line of its component that stays) and ``kept``.
 
     Equal lines (lower-cased, white space squeezed) are one node. MinHash: a
-    line's sketch is the least hashes of its character shingles; lines that
-    share three of them are candidates, tested exactly by the Jaccard similarity
-    of their shingles. The nodes of a band meet one leader first, then the best
+    line has ``BANDS`` bands of ``ROWS`` least hashes of its character shingles;
+    lines that share a band are candidates, tested exactly by the Jaccard
+    similarity of their shingles. The nodes of a band meet one leader first, then the best
     linked one and a few others; what is linked is one component, and after that
     only lines of different components are compared, in the join's own tasks, so
     no pairs but links come out of it. Exact sets are made in the tests, from the
@@ -268,35 +253,35 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     occ = s.keep(signatures(d, min_words), "lines")
     rank = F.struct(F.col("id").isNull().alias("no"), "id", "key", "line")
-    nodes = occ.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = occ.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = s.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    own_hashes, rows = bands(nodes, s)
-    shared = s.keep(rows.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo < hi"), "shared")
-    members = s.keep(rows.join(shared.where("total > 2").select("key", "lo"), "key"), "members")
-    two = shared.where("total = 2")
-    need = members.select("at.node").union(two.select("lo.node")).union(two.select("hi.node")).distinct()
-    need = s.keep(nodes.select("node", "h1", "h2").join(need, "node"), "need")
+    rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
+    of = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.count(F.lit(1)).alias("total")]
+    shared = s.keep(rows.groupBy("key").agg(*of).where("total > 1"), "shared")
+    members = s.keep(rows.select("key", "node").join(shared.where("total > 2").select("key", "lo"), "key"), "members")
+    two = shared.where(f"total = 2 and {percent} * n_hi <= 100 * n_lo")
+    need = members.select("node").union(two.select("lo")).union(two.select("hi")).distinct()
+    need = s.keep(nodes.select("node", "h1", "h2", "n", "bands").join(need, "node"), "need")
     links = _Links(texts_of(d, need, s, min_words), percent, s)
-    more = links.test(_pair(two, "lo", "hi", percent).union(_pair(members, "at", "lo", percent)))
+    more = links.test(_pair(two, "lo", "hi").union(_pair(members, "node", "lo")))
     for r in range(ROUNDS + 1):
         comp = links.components()
         best = links.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        own = (members.select("key", "at.node", "at").join(comp, "node", "left").join(best, "node", "left")
-               .select("key", "at", F.coalesce("root", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
+        own = (members.select("key", "node").join(comp, "node", "left").join(best, "node", "left")
+               .select("key", "node", F.coalesce("root", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
+        order = F.struct("links", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("links"), "node")
         mixed = own.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
-                                       F.max_by(F.struct("at", "comp"), F.struct("links", "at") if r == 0 else F.struct(F.xxhash64("at", F.lit(r)), "at"))
-                                       .alias("leader")).where("c1 < c2")
+                                       F.max_by(F.struct("node", "comp"), order).alias("leader")).where("c1 < c2")
         left = links.keep(own.drop("links").join(mixed.select("key", "leader"), "key"), "left")
         if r == ROUNDS or not more:
             break
-        more = links.test(_pair(left.where("comp <> leader.comp").select("at", F.col("leader.at").alias("first")), "at", "first", percent))
+        more = links.test(_pair(left.where("comp <> leader.comp").select("node", F.col("leader.node").alias("first")), "node", "first"))
     # the rest: lines of one band, but of different components; they are tested as
     # they leave the join, each pair in the first of its bands
-    rest = links.keep(left.select("key", "comp", "at.*").join(links.texts, "node")
-                      .join(own_hashes.select("at.node", "vs"), "node", "left"), "rest")
-    other = rest.select("key", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "norm", "vs")])
-    first = F.col("vs").isNull() | (_band(F.array_intersect("vs", "vs2"), range(BAND)) == F.col("x.key"))
+    rest = links.keep(left.select("key", "comp", "node").join(links.texts, "node"), "rest")
+    other = rest.select("key", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "norm", "bands")])
+    first = F.element_at(F.array_intersect("bands", "bands2"), 1) == F.col("x.key")
     apart = ((F.col("x.key") == F.col("y.key")) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
              & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2")) & first)
     pairs = rest.alias("x").join(other.alias("y"), apart)
@@ -306,7 +291,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.select("h1", "h2", "node", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))
     named = s.keep(named.join(stays, "root").select("h1", "h2", "stays"), "named")
-    out = occ.drop("sketch").join(named, ["h1", "h2"])
+    out = occ.drop("bands").join(named, ["h1", "h2"])
     return out.select("id", "key", "line", F.col("n").alias("n_shingles"), F.col("stays.id").alias("keep_id"), F.col("stays.key").alias("keep_key"),
                       F.col("stays.line").alias("keep_line"), rank.eqNullSafe(F.col("stays")).alias("kept"))
 
