@@ -26,3 +26,11 @@ def test_retry_fold_gathers_no_text(spark):
 def test_flagship_has_no_python(spark):
     p = _plan(E.queries()["leaderboard_by_category"](spark, SF_MID))
     assert "Python" not in p
+
+
+def test_questions_are_not_sent_to_the_driver(spark):
+    """Rows of ``part`` with options are many times their file's size, by which a join would broadcast them."""
+    from quizlens.sources import fixtures as fx
+    for df in (E.queries()["policy_expected_options"](spark, SF_MID), fx.all_saved(spark, SF_MID), fx.saved_results(spark, SF_MID), fx.result_rows(spark, SF_MID)):
+        p = _plan(df)
+        assert "ShuffledHashJoin" in p and "BroadcastExchange" not in p
