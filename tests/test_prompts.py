@@ -101,3 +101,26 @@ def test_question_without_category_has_a_prompt(spark):
         assert r.n_shots == 0 and Q in r.prompt and "None" not in r.prompt.split(Q)[0]
     rows = style_grid(test).collect()
     assert len(rows) == 24 and all(Q in r.prompt for r in rows)
+
+
+def test_blocks_make_the_same_prompts(spark):
+    """Blocks carry a prefix once; the function gets the whole prompts of ``fewshot``, each of them once."""
+    from quizlens.operators.generate import generate
+    from quizlens.operators.prompts import fewshot
+    cols = "question_id long, question string, options array<string>, cot_content string, category string"
+    qs = spark.createDataFrame([(i % 90, f"question {i}", ["x", "y"], "", ("law", "art", "none", None)[i % 4]) for i in range(100)] + [(200, None, ["x"], "", "law")], cols)
+    ex = spark.createDataFrame([(1000 + i, f"shown {i}", ["x", "y"], "A: so. The answer is (A).", ("law", "art")[i % 2]) for i in range(7)], cols)
+    whole = sorted((r.question_id, r.prompt or "") for r in fewshot(qs, ex).collect())
+    blocks = fewshot(qs, ex, block_size=10)
+    assert blocks.count() < len(whole)
+    out = generate(blocks, lambda ps: [p.upper().lower() and p for p in ps]).collect()
+    assert sorted((r.question_id, r.response or "") for r in out) == whole
+    assert [r.question_id for r in out if r.error] == [200]
+
+
+def test_style_grid_spreads_questions(spark):
+    """One file of few questions is dealt over all tasks before each becomes 24 prompts."""
+    qs = spark.createDataFrame([(i, f"question {i}", ["x", "y"], "law") for i in range(80)], "question_id long, question string, options array<string>, category string").coalesce(1)
+    g = style_grid(qs)
+    assert g.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert g.groupBy("question_id").count().where("count = 24").count() == 80
