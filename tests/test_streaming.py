@@ -222,3 +222,24 @@ def test_compaction_failure_replay_and_purge(spark, monkeypatch):
     for i in (0, 1, 2, 2):
         sinks.merge_batch(spark, df[i], table, i)
     assert read() == [(1, 1, "a", None), (2, 2, None, "z"), (4, None, "n", "w")]
+
+
+def test_tracker_makes_one_frame_a_group(monkeypatch):
+    """A question's few rows are handled as arrays: a frame more per group costs more than its rows."""
+    import numpy as np
+    import pandas as pd
+    from quizlens.streaming import tracker
+
+    class State:
+        exists = hasTimedOut = False
+        getCurrentWatermarkMs = lambda self: 2
+        update = setTimeoutTimestamp = lambda self, x: None
+
+    rows = pd.DataFrame({"event_id": [3, 1, 2], "question_id": 7, "kind": ["update", "reset", "update"], "delta": [5, 0, 4], "us": [9_000_000, 0, 8_000_000]})
+    made, frame = [], pd.DataFrame
+    monkeypatch.setattr(tracker.pd, "DataFrame", lambda *a, **k: made.append(1) or frame(*a, **k))
+    monkeypatch.setattr(tracker.pd, "concat", lambda *a, **k: made.append(2))
+    out = list(tracker._tracker(8, 0.5, 25, 100, False)((7,), iter([rows]), State()))
+    assert made == [1] and len(out) == 1
+    assert out[0]["event_id"].tolist() == [1, 2, 3] and out[0]["kind"].tolist() == ["late", "update", "update"]
+    assert out[0]["tokens"].tolist() == [9, 4, 9] and np.all(out[0]["question_id"] == 7)
