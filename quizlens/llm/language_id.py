@@ -106,13 +106,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from at most ``per_language`` documents of every language and
     ``MOST_ROWS`` of all (languages with few documents first), chosen by a hash
-    of id. A language's number of rows says which part of the hashes is more
+    of id. A language's number of ids says which part of the hashes is more
     than enough, so only about twice the documents in question, not all of a
     frequent language, are put in order. Of the rows of one id and language the
     one with the least hash of its text is taken; the driver gets n-gram counts,
     16 KB a document, not texts. None if no row has a language."""
     names = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null")
-    part = names.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("part"))
+    part = names.distinct().groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("part"))
     share = (F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53))
     few = names.join(part, "lang").where(share < F.col("part")).select("id", "lang").distinct()
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
