@@ -13,10 +13,12 @@ from .common import Filter, Scratch, filter_of, read
 from .registry import register
 
 SHARDS = 2              #: shards of a cycle; a phrase is counted in as many steps as these
-SLICE = 8 << 20         #: bytes of one language that a task turns into arrays at once (a longer text is a slice of its own)
-HELD = 24 << 20         #: bytes of all languages that wait in a task
-FLUSH = 1 << 23         #: occurrences that a task holds before it combines them
-HELD_PHRASES = 1 << 19  #: that a task of the last scan holds before it passes them on
+SLICE = 2 << 20         #: bytes of one language that a task turns into arrays at once (a longer text is a slice of its own)
+HELD = 8 << 20          #: bytes of all languages that wait in a task
+RAW = 1 << 20           #: occurrences that a task holds before it combines them
+FLUSH = 1 << 20         #: combined hashes that a task holds before it passes them on
+ROWS_OUT = 1 << 16      #: rows of a batch that a task passes on
+HELD_PHRASES = 1 << 17  #: that a task of the last scan holds before it passes them on
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
@@ -101,24 +103,50 @@ class Active:
         return h if self.late is None else h[self.late[n - 1](left) | self.late[n - 1](right)]
 
 
+class Tally:
+    """Occurrences by hash. New ones wait until there are ``RAW``, distinct
+    hashes with their counts until there are ``FLUSH``; what many occurrences
+    share is thus combined without ever holding them all."""
+
+    def __init__(self):
+        self.raw: list[np.ndarray] = []
+        self.h, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        self.raw.append(h)
+        if sum(map(len, self.raw)) > RAW:
+            self.combine()
+
+    def combine(self) -> None:
+        h, n = np.unique(np.concatenate([*self.raw, self.h[:0]]), return_counts=True)
+        self.raw.clear()
+        h, n = np.concatenate([self.h, h]), np.concatenate([self.n, n])
+        order = np.argsort(h, kind="stable")    # two sorted runs
+        h, n = h[order], n[order]
+        at = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        self.h, self.n = h[at], np.add.reduceat(n, at) if len(at) else n
+
+    def batches(self):
+        """What is combined, in small batches; nothing is held afterwards."""
+        out = pa.record_batch([pa.array(self.h.view(np.int64)), pa.array(self.n)], ["h", "n_found"])
+        self.h, self.n = self.h[:0].copy(), self.n[:0].copy()
+        for i in range(0, out.num_rows, ROWS_OUT):
+            yield out.slice(i, ROWS_OUT)
+
+
 def count_step(shard: DataFrame, max_words: int, active: Active) -> DataFrame:
     """``(h, n_found)``: occurrences of the active phrases of one shard, combined within each task."""
     shared = shard.sparkSession.sparkContext.broadcast(active)
 
     def run(batches):
-        a, held = shared.value, []
-
-        def combined():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n_found"])
-
+        a, tally = shared.value, Tally()
         for x in slices(batches):
-            held += [a.counted(n, h, left, right) for n, _, h, left, right in x.phrases(max_words, a.grows)]
-            if sum(map(len, held)) > FLUSH:
-                yield combined()
-        if held:
-            yield combined()
+            for n, _, h, left, right in x.phrases(max_words, a.grows):
+                tally.add(a.counted(n, h, left, right))
+            if len(tally.h) > FLUSH:
+                yield from tally.batches()
+        tally.combine()
+        yield from tally.batches()
 
     return shard.select("lang", "text").mapInArrow(run, "h bigint, n_found bigint")
 

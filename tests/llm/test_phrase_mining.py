@@ -101,3 +101,23 @@ def test_sql_is_the_same_rule():
     con.executemany("insert into documents values (?, ?)", docs)
     rel = con.sql(pm.SQL)
     assert sorted(tuple(dict(zip(rel.columns, r))[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in rel.fetchall()) == brute(docs)
+
+
+def test_tally_combines_and_stays_small(monkeypatch):
+    """Occurrences are combined as they come: a task holds the distinct ones, not all, and passes on small batches."""
+    monkeypatch.setattr(pm, "RAW", 100)
+    monkeypatch.setattr(pm, "ROWS_OUT", 64)
+    rng, tally, all_ = np.random.default_rng(1), pm.Tally(), []
+    for _ in range(200):
+        h = rng.integers(0, 300, 50, dtype=np.uint64) << np.uint64(55)
+        all_.append(h)
+        tally.add(h)
+        assert sum(map(len, tally.raw)) <= 150 and len(tally.h) <= 300
+    tally.combine()
+    got = list(tally.batches())
+    assert max(b.num_rows for b in got) <= 64 and not len(tally.h)
+    h, n = np.unique(np.concatenate(all_).view(np.int64), return_counts=True)
+    assert dict(zip(h.tolist(), n.tolist())) == {k: v for b in got for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    empty = pm.Tally()
+    empty.combine()
+    assert not list(empty.batches())
