@@ -201,9 +201,12 @@ class _Join:
         self.docs, self.nodes, self.k, self.percent, self.s = docs, nodes, k, percent, scratch
         self.tested = self.links = None
         self.n = 0
+        self.passing: list[str] = []    # tables that only the test under way reads
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, passing: bool = False) -> DataFrame:
         self.n += 1
+        if passing:
+            self.passing.append(f"{name}-{self.n}")
         return self.s.keep(df, f"{name}-{self.n}")
 
     def similar(self, pairs: DataFrame) -> bool:
@@ -240,6 +243,8 @@ class _Join:
         side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias("set" + x))
         new = self.keep(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb")
                         .mapInArrow(exactly, "a bigint, b bigint"), "links")
+        self.s.drop(*self.passing)
+        self.passing = []
         self.tested = tried.select("a", "b") if self.tested is None else self.tested.union(tried.select("a", "b"))
         self.links = new if self.links is None else self.links.union(new)
         return bool(new.head(1))
@@ -248,14 +253,14 @@ class _Join:
         """The sets of these nodes, made again from the text of one row each. A
         Bloom filter of bounded size thins the texts before the join; too many
         rows only make it useless, not wrong."""
-        rows = self.keep(need.join(self.nodes, "node").select("node", "row_key"), "need")
+        rows = self.keep(need.join(self.nodes, "node").select("node", "row_key"), "need", passing=True)
         k, bits = self.k, 1 << 25
         at = lambda c: c.bitwiseAND(F.lit(bits - 1))
         words = (rows.select(F.shiftright(at(F.col("row_key")), 6).alias("word"), F.expr("shiftleft(1L, cast(row_key & 63 as int))").alias("v"))
                  .groupBy("word").agg(F.bit_or("v").alias("v")))
         words = words.union(rows.sparkSession.range(bits // 64).select(F.col("id"), F.lit(0).cast("bigint")))
         words = words.groupBy("word").agg(F.bit_or("v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("word", "v")))["v"].alias("w"))
-        table = self.keep(words, "filter").scalar()
+        table = self.keep(words, "filter", passing=True).scalar()
         hit = F.getbit(F.element_at(table, (F.shiftright(at(F.col("row_key")), 6) + 1).cast("int")), F.col("row_key").bitwiseAND(F.lit(63)).cast("int")) == 1
         texts = self.docs.select("row_key", "text").where(hit)
 
@@ -265,7 +270,7 @@ class _Join:
 
         # one row a node: rows of equal key have equal text
         own = texts.join(rows, "row_key").select("node", "text").mapInArrow(run, "node bigint, set binary")
-        return self.keep(own.dropDuplicates(["node"]), "sets")
+        return self.keep(own.dropDuplicates(["node"]), "sets", passing=True)
 
     def components(self) -> DataFrame:
         self.n += 1
@@ -337,13 +342,14 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
 
     sets = sig.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("row_key"), F.min("id").alias("id"), F.first("n").alias("n"),
                                                     F.first("bits").alias("bits"))
-    sets = sets.withColumn("hash", F.xxhash64("digest")).selectExpr("*", "row_number() over (partition by hash order by digest) as variant")
-    nodes = s.keep(sets.withColumn("node", F.expr("if(variant = 1, hash, xxhash64(digest, variant))")), "nodes")
-    clash = nodes.where("variant > 1").select("digest", F.col("node").alias("other"))
-    if clash.head(1):  # different sets with one hash: a handful in 10**10
-        numbered = sig.join(F.broadcast(clash), "digest", "left").withColumn("node", F.coalesce("other", F.xxhash64("digest")))
-    else:
-        numbered = sig.withColumn("node", F.xxhash64("digest"))
+    nodes = s.keep(sets.withColumn("node", F.xxhash64("digest")), "nodes")
+    numbered = sig.withColumn("node", F.xxhash64("digest"))
+    twice = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("digests")).where("digests > 1").select("node")
+    if twice.head(1):  # different sets with one hash: a handful in 10**10
+        clash = nodes.join(F.broadcast(twice), "node").selectExpr("digest", "node", "row_number() over (partition by node order by digest) as variant")
+        clash = clash.where("variant > 1").selectExpr("digest", "xxhash64(digest, variant) as other")
+        other = lambda df: df.join(F.broadcast(clash), "digest", "left").withColumn("node", F.coalesce("other", "node")).drop("other")
+        nodes, numbered = s.keep(other(nodes), "nodes-apart"), other(numbered)
 
     rows = numbered.where("n > 1").select("node", F.explode("keys").alias("key"))
     shared = s.keep(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo < hi"), "shared")
@@ -360,9 +366,13 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
 
     some = numbered.where("n > 1").select("node", "keys").mapInArrow(hits, "node bigint, key bigint")
     members = s.keep(some.join(often.select("key", "lo"), "key").distinct(), "members")
+    # keys and bitmaps of the rows are not needed any more; those of the nodes are
+    numbered = s.keep(numbered.select("row_key", "id", "n", "node"), "rows")
+    s.drop("signatures")
     join = _Join(d, nodes, k, percent, s)
     pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     more = join.similar(pair(shared.where("total = 2"), "lo", "hi").union(pair(members, "node", "lo")))
+    s.drop("shared")
     for r in range(ROUNDS + 1):
         comp = join.components()
         own = members.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))

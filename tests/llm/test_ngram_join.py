@@ -149,3 +149,20 @@ def test_connected_components(spark):
             parent[max(x, y)] = min(x, y)
     got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     assert got == {n: find(n) for n in parent}
+
+
+def test_tables_go_when_they_are_read(spark):
+    """Keys, exact sets and what leads to them do not lie on disk to the end; the result needs none of them."""
+    docs = spark.createDataFrame(list(enumerate(near_copies(3, 60))), "doc_id long, text string")
+    s = Scratch(spark)
+    out = nj.ngram_join(docs, 4, 85, scratch=s)
+    assert not {n.split("-")[0] for n in s.paths} & {"signatures", "shared", "need", "filter", "sets"}
+    assert out.count() == docs.count()
+
+
+def test_sets_of_one_hash_stay_apart(spark, monkeypatch):
+    """Different sets whose digests have the same hash are different nodes."""
+    texts, real = near_copies(4, 60), F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(40)) if str(c[0]) == "digest" else real(*c))
+    got = nj.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect()
+    assert {r.id: r.component_id for r in got} == brute_components(range(len(texts)), brute_sets(texts, 4), 85)
