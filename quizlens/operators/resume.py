@@ -148,10 +148,14 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def merge_shards(parts: list[DataFrame], key="question_id", order: str = "seq") -> DataFrame:
-    """U4: the results of all shards that have any, first row per key."""
+def merge_shards(parts: list[DataFrame], key="question_id", order: str = "seq", n_tasks: int | None = None) -> DataFrame:
+    """U4: the results of all shards that have any, first row per key. ``n_tasks``:
+    the rows are dealt over so many tasks by key before they are put in order, so
+    that a task's memory is that of its part, not of a file's (None: each task
+    first merges what it reads, for keys that hold very many rows)."""
     out = union_all(parts)
-    return dedup_first(out, key, order).select(*out.columns)
+    dealt = out.repartition(n_tasks, *([key] if isinstance(key, str) else key)) if n_tasks else out
+    return dedup_first(dealt, key, order).select(*out.columns)
 
 
 def drop_failed(results: DataFrame) -> DataFrame:

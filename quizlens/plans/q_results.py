@@ -383,10 +383,10 @@ select * from allsaved qualify row_number() over (partition by model, question_i
 def shard_merge(spark, sf):
     """U1 + U4: results of shards, of which each question's shard wrote some
     rows and another one wrote some again, merged into one table."""
-    s = R.assign_shard(fx.all_saved(spark, sf), 2)
+    s = R.assign_shard(fx.written(fx.all_saved(spark, sf), "all-saved"), 2)
     parts = [s.where(F.col("shard") == i).drop("shard") for i in range(2)]
     again = parts[0].where("seq % 2 = 0").select(*reversed(parts[0].columns))
-    return R.merge_shards([*parts, again], ("model", "question_id"))
+    return R.merge_shards([*parts, again], ("model", "question_id"), n_tasks=fx.tasks(spark, sf))
 
 
 @register("categories_union", with_views("""

@@ -273,3 +273,18 @@ def test_merged_quantiles_are_near_the_exact_ranks(spark):
         assert got[m].n == len(values)
         for p, v in ((0.5, got[m].p50), (0.9, got[m].p90)):
             assert v in values and abs(sum(x <= v for x in values) / len(values) - p) <= 0.01
+
+
+def test_shards_are_derived_once_and_dealt_by_size(spark, monkeypatch):
+    """The saved rows are made once, by tasks as many as the rows ask for, and merged by as many."""
+    from quizlens.plans import q_results
+    from quizlens.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", n // 19)
+    assert fx.tasks(spark, sf) in (19, 20)
+    out = q_results.shard_merge(spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and f", {fx.tasks(spark, sf)})" in plan
+    rows = out.collect()
+    assert len(rows) == len({(r.model, r.question_id) for r in rows}) > 100
