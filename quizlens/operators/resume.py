@@ -57,8 +57,7 @@ def merge(old: DataFrame, new: DataFrame, keys=MERGE_KEYS, mode: str = "all",
     upd = latest_per_key(new.select(*keys, order, *vals), keys, order)
     upd = upd.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in vals], F.col(order).alias("_n_seq"))
     if mode == "all":
-        target = upd
-        on = keys
+        return _upserted(old, upd, keys, vals, order)
     elif mode == "first":
         first = old.groupBy(*keys).agg(F.min(order).alias(order))
         first = first.select(*[F.col(c).alias(f"_k_{c}") for c in keys], order)
@@ -81,6 +80,18 @@ def merge(old: DataFrame, new: DataFrame, keys=MERGE_KEYS, mode: str = "all",
     return kept.unionByName(appended).select(*old.columns)
 
 
+def _upserted(old: DataFrame, upd: DataFrame, keys: list, vals: list, order: str) -> DataFrame:
+    """``old`` with the rows of every key of ``upd`` replaced, and the keys that
+    it has not: one join that keeps both sides, as null keys are equal and the
+    flags tell a missing row from one of nulls."""
+    new = upd.withColumn("_m", F.lit(1)).withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    j = old.withColumn("_o", F.lit(1)).join(new, _same({c: f"_k_{c}" for c in keys}), "full")
+    there, replaced = F.col("_o").isNotNull(), F.col("_m").isNotNull()
+    out = {**{c: F.when(there, F.col(c)).otherwise(F.col(f"_k_{c}")) for c in keys}, order: F.when(there, F.col(order)).otherwise(F.col("_n_seq")),
+           **{c: F.when(replaced, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in vals}}
+    return j.select(*[out[c].alias(c) for c in old.columns])
+
+
 def _same(pairs: dict) -> Column:
     """Null-safe equality of column pairs."""
     return reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in pairs.items()))

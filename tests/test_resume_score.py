@@ -288,3 +288,13 @@ def test_shards_are_derived_once_and_dealt_by_size(spark, monkeypatch):
     assert "lineitem" not in plan and f", {fx.tasks(spark, sf)})" in plan
     rows = out.collect()
     assert len(rows) == len({(r.model, r.question_id) for r in rows}) > 100
+
+
+def test_merge_reads_old_rows_once(spark):
+    """Null keys are equal; replaced rows keep their place, even if replaced by nulls."""
+    row = "seq long, question_id long, question string, v string"
+    old = spark.createDataFrame([(1, 1, "a", "x"), (2, 1, "a", "y"), (3, None, None, "n"), (4, 2, None, "z")], row)
+    new = spark.createDataFrame([(9, 1, "a", None), (8, 1, "a", "w"), (10, None, None, "m"), (11, None, "k", None)], row)
+    out = R.merge(old, new)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {tuple(r) for r in out.collect()} == {(1, 1, "a", None), (2, 1, "a", None), (3, None, None, "m"), (4, 2, None, "z"), (11, None, "k", None)}

@@ -2,6 +2,7 @@
 restarts, and a question without new samples gets a stall alert once the
 watermark passes its deadline."""
 
+import glob
 import datetime as dt
 import tempfile
 
@@ -243,3 +244,13 @@ def test_tracker_makes_one_frame_a_group(monkeypatch):
     assert made == [1] and len(out) == 1
     assert out[0]["event_id"].tolist() == [1, 2, 3] and out[0]["kind"].tolist() == ["late", "update", "update"]
     assert out[0]["tokens"].tolist() == [9, 4, 9] and np.all(out[0]["question_id"] == 7)
+
+
+def test_a_version_has_few_files(spark):
+    """Files of a version are about as many as its buckets, not buckets times tasks."""
+    from quizlens.streaming import sinks
+    table = f"{tempfile.mkdtemp(prefix='quizlens-files-')}/t"
+    df = spark.range(4000).select(F.col("id").alias("seq"), F.col("id").alias("question_id"), F.lit("q").alias("question"), F.lit("a").alias("v"))
+    sinks.merge_batch(spark, df.repartition(8), table, 0)
+    assert len(glob.glob(f"{table}/data/*/*/*.parquet")) <= 2 * sinks.BUCKETS
+    assert sinks.read_merged(spark, table, df.schema).count() == 4000
