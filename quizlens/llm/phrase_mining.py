@@ -30,19 +30,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Slice:
-    """Words of one language, in order. ``ids`` number the distinct words;
-    -1 stands between pieces, and between texts."""
+    """Words of one language, in order. ``ids`` number the distinct words
+    (``words``, an Arrow array); -1 stands between pieces, and between texts."""
 
     def __init__(self, lang: str, texts: list[bytes]):
         text = b" . ".join(texts).translate(_PIECES).replace(b".", b" . ").lower()  # of bytes: ASCII alone
         one = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(text)], np.int32)), pa.py_buffer(text))
         words = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
-        self.lang, self.words = lang, words.dictionary.to_pylist()
-        gap = np.array([w in (".", "") for w in self.words], bool)
+        self.lang, self.words = lang, words.dictionary
+        gap = pc.is_in(self.words, pa.array([".", ""])).to_numpy(zero_copy_only=False)
         ids = words.indices.to_numpy().astype(np.int64)
         self.ids = np.where(gap[ids], -1, ids) if len(ids) else ids
         seed = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 1))
-        self.hash = _mix(np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)) ^ seed)
+        self.hash = _mix(np.fromiter(map(xxhash.xxh64_intdigest, self.words.to_numpy(zero_copy_only=False)), np.uint64, len(self.words)) ^ seed)
 
     def phrases(self, max_words: int, grows):
         """Yields ``(n, at, h, left, right)`` for n = 1, 2, ...: the places where
@@ -208,30 +208,34 @@ def frequent(docs: DataFrame, max_words: int, threshold: int, scratch: Scratch,
     shared = docs.sparkSession.sparkContext.broadcast(final)
 
     def run(batches):
-        held: dict[tuple, int] = {}
+        held: list[pa.RecordBatch] = []
 
-        def combined():
-            k = list(zip(*held)) or [[]] * 3
-            out = pa.record_batch([*map(pa.array, k, (pa.string(), pa.int32(), pa.string())), pa.array(held.values(), pa.int64())], ["lang", "n_words", "phrase", "f"])
-            held.clear()
-            return out
-
-        for x in slices(batches):
+        def counted(x: Slice):
+            of = lambda n, phrase, f: pa.record_batch([
+                pa.repeat(pa.scalar(x.lang, pa.string()), len(f)), pa.repeat(pa.scalar(n, pa.int32()), len(f)), phrase, pa.array(f, pa.int64())], ["lang", "n_words", "phrase", "f"])
             names, code = x.words, x.ids.copy()     # the phrase that starts at a place, by its number in names
-            held[x.lang, 0, ""] = held.get((x.lang, 0, ""), 0) + int((x.ids >= 0).sum())
+            yield of(0, pa.array([""]), np.array([(x.ids >= 0).sum()]))
             for n, at, h, _, _ in x.phrases(max_words, lambda n, h: shared.value[n](h)):  # subphrases of a frequent phrase are frequent
                 at = at[shared.value[n](h)]
                 if n > 1:
                     kinds, inverse = np.unique((code[at] << 32) | x.ids[at + n - 1], return_inverse=True)
-                    names = [names[k >> 32] + " " + x.words[k & 0xFFFFFFFF] for k in kinds.tolist()]
+                    names = pc.binary_join_element_wise(names.take(pa.array(kinds >> 32)), x.words.take(pa.array(kinds & 0xFFFFFFFF)), " ")
                     code[at] = inverse
                 count = np.bincount(code[at], minlength=len(names))
-                for k in np.flatnonzero(count).tolist():
-                    key = (x.lang, n, names[k])
-                    held[key] = held.get(key, 0) + int(count[k])
-            if len(held) > HELD_PHRASES:
-                yield combined()
-        yield combined()
+                k = np.flatnonzero(count)
+                yield of(n, names.take(pa.array(k)), count[k])
+
+        def passed():
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            return t.to_batches(max_chunksize=ROWS_OUT)
+
+        for x in slices(batches):
+            held += counted(x)
+            if sum(b.num_rows for b in held) > HELD_PHRASES:
+                yield from passed()
+        if held:
+            yield from passed()
 
     counts = table.select("lang", "text").mapInArrow(run, "lang string, n_words int, phrase string, f bigint")
     counts = counts.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where((F.col("n_words") == 0) | (F.col("f") >= threshold))

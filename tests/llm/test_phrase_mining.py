@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,11 @@ def test_tally_combines_and_stays_small(monkeypatch):
     empty = pm.Tally()
     empty.combine()
     assert not list(empty.batches())
+
+
+def test_a_slice_keeps_its_words_in_arrow():
+    """Distinct words are never a list of Python strings, nor are the counted phrases."""
+    x = pm.Slice("en", [b"A b. a\tb;b", b"\xc3\xa9 a"])
+    assert isinstance(x.words, pa.Array) and x.words[0].as_py() == "a"
+    names = x.words.to_pylist()
+    assert ["|" if i < 0 else names[i] for i in x.ids.tolist()] == ["a", "b", "|", "a", "b", "|", "b", "|", "é", "a"]
