@@ -49,6 +49,13 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(batches, rows: int = 1024):
+    """Arrow batches in slices, so that a task makes its results of few rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, everything else unchanged (``lower`` would also change
     other scripts, and the length of some texts)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +28,7 @@ def _letters() -> np.ndarray:
     """Code point -> itself if it is a letter, else a space."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
+        _LETTER = np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x110000)), np.uint32, 0x110000)
     return _LETTER
 
 
@@ -142,24 +144,29 @@ def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", ca
     rejected; so is every text if there was nothing to learn from. A text whose
     best cosine is below its language's floor is rejected, but still carries
     the nearest language. Ties go to the first language by name. Repeated rows
-    get equal results; no row moves between tasks. A task holds the counts of
-    ``SLICE`` documents at a time. A very long text is counted whole. An empty
-    table gives no row; columns of any name are carried in ``row``.
+    get equal results; no row moves between tasks. Only texts go to Python, not
+    the carried columns; a task holds the counts of ``SLICE`` documents at a
+    time. A very long text is counted whole. An empty table gives no row;
+    columns of any name are carried in ``row``.
     """
     cols = docs.columns if carry is None else carry
     d = docs.select(row_of(docs, cols).alias("row"), F.col(text_col).alias("text"))
-    schema = d.select("row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches):
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-            counts = [ngram_counts(t.as_py()) for t in b.column(1)]
-            lang, cos, far = m.predict(counts) if m else (["und"] * len(counts), [0.0] * len(counts), [True] * len(counts))
-            yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(cos, pa.float64()), pa.array(far, pa.bool_())],
-                                  ["row", "lang_pred", "score", "rejected"])
-
-    return d.mapInArrow(score, schema)
+        for texts in batches:
+            lang, cos, far = [], [], []
+            for i in range(0, len(texts), SLICE):
+                counts = [ngram_counts(t.as_py()) for t in texts.slice(i, SLICE)]
+                got = m.predict(counts) if m else (["und"] * len(counts), [0.0] * len(counts), [True] * len(counts))
+                for all_, some in zip((lang, cos, far), got):
+                    all_ += some
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(cos, pa.float64()), pa.array(far, pa.bool_())],
+                                             ["lang_pred", "score", "rejected"])
+
+    return d.select("row", judge("text").alias("v")).select("row", "v.lang_pred", "v.score", "v.rejected")
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filter_of, read
+from .common import Scratch, filter_of, read, small
 from .components import connected_components
 from .registry import register
 
@@ -177,7 +177,7 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, percent: int):
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row: row key, id, size, 128-bit digest of the set, keys, bitmap."""
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             n, digest, key, bits = [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), k)
@@ -265,7 +265,7 @@ class _Join:
         texts = self.docs.select("row_key", "text").where(hit)
 
         def run(batches):
-            for b in batches:
+            for b in small(batches):
                 yield pa.record_batch([b.column(0), pa.array([shingles(t.as_py(), k).tobytes() for t in b.column(1)], pa.binary())], ["node", "set"])
 
         # one row a node: rows of equal key have equal text

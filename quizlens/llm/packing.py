@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, read
+from .common import Scratch, read, small
 from .registry import register
 from .tokens import default_path, encoder
 
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def first(batches):
         task, enc, kind = TaskContext.get().partitionId(), encoder(path), None
         p = Packer(task << 32, length, windows, least, with_ids)
-        for b in batches:
+        for b in small(batches):
             kind = b.schema.field(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = enc.encode(text.as_py()) + END

@@ -328,3 +328,14 @@ def test_samples_take_one_row_an_id(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "Trees", lambda x, y, signs: seen.append(sorted(y)) or SimpleNamespace(score=lambda x: np.zeros(len(x))))
     quality_rules.fit(docs, labels, sample=4)
     assert seen[2] == [0, 0, 1, 1]
+
+
+def test_only_texts_go_to_the_classifier(spark):
+    """Carried columns stay out of Python; every row comes back with its own verdict."""
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else f"text number {i} " * (i % 5), "en", "s") for i in range(600)], "doc_id int, text string, lang string, source string").coalesce(1)
+    got = language_id.language_id(docs, language_id.fit(docs))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    rows = got.collect()
+    assert sorted((r.row.doc_id, r.row.text) for r in rows) == sorted((r.doc_id, r.text) for r in docs.collect())
+    assert all((r.lang_pred == "und") == (not r.row.text) for r in rows)
