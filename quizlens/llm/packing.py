@@ -121,7 +121,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         for b in small(batches):
             kind = b.schema.field(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(text.as_py()) + END
+                ids = enc.encode_once(text.as_py()) + END
                 p.add(doc, 0, ids, len(ids) // 4)
             yield batch(p.rows, task, kind)
             p.rows = []

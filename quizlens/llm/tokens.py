@@ -15,6 +15,7 @@ _OTHER_PAIRS = [c + " " for c in _SPACES if not c.isascii()]
 _CUT = re.compile(rf"(?<=[^{re.escape(_SPACES)}])(?= )")
 CACHE = 400_000     #: words in each of the two generations of the cache
 _LONGEST = 48       #: longer words are not cached
+_NO_TEXT = "<|no text|>"  # tiktoken looks for special tokens at every place if there are none; this one is never allowed
 
 
 def default_path() -> str:
@@ -63,9 +64,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         ranks = {bytes(stand[c] for c in t): i for t, i in model["vocab"].items() if all(c in stand for c in t)}
-        core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={_NO_TEXT: max(ranks.values()) + 1})
         self._first = core.encode_ordinary
         self._words = _Words(core.encode_ordinary, " ")
+        self._array = core.encode_to_numpy
 
     def encode(self, text: str | None) -> bytes:
         """The ids, 4 little-endian bytes each; none for null or empty text."""
@@ -80,6 +82,11 @@ class Encoder:
             return b"".join(map(self._words.__getitem__, parts[1:]))
         return np.array(self._first(parts[0]), dtype="<u4").tobytes() + b"".join(map(self._words.__getitem__, parts[1:]))
 
+    def encode_once(self, text: str | None) -> bytes:
+        """``encode`` without the cache, in one call that makes no Python object of a
+        word or an id: cheaper for whole texts with many words that are new."""
+        return self._array(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False).tobytes() if text else b""
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -42,6 +42,19 @@ def test_word_cache_is_bounded(reference, monkeypatch):
     assert len(enc._words) <= 5 and len(enc._words.old) <= 5
 
 
+def test_texts_are_encoded_without_the_cache(reference, spark):
+    """Packing's encoder gives the library's ids and keeps no word of a text."""
+    enc = tokens.Encoder(tokens.default_path())
+    texts = [words(i, i % 60) for i in range(400)] + ["<|endoftext|>", f"a {tokens._NO_TEXT} b", "a  b", " x", "x ", "\n \n", "it's  'll we'd", "x" * 3000, "日本 é\x00"]
+    for t in texts:
+        assert np.frombuffer(enc.encode_once(t), "<u4").tolist() == reference(t), t[:80]
+        assert enc.encode_once(t) == enc.encode(t)
+    assert enc.encode_once(None) == enc.encode_once("") == b""
+    cached = len(enc._words)
+    enc.encode_once(" ".join(f"new{i}" for i in range(1000)))
+    assert len(enc._words) == cached
+
+
 def check_pieces(rows, texts, reference, length=packing.LENGTH):
     """Exact round trip: every id of every document in one piece, no gaps."""
     docs, seqs = {}, {}
