@@ -11,23 +11,34 @@ the state it does begin in. Pieces of one element then meet by its number.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 NOT_ARRAY, MALFORMED, NO_FIT = "not a JSON array", "malformed JSON", "does not fit the schema"
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, char: str) -> Column:
+    """How often an ASCII character occurs, by sizes in bytes."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def _net(text: Column) -> Column:
     """Brackets opened less those closed, of a piece whose strings are taken out."""
-    outside = F.regexp_replace(text, r'"[^"]*("|\z)', "")
-    return (_count(outside, "[") - _count(outside, "]}")).cast("bigint")
+    outside = F.regexp_replace(text, r'"[^"]*+("|\z)', "")
+    return (_count(outside, "[") - _count(outside, "]") - _count(outside, "}")).cast("bigint")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df``, written once as Parquet to the checkpoint folder: most of the steps that
+    read it need its numbers only, not the text."""
+    path = scratch_path(df.sparkSession, f"array-text-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pieces(spark: SparkSession, pattern: str) -> DataFrame:
@@ -39,9 +50,9 @@ def pieces(spark: SparkSession, pattern: str) -> DataFrame:
     raw = spark.read.option("lineSep", "{").text(pattern).select(
         "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    plain = F.regexp_replace("value", r"(?s)\\.", "")       # without escapes: a quote left is one that counts
-    x = raw.select("*", _count(plain, '"').alias("quotes"), _net(plain).alias("n0"),
-                   _net(F.regexp_replace(plain, r'^[^"]*("|\z)', "")).alias("n1"))
+    # without escapes: a quote left is one that counts; a piece in a string is one with a quote before it
+    plain = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    x = raw.select("*", _count(plain, '"').alias("quotes"), _net(plain).alias("n0"), _net(F.concat(F.lit('"'), plain)).alias("n1"))
     order = Window.partitionBy("file_path", "block").orderBy("id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     x = x.select("*", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).alias("inside"),
@@ -60,12 +71,11 @@ def elements(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     the number of elements and whether head and brackets are those of an array
     (``is_array``: whether it begins like one).
 
-    The text is shuffled by byte range for the prefix sums, written once to the
-    checkpoint folder, and shuffled by element; no task holds more than a byte
+    The text is shuffled by byte range for the prefix sums, written once (as
+    Parquet) to the checkpoint folder, and shuffled by element; no task holds more than a byte
     range or an element. Ranges of a file are summed up in one window of a row
     each."""
-    checkpoint_dir(spark)
-    x = pieces(spark, pattern).checkpoint(eager=True)
+    x = _written(pieces(spark, pattern))
     along = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = x.groupBy("file_path", "block").agg(F.sum("quotes").alias("quotes"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
@@ -85,7 +95,7 @@ def elements(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     z = z.withColumn("seq", F.col("earlier") + F.col("k") - 1).where("seq >= 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "value"))), lambda p: p["value"]), "{")
     e = z.groupBy("file_path", "file_name", "seq").agg(F.concat(F.lit("{"), text).alias("text"))
-    e = e.withColumn("tail", F.regexp_extract("text", r"(?s)\}([^}]*)\z", 1))
+    e = e.withColumn("tail", F.when(F.contains("text", F.lit("}")), F.substring_index("text", "}", -1)).otherwise(""))
     e = e.withColumn("text", F.expr("substring(text, 1, length(text) - length(tail))"))
 
     ends = b.groupBy("file_path").agg(F.max_by("last_depth", "block").alias("depth"), F.max_by(F.col("last_quotes") % 2, "block").alias("quotes"))
@@ -114,7 +124,8 @@ def read_result_files(spark: SparkSession, pattern: str, schema: T.StructType, s
     parses = ~misfit | F.when(misfit, F.try_parse_json("text")).isNotNull()
     e = e.join(files, "file_path").withColumn("misfit", misfit)
     end = F.when(F.col("seq") < F.col("n") - 1, ",").otherwise("]")
-    e = e.withColumn("broken", ~parses | (F.regexp_replace("tail", r"\s", "") != end)).drop("tail", "n", "is_array", "sound").checkpoint(eager=True)
+    e = e.withColumn("broken", ~parses | (F.regexp_replace("tail", r"\s", "") != end)).drop("tail", "n", "is_array", "sound")
+    e = _written(e)
     broken = e.groupBy("file_path").agg(F.max("broken").alias("broken"))
     files = files.join(broken, "file_path", "left")
     wrong = ~F.col("sound") | F.coalesce("broken", F.lit(False))

@@ -9,8 +9,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from quizlens.operators.score import per_file_accuracy
 from quizlens.sources import array_files as af
+from quizlens.sources import fixtures as fx
 from quizlens.sources.results import RESULT_SCHEMA, read_result_files, read_shards, write_results
 
 
@@ -47,6 +49,21 @@ def test_any_text_in_any_ranges(spark, ranges):
         assert max(x.n for x in several.collect()) > 20 and max(x.tasks for x in several.collect()) > 3
 
 
+def test_text_is_kept_in_columns(spark):
+    """What is kept of a file is scanned by column: sums over pieces and elements do
+    not read their text again. First saved rows are found without a sort of their own."""
+    d = tempfile.mkdtemp(prefix="quizlens-arrays-")
+    write(f"{d}/a_result.json", [{"question_id": i, "model_outputs": 'x } "[' * i} for i in range(5)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    e, files = af.elements(spark, f"{d}/*")
+    good, _ = read_result_files(spark, f"{d}/*")
+    for df in (e, files, good):
+        assert "ExistingRDD" not in plan(df) and "Scan parquet" in plan(df).replace("FileScan", "Scan")
+    assert [(x.seq, x.question_id) for x in good.orderBy("seq").collect()] == [(i, i) for i in range(5)]
+    fixtures_plan = plan(fx.result_rows(spark, SF_SMALL))
+    assert "SortAggregate" in fixtures_plan and sum("Sort [" in x for x in fixtures_plan.splitlines()) == 1
+
+
 def test_quarantine(spark, ranges):
     d = tempfile.mkdtemp(prefix="quizlens-arrays-")
     sound = [{"question_id": i, "model_outputs": "x" * 50} for i in range(9)]
